@@ -1,0 +1,82 @@
+"""Cutting a text where no pre-token can cross, so that each piece is tokenised once.
+
+The public pattern attaches one space to the run that follows it, and a single
+line feed between two visible characters is a match of its own. A cut before such
+a space, or around such a line feed, is therefore always between two matches, and
+the tokens of a text are those of its pieces in order. Texts with other white
+space are cut only between visible ASCII characters, by a slower expression.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+_SAFE = re.compile(r"(?<=[!-~])(?= [!-~])")
+#: Longer pieces are tokenised each time; a worker forgets its pieces beyond so many.
+LONGEST, MOST = 48, 600_000
+
+
+class Pieces:
+    """A worker's memory of what ``make`` returns for each piece.
+
+    make: takes a list of pieces, returns a list of their values.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list], most: int = MOST):
+        self.make, self.most = make, most
+        self.spaced: dict[str, object] = {}
+        self.bare: dict[str, object] = {}
+        self.feed: object = None
+
+    @staticmethod
+    def _odd(part: str) -> bool:
+        a, z = part[0], part[-1]
+        return a.isspace() or z.isspace() or not (a.isprintable() and z.isprintable())
+
+    def learn(self, texts: list[str]) -> None:
+        """Makes the values of all unknown pieces of ``texts`` in one call."""
+        if len(self.spaced) + len(self.bare) > self.most:
+            self.spaced.clear()
+            self.bare.clear()
+        if self.feed is None and any("\n" in t for t in texts):
+            self.feed = self.make(["\n"])[0]
+        spaced, bare = set(), set()
+        for text in texts:
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                bare.add(parts[0])
+                spaced.update(parts[1:])
+        spaced = [p for p in spaced if p not in self.spaced]
+        bare = [p for p in bare if p not in self.bare]
+        for known, new, lead in ((self.spaced, spaced, " "), (self.bare, bare, "")):
+            fit = [p for p in new if p and len(p) <= LONGEST and not self._odd(p)]
+            known.update(zip(fit, self.make([lead + p for p in fit]) if fit else (), strict=True))
+            known.update((p, None) for p in new if not p or len(p) > LONGEST or self._odd(p))
+
+    def of(self, text: str) -> list:
+        """The values of the pieces of a text that ``learn`` has seen."""
+        out = []
+        for i, line in enumerate(text.split("\n")):
+            parts = line.split(" ")
+            if i:
+                out.append(self.feed)
+            out.append(self.bare[parts[0]])
+            out += map(self.spaced.__getitem__, parts[1:])
+        if None in out:
+            return self.make(_SAFE.split(text)) if text else []
+        return out
+
+
+def learned(pieces: Pieces, texts: list[str], chars: int = 2_000_000):
+    """Yields each text with the values of its pieces; learns in blocks of bounded size."""
+    block, size = [], 0
+    for text in texts:
+        block.append(text)
+        size += len(text)
+        if size >= chars:
+            pieces.learn(block)
+            yield from ((t, pieces.of(t)) for t in block)
+            block, size = [], 0
+    pieces.learn(block)
+    yield from ((t, pieces.of(t)) for t in block)
