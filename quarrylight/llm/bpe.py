@@ -18,6 +18,7 @@ between the two passes over the input is an error, never a wrong result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -34,6 +35,12 @@ _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa
 _MESSAGE_DDL = "block long, bucket int, body binary"
 
 
+@functools.cache
+def _word_pieces() -> Pieces:
+    """Pieces whose values are their pre-tokens; a worker keeps them from task to task."""
+    return Pieces(_words)
+
+
 def _words(parts: list[str]) -> list[tuple[str, ...]]:
     find = pretokens().findall
     return [tuple(find(p)) for p in parts]
@@ -66,7 +73,7 @@ def _numbered(pieces: Pieces, texts: list[str]) -> dict[str, int]:
 
 def _send_words(buckets: int, size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(_words)
+        pieces = _word_pieces()
         for block, _, texts in _blocks(batches, size):
             words = [w.encode() for w in _numbered(pieces, texts)]
             bucket = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % buckets for w in words], np.int64)
@@ -128,7 +135,7 @@ def _reassemble(key: tuple, table: pa.Table) -> pa.Table:
         coded.update(zip(own.tolist(), (flat[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
     ends = np.cumsum(lengths).tolist()
     texts = [raw[a:z].decode() for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-    numbers = _numbered(Pieces(_words), texts)
+    numbers = _numbered(_word_pieces(), texts)
     if len(numbers) != len(coded):
         raise RuntimeError(f"block {key[0].as_py()} has {len(numbers)} words, {len(coded)} came back; the input changed between passes")
 

@@ -109,7 +109,7 @@ def exact_dedup(docs: DataFrame, *, keep: str = "largest", fan: int = 4, shard_r
     runs = table.mapInArrow(_runs(shards, largest, lowest), _RUN_DDL)
     left = splits(table)
     while left > 1:
-        runs = runs.groupBy("shard", F.expr(f"cast(run div {fan} as int)").alias("run")).applyInArrow(_round(fan, largest), _RUN_DDL)
+        runs = runs.withColumn("run", F.expr(f"cast(run div {fan} as int)")).groupBy("shard", "run").applyInArrow(_round(fan, largest), _RUN_DDL)
         left = -(-left // fan)
     groups = runs.mapInArrow(_open, _MERGED).withColumnRenamed("n_bytes", "size").withColumnRenamed("other", "hash")
 

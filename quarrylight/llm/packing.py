@@ -21,7 +21,9 @@ each on its own; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
+import functools
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -37,14 +39,20 @@ from .tokenizers_io import BYTE_JSON, json_tokenizer, vocabulary
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def _encode(path: str, end: int, capacity: int):
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = json_tokenizer(path)
+@functools.cache
+def coded_pieces(path: str) -> Pieces:
+    """Pieces whose values are identifiers as bytes; a worker keeps them from task to task."""
+    tokenizer = json_tokenizer(path)
+
+    def ids(parts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-        def ids(parts: list[str]) -> list[bytes]:
-            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
+    return Pieces(ids, most=1_200_000)
 
-        pieces, task, seen, last = Pieces(ids), partition_id(), np.zeros(capacity + 1, np.int64), np.uint32(end).tobytes()
+
+def _encode(path: str, end: int, capacity: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, task, seen, last = coded_pieces(path), partition_id(), np.zeros(capacity + 1, np.int64), np.uint32(end).tobytes()
         for b in batches:
             out: list[tuple] = []
             for doc, (_, found) in zip(b.column("doc_id").to_pylist(), learned(pieces, column_texts(b, "text")), strict=True):

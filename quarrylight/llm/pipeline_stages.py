@@ -2,14 +2,18 @@
 
 Each takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``, with ``n_chars`` counted again where a text changed.
+Identifiers name documents here: rows that share one and its text are one document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, toxicity
+from . import jaccard_join, line_dedup, packing, suffix_dedup, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -27,6 +31,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document with the smallest identifier stays."""
+    found = jaccard_join.jaccard_components(docs)
+    stay = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+
+
+def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string()), b.column("rest")], names=["doc_id", "text", "rest"])
+
+
+def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bytes of repeated strings go, and with them parts of characters that a cut has split."""
+    out = suffix_dedup.suffix_dedup(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "kept", "rest")
+    texts = out.mapInArrow(_whole_characters, "doc_id long, text string, rest string")
+    parsed = texts.withColumn("rest", F.from_json("rest", "lang string, source string"))
+    return parsed.select("doc_id", "text", "rest.lang", "rest.source", F.length("text").cast("long").alias("n_chars"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences."""
     return packing.pack_documents(docs)
@@ -35,5 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("line_dedup", drop_lines),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("suffix_array_dedup", drop_repeated_strings),
     ("best_fit_packing", pack),
 ]
