@@ -19,8 +19,9 @@ indexed, so the choice needs no agreement between partners and loses no pair.
 Sets that are equal are one node from the start. Signatures travel packed, once for
 a node and task, and meet by hash. A bucket of few nodes yields its pairs; a large
 one yields only pairs with one leader, and after those are verified and joined into
-components, the pairs between the components that remain in it. All pairs are
-verified on the whole sets. Groups of thousands of near copies thus cost one pair for
+components, the pairs between the components that remain in it. Pairs whose parity
+sketches show more differences than a link may have go without their sets being
+read; all others are verified on the whole sets. Groups of thousands of near copies thus cost one pair for
 each member.
 
 Defined cases: null or blank texts have no shingles, link with nothing and are their
@@ -163,18 +164,44 @@ class Schemes:
         return np.concatenate(keys), np.concatenate(flags)
 
 
-_ROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
-_ROW_DDL = "doc_id long, n_shingles long, node long, check long, bucket int, body binary"
+_MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("body", pa.binary())])
+_MESSAGE_DDL = "bucket int, kind int, body binary"
+_SIGNS, _ROWS, _PAIRS, _GROUP = range(4)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of how many elements hash to each of a power of two of cells, at least as many as there are elements.
+
+    Sketches fold to half their cells by exclusive or, and two sets differ in at least as many elements as their parities do.
+    """
+    cells = max(64, 1 << (len(s) - 1).bit_length())
+    count = np.bincount((mix(s + _Q) >> np.uint64(13)).astype(np.int64) & (cells - 1), minlength=cells)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
+
+
+def fold(parities: np.ndarray, size: int) -> np.ndarray:
+    """Rows of sketches, folded to ``size`` bytes."""
+    while parities.shape[-1] > size:
+        half = parities.shape[-1] // 2
+        parities = parities[..., :half] ^ parities[..., half:]
+    return parities
+
+
+def may_link(n: int, parity: np.ndarray, sizes: np.ndarray, parities: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of some sets may be as similar to one of n elements as asked; all whose parities have the same length."""
+    size = min(len(parity), parities.shape[1])
+    apart = np.bitwise_count(fold(parity, size) ^ fold(parities, size)).sum(axis=1, dtype=np.int64)
+    return apart * (den + num) <= (den - num) * (sizes.astype(np.int64) + n)
 
 
 def _sign(num: int, den: int, width: int, buckets: int, limit: int = 3_000_000):
-    """Rows of two kinds: one for each document, and packed signatures (bucket not null)."""
+    """Packed signatures for each bucket, and packed rows of documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, schemes = Words(), Schemes(num, den)
         seen: set[int] = set()
         held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-        size = 0
+        size = turn = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, size
@@ -194,35 +221,55 @@ def _sign(num: int, den: int, width: int, buckets: int, limit: int = 3_000_000):
                     at.append(k)
                     bodies.append(pack(nodes[own], sizes[own], count.astype(np.uint32), high.astype(np.uint32), ((high >> np.uint64(32)).astype(np.uint8) & 63) << 2 | flag[a:z]))
             held, size = [], 0
-            none = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(at, pa.int32()), pa.array(bodies, pa.binary())], schema=_ROW)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([_SIGNS] * len(at), pa.int32()), pa.array(bodies, pa.binary())], schema=_MESSAGE)
 
         for b in batches:
-            counts, nodes, checks = [], [], []
+            ids, counts, sets, sketches = b.column("doc_id").to_pylist(), [], [], []
             for text in column_bytes(b, "text"):
                 s = shingles(text, words, width)
+                node, check = set_id(s) if len(s) else (0, 0)
                 counts.append(len(s))
-                node, check = set_id(s) if len(s) else (None, None)
-                nodes.append(node)
-                checks.append(check)
+                sets.append((node, check))
+                sketches.append(b"")
                 if len(s) and node not in seen:
                     if len(seen) > 2_000_000:
                         seen.clear()
                     seen.add(node)
+                    sketches[-1] = sketch(s)
                     held.append((node, len(s), *schemes.signatures(s)))
                     size += len(held[-1][2])
                     if size >= limit:
                         yield flush()
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=_ROW)
+            if ids:
+                turn += 1
+                to = xxhash.xxh32_intdigest(f"{ids[0]} {counts[0]} {turn}") % buckets
+                both = np.array(sets, np.int64)
+                body = pack(np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], np.int64), np.array(counts, np.int64), both[:, 0], both[:, 1], np.fromiter(map(len, sketches), np.uint32, len(ids)), np.frombuffer(b"".join(sketches), np.uint8))
+                yield pa.RecordBatch.from_arrays([pa.array([to], pa.int32()), pa.array([_ROWS], pa.int32()), pa.array([body], pa.binary())], schema=_MESSAGE)
         if held:
             yield flush()
 
     return make
 
 
-_FOUND = pa.schema([("group", pa.int64()), ("body", pa.binary())])
-_FOUND_DDL = "group long, body binary"
+def _open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for body in b.column("body").to_pylist():
+            null, ids, counts, nodes, checks = unpack(body)[:5]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(counts), pa.array(nodes, mask=counts == 0), pa.array(checks, mask=counts == 0)], names=["doc_id", "n_shingles", "node", "check"])
+
+
+def _open_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for body in b.column("body").to_pylist():
+            _, _, counts, nodes, _, lengths, raw = unpack(body)
+            own, ends = np.flatnonzero(lengths), np.cumsum(lengths.astype(np.int64))
+            flat = raw.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(counts[own]), pa.array([flat[ends[i] - lengths[i] : ends[i]] for i in own.tolist()], pa.binary())], names=["node", "size", "sketch"])
+
+
+_FOUND = pa.schema([("kind", pa.int32()), ("group", pa.int64()), ("body", pa.binary())])
+_FOUND_DDL = "kind int, group long, body binary"
 
 
 def _partners(size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -230,10 +277,12 @@ def _partners(size_a: np.ndarray, size_b: np.ndarray, num: int, den: int) -> np.
 
 
 def _meet(num: int, den: int):
-    """Pairs of a bucket (group null), and its large groups, each with the leader first."""
+    """Pairs of a bucket and its large groups; rows of documents pass."""
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [unpack(x) for x in table.column("body").to_pylist()]
+        kinds, own = table.column("kind").to_pylist(), table.column("body").to_pylist()
+        passed = [x for k, x in zip(kinds, own, strict=True) if k == _ROWS]
+        parts = [unpack(x) for k, x in zip(kinds, own, strict=True) if k == _SIGNS] or [[np.zeros(0, t) for t in (np.int64, np.uint32, np.uint32, np.uint32, np.uint8)]]
         node, size = (np.concatenate([np.repeat(p[i], p[2]) for p in parts]) for i in (0, 1))
         low, high = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
         sig, flag = low.astype(np.uint64) | (high >> 2).astype(np.uint64) << np.uint64(32), high & 3
@@ -275,9 +324,10 @@ def _meet(num: int, den: int):
         pairs = np.column_stack([np.concatenate(lefts), np.concatenate(rights)]) if lefts else np.zeros((0, 2), np.int64)
         if len(pairs):
             pairs = np.unique(np.ascontiguousarray(pairs).view([("a", np.int64), ("b", np.int64)])).view(np.int64).reshape(-1, 2)
-        groups.append(None)
-        bodies.append(pack(pairs[:, 0], pairs[:, 1]))
-        return pa.table([pa.array(groups, pa.int64()), pa.array(bodies, pa.binary())], schema=_FOUND)
+        kinds = [_GROUP] * len(groups) + [_PAIRS] + [_ROWS] * len(passed)
+        bodies += [pack(pairs[:, 0], pairs[:, 1]), *passed]
+        groups += [None] * (1 + len(passed))
+        return pa.table([pa.array(kinds, pa.int32()), pa.array(groups, pa.int64()), pa.array(bodies, pa.binary())], schema=_FOUND)
 
     return meet
 
@@ -297,24 +347,48 @@ def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(num: int, den: int):
-    """Pairs of a group between components, smaller components against all others."""
+    """Pairs of a group between components that sizes and sketches allow."""
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
+        _, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        table = table.take(pa.array(first)).sort_by("size")
         node, size, flag, root = (table.column(c).to_numpy() for c in ("node", "size", "flag", "root"))
-        order = np.argsort(size, kind="stable")
-        node, size, flag, root = node[order], size[order], flag[order], root[order]
+        sketches = table.column("sketch").to_pylist()
+        lengths = np.array([len(x) for x in sketches])
+        rows, blocks = np.zeros(len(node), np.int64), {}
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            rows[own] = np.arange(len(own))
+            blocks[n] = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint8).reshape(-1, n)
         lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(node)):
             far = np.searchsorted(size, size[i] * den // num, side="right")
             j = np.arange(i + 1, far)
             j = j[(root[j] != root[i]) & ((flag[j] | flag[i]) == 3)]
-            lefts.append(np.minimum(node[j], node[i]))
-            rights.append(np.maximum(node[j], node[i]))
+            mine = blocks[int(lengths[i])][rows[i]]
+            for n in np.unique(lengths[j]).tolist():
+                k = j[lengths[j] == n]
+                k = k[may_link(int(size[i]), mine, size[k], blocks[n][rows[k]], num, den)]
+                lefts.append(np.minimum(node[k], node[i]))
+                rights.append(np.maximum(node[k], node[i]))
         return pa.table([pa.array(np.concatenate(lefts)), pa.array(np.concatenate(rights))], names=["a", "b"])
 
     return pairs
 
 
+def _plausible(num: int, den: int):
+    """Pairs whose sketches allow a link."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, m = (b.column(c).to_numpy() for c in ("size_a", "size_b"))
+            x, y = ([np.frombuffer(v, np.uint8) for v in b.column(c).to_pylist()] for c in ("sketch_a", "sketch_b"))
+            ok = [bool(may_link(int(n[i]), x[i], m[i : i + 1], y[i][None, :], num, den)[0]) for i in range(b.num_rows)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return keep
+
+
 def _squeezed(width: int):
     """Texts of nodes; of rows that share an identifier only those with the node's set."""
 
@@ -352,13 +426,14 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     count = buckets or min(1 << 18, max(64, 2 * splits(source)))
-    signed = scratch.keep(source.mapInArrow(_sign(num, den, width, count), _ROW_DDL), "signed")
-    rows = signed.where("bucket IS NULL").select("doc_id", "n_shingles", "node", "check")
-    found = scratch.keep(signed.where("bucket IS NOT NULL").select("bucket", "body").groupBy("bucket").applyInArrow(_meet(num, den), _FOUND_DDL), "found")
+    signed = source.mapInArrow(_sign(num, den, width, count), _MESSAGE_DDL)
+    found = scratch.keep(signed.groupBy("bucket").applyInArrow(_meet(num, den), _FOUND_DDL), "found")
+    packed = found.where(F.col("kind") == _ROWS).select("body")
+    rows = packed.mapInArrow(_open_rows, "doc_id long, n_shingles long, node long, check long")
+    sketches = packed.mapInArrow(_open_sketches, "node long, size long, sketch binary")
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs.distinct(), "pairs")
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node")
         owned = source.join(wanted, "doc_id").select("node", "text").mapInArrow(_squeezed(width), "node long, body binary")
         bodies = scratch.keep(owned.dropDuplicates(["node"]), "bodies")
@@ -366,15 +441,19 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
         both = left.join(bodies.withColumnRenamed("node", "b").withColumnRenamed("body", "right"), "b")
         return scratch.keep(both.select("a", "b", "left", "right").mapInArrow(_verify(num, den, width), "a long, b long"), "links")
 
-    links = verified(found.where("group IS NULL").mapInArrow(_open_pairs, "a long, b long"))
+    pairs = found.where(F.col("kind") == _PAIRS).select("body").mapInArrow(_open_pairs, "a long, b long").distinct()
+    for side in "ab":
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
+    links = verified(scratch.keep(pairs.mapInArrow(_plausible(num, den), "a long, b long").distinct(), "pairs"))
     roots = components(links, scratch)
-    groups = found.where("group IS NOT NULL")
+    groups = found.where(F.col("kind") == _GROUP).select("group", "body")
     if not groups.isEmpty():
         members = groups.mapInArrow(_open_groups, "group long, node long, size long, flag int")
         members = members.join(roots, "node", "left").select("group", "node", "size", "flag", F.coalesce("root", "node").alias("root"))
         split = members.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
-        more = members.join(split, "group").groupBy("group").applyInArrow(_across(num, den), "a long, b long")
-        links = links.union(verified(more))
+        sketched = members.join(split, "group", "left_semi").join(sketches.select("node", "sketch"), "node")
+        more = sketched.groupBy("group").applyInArrow(_across(num, den), "a long, b long").distinct()
+        links = links.union(verified(scratch.keep(more, "pairs")))
         roots = components(links, scratch)
     owned = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
