@@ -158,3 +158,29 @@ def expand_query(task: Column, focus: Column, phase: Column) -> Column:
 def stage_name(raw: Column) -> Column:
     """A stage's name: lower case, words joined by underscores."""
     return F.regexp_replace(F.lower(F.trim(raw)), r"[\s-]+", "_")
+
+
+def matches_filter(needle: str, *fields: str) -> Column:
+    """Whether any field contains the text, in any case."""
+    hit = F.lit(False)
+    for name in fields:
+        hit = hit | F.coalesce(F.contains(F.lower(F.col(name).cast("string")), F.lit(needle.lower())), F.lit(False))
+    return hit
+
+
+def extension(path: Column) -> Column:
+    return F.element_at(F.split(F.lower(path), r"\."), -1)
+
+
+def symbol_passage(name: Column, kind: Column, signature: Column) -> Column:
+    """The text that stands for a symbol in vector search."""
+    return F.concat_ws(" ", kind, name, signature)
+
+
+def chunk_passage(path: Column, text: Column) -> Column:
+    return F.concat(path, F.lit("\n"), clip(text, 512))
+
+
+def catalog_hash(rows: Column) -> Column:
+    """An order-free fingerprint of a table's rows, as an aggregate: sums of hashes do not depend on partitions."""
+    return F.hex(F.sum((F.xxhash64(rows) % 2147483647).cast("decimal(38,0)")).cast("long"))

@@ -65,8 +65,8 @@ def snippet(text: Column, terms: Column, around: int = 7) -> Column:
     tokens = tokens_of(text)
     at = F.array_position(F.transform(tokens, lambda t: F.array_contains(terms, t)), True).cast("int")
     begin = F.greatest(at - around, F.lit(1))
-    marked = F.transform(tokens, lambda t, i: F.when(i == at - 1, F.concat(F.lit("»"), t, F.lit("«"))).otherwise(t))
-    return F.when(at > 0, F.array_join(F.slice(marked, begin, at - begin + 1 + around), " "))
+    own = F.concat(F.slice(tokens, begin, at - begin), F.array(F.concat(F.lit("»"), F.element_at(tokens, at), F.lit("«"))), F.slice(tokens, at + 1, F.lit(around)))
+    return F.when(at > 0, F.array_join(own, " "))
 
 
 def line_references(docs: DataFrame, needle: str, *, limit: int = 30, width: int = 100) -> DataFrame:

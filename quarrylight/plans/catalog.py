@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aliases as A
-from ..operators import chunks, code, documents, graph, merge, ranking, search, usage, vector_search
+from ..operators import chunks, code, documents, graph, learnings, merge, ranking, search, usage, vector_search
 from ..session import table
 from . import fixtures
 from . import tables as R
@@ -548,6 +548,102 @@ def stream_daily(spark, sf_dir):
     return _stream(spark, sf_dir, "1 day")
 
 
+# More scalar functions and lookups ------------------------------------------------------
+
+
+@query(
+    f"""WITH {R.EVENTS}, x AS (SELECT event_id, CAST(floor((epoch_us(TIMESTAMP '{R.AS_OF}') - epoch_us(ts)) / 1000000) AS BIGINT) AS age, tokens_original AS o, tokens_optimized AS p FROM calls)
+    SELECT event_id, CASE WHEN age < 60 THEN age || 's ago' WHEN age < 3600 THEN (age // 60) || 'm ago' WHEN age < 86400 THEN (age // 3600) || 'h ago' ELSE (age // 86400) || 'd ago' END AS age,
+           CASE WHEN o >= 1000 THEN printf('%.1fk', ((o + 50) // 100) / 10.0) ELSE CAST(o AS VARCHAR) END AS tokens,
+           CASE WHEN o >= 1000 THEN printf('%.1fs', ((o + 50) // 100) / 10.0) ELSE o || 'ms' END AS duration,
+           CASE WHEN q > 50 THEN 'green' WHEN q > 20 THEN 'plain' ELSE 'red' END AS badge
+    FROM (SELECT *, CASE WHEN o > 0 THEN round(100.0 * (o - p) / o, 1) ELSE 0 END AS q FROM x WHERE age >= 0)"""
+)
+def shown_texts(spark, sf_dir):
+    own = R.events(spark, sf_dir).withColumn("age", F.floor((F.unix_micros(_as_of()) - F.unix_micros("ts")) / 1000000)).where("age >= 0")
+    saved = T.saved_percent(F.col("tokens_original"), F.col("tokens_optimized"))
+    return own.select("event_id", T.age_text(F.col("age")).alias("age"), T.token_text(F.col("tokens_original")).alias("tokens"), T.duration_text(F.col("tokens_original")).alias("duration"), T.savings_badge(saved).alias("badge"))
+
+
+@query(r"SELECT page_id, regexp_replace(regexp_replace(lower(url), '[ _]', '-', 'g'), '[^\p{L}\p{N}-]', '', 'g') AS slug FROM pages")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"))
+
+
+@query("SELECT string_split(lower(url), '.')[-1] AS ext, count(*) AS n FROM pages GROUP BY ALL")
+def extension_counts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(T.extension(F.col("url")).alias("ext")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'please') OR contains(lower(role), 'please')")
+def filter_fields(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where(T.matches_filter("please", "text", "role")).select("conv_id", "turn")
+
+
+_PHASE = "CASE item_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'debug' WHEN 2 THEN 'plan' ELSE 'implement' END"
+
+
+@query(
+    f"""SELECT item_id, md5(CASE WHEN {_PHASE} = 'test' AND NOT contains(lower(text), 'test') THEN text || ' test testing unit mock'
+        WHEN {_PHASE} = 'debug' AND NOT contains(lower(text), 'debug') THEN text || ' debug error recovery exception'
+        WHEN {_PHASE} = 'plan' AND NOT contains(lower(text), 'plan') THEN text || ' architecture standards modular design' ELSE text END) AS query FROM benchmark"""
+)
+def expand_queries(spark, sf_dir):
+    own = table(spark, sf_dir, "benchmark").select("item_id", "text", F.expr(_PHASE).alias("phase"))
+    return own.select("item_id", F.md5(T.expand_query(F.col("text"), F.lit(None).cast("string"), F.col("phase")).cast("binary")).alias("query"))
+
+
+def _category_sql() -> str:
+    rules = " ".join(f"WHEN {' OR '.join(f'contains(lower(text), {w!r})' for w in words)} THEN '{name}'" for name, words in learnings.CATEGORIES)
+    return f"SELECT conv_id, turn, CASE {rules} END AS category FROM conversations"
+
+
+@query(_category_sql())
+def task_categories(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", learnings.task_category(F.col("text")).alias("category"))
+
+
+@query(
+    f"""WITH own AS (SELECT b.vec_id AS ord, row_number() OVER (PARTITION BY b.label ORDER BY b.vec_id) / count(*) OVER (PARTITION BY b.label) AS recency, {_COS} AS similarity FROM {_FIRST}, embeddings b)
+    SELECT ord, round(0.8 * similarity + 0.2 * recency, 6) AS score FROM own WHERE similarity >= 0.1 ORDER BY 0.8 * similarity + 0.2 * recency DESC, ord DESC LIMIT 20"""
+)
+def learnings_rank(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ord"), F.col("label").alias("owner"), F.col("embedding").alias("vector"))
+    query = F.array(*(F.lit(float(x)) for x in _one(spark, sf_dir)))
+    return ranking.rank_learnings(own, query, 20, 0.1).select("ord", F.round("score", 6).alias("score"))
+
+
+def _metadata_sql() -> str:
+    text = "lower(lang || '-' || source || '-' || doc_id) || ' ' || lower(split_part(coalesce(text, ''), chr(10), 1)) || ' ' || lower(split_part(coalesce(text, ''), chr(10), 2))"
+
+    def lists(rules, column):
+        return " || ".join(f"CASE WHEN {' OR '.join(f'contains({column}, {w!r})' for w in words)} THEN [{', '.join(map(repr, gives))}] ELSE [] END" for words, gives in rules)
+
+    phases = lists(documents.PHASES, "c")
+    return f"""WITH x AS (SELECT doc_id, {text} AS c, lower(lang || '-' || source || '-' || doc_id) AS name FROM documents)
+        SELECT doc_id, array_to_string(list_sort(list_distinct({lists(documents.PATTERNS, "c")} || {lists(documents.NAME_PATTERNS, "name")})), ',') AS file_patterns,
+               array_to_string(list_sort(list_distinct(CASE WHEN len({phases}) = 0 THEN ['implement', 'refactor'] ELSE {phases} END)), ',') AS applicable_phases FROM x"""
+
+
+@query(_metadata_sql())
+def metadata_inference(spark, sf_dir):
+    own = R.skills(spark, sf_dir).withColumn("doc_id", F.element_at(F.split("name", "-"), -1).cast("long"))
+    found = documents.metadata(own.select("doc_id", "name", "description", "triggers", "keywords"))
+    return found.select("doc_id", F.array_join("file_patterns", ",").alias("file_patterns"), F.array_join("applicable_phases", ",").alias("applicable_phases"))
+
+
+@query(
+    rf"""WITH {R.INDEX}, {R.terms_sql(3)}, {R.match_sql("terms", "hits")}, asked AS (SELECT query_id, list(term) AS terms FROM terms GROUP BY query_id),
+    x AS (SELECT h.query_id, h.doc_id, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+') AS toks, a.terms FROM hits h JOIN documents d ON h.doc_id = d.doc_id JOIN asked a ON h.query_id = a.query_id),
+    y AS (SELECT *, list_position(list_transform(toks, lambda t: list_contains(terms, t)), true) AS p FROM x)
+    SELECT query_id, doc_id, array_to_string(toks[greatest(p - 7, 1):p - 1] || ['»' || toks[p] || '«'] || toks[p + 1:p + 7], ' ') AS snippet FROM y"""
+)
+def fts_snippets(spark, sf_dir):
+    asked = R.queries(spark, sf_dir, 3).groupBy("query_id").agg(F.collect_list("term").alias("terms"))  # three terms at most
+    hits = _fts(spark, sf_dir, 3).join(asked, "query_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    return hits.select("query_id", "doc_id", chunks.snippet(F.col("text"), F.col("terms")).alias("snippet"))
+
+
 # Inline code fixture -----------------------------------------------------------------
 
 
