@@ -18,8 +18,9 @@ indexed, so the choice needs no agreement between partners and loses no pair.
 
 Sets that are equal are one node from the start. Signatures travel packed, once for
 a node and task, and meet by hash. A bucket of few nodes yields its pairs; a large
-one yields only pairs with one leader, and after those are verified and joined into
-components, the pairs between the components that remain in it. Pairs whose parity
+one yields only pairs with one leader; after those are verified and joined into
+components, the closest pairs between components as long as that joins more; and in
+the end all pairs between the components that remain in it. Pairs whose parity
 sketches show more differences than a link may have go without their sets being
 read; all others are verified on the whole sets. Groups of thousands of near copies thus cost one pair for
 each member.
@@ -170,11 +171,11 @@ _SIGNS, _ROWS, _PAIRS, _GROUP = range(4)
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """Parities of how many elements hash to each of a power of two of cells, at least as many as there are elements.
+    """Parities of how many elements hash to each of a power of two of cells, at least twice as many as there are elements.
 
     Sketches fold to half their cells by exclusive or, and two sets differ in at least as many elements as their parities do.
     """
-    cells = max(64, 1 << (len(s) - 1).bit_length())
+    cells = max(64, 2 << (len(s) - 1).bit_length())
     count = np.bincount((mix(s + _Q) >> np.uint64(13)).astype(np.int64) & (cells - 1), minlength=cells)
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
@@ -187,11 +188,15 @@ def fold(parities: np.ndarray, size: int) -> np.ndarray:
     return parities
 
 
-def may_link(n: int, parity: np.ndarray, sizes: np.ndarray, parities: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which of some sets may be as similar to one of n elements as asked; all whose parities have the same length."""
+def apart(parity: np.ndarray, parities: np.ndarray) -> np.ndarray:
+    """Least differences between a set and others, whose parities all have the same length."""
     size = min(len(parity), parities.shape[1])
-    apart = np.bitwise_count(fold(parity, size) ^ fold(parities, size)).sum(axis=1, dtype=np.int64)
-    return apart * (den + num) <= (den - num) * (sizes.astype(np.int64) + n)
+    return np.bitwise_count(fold(parity, size) ^ fold(parities, size)).sum(axis=1, dtype=np.int64)
+
+
+def may_link(n: int, parity: np.ndarray, sizes: np.ndarray, parities: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which of some sets may be as similar to one of n elements as asked."""
+    return apart(parity, parities) * (den + num) <= (den - num) * (sizes.astype(np.int64) + n)
 
 
 def _sign(num: int, den: int, width: int, buckets: int, limit: int = 3_000_000):
@@ -346,8 +351,12 @@ def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([group] * len(node), pa.int64()), pa.array(node), pa.array(size), pa.array(flag.astype(np.int32))], names=["group", "node", "size", "flag"])
 
 
-def _across(num: int, den: int):
-    """Pairs of a group between components that sizes and sketches allow."""
+def _across(num: int, den: int, nearest: int | None):
+    """Pairs of a group between components that sizes and sketches allow.
+
+    nearest: if given, only so many for each member, those that seem closest, and none
+    for members of the group's largest component.
+    """
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
         _, first = np.unique(table.column("node").to_numpy(), return_index=True)
@@ -360,17 +369,25 @@ def _across(num: int, den: int):
             own = np.flatnonzero(lengths == n)
             rows[own] = np.arange(len(own))
             blocks[n] = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint8).reshape(-1, n)
+        names, count = np.unique(root, return_counts=True)
+        main = names[count.argmax()] if nearest else None
         lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(node)):
-            far = np.searchsorted(size, size[i] * den // num, side="right")
-            j = np.arange(i + 1, far)
+            if nearest and root[i] == main:
+                continue
+            near = np.searchsorted(size, -(-size[i] * num // den)) if nearest else i + 1
+            j = np.arange(near, np.searchsorted(size, size[i] * den // num, side="right"))
             j = j[(root[j] != root[i]) & ((flag[j] | flag[i]) == 3)]
-            mine = blocks[int(lengths[i])][rows[i]]
+            mine, best = blocks[int(lengths[i])][rows[i]], np.empty(len(j), np.int64)
             for n in np.unique(lengths[j]).tolist():
-                k = j[lengths[j] == n]
-                k = k[may_link(int(size[i]), mine, size[k], blocks[n][rows[k]], num, den)]
-                lefts.append(np.minimum(node[k], node[i]))
-                rights.append(np.maximum(node[k], node[i]))
+                own = lengths[j] == n
+                best[own] = apart(mine, blocks[n][rows[j[own]]])
+            ok = best * (den + num) <= (den - num) * (size[j] + size[i])
+            j, best = j[ok], best[ok]
+            if nearest:
+                j = j[np.argsort(best, kind="stable")[:nearest]]
+            lefts.append(np.minimum(node[j], node[i]))
+            rights.append(np.maximum(node[j], node[i]))
         return pa.table([pa.array(np.concatenate(lefts)), pa.array(np.concatenate(rights))], names=["a", "b"])
 
     return pairs
@@ -439,7 +456,10 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
         bodies = scratch.keep(owned.dropDuplicates(["node"]), "bodies")
         left = pairs.join(bodies.withColumnRenamed("node", "a").withColumnRenamed("body", "left"), "a")
         both = left.join(bodies.withColumnRenamed("node", "b").withColumnRenamed("body", "right"), "b")
-        return scratch.keep(both.select("a", "b", "left", "right").mapInArrow(_verify(num, den, width), "a long, b long"), "links")
+        kept = scratch.keep(both.select("a", "b", "left", "right").mapInArrow(_verify(num, den, width), "a long, b long"), "links")
+        scratch.drop(bodies)
+        scratch.drop(pairs)
+        return kept
 
     pairs = found.where(F.col("kind") == _PAIRS).select("body").mapInArrow(_open_pairs, "a long, b long").distinct()
     for side in "ab":
@@ -447,14 +467,19 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
     links = verified(scratch.keep(pairs.mapInArrow(_plausible(num, den), "a long, b long").distinct(), "pairs"))
     roots = components(links, scratch)
     groups = found.where(F.col("kind") == _GROUP).select("group", "body")
-    if not groups.isEmpty():
+    nearest = None if groups.isEmpty() else 2
+    while nearest or nearest == 0:
         members = groups.mapInArrow(_open_groups, "group long, node long, size long, flag int")
         members = members.join(roots, "node", "left").select("group", "node", "size", "flag", F.coalesce("root", "node").alias("root"))
         split = members.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
         sketched = members.join(split, "group", "left_semi").join(sketches.select("node", "sketch"), "node")
-        more = sketched.groupBy("group").applyInArrow(_across(num, den), "a long, b long").distinct()
-        links = links.union(verified(scratch.keep(more, "pairs")))
-        roots = components(links, scratch)
+        more = sketched.groupBy("group").applyInArrow(_across(num, den, nearest), "a long, b long").distinct()
+        new = verified(scratch.keep(more, "pairs"))
+        fresh = not new.isEmpty()
+        if fresh:
+            links = links.union(new)
+            roots = components(links, scratch)
+        nearest = None if nearest == 0 else nearest if fresh else 0  # closest pairs as long as they link, then all that are left
     owned = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = owned.join(least, "root", "left")
