@@ -111,7 +111,7 @@ def line_references(spark, sf_dir):
     rf"""WITH lines AS (SELECT doc_id, unnest({_LINES}) AS raw, generate_subscripts({_LINES}, 1) AS pos FROM documents),
     cut AS (SELECT doc_id, pos, regexp_replace(raw, '\s+$', '') AS line FROM lines),
     kept AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM cut)
-    SELECT d.doc_id, md5(coalesce(trim(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (line = '' AND coalesce(before, 'x') = ''))), '')) AS content_hash
+    SELECT d.doc_id, md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (line = '' AND coalesce(before, 'x') = '')), '')) AS content_hash
     FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id GROUP BY d.doc_id"""
 )
 def compress_text(spark, sf_dir):

@@ -28,7 +28,7 @@ def test_queries(spark):
 
 def test_compress(spark):
     assert one(spark, "a  \n\n\n<!-- x\ny -->\n\nb", T.compress) == "a\n\nb"
-    assert one(spark, "[![ci](http://x)](http://y)\nz", T.compress) == "z"
+    assert one(spark, "a ![ci](https://img.shields.io/x) b\n![q](https://badge.io/y) \nz", T.compress) == "a  b\nz"
 
 
 @pytest.mark.parametrize(("n", "level"), [(2, "Low"), (3, "Medium"), (8, "Medium"), (9, "High")])
