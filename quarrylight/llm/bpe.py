@@ -18,8 +18,8 @@ between the two passes over the input is an error, never a wrong result.
 
 from __future__ import annotations
 
-import functools
-import hashlib
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Pieces, learned
+from .chunks import _SAFE, LONGEST, Pieces
 from .common import column_texts, documents, pack, splits, squeeze, unpack, unsqueeze
 from .tokenizers_io import BYTE_RANKS, pretokens, rank_encoding, token_bytes, vocabulary
 
@@ -35,17 +35,6 @@ _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa
 _MESSAGE_DDL = "block long, bucket int, body binary"
 
 
-@functools.cache
-def _word_pieces() -> Pieces:
-    """Pieces whose values are their pre-tokens; a worker keeps them from task to task."""
-    return Pieces(_words)
-
-
-def _words(parts: list[str]) -> list[tuple[str, ...]]:
-    find = pretokens().findall
-    return [tuple(find(p)) for p in parts]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], size: int):
     """(block, identifiers, texts) of at most about ``size`` characters; the same in every pass."""
     part, number = 0, 0
@@ -63,20 +52,60 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int):
         yield part + number, ids, texts
 
 
-def _numbered(pieces: Pieces, texts: list[str]) -> dict[str, int]:
-    known: dict[str, None] = {}
-    for _, found in learned(pieces, texts):
-        for piece in set(found):
-            known.update(dict.fromkeys(piece))
-    return {w: i for i, w in enumerate(sorted(known))}
+class Block:
+    """The distinct pieces of some texts, their pre-tokens, and a number for each distinct one.
+
+    Pieces are cut as in ``chunks``; a text with a piece that may not be cut off is cut otherwise, and listed.
+    """
+
+    def __init__(self, texts: list[str]):
+        spaced: set[str] = set()
+        bare: set[str] = set()
+        for text in texts:
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                bare.add(parts[0])
+                spaced.update(parts[1:])
+        self.odd = {p for p in spaced | bare if not p or len(p) > LONGEST or Pieces._odd(p)}
+        find = pretokens().findall
+        self.spaced = {p: find(" " + p) for p in spaced - self.odd}
+        self.bare = {p: find(p) for p in bare - self.odd}
+        self.other = {i: [w for piece in _SAFE.split(t) for w in find(piece)] for i, t in enumerate(texts) if self.odd and self._is_odd(t)}
+        known = {"\n"} if any("\n" in t for t in texts) else set()
+        for words in (*self.spaced.values(), *self.bare.values(), *self.other.values()):
+            known.update(words)
+        self.words = sorted(known)
+
+    def _is_odd(self, text: str) -> bool:
+        return any(not self.odd.isdisjoint(line.split(" ")) for line in text.split("\n"))
+
+    def coded(self, texts: list[str], ids: list[bytes]) -> Iterator[bytes]:
+        """Identifiers of each text, given those of each word."""
+        of = dict(zip(self.words, ids, strict=True))
+        look = of.__getitem__
+        for pieces in (self.spaced, self.bare):
+            for p, words in pieces.items():
+                pieces[p] = of[words[0]] if len(words) == 1 else b"".join(map(look, words))
+        spaced, bare, feed = self.spaced.__getitem__, self.bare, of.get("\n")
+        for i, text in enumerate(texts):
+            if i in self.other:
+                yield b"".join(map(look, self.other[i]))
+                continue
+            out = []
+            for line in text.split("\n"):
+                parts = line.split(" ")
+                out.append(bare[parts[0]])
+                out += map(spaced, parts[1:])
+                out.append(feed)
+            out.pop()
+            yield b"".join(out)
 
 
 def _send_words(buckets: int, size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _word_pieces()
         for block, _, texts in _blocks(batches, size):
-            words = [w.encode() for w in _numbered(pieces, texts)]
-            bucket = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=4).digest(), "little") % buckets for w in words], np.int64)
+            words = [w.encode() for w in Block(texts).words]
+            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             out = []
@@ -103,7 +132,7 @@ def _encode_words(path: str):
             for a, z in zip(begins, ends, strict=True):
                 word = raw[a:z]
                 if (got := known.get(word)) is None:
-                    got = known[word] = np.array(single(word), "<u4").tobytes()
+                    got = known[word] = array("I", single(word)).tobytes()
                 ids.append(got)
             out.append(pack(own, np.fromiter((len(x) // 4 for x in ids), "<u4", len(ids)), np.frombuffer(b"".join(ids), "<u4")))
         return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=_MESSAGE)
@@ -128,28 +157,24 @@ def _reassemble(key: tuple, table: pa.Table) -> pa.Table:
     messages = dict(zip(table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True))
     null, docs, lengths = unpack(messages.pop(-2))
     raw = unsqueeze(messages.pop(-1))
-    parts = [unpack(x) for x in messages.values()]
-    coded: dict[int, bytes] = {}
-    for own, sizes, ids in parts:
-        flat, ends = ids.tobytes(), np.cumsum(4 * sizes.astype(np.int64)).tolist()
-        coded.update(zip(own.tolist(), (flat[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
     ends = np.cumsum(lengths).tolist()
     texts = [raw[a:z].decode() for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-    numbers = _numbered(_word_pieces(), texts)
-    if len(numbers) != len(coded):
-        raise RuntimeError(f"block {key[0].as_py()} has {len(numbers)} words, {len(coded)} came back; the input changed between passes")
-
-    def ids_of(parts: list[str]) -> list[bytes | None]:
-        """None for pieces that no text is made of in the end; a text with odd white space is cut otherwise."""
-        found = [[numbers.get(w) for w in words] for words in _words(parts)]
-        return [None if None in own else b"".join(map(coded.__getitem__, own)) for own in found]
-
-    pieces = Pieces(ids_of)
-    out = [b"".join(found) for _, found in learned(pieces, texts)]
-    return pa.table([pa.array([None if n else d for n, d in zip(null.tolist(), docs.tolist(), strict=True)], pa.int64()), pa.array(out, pa.binary())], schema=_CODED)
-
-
-def encode(docs: DataFrame, *, ranks: str | None = None, block_chars: int = 24_000_000, buckets: int | None = None) -> DataFrame:
+    del raw
+    block = Block(texts)
+    coded: list[bytes | None] = [None] * len(block.words)
+    for own, sizes, ids in map(unpack, messages.values()):
+        flat, at = ids.tobytes(), 0
+        for i, n in zip(own.tolist(), (4 * sizes.astype(np.int64)).tolist(), strict=True):
+            coded[i] = flat[at : at + n]
+            at += n
+    if sum(len(unpack(x)[0]) for x in messages.values()) != len(coded) or None in coded:
+        raise RuntimeError(f"the words of block {key[0].as_py()} changed between the passes over the input")
+    messages.clear()
+    out = pa.array(block.coded(texts, coded), pa.binary())
+    return pa.table([pa.array([None if n else d for n, d in zip(null.tolist(), docs.tolist(), strict=True)], pa.int64()), out], schema=_CODED)
+
+
+def encode(docs: DataFrame, *, ranks: str | None = None, block_chars: int = 10_000_000, buckets: int | None = None) -> DataFrame:
     """doc_id and ids, the identifiers as little-endian unsigned 32-bit integers."""
     path = ranks or vocabulary(BYTE_RANKS)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
