@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 _SAFE = re.compile(r"(?<=[!-~])(?= [!-~])")
 #: Longer pieces are tokenised each time; a worker forgets its pieces beyond so many.
-LONGEST, MOST = 48, 600_000
+LONGEST, MOST = 48, 500_000
 
 
 class Pieces:

@@ -56,7 +56,7 @@ class Words(dict):
     """Hash of each word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got

@@ -21,7 +21,6 @@ each on its own; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
-import functools
 import zlib
 from array import array
 from collections import defaultdict
@@ -39,15 +38,14 @@ from .tokenizers_io import BYTE_JSON, json_tokenizer, vocabulary
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-@functools.cache
 def coded_pieces(path: str) -> Pieces:
-    """Pieces whose values are identifiers as bytes; a worker keeps them from task to task."""
+    """Pieces whose values are identifiers as bytes."""
     tokenizer = json_tokenizer(path)
 
     def ids(parts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
 
-    return Pieces(ids, most=1_200_000)
+    return Pieces(ids)
 
 
 def _encode(path: str, end: int, capacity: int):

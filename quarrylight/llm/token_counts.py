@@ -16,7 +16,6 @@ that the one before left; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +28,8 @@ from .common import column_texts, documents
 from .tokenizers_io import BYTE_RANKS, rank_encoding, vocabulary
 
 
-@functools.cache
 def counted(path: str) -> Pieces:
-    """Pieces whose values are (text, tokens); a worker keeps them from task to task."""
+    """Pieces whose values are (text, tokens)."""
     encode = rank_encoding(path).encode_ordinary
     return Pieces(lambda parts: [(p, len(encode(p))) for p in parts])
 

@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, buckets: in
     return fit(got.column("terms").to_pylist(), got.column("toxic").to_numpy().astype(float), buckets)
 
 
-def _score(model: FactorizationMachine, threshold: float, most: int = 1_000_000):
+def _score(model: FactorizationMachine, threshold: float, most: int = 300_000):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
