@@ -33,7 +33,6 @@ columns are ignored. Elements are 64-bit hashes of shingles.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 
@@ -100,6 +99,7 @@ class Schemes:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.starts = [1, 2]
+        self.known: dict[int, tuple[int, bool]] = {}
 
     def band(self, n: int) -> int:
         while self.starts[-1] <= n:
@@ -113,9 +113,13 @@ class Schemes:
     def differences(self, n: int) -> int:
         return n * (self.den - self.num) // self.num
 
-    @functools.lru_cache(maxsize=None)  # noqa: B019
     def segments(self, scheme: int) -> tuple[int, bool]:
         """(m, whether one-deletion neighbourhoods are used)."""
+        if scheme not in self.known:
+            self.known[scheme] = self._segments(scheme)
+        return self.known[scheme]
+
+    def _segments(self, scheme: int) -> tuple[int, bool]:
         while len(self.starts) <= scheme + 1:
             self.band(self.starts[-1])
         n = self.starts[scheme + 1] - 1
@@ -199,7 +203,7 @@ def may_link(n: int, parity: np.ndarray, sizes: np.ndarray, parities: np.ndarray
     return apart(parity, parities) * (den + num) <= (den - num) * (sizes.astype(np.int64) + n)
 
 
-def _sign(num: int, den: int, width: int, buckets: int, limit: int = 3_000_000):
+def _sign(num: int, den: int, width: int, buckets: int, limit: int = 1_000_000):
     """Packed signatures for each bucket, and packed rows of documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
