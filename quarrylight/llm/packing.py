@@ -21,6 +21,7 @@ each on its own; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
+import functools
 import zlib
 from array import array
 from collections import defaultdict
@@ -38,12 +39,22 @@ from .tokenizers_io import BYTE_JSON, json_tokenizer, vocabulary
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def coded_pieces(path: str) -> Pieces:
+@functools.cache
+def _common_pieces(path: str) -> dict[str, bytes]:
+    """Pieces that a worker met first, the frequent ones among them, for all its tasks; their number is bounded."""
+    return {}
+
+
+def coded_pieces(path: str, common: int = 150_000) -> Pieces:
     """Pieces whose values are identifiers as bytes."""
-    tokenizer = json_tokenizer(path)
+    tokenizer, kept = json_tokenizer(path), _common_pieces(path)
 
     def ids(parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(parts, add_special_tokens=False)]
+        new = [p for p in parts if p not in kept]
+        got = dict(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
+        if len(kept) < common:
+            kept.update(list(got.items())[: common - len(kept)])
+        return [got[p] if p in got else kept[p] for p in parts]
 
     return Pieces(ids)
 
