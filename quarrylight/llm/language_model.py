@@ -11,9 +11,9 @@ probabilities of all words sum to one over the known words and one unseen word o
   counts by a hash of the word, and a bucket sums its words; no word's total is ever
   collected except those of a fixed number of frequent words.
 * Weights are fitted by all tasks at once: each runs over all its training texts with
-  the state carried from window to window, back-propagates through every
-  ``train_every``-th window (truncated at its start), and the weights are averaged,
-  in groups first, weighted by the tokens seen.
+  the state carried from window to window, back-propagates through every window
+  (truncated at its start), and the weights are averaged, in groups first, weighted
+  by the tokens that gave gradients.
 * Texts are scored whole: many lie side by side in lanes, and the state is carried
   through all windows of a text. Words outside the frequent ones get their counts
   from the bucket of their hash, which returns one sum for each text.
@@ -169,6 +169,13 @@ class Lookup(dict):
         return self.base + zlib.crc32(word[:2]) % self.tails
 
 
+def _lower(logits: np.ndarray) -> None:
+    """Shifts rows of logits so that exp neither overflows nor vanishes: all alike if they are close, else each by its largest."""
+    if logits.size:
+        top = logits.max()
+        logits -= top if top - logits.min() < 60 else logits.max(axis=1, keepdims=True)
+
+
 class Gated:
     """A gated recurrent unit with a class-factored softmax; all weights in one flat vector."""
 
@@ -189,84 +196,119 @@ class Gated:
             self.g[:, :h] -= 1.5  # the state is kept for long at first
 
     def forward(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-        """x: inputs [steps, lanes]; fresh: where a text begins. Returns the state after each step, and the gates."""
+        """x: inputs [steps, lanes]; fresh: where a text begins. Returns the state after each step, and the gates (state before, z and r, c) of each."""
         n = self.shape.hidden
         states = np.empty((len(x), *h.shape), np.float32)
-        gates = []
+        kept = (np.empty_like(states), np.empty((*x.shape, 2 * n), np.float32), np.empty_like(states)) if keep else None
+        both, own = np.ascontiguousarray(self.u[:, : 2 * n]), np.ascontiguousarray(self.u[:, 2 * n :])
+        begins = fresh.any(axis=1)
         for t in range(len(x)):
-            if fresh[t].any():
+            if begins[t]:
                 h = h * ~fresh[t][:, None]
             gx = self.g[x[t]]
-            gx[:, : 2 * n] += h @ self.u[:, : 2 * n]
-            zr = 1 / (1 + np.exp(-gx[:, : 2 * n]))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(gx[:, 2 * n :] + (r * h) @ self.u[:, 2 * n :])
+            zr = h @ both
+            zr += gx[:, : 2 * n]
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            c = (zr[:, n:] * h) @ own
+            c += gx[:, 2 * n :]
+            np.tanh(c, out=c)
             if keep:
-                gates.append((h, z, r, c))
-            h = h + z * (c - h)
-            states[t] = h
-        return states, gates
-
-    def log_probs(self, states: np.ndarray, cls: np.ndarray, place: np.ndarray, keep: bool = False):
-        """Natural log of P(class) * P(word | class) for rows of states; place is -1 for tail classes."""
-        logits = states @ self.wc + self.bc
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+                kept[0][t], kept[1][t], kept[2][t] = h, zr, c
+            c -= h
+            c *= zr[:, :n]
+            h = np.add(h, c, out=states[t])
+        return states, kept
+
+    def log_probs(self, states: np.ndarray, cls: np.ndarray, place: np.ndarray, scale: float | None = None):
+        """Natural log of P(class) * P(word | class) for rows of states; place is -1 for tail classes.
+
+        With ``scale`` also P(class) times it, the rows of head classes in order of class, where each class begins, and P(word | class) of those rows times it.
+        """
+        e = states @ self.wc
+        e += self.bc
+        _lower(e)
         row = np.arange(len(cls))
-        out = logits[row, cls] - np.log(total)
+        out = e[row, cls]
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        out -= np.log(total)
         head = np.flatnonzero(place >= 0)
-        inner = np.einsum("ih,ihw->iw", states[head], self.wo[cls[head]]) + self.bo[cls[head]]
-        inner -= inner.max(axis=1, keepdims=True)
-        ei = np.exp(inner)
-        ti = ei.sum(axis=1)
-        out[head] += inner[np.arange(len(head)), place[head]] - np.log(ti)
-        return (out, e / total[:, None], head, ei / ti[:, None]) if keep else out
+        head = head[np.argsort(cls[head].astype(np.int16), kind="stable")]
+        edges = np.searchsorted(cls[head], np.arange(self.shape.classes + 1))
+        rows, inner = states[head], np.empty((len(head), self.shape.words), e.dtype)
+        for k in range(self.shape.classes):
+            if edges[k] < edges[k + 1]:
+                inner[edges[k] : edges[k + 1]] = rows[edges[k] : edges[k + 1]] @ self.wo[k] + self.bo[k]
+        _lower(inner)
+        chosen = inner[np.arange(len(head)), place[head]]
+        np.exp(inner, out=inner)
+        ti = inner @ np.ones(inner.shape[1], inner.dtype)
+        out[head] += chosen - np.log(ti)
+        if scale is None:
+            return out
+        e *= (scale / total)[:, None]
+        inner *= (scale / ti)[:, None]
+        return out, e, head, edges, inner
 
     def gradient(self, x, fresh, h, cls, place, use) -> tuple[np.ndarray, np.ndarray, float]:
         """Gradient of the mean negative log-likelihood over the window, truncated at its start; the next state; the loss."""
         n, (steps, lanes) = self.shape.hidden, x.shape
-        states, gates = self.forward(x, fresh, h, keep=True)
+        states, (before, zr, c) = self.forward(x, fresh, h, keep=True)
         # the state after reading x[t] predicts target t
-        rows = states.reshape(-1, n)
         own = np.flatnonzero(use.ravel())
-        cls, place = cls.ravel()[own], place.ravel()[own]
-        out, p, head, q = self.log_probs(rows[own], cls, place, keep=True)
+        rows, cls, place = states.reshape(-1, n)[own], cls.ravel()[own], place.ravel()[own]
+        scale = np.float32(1 / max(1, len(own)))
+        out, p, head, edges, q = self.log_probs(rows, cls, place, scale)
         grad = Gated(self.shape, np.zeros_like(self.flat))
-        scale = 1 / max(1, len(own))
-        p[np.arange(len(own)), cls] -= 1
-        p *= scale
-        grad.wc[:] = rows[own].T @ p
-        grad.bc[:] = p.sum(axis=0)
+        p[np.arange(len(own)), cls] -= scale
+        grad.wc[:] = rows.T @ p
+        grad.bc[:] = np.ones(len(p), p.dtype) @ p
         back = p @ self.wc.T
-        q[np.arange(len(head)), place[head]] -= 1
-        q *= scale
-        back[head] += np.einsum("iw,ihw->ih", q, self.wo[cls[head]])
-        order = np.argsort(cls[head], kind="stable")
-        edges = np.searchsorted(cls[head][order], np.arange(self.shape.classes + 1))
+        q[np.arange(len(head)), place[head]] -= scale
+        inner, back_head = rows[head], np.empty((len(head), n), np.float32)
         for k in range(self.shape.classes):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at):
-                grad.wo[k] = rows[own][head[at]].T @ q[at]
+            at = slice(edges[k], edges[k + 1])
+            if at.start < at.stop:
+                grad.wo[k] = inner[at].T @ q[at]
                 grad.bo[k] = q[at].sum(axis=0)
+                back_head[at] = q[at] @ self.wo[k].T
+        back[head] += back_head
         d_out = np.zeros((steps * lanes, n), np.float32)
         d_out[own] = back
         d_out = d_out.reshape(steps, lanes, n)
+        z, r = zr[..., :n], zr[..., n:]
+        left = 1 - z
+        by_z, by_c, by_r = (c - before) * z * left, z * (1 - c * c), before * r * (1 - r)
+        d = np.empty((steps, lanes, 3 * n), np.float32)
+        both, last = np.ascontiguousarray(self.u[:, : 2 * n].T), np.ascontiguousarray(self.u[:, 2 * n :].T)
+        begins = fresh.any(axis=1)
         dh = np.zeros((lanes, n), np.float32)
         for t in range(steps - 1, -1, -1):
-            dh = dh + d_out[t]
-            h0, z, r, c = gates[t]
-            dz = dh * (c - h0) * z * (1 - z)
-            dc = dh * z * (1 - c * c)
-            d_rh = dc @ self.u[:, 2 * n :].T
-            dr = d_rh * h0 * r * (1 - r)
-            dg = np.concatenate([dz, dr, dc], axis=1)
-            np.add.at(grad.g, x[t], dg)
-            grad.u[:, : 2 * n] += h0.T @ dg[:, : 2 * n]
-            grad.u[:, 2 * n :] += (r * h0).T @ dc
-            dh = dh * (1 - z) + d_rh * r + dg[:, : 2 * n] @ self.u[:, : 2 * n].T
-            dh = dh * ~fresh[t][:, None]
-        return grad.flat, states[-1], -float(out.sum()) * scale
+            dh += d_out[t]
+            dt = d[t]
+            np.multiply(dh, by_z[t], out=dt[:, :n])
+            dc = dh * by_c[t]
+            dt[:, 2 * n :] = dc
+            d_rh = dc @ last
+            np.multiply(d_rh, by_r[t], out=dt[:, n : 2 * n])
+            d_rh *= r[t]
+            dh *= left[t]
+            dh += d_rh
+            dh += dt[:, : 2 * n] @ both
+            if begins[t]:
+                dh *= ~fresh[t][:, None]
+        d = d.reshape(-1, 3 * n)
+        before = before.reshape(-1, n)
+        grad.u[:, : 2 * n] = before.T @ d[:, : 2 * n]
+        grad.u[:, 2 * n :] = (r.reshape(-1, n) * before).T @ d[:, 2 * n :]
+        read = x.ravel()
+        order = np.argsort(read.astype(np.int16) if len(self.g) < 1 << 15 else read, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(read[order]) != 0])
+        grad.g[read[order[starts]]] = np.add.reduceat(d[order], starts, axis=0)
+        return grad.flat, states[-1], -float(out.sum()) * float(scale)
 
 
 def _lanes(ids: list[np.ndarray], lanes: int, longest_first: bool = True):
@@ -351,16 +393,20 @@ def _fit(words: Vocabulary, start: np.ndarray, every: int, lanes: int, rate: flo
 
         for _, texts in _groups(parts(), 24_000_000, lambda d: remainder(d, MOD) != HELD):
             ids, _ = _encode(texts, look)
-            seen += sum(map(len, ids))
             target, fresh, _ = _lanes(ids, lanes, longest_first=False)
             x, cls, place = _inputs(target, fresh, words)
             h = np.zeros((target.shape[1], shape.hidden), np.float32)
+            live = np.ones(target.shape[1], bool)
             for k, at in enumerate(range(0, len(target), shape.window)):
-                span = slice(at, at + shape.window)
+                on = target[at] >= 0  # a lane that has ended stays so
+                h, live = h[on[live]], on
+                span = (slice(at, at + shape.window), slice(None) if on.all() else np.flatnonzero(on))
                 if (k + part) % every:
                     h = model.forward(x[span], fresh[span], h)[0][-1]
                     continue
-                grad, h, _ = model.gradient(x[span], fresh[span], h, cls[span], place[span], target[span] >= 0)
+                use = target[span] >= 0
+                grad, h, _ = model.gradient(x[span], fresh[span], h, cls[span], place[span], use)
+                seen += int(use.sum())
                 norm = float(np.sqrt(grad @ grad))
                 step += 1
                 grad = grad * min(1.0, 1.0 / max(norm, 1e-9))
@@ -402,8 +448,11 @@ def _score(words: Vocabulary, weights: np.ndarray, buckets: int, lanes: int):
             x, cls, place = _inputs(target, fresh, words)
             h = np.zeros((target.shape[1], shape.hidden), np.float32)
             got = np.zeros(target.shape, np.float64)
+            live = np.ones(target.shape[1], bool)
             for at in range(0, len(target), shape.window):
-                span = slice(at, at + shape.window)
+                on = target[at] >= 0  # a lane that has ended stays so
+                h, live = h[on[live]], on
+                span = (slice(at, at + shape.window), slice(None) if on.all() else np.flatnonzero(on))
                 states, _ = model.forward(x[span], fresh[span], h)
                 h = states[-1]
                 use = np.flatnonzero((target[span] >= 0).ravel())
@@ -468,11 +517,11 @@ def _finish(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([ids, pa.array(held.astype(bool)), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], schema=_SCORED)
 
 
-def score_texts(docs: DataFrame, *, shape: Shape = Shape(), train_every: int = 8, train_lanes: int = 128, lanes: int = 256, rounds: int = 1, rate: float = 0.03, buckets: int | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, *, shape: Shape = Shape(), train_every: int = 1, train_lanes: int = 128, lanes: int = 256, rounds: int = 1, rate: float = 0.03, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     train_every: of the windows of a task's training texts, one in so many is
-    back-propagated through; the state passes through all of them.
+    back-propagated through (all by default); the state passes through all of them.
     """
     scratch = Scratch(docs.sparkSession, "language-model")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
@@ -491,8 +540,9 @@ def score_texts(docs: DataFrame, *, shape: Shape = Shape(), train_every: int = 8
         groups = 16
         fitted = source.mapInArrow(_fit(words, weights, train_every, train_lanes, rate / (1 + turn), groups), _WEIGHTS_DDL)
         means = fitted.groupBy("part").applyInArrow(_average, _WEIGHTS_DDL).collect()  # at most ``groups`` rows
-        weights = sum(r["seen"] * unpack(bytes(r["body"]))[0] for r in means) / sum(r["seen"] for r in means)
-        weights = weights.astype(np.float32)
+        if means:
+            weights = sum(r["seen"] * unpack(bytes(r["body"]))[0] for r in means) / sum(r["seen"] for r in means)
+            weights = weights.astype(np.float32)
     scored = source.mapInArrow(_score(words, weights, count, lanes), _DDL)
     both = scored.unionByName(totals.select("bucket", F.lit(None).cast("long").alias("block"), "body"))
     looked = both.groupBy("bucket").applyInArrow(_look_up, _DDL)

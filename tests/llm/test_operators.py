@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarrylight.llm import bpe, exact_dedup, jaccard_join, language_model, line_dedup, packing, permutation_index, suffix_dedup, token_counts, toxicity
@@ -356,3 +358,25 @@ def test_gradient():
         down = loss()
         model.flat[i] = keep
         assert (up - down) / 2e-2 == pytest.approx(grad[i], abs=2e-4)
+
+
+def test_every_training_token_gives_a_gradient(monkeypatch):
+    texts = [" ".join(f"w{(i * k) % 50}" for k in range(20 + i)) for i in range(90)]
+    shape = language_model.Shape(classes=4, words=4, tails=16, frequent=40, window=8)
+    counts = Counter(w for t in texts for w in [*t.encode().split(), language_model.END])
+    mass = np.zeros(16)
+    for w, c in counts.items():
+        mass[language_model.tail_class(w, 16)] += c + 1
+    words = language_model.Vocabulary.build(shape, list(counts.items()), mass, sum(counts.values()), len(counts))
+    start, used = language_model.initial(words, mass), []
+    gradient = language_model.Gated.gradient
+    monkeypatch.setattr(language_model.Gated, "gradient", lambda self, *a: used.append(int(a[-1].sum())) or gradient(self, *a))
+    every = inspect.signature(language_model.score_texts).parameters["train_every"].default
+    train = sum(len(t.split()) + 1 for i, t in enumerate(texts) if language_model.remainder(i, 7) != 2)
+
+    def seen(part, every):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(90)), "text": texts, "part": pa.array([part] * 90, pa.int32())})
+        return [float(b.column("seen")[0].as_py()) for b in language_model._fit(words, start, every, 8, 0.03, 16)(iter([batch]))]
+
+    assert seen(3, every) == [train] and sum(used) == train
+    assert seen(1, 10**6) == []  # weights that no token has changed are not averaged
