@@ -24,7 +24,8 @@ from __future__ import annotations
 import functools
 import zlib
 from array import array
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,9 +83,9 @@ def _encode(path: str, end: int, capacity: int):
 class BinCompletion:
     """Packs a histogram {length: count} into bins; ``solve`` returns [(filling, times)]."""
 
-    def __init__(self, counts: dict[int, int], capacity: int, nodes: int = 600, width: int = 24, depth: int = 4):
+    def __init__(self, counts: dict[int, int], capacity: int, nodes: int = 600, width: int = 24):
         self.start = {s: n for s, n in counts.items() if n > 0}
-        self.capacity, self.nodes, self.width, self.depth = capacity, nodes, width, depth
+        self.capacity, self.nodes, self.width = capacity, nodes, width
 
     def bound(self, left: dict[int, int]) -> int:
         """Bins that any packing of ``left`` needs: of its sum, and of its pieces above half."""
@@ -116,23 +117,25 @@ class BinCompletion:
                 del left[s]
 
     def fillings(self, left: dict[int, int], room: int) -> list[tuple[int, ...]]:
-        """Undominated fillings of ``room``, least waste first, at most ``width`` of them."""
+        """Undominated fillings of ``room`` to which nothing can be added, least waste first, at most ``width`` of them."""
+        if left.get(room):
+            return [(room,)]  # one piece that fits exactly dominates every other filling
         sizes = sorted((s for s in left if s <= room), reverse=True)
+        below = [-s for s in sizes]
         found: list[tuple[int, tuple[int, ...]]] = []
         budget = [self.width * 60]
 
         def extend(at: int, bag: tuple[int, ...], room: int) -> None:
+            """Adds copies of one size, as many as fit first, then smaller sizes."""
             budget[0] -= 1
-            grown = False
-            if len(bag) < self.depth:
-                for i in range(at, len(sizes)):
-                    s = sizes[i]
-                    if s <= room and left[s] > bag.count(s):
-                        grown = True
-                        extend(i, (*bag, s), room - s)
-                        if budget[0] <= 0 or len(found) >= self.width * 8:
-                            return
-            if not grown:
+            at = max(at, bisect_left(below, -room))
+            for i in range(at, len(sizes)):
+                s = sizes[i]
+                for k in range(min(room // s, left[s]), 0, -1):
+                    extend(i + 1, bag + (s,) * k, room - k * s)
+                    if budget[0] <= 0 or len(found) >= self.width * 8:
+                        return
+            if bag and all(bag.count(s) == left[s] for s in sizes[bisect_left(below, -room) :]):
                 found.append((room, bag))
 
         extend(0, (), room)
@@ -147,29 +150,26 @@ class BinCompletion:
 
     def solve(self) -> list[tuple[tuple[int, ...], int]]:
         best = self.best_fit(self.start)
-        best_bins, least, nodes = sum(n for _, n in best), self.bound(self.start), 0
-        if best_bins == least:
-            return best
-        stack = [(dict(self.start), (), 0)]  # what is left, the chain of patterns so far, bins used
-        while stack and best_bins > least and nodes < self.nodes:
-            left, chain, bins = stack.pop()
-            nodes += 1
-            if not left:
-                if bins < best_bins:
+        best_bins, least, ends = sum(n for _, n in best), self.bound(self.start), 0
+        # what is left before the last pattern, that pattern and how often, the chain of patterns with it, bins used
+        stack: list[tuple] = [(self.start, (), 0, (), 0)]
+        while stack and best_bins > least and ends < self.nodes:
+            before, bag, times, chain, bins = stack.pop()
+            left = dict(before)
+            self._take(left, bag, times)
+            if not left or bins + self.bound(left) >= best_bins:  # a descent ends here
+                ends += 1
+                if not left and bins < best_bins:
                     best, best_bins = _unchain(chain), bins
                 continue
-            if bins + self.bound(left) >= best_bins:
-                continue
             top = max(left)
             rest = dict(left)
             self._take(rest, (top,), 1)
             branches = []
             for filling in self.fillings(rest, self.capacity - top) or [()]:
                 bag = (top, *filling)
-                times = min(left[s] // bag.count(s) for s in set(bag))
-                after = dict(left)
-                self._take(after, bag, times)
-                branches.append((after, (chain, (bag, times)), bins + times))
+                times = min(left[s] // n for s, n in Counter(bag).items())
+                branches.append((left, bag, times, (chain, (bag, times)), bins + times))
             stack += reversed(branches)
         return best
 
@@ -227,7 +227,8 @@ def _assign(places: dict[str, np.ndarray]):
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 1024, end: int = 2, nodes: int = 600) -> DataFrame:
     """One row for a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    nodes: search nodes after which the best solution known is taken.
+    nodes: descents of the search, each to a complete solution or to where the bound
+    ends it, after which the best solution known is taken.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     path = tokenizer or vocabulary(BYTE_JSON)

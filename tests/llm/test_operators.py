@@ -380,3 +380,21 @@ def test_every_training_token_gives_a_gradient(monkeypatch):
 
     assert seen(3, every) == [train] and sum(used) == train
     assert seen(1, 10**6) == []  # weights that no token has changed are not averaged
+
+
+def test_bin_completion_of_many_lengths():
+    counts = Counter()
+    for x in np.clip(np.random.default_rng(3).lognormal(5.2, 0.8, 3000).astype(int), 1, None).tolist():
+        counts[x % 512 or 512] += 1
+        counts[512] += (x - 1) // 512
+    counts = {s: n for s, n in counts.items() if n}
+    solver = packing.BinCompletion(counts, 512)
+    solved, used = solver.solve(), Counter()
+    for bag, times in solved:
+        assert sum(bag) <= 512
+        for s in bag:
+            used[s] += times
+    assert used == counts and len(counts) == 487
+    assert sum(n for _, n in solved) == solver.bound(counts) == sum(n for _, n in solver.best_fit(counts)) - 1
+    assert solver.fillings({7: 10, 3: 1}, 45) == [(*[7] * 6, 3)]  # more than five pieces, until nothing fits
+    assert len(packing.BinCompletion({1: 5000, 900: 2}, 1024).solve()) > 0
