@@ -1,25 +1,28 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are dealt into blocks of bounded size. A block explodes into pre-tokens; it
-numbers its distinct ones by first appearance, so that a pre-token's position holds
-that number, and sends each distinct word once, packed by a hash of the word. All
-blocks' copies of a word meet in one task, which encodes it once and sends its
-identifiers back under the block's number. They are joined with the block, whose
-positions put the identifiers of each text in order. Decoding joins the identifiers
-with the token-byte table, whose size is that of the vocabulary.
-
-A block sends a word once however often it occurs, so a frequent word costs one
-entry for a block and no task is larger for it.
-
-Defined cases: null text is empty and has no tokens; repeated rows and identifiers
-are rows of their own; extra columns are kept out. A block whose words changed
-between the two passes over the input is an error, never a wrong result.
+Texts are dealt into blocks of bounded size. A block explodes into pre-tokens with
+positions: its distinct pre-tokens (words) are numbered, and each text is the sequence
+of their numbers. Distinct words go to the bucket of their hash, where all blocks'
+copies of a word meet in one task that encodes it once and sends identifiers back under
+the block's number. They are joined with the block's positions, which put the identifiers
+of each text in order. Decoding joins the identifiers with the token-byte table, whose
+size is that of the vocabulary.
+
+A block sends a word once however often it occurs, so a frequent word costs one entry
+for a block and no task is larger for it. Texts are not shuffled, only positions.
+
+Words and positions leave in two passes over the input, so that neither has to be
+stored. Should the passes see rows in another order, the checksum of a bucket's words
+tells, and the block encodes those words itself; the result is the same.
+
+Defined cases: null text is empty and has no tokens; repeated rows and identifiers,
+null ones included, are rows of their own; extra columns are kept out; a text longer
+than a block is a block of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,176 +30,163 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import _SAFE, LONGEST, Pieces
-from .common import column_texts, documents, pack, splits, squeeze, unpack, unsqueeze
-from .tokenizers_io import BYTE_RANKS, pretokens, rank_encoding, token_bytes, vocabulary
+from .blocks import BLOCK, Pieces, Ragged, blocks
+from .common import documents, hash_buckets, lean, lean_group, pack, splits, unpack
+from .tokenizers_io import BYTE_RANKS, pretokens, rank_coder, token_bytes, vocabulary
 
 _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary())])
 _MESSAGE_DDL = "block long, bucket int, body binary"
+_WORDS, _PLACES = 0, 1
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int):
-    """(block, identifiers, texts) of at most about ``size`` characters; the same in every pass."""
-    part, number = 0, 0
-    ids, texts, held = [], [], 0
-    for b in batches:
-        part = b.column("part")[0].as_py() << 32 if b.num_rows else part
-        for doc, text in zip(b.column("doc_id").to_pylist(), column_texts(b, "text"), strict=True):
-            if held and held + len(text) > size:
-                yield part + number, ids, texts
-                number, ids, texts, held = number + 1, [], [], 0
-            ids.append(doc)
-            texts.append(text)
-            held += len(text)
-    if ids:
-        yield part + number, ids, texts
+class Block:
+    """words: the distinct pre-tokens of some texts, by falling frequency; places: the words of each text, in order."""
 
+    def __init__(self, texts: list[bytes]):
+        pieces, find = Pieces(texts), pretokens().findall
+        number: dict[str, int] = {}
+        parts = [[number.setdefault(w, len(number)) for w in find(p.decode("utf-8", "surrogatepass"))] for p in pieces.values.to_pylist()]
+        of = Ragged.of(parts, np.int32)
+        places = of.take(pieces.index)
+        order = np.argsort(-np.bincount(places.flat, minlength=len(number)), kind="stable")
+        rank = np.empty(len(number), np.int32)
+        rank[order] = np.arange(len(number))
+        words = list(number)
+        self.words = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+        sums, first = np.r_[0, np.cumsum(places.lengths)], np.r_[0, np.cumsum(pieces.counts)]
+        self.places = Ragged(rank[places.flat], sums[first[1:]] - sums[first[:-1]])
 
-class Block:
-    """The distinct pieces of some texts, their pre-tokens, and a number for each distinct one.
-
-    Pieces are cut as in ``chunks``; a text with a piece that may not be cut off is cut otherwise, and listed.
-    """
-
-    def __init__(self, texts: list[str]):
-        spaced: set[str] = set()
-        bare: set[str] = set()
-        for text in texts:
-            for line in text.split("\n"):
-                parts = line.split(" ")
-                bare.add(parts[0])
-                spaced.update(parts[1:])
-        self.odd = {p for p in spaced | bare if not p or len(p) > LONGEST or Pieces._odd(p)}
-        find = pretokens().findall
-        self.spaced = {p: find(" " + p) for p in spaced - self.odd}
-        self.bare = {p: find(p) for p in bare - self.odd}
-        self.other = {i: [w for piece in _SAFE.split(t) for w in find(piece)] for i, t in enumerate(texts) if self.odd and self._is_odd(t)}
-        known = {"\n"} if any("\n" in t for t in texts) else set()
-        for words in (*self.spaced.values(), *self.bare.values(), *self.other.values()):
-            known.update(words)
-        self.words = sorted(known)
-
-    def _is_odd(self, text: str) -> bool:
-        return any(not self.odd.isdisjoint(line.split(" ")) for line in text.split("\n"))
-
-    def coded(self, texts: list[str], ids: list[bytes]) -> Iterator[bytes]:
-        """Identifiers of each text, given those of each word."""
-        of = dict(zip(self.words, ids, strict=True))
-        look = of.__getitem__
-        for pieces in (self.spaced, self.bare):
-            for p, words in pieces.items():
-                pieces[p] = of[words[0]] if len(words) == 1 else b"".join(map(look, words))
-        spaced, bare, feed = self.spaced.__getitem__, self.bare, of.get("\n")
-        for i, text in enumerate(texts):
-            if i in self.other:
-                yield b"".join(map(look, self.other[i]))
-                continue
-            out = []
-            for line in text.split("\n"):
-                parts = line.split(" ")
-                out.append(bare[parts[0]])
-                out += map(spaced, parts[1:])
-                out.append(feed)
-            out.pop()
-            yield b"".join(out)
+    def dealt(self, buckets: int) -> list[tuple[int, list[bytes], np.ndarray]]:
+        """For each bucket that has any: it, its words and their numbers."""
+        key = np.fromiter(map(zlib.crc32, self.words), np.int64, len(self.words)) % buckets
+        order = np.argsort(key, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True]) if len(order) else [0]
+        return [(int(key[order[a]]), [self.words[i] for i in order[a:z].tolist()], order[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
+    number = 0
+    for b, texts in blocks(batches, size):
+        yield b.column("part")[0].as_py() << 32 | number, b, Block(texts)
+        number += 1
+
+
+def _messages(blocks_of: list[int], buckets: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(blocks_of, pa.int64()), pa.array(buckets, pa.int32()), pa.array(bodies, pa.binary())], schema=_MESSAGE)
+
+
+def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, words), "<u4", len(words)), np.frombuffer(b"".join(words), np.uint8)
+
+
+def _parted(lengths: np.ndarray, raw: np.ndarray) -> list[bytes]:
+    flat, ends = raw.tobytes(), np.cumsum(lengths.astype(np.int64))
+    return [flat[a:z] for a, z in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
 def _send_words(buckets: int, size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _, texts in _blocks(batches, size):
-            words = [w.encode() for w in Block(texts).words]
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
-            for k in range(buckets):
-                own = order[edges[k] : edges[k + 1]]
-                if len(own):
-                    chosen = [words[i] for i in own]
-                    out.append((k, pack(own.astype("<u4"), np.fromiter(map(len, chosen), "<u4", len(chosen)), np.frombuffer(b"".join(chosen), np.uint8))))
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=_MESSAGE)
+        for block, _, own in _numbered(batches, size):
+            dealt = own.dealt(buckets)
+            yield _messages([block] * len(dealt), [k for k, _, _ in dealt], [pack(*_joined(words)) for _, words, _ in dealt])
 
     return make
 
 
-def _encode_words(path: str):
-    def encode(key: tuple, table: pa.Table) -> pa.Table:
-        single = rank_encoding(path)._core_bpe.encode_single_piece
-        known: dict[bytes, bytes] = {}
-        out = []
-        for body in table.column("body").to_pylist():
-            own, lengths, raw = unpack(body)
-            raw, ends = raw.tobytes(), np.cumsum(lengths).tolist()
-            begins = [0, *ends[:-1]]
-            ids = []
-            for a, z in zip(begins, ends, strict=True):
-                word = raw[a:z]
-                if (got := known.get(word)) is None:
-                    got = known[word] = array("I", single(word)).tobytes()
-                ids.append(got)
-            out.append(pack(own, np.fromiter((len(x) // 4 for x in ids), "<u4", len(ids)), np.frombuffer(b"".join(ids), "<u4")))
-        return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=_MESSAGE)
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """Bytes of the same weight beside each other, which compress better."""
+    return [np.ascontiguousarray(x.astype("<u4").view(np.uint8)[k::4]) for k in range(4)]
 
-    return encode
+
+def _unplaned(planes: list[np.ndarray]) -> np.ndarray:
+    return np.column_stack(planes).ravel().view("<u4").astype(np.int64)
 
 
-def _send_texts(size: int):
+def _send_places(buckets: int, size: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in _blocks(batches, size):
-            raw = [t.encode() for t in texts]
-            body = pack(np.array([i is None for i in ids], np.uint8), np.array([i or 0 for i in ids], "<i8"), np.fromiter(map(len, raw), "<u8", len(raw))), squeeze(b"".join(raw))
-            yield pa.RecordBatch.from_arrays([pa.array([block] * 2, pa.int64()), pa.array([-2, -1], pa.int32()), pa.array(body, pa.binary())], schema=_MESSAGE)
+        for block, b, own in _numbered(batches, size):
+            null = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            docs = b.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            head = (null.astype(np.uint8), docs, own.places.lengths.astype("<u4"))
+            yield _messages([block], [-1], [pack(*head, *_planes(own.places.flat), *_joined(own.words))])
 
     return make
 
 
+def _encoded(words: list[bytes], path: str) -> Ragged:
+    """Identifiers of words, each encoded on its own."""
+    return rank_coder(path).make([w.decode("utf-8", "surrogatepass") for w in words])
+
+
+def _encode_words(path: str):
+    def encode(key: tuple, table: pa.Table) -> pa.Table:
+        """Each distinct word of the bucket once; every block's words with the checksum of their list."""
+        bodies = table.column("body").to_pylist()
+        lists, number = [], {}
+        for body in bodies:
+            words = _parted(*unpack(body))
+            lists.append((zlib.crc32(b"\0".join(words)), np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))))
+        ids, out = _encoded(list(number), path), []
+        for check, own in lists:
+            got = ids.take(own)
+            out.append(pack(np.array([check], "<u4"), got.lengths.astype("<u4"), got.flat.astype("<u4")))
+        return pa.table([table.column("block"), table.column("bucket"), pa.array(out, pa.binary())], schema=_MESSAGE)
+
+    return encode
+
+
 _CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
-def _reassemble(key: tuple, table: pa.Table) -> pa.Table:
-    messages = dict(zip(table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True))
-    null, docs, lengths = unpack(messages.pop(-2))
-    raw = unsqueeze(messages.pop(-1))
-    ends = np.cumsum(lengths).tolist()
-    texts = [raw[a:z].decode() for a, z in zip([0, *ends[:-1]], ends, strict=True)]
-    del raw
-    block = Block(texts)
-    coded: list[bytes | None] = [None] * len(block.words)
-    for own, sizes, ids in map(unpack, messages.values()):
-        flat, at = ids.tobytes(), 0
-        for i, n in zip(own.tolist(), (4 * sizes.astype(np.int64)).tolist(), strict=True):
-            coded[i] = flat[at : at + n]
-            at += n
-    if sum(len(unpack(x)[0]) for x in messages.values()) != len(coded) or None in coded:
-        raise RuntimeError(f"the words of block {key[0].as_py()} changed between the passes over the input")
-    messages.clear()
-    out = pa.array(block.coded(texts, coded), pa.binary())
-    return pa.table([pa.array([None if n else d for n, d in zip(null.tolist(), docs.tolist(), strict=True)], pa.int64()), out], schema=_CODED)
-
-
-def encode(docs: DataFrame, *, ranks: str | None = None, block_chars: int = 10_000_000, buckets: int | None = None) -> DataFrame:
+def _reassemble(path: str, buckets: int):
+    def reassemble(key: tuple, table: pa.Table) -> pa.Table:
+        bodies = dict(zip(table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True))
+        if -1 not in bodies:
+            return _CODED.empty_table()
+        null, docs, lengths, *planes, sizes, raw = unpack(bodies.pop(-1))
+        own = Block.__new__(Block)
+        own.words = _parted(sizes, raw)
+        found, where, before = [], np.empty(len(own.words), np.int64), 0
+        for k, words, numbers in own.dealt(buckets):
+            check, n, ids = unpack(bodies[k]) if k in bodies else (np.zeros(0, "<u4"),) * 3
+            got = Ragged(ids, n) if len(n) == len(words) and check[0] == zlib.crc32(b"\0".join(words)) else _encoded(words, path)
+            found.append(got)
+            where[numbers] = np.arange(len(words)) + before
+            before += len(words)
+        of = Ragged(np.concatenate([np.zeros(0, "<u4"), *(x.flat for x in found)]), np.concatenate([np.zeros(0, np.int64), *(x.lengths for x in found)])).take(where)
+        lengths = lengths.astype(np.int64)
+        coded = of.take(_unplaned(planes))
+        sums, first = np.r_[0, np.cumsum(coded.lengths)], np.r_[0, np.cumsum(lengths)]
+        flat, ends = coded.flat.astype("<u4").tobytes(), 4 * sums[first]
+        ids = pa.array([flat[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+        return pa.table([pa.array(docs, mask=null.astype(bool)), ids], schema=_CODED)
+
+    return reassemble
+
+
+def encode(docs: DataFrame, *, ranks: str | None = None, block_bytes: int = BLOCK, buckets: int | None = None) -> DataFrame:
     """doc_id and ids, the identifiers as little-endian unsigned 32-bit integers."""
     path = ranks or vocabulary(BYTE_RANKS)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
-    count = buckets or min(1 << 16, max(16, 2 * splits(source)))
-    words = source.mapInArrow(_send_words(count, block_chars), _MESSAGE_DDL).groupBy("bucket").applyInArrow(_encode_words(path), _MESSAGE_DDL)
-    texts = source.mapInArrow(_send_texts(block_chars), _MESSAGE_DDL)
-    return words.unionByName(texts).groupBy("block").applyInArrow(_reassemble, "doc_id long, ids binary")
+    count = buckets or hash_buckets(splits(source))
+    words = source.mapInArrow(lean(_send_words(count, block_bytes)), _MESSAGE_DDL).groupBy("bucket").applyInArrow(lean_group(_encode_words(path)), _MESSAGE_DDL)
+    places = source.mapInArrow(lean(_send_places(count, block_bytes)), _MESSAGE_DDL)
+    return words.unionByName(places).groupBy("block").applyInArrow(lean_group(_reassemble(path, count)), "doc_id long, ids binary")
 
 
 def _decode(path: str):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = token_bytes(path).__getitem__
+        table = token_bytes(path)
         for b in batches:
-            texts = [b"".join(map(look, np.frombuffer(x, "<u4").tolist())) for x in b.column("ids").to_pylist()]
+            texts = [table.take(np.frombuffer(x, "<u4")).flat.tobytes() for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*b.schema.names, "decoded"])
 
     return make
 
 
 def decode(coded: DataFrame, *, ranks: str | None = None) -> DataFrame:
-    """doc_id, ids, decoded: the bytes that the identifiers stand for."""
-    return coded.select("doc_id", "ids").mapInArrow(_decode(ranks or vocabulary(BYTE_RANKS)), "doc_id long, ids binary, decoded binary")
+    """doc_id, ids, decoded: the bytes that the identifiers stand for, by the token-byte table."""
+    return coded.select("doc_id", "ids").mapInArrow(lean(_decode(ranks or vocabulary(BYTE_RANKS))), "doc_id long, ids binary, decoded binary")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

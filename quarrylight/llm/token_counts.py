@@ -1,17 +1,23 @@
-"""Edit-aware token counts: a segment tree over the pieces of each document.
-
-The leaves of a document's tree are pieces of its text, cut where no pre-token can
-cross; every inner node holds the characters and the tokens below it. An edit finds
-its leaves by descending the character sums, joins them with one leaf of context on
-either side, encodes only that region again, and updates the sums on the paths to
-the root. The cuts at the outer ends of the context stay valid, because whether two
-pre-tokens may be cut apart depends on the two characters at the cut alone, and
-those belong to leaves that the edit did not touch.
-
-Defined cases: null text is empty; edits beyond the end of a text are moved to its
-end; a negative start is 0; null edits, and nulls inside them, mean nothing to
-remove or insert; edits of a document apply one after the other, each to the text
-that the one before left; extra columns are ignored.
+"""Edit-aware token counts: a stored segment tree over the text of each document.
+
+The leaves of a tree are stretches of the text of about ``leaf`` bytes, cut where white
+space follows a visible character, as no pre-token crosses such a place; every inner
+node holds the characters and the tokens below it. ``build_trees`` encodes each text
+once and returns its tree as a value that can be stored. ``apply_edits`` takes stored
+trees and returns the trees after the edits, and takes those again for later edits: an
+edit finds its leaves by descending the character sums, re-encodes only the region they
+form, and updates the sums on the paths to the root.
+
+Whether a cut stays valid depends on the two characters beside it alone. The region of an
+edit therefore takes in one leaf more on the left while its first character is not white
+space, and one more on the right while its last is white space: boundary context beyond
+which nothing can have changed.
+
+Defined cases: null text is empty; edits beyond the end of a text are moved to its end;
+a negative start is 0; null edits, and nulls inside them, mean nothing to remove or
+insert; edits of a document apply one after the other, each to the text that the one
+before left; a column ``edits`` of another kind and other extra columns are ignored;
+repeated rows and null identifiers are rows of their own.
 """
 
 from __future__ import annotations
@@ -23,32 +29,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Pieces, learned
-from .common import column_texts, documents
-from .tokenizers_io import BYTE_RANKS, rank_encoding, vocabulary
+from .blocks import _UNICODE_SPACE, blocks
+from .common import Scratch, documents, lean, pack, unpack
+from .tokenizers_io import BYTE_RANKS, rank_coder, rank_encoding, vocabulary
 
+LEAF = 256
 
-def counted(path: str) -> Pieces:
-    """Pieces whose values are (text, tokens)."""
-    encode = rank_encoding(path).encode_ordinary
-    return Pieces(lambda parts: [(p, len(encode(p))) for p in parts])
+
+def _blank(char: str) -> bool:
+    """Whether a character is white space, for sure."""
+    return char in "\t\n\x0b\x0c\r " or bool(_UNICODE_SPACE.fullmatch(char.encode("utf-8", "surrogatepass")))
+
+
+def _visible(char: str) -> bool:
+    return char > " " and char != "\x7f" and not _blank(char)
 
 
 class SegmentTree:
-    """Sums of characters and tokens over the pieces of one text."""
+    """Sums of characters and tokens over the leaves of one text."""
 
-    def __init__(self, pieces: list[tuple[str, int]]):
-        self.leaves = [p for p, _ in pieces]
-        self.width = 1 << max(0, len(pieces) - 1).bit_length()
+    def __init__(self, leaves: list[str], tokens: list[int]):
+        self.leaves = list(leaves)
+        self.width = 1 << max(0, len(leaves) - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), np.int64)
-        if pieces:
-            self.sums[self.width : self.width + len(pieces), 0] = [len(p) for p in self.leaves]
-            self.sums[self.width : self.width + len(pieces), 1] = [n for _, n in pieces]
+        self.sums[self.width : self.width + len(leaves), 0] = [len(p) for p in leaves]
+        self.sums[self.width : self.width + len(leaves), 1] = tokens
         level = self.width
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
             level //= 2
 
+    @staticmethod
+    def load(body: bytes) -> SegmentTree:
+        chars, tokens, raw = unpack(body)
+        text, ends = raw.tobytes().decode("utf-8", "surrogatepass"), np.cumsum(chars.astype(np.int64))
+        return SegmentTree([text[a:z] for a, z in zip((ends - chars).tolist(), ends.tolist(), strict=True)], tokens.tolist())
+
+    def store(self) -> bytes:
+        own = [i for i, leaf in enumerate(self.leaves) if leaf]
+        return stored([len(self.leaves[i]) for i in own], [int(self.sums[self.width + i, 1]) for i in own], self.text().encode("utf-8", "surrogatepass"))
+
     @property
     def chars(self) -> int:
         return int(self.sums[1, 0])
@@ -61,7 +81,7 @@ class SegmentTree:
         return "".join(self.leaves)
 
     def find(self, at: int) -> tuple[int, int]:
-        """The leaf that holds character ``at``, and the place of its first character."""
+        """The leaf that holds character ``at`` (the last one, if it is the end), and the place of its first character."""
         node, before = 1, 0
         while node < self.width:
             node *= 2
@@ -84,16 +104,17 @@ class SegmentTree:
         end = min(start + max(length, 0), self.chars)
         if not self.leaves:
             self.leaves = [""]
-        first, before = self.find(max(0, start - 1))  # context on the left: the leaf that ends here, or holds the place
-        if before:
-            first, before = self.find(before - 1)
+        first, before = self.find(start)
         last, at = self.find(end)
-        after, whole = at + len(self.leaves[last]), False
-        while after < self.chars and not whole:  # context on the right, up to a leaf that ends visibly
+        after = at + len(self.leaves[last])
+        region = "".join(self.leaves[first : last + 1])
+        region = region[: start - before] + insert + region[end - before :]
+        while before and not (region and _blank(region[0])):  # the leaf on the left ends visibly, so white space here begins a match
+            own, before = self.find(before - 1)
+            region, first = self.leaves[own] + region, own
+        while after < self.chars and not (region and _visible(region[-1])):
             last, at = self.find(after)
-            after, whole = at + len(self.leaves[last]), not self.leaves[last][-1].isspace()
-        own = "".join(self.leaves[first : last + 1])
-        region = own[: start - before] + insert + own[end - before :]
+            region, after = region + self.leaves[last], at + len(self.leaves[last])
         for leaf in range(first + 1, last + 1):
             if self.leaves[leaf]:
                 self.put(leaf, "", 0)
@@ -101,33 +122,95 @@ class SegmentTree:
         return len(region)
 
 
+def stored(chars, tokens, raw: bytes) -> bytes:
+    return pack(np.asarray(chars, np.uint32), np.asarray(tokens, np.uint32), np.frombuffer(raw, np.uint8))
+
+
+class Builder:
+    """Makes stored trees of blocks of texts."""
+
+    def __init__(self, path: str, leaf: int = LEAF):
+        self.coder, self.leaf = rank_coder(path), leaf
+
+    def trees(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The tree of each text, and its tokens."""
+        pieces = self.coder.learn(texts)
+        n = self.coder.of.lengths[pieces.index]
+        first = np.cumsum(pieces.counts) - pieces.counts
+        sums, edges = np.r_[0, np.cumsum(n)], pieces.offsets
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        begin, full = np.cumsum(size) - size, pieces.counts > 0
+        # a leaf begins at the first break in each stretch of ``leaf`` bytes
+        at = np.flatnonzero(pieces.breaks)
+        own = np.searchsorted(first[full], at, side="right") - 1
+        stretch = (edges[at] - begin[full][own]) // self.leaf
+        at = at[np.r_[True, (np.diff(stretch) != 0) | (np.diff(own) != 0)][: len(at)]]
+        of_text, ends = np.searchsorted(at, np.r_[first, len(n)]), np.r_[at[1:], len(n)][: len(at)]
+        leaf_chars = np.add.reduceat((pieces.data & 0xC0) != 0x80, edges[at], dtype=np.int64) if len(at) else at
+        leaf_tokens = sums[ends] - sums[at]
+        made = [stored(leaf_chars[a:z], leaf_tokens[a:z], t) for a, z, t in zip(of_text[:-1].tolist(), of_text[1:].tolist(), texts, strict=True)]
+        return made, sums[first + pieces.counts] - sums[first]
+
+
+def build_trees(docs: DataFrame, *, ranks: str | None = None, leaf: int = LEAF) -> DataFrame:
+    """The columns of ``docs`` without text, then tree."""
+    path, rest = ranks or vocabulary(BYTE_RANKS), [c for c in docs.columns if c not in ("text", "tree")]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        builder = Builder(path, leaf)
+        for b, texts in blocks(batches):
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(builder.trees(texts)[0], pa.binary())], names=[*rest, "tree"])
+
+    kinds = dict(docs.dtypes)
+    return docs.select(*rest, "text").mapInArrow(lean(make), ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "tree binary"]))
+
+
 _EDITS = "array<struct<start:long,length:long,insert:string>>"
 
 
-def _count(path: str):
+def _edit(path: str):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, encode = counted(path), rank_encoding(path).encode_ordinary
+        encode = rank_encoding(path).encode_ordinary
         for b in batches:
-            before, after, again, chars = [], [], [], []
-            for (_, found), edits in zip(learned(pieces, column_texts(b, "text")), b.column("edits").to_pylist(), strict=True):
-                tree = SegmentTree(found)
+            trees, before, after, again, chars = [], [], [], [], []
+            for body, edits in zip(b.column("tree").to_pylist(), b.column("edits").to_pylist(), strict=True):
+                tree = SegmentTree.load(body)
                 before.append(tree.tokens)
                 again.append(sum(tree.edit(e["start"] or 0, e["length"] or 0, e["insert"] or "", encode) for e in edits or () if e))
                 after.append(tree.tokens)
                 chars.append(tree.chars)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, pa.int64()) for x in (before, after, chars, again))], names=["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"])
+                trees.append(tree.store() if edits else body)
+            out = [b.column("doc_id"), pa.array(trees, pa.binary()), *(pa.array(x, pa.int64()) for x in (before, after, chars, again))]
+            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "tree", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"])
 
     return make
 
 
+def apply_edits(trees: DataFrame, *, ranks: str | None = None) -> DataFrame:
+    """doc_id, tree (after the edits), n_tokens (before), n_tokens_edited, n_chars_edited, n_chars_encoded.
+
+    trees: doc_id, tree and edits, an array of (start, length, insert) in characters.
+    """
+    source = trees.select("doc_id", "tree", trees["edits"].cast(_EDITS).alias("edits"))
+    return source.mapInArrow(lean(_edit(ranks or vocabulary(BYTE_RANKS))), "doc_id long, tree binary, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long")
+
+
+def _is_edits(docs: DataFrame) -> bool:
+    kind = dict(docs.dtypes).get("edits", "")
+    return kind.startswith("array<struct<") and all(f"{n}:" in kind for n in ("start", "length", "insert"))
+
+
 def token_counts(docs: DataFrame, *, ranks: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and after the edits n_tokens_edited, n_chars_edited, n_chars_encoded.
 
-    docs: doc_id, text and, optionally, edits, an array of (start, length, insert) in characters.
+    docs: doc_id, text and, optionally, edits, an array of (start, length, insert) in
+    characters. Trees are built and stored in the shared folder, and the edits applied to
+    the stored trees.
     """
-    edits = docs["edits"].cast(_EDITS) if "edits" in docs.columns else F.lit(None).cast(_EDITS)
+    scratch = Scratch(docs.sparkSession, "trees")
+    edits = docs["edits"].cast(_EDITS) if _is_edits(docs) else F.lit(None).cast(_EDITS)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", edits.alias("edits"))
-    return source.mapInArrow(_count(ranks or vocabulary(BYTE_RANKS)), "doc_id long, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long")
+    return apply_edits(scratch.keep(build_trees(source, ranks=ranks), "trees"), ranks=ranks).drop("tree")
 
 
 def planned_edits(docs: DataFrame) -> DataFrame:

@@ -5,10 +5,17 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
+from collections.abc import Callable, Iterable
 
+import numpy as np
 import public_tokenizers
 
+from .blocks import Coder, Ragged
+
 BYTE_JSON, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Strings that are one piece after a line feed, and hold none.
+_PLAIN = re.compile(r" ?[^\s\x00-\x1f\x7f]+\Z")
 
 
 def vocabulary(name: str) -> str:
@@ -17,12 +24,11 @@ def vocabulary(name: str) -> str:
 
 @functools.cache
 def json_tokenizer(path: str):
+    """The tokenizer of a file, as the file has it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 @functools.cache
@@ -39,12 +45,12 @@ def rank_encoding(path: str):
 
 
 @functools.cache
-def token_bytes(path: str) -> list[bytes]:
+def token_bytes(path: str) -> Ragged:
     """The token-byte table: what each identifier decodes to."""
     table = [b""] * (max(ranks(path).values()) + 1)
     for piece, at in ranks(path).items():
         table[at] = piece
-    return table
+    return Ragged(np.frombuffer(b"".join(table), np.uint8), np.fromiter(map(len, table), np.int64, len(table)))
 
 
 @functools.cache
@@ -52,3 +58,44 @@ def pretokens():
     import regex
 
     return regex.compile(public_tokenizers.PATTERN)
+
+
+def _by_lines(lines: Callable[[str], Iterable[int]], single: Callable[[str], list[int]], feed: int, apart: str | None = None, size: int = 4000) -> Callable[[list[str]], Ragged]:
+    """Identifiers of pieces. Plain ones are encoded together, one in a line, so that a call costs little for each.
+
+    lines, single: identifiers of a text of many lines, and of one piece. feed: the identifier of a line feed.
+    """
+
+    def make(parts: list[str]) -> Ragged:
+        plain = np.fromiter((bool(_PLAIN.match(p)) and not (apart and apart in p) for p in parts), bool, len(parts))
+        own = [p for p, ok in zip(parts, plain.tolist(), strict=True) if ok]
+        texts = ("\n".join([*own[i : i + size], ""]) for i in range(0, len(own), size))
+        flat = np.concatenate([np.zeros(0, np.uint32), *(np.asarray(lines(x), np.uint32) for x in texts)])
+        ends = np.flatnonzero(flat == feed)
+        rest = Ragged.of([single(p) for p, ok in zip(parts, plain.tolist(), strict=True) if not ok], np.uint32)
+        order = np.empty(len(parts), np.int64)
+        order[np.flatnonzero(plain)] = np.arange(len(own))
+        order[np.flatnonzero(~plain)] = np.arange(len(rest)) + len(own)
+        return Ragged(np.concatenate([flat[flat != feed], rest.flat]), np.r_[np.diff(np.r_[-1, ends]) - 1, rest.lengths]).take(order)
+
+    return make
+
+
+def json_coder(path: str) -> Coder:
+    """Identifiers by the tokenizer of a file, which takes its added token out of texts first."""
+    tokenizer = json_tokenizer(path)
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    if len(added) > 1:
+        raise ValueError("one added token at most")
+    apart = added[0] if added else None
+
+    def ids(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    return Coder(_by_lines(lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, ids, ids("\n")[0], apart), apart.encode() if apart else None)
+
+
+def rank_coder(path: str) -> Coder:
+    """Identifiers by ranks, without added tokens."""
+    encoding = rank_encoding(path)
+    return Coder(_by_lines(encoding.encode_to_numpy, encoding.encode_ordinary, ranks(path)[b"\n"]))
