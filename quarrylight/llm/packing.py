@@ -21,10 +21,8 @@ each on its own; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
-import functools
 import zlib
-from array import array
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -33,81 +31,101 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import Pieces, learned
-from .common import Scratch, column_texts, documents, partition_id
-from .tokenizers_io import BYTE_JSON, json_tokenizer, vocabulary
+from .blocks import BLOCK, blocks
+from .common import Scratch, documents, lean, partition_id
+from .tokenizers_io import BYTE_JSON, json_coder, vocabulary
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-@functools.cache
-def _common_pieces(path: str) -> dict[str, bytes]:
-    """Pieces that a worker met first, the frequent ones among them, for all its tasks; their number is bounded."""
-    return {}
-
-
-def coded_pieces(path: str, common: int = 150_000) -> Pieces:
-    """Pieces whose values are identifiers as bytes."""
-    tokenizer, kept = json_tokenizer(path), _common_pieces(path)
-
-    def ids(parts: list[str]) -> list[bytes]:
-        new = [p for p in parts if p not in kept]
-        got = dict(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        if len(kept) < common:
-            kept.update(list(got.items())[: common - len(kept)])
-        return [got[p] if p in got else kept[p] for p in parts]
-
-    return Pieces(ids)
-
-
 def _encode(path: str, end: int, capacity: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, task, seen, last = coded_pieces(path), partition_id(), np.zeros(capacity + 1, np.int64), np.uint32(end).tobytes()
-        for b in batches:
-            out: list[tuple] = []
-            for doc, (_, found) in zip(b.column("doc_id").to_pylist(), learned(pieces, column_texts(b, "text")), strict=True):
-                body = b"".join(found) + last
-                n = len(body) // 4
-                head = n if n <= capacity else n % capacity or capacity
-                cuts = [0, *range(head, n + 1, capacity)]
-                for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    out.append((doc, k, a, z - a, zlib.crc32(body[4 * a : 4 * z]), task, int(seen[z - a])))
-                    seen[z - a] += 1
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"]
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], names=names)
+        coder, task, seen = json_coder(path), partition_id(), np.zeros(capacity + 1, np.int64)
+        for b, texts in blocks(batches, 2 * BLOCK):
+            found = coder.ids(texts)
+            ends = np.cumsum(found.lengths)
+            flat, lengths = np.insert(found.flat, ends, end), found.lengths + 1
+            count = -(-lengths // capacity)
+            doc = np.repeat(np.arange(len(lengths)), count)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+            head = (lengths - (count - 1) * capacity)[doc]  # the first piece takes the remainder
+            start = np.where(piece > 0, head + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, head)
+            at = 4 * ((np.cumsum(lengths) - lengths)[doc] + start)
+            raw = memoryview(flat.tobytes())
+            crc = [zlib.crc32(raw[x:z]) for x, z in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            order = np.argsort(length, kind="stable")
+            first = np.searchsorted(length[order], np.arange(capacity + 2))
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - first[length[order]] + seen[length[order]]
+            seen += np.diff(first)
+            docs = b.column("doc_id").take(pa.array(doc))
+            rest = (piece.astype(np.int32), start, length, np.array(crc, np.int64), np.full(len(doc), task, np.int32), nth)
+            yield pa.RecordBatch.from_arrays([docs, *map(pa.array, rest)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     return make
 
 
 class BinCompletion:
-    """Packs a histogram {length: count} into bins; ``solve`` returns [(filling, times)]."""
+    """Packs a histogram {length: count} into bins; ``solve`` returns [(filling, times)].
+
+    nodes: limit of descents, each to a complete solution or to where a bound ends it.
+    width: fillings tried at a node. After ``solve``, ``ends`` counts descents, ``leaves``
+    complete solutions and ``better`` those that became the best known.
+    """
 
     def __init__(self, counts: dict[int, int], capacity: int, nodes: int = 600, width: int = 24):
         self.start = {s: n for s, n in counts.items() if n > 0}
         self.capacity, self.nodes, self.width = capacity, nodes, width
+        self.ends = self.leaves = self.better = 0
 
     def bound(self, left: dict[int, int]) -> int:
-        """Bins that any packing of ``left`` needs: of its sum, and of its pieces above half."""
-        total = sum(s * n for s, n in left.items())
-        halves = sum(n for s, n in left.items() if 2 * s > self.capacity)
-        return max(-(-total // self.capacity), halves)
+        """Bins that any packing of ``left`` needs, by the waste that is certain.
+
+        For every limit k up to half: pieces above capacity - k leave no room for others of
+        at least k, pieces above half share no bin, and what of the pieces between k and half
+        does not fit beside the latter needs bins of its own.
+        """
+        c = self.capacity
+        count = np.zeros(c + 1, np.int64)
+        count[list(left)] = list(left.values())
+        number, total = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(count * np.arange(c + 1))]  # of lengths below a place
+        half, k = c // 2, np.arange(c // 2 + 1)
+        large = number[-1] - number[half + 1]
+        middle, filled = number[c - k + 1] - number[half + 1], total[c - k + 1] - total[half + 1]
+        over = total[half + 1] - total[k] - (middle * c - filled)
+        return int((large + np.maximum(0, -(-over // c))).max())
 
     def best_fit(self, left: dict[int, int]) -> list[tuple[tuple[int, ...], int]]:
-        """Best-fit decreasing on the histogram: greedy largest that fits, as often as it can."""
-        left, out = dict(left), []
-        while left:
-            bag, room = [], self.capacity
-            used: dict[int, int] = defaultdict(int)
-            for s in sorted(left, reverse=True):
-                k = min(room // s, left[s])
-                if k:
-                    bag += [s] * k
-                    used[s], room = k, room - s * k
-            times = min(left[s] // k for s, k in used.items())
-            out.append((tuple(bag), times))
-            self._take(left, bag, times)
-        return out
+        """Best-fit decreasing on the histogram: each piece into the open bin that it fills most."""
+        rooms: list[int] = []  # ascending, of open bins that are alike
+        alike: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
+
+        def put(bag: tuple[int, ...], times: int, room: int) -> None:
+            if not alike[room]:
+                insort(rooms, room)
+            alike[room].append((bag, times))
+
+        for s in sorted(left, reverse=True):
+            n = left[s]
+            while n:
+                at = bisect_left(rooms, s)
+                if at == len(rooms):
+                    each = min(self.capacity // s, n)
+                    put((s,) * each, n // each, self.capacity - s * each)
+                    n -= each * (n // each)
+                    continue
+                room = rooms[at]
+                bag, times = alike[room].pop()
+                if not alike[room]:
+                    del rooms[at]
+                each = min(room // s, n)  # a bin that took one is the fullest that takes the next
+                used = min(times, n // each)
+                put(bag + (s,) * each, used, room - s * each)
+                if used < times:
+                    put(bag, times - used, room)
+                n -= each * used
+        return [x for r in rooms for x in alike[r]]
 
     @staticmethod
     def _take(left: dict[int, int], bag, times: int) -> None:
@@ -135,11 +153,12 @@ class BinCompletion:
                     extend(i + 1, bag + (s,) * k, room - k * s)
                     if budget[0] <= 0 or len(found) >= self.width * 8:
                         return
-            if bag and all(bag.count(s) == left[s] for s in sizes[bisect_left(below, -room) :]):
+            fitting = bisect_left(below, -room)
+            if bag and (fitting == len(sizes) or all(bag.count(s) == left[s] for s in sizes[fitting:])):
                 found.append((room, bag))
 
         extend(0, (), room)
-        found.sort(key=lambda x: (x[0], len(x[1]), tuple(-s for s in x[1])))
+        found.sort(key=lambda x: (x[0], len(x[1])))  # those found first have the larger pieces
         kept: list[tuple[int, ...]] = []
         for _, bag in found:
             if not any(_dominates(other, bag) for other in kept):
@@ -150,17 +169,18 @@ class BinCompletion:
 
     def solve(self) -> list[tuple[tuple[int, ...], int]]:
         best = self.best_fit(self.start)
-        best_bins, least, ends = sum(n for _, n in best), self.bound(self.start), 0
+        best_bins, least = sum(n for _, n in best), self.bound(self.start)
         # what is left before the last pattern, that pattern and how often, the chain of patterns with it, bins used
         stack: list[tuple] = [(self.start, (), 0, (), 0)]
-        while stack and best_bins > least and ends < self.nodes:
+        while stack and best_bins > least and self.ends < self.nodes:
             before, bag, times, chain, bins = stack.pop()
             left = dict(before)
             self._take(left, bag, times)
             if not left or bins + self.bound(left) >= best_bins:  # a descent ends here
-                ends += 1
+                self.ends += 1
+                self.leaves += not left
                 if not left and bins < best_bins:
-                    best, best_bins = _unchain(chain), bins
+                    best, best_bins, self.better = _unchain(chain), bins, self.better + 1
                 continue
             top = max(left)
             rest = dict(left)
@@ -175,9 +195,11 @@ class BinCompletion:
 
 
 def _dominates(other: tuple[int, ...], bag: tuple[int, ...]) -> bool:
-    """Whether the pieces of ``bag`` fit, in groups, into single pieces of ``other``."""
+    """Whether the pieces of ``bag`` fit, in groups, into single pieces of ``other``; both in falling order."""
+    if bag[0] > other[0]:
+        return False
     room = list(other)
-    for s in sorted(bag, reverse=True):
+    for s in bag:
         fits = [r for r in room if r >= s]
         if not fits:
             return False
@@ -233,13 +255,13 @@ def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: i
     scratch = Scratch(docs.sparkSession, "packing")
     path = tokenizer or vocabulary(BYTE_JSON)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    pieces = scratch.keep(source.mapInArrow(_encode(path, end, capacity), _PIECES), "pieces")
+    pieces = scratch.keep(source.mapInArrow(lean(_encode(path, end, capacity)), _PIECES), "pieces")
     sums = scratch.keep(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "sums")
     totals = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     places = _places(BinCompletion(totals, capacity, nodes).solve())
     before = sums.selectExpr("length", "task", "sum(n) OVER (PARTITION BY length ORDER BY task) - n AS before")
     ranked = pieces.join(before, ["length", "task"]).selectExpr("doc_id", "piece", "start", "length", "ids_crc32", "before + nth AS rank")
-    return ranked.mapInArrow(_assign(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(_assign(places)), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
