@@ -9,8 +9,10 @@ has to drop returns to it.
 
 Defined cases: null or empty text is one empty line; rows that share an
 identifier are one document when documents are counted, and each is rebuilt from
-its own text; a null identifier is a document of its own, after all others; a text
-that loses all lines is empty.
+its own text; rows without an identifier count as one document together, after all
+others; a text that loses all lines is empty; an empty table gives an empty result;
+extra columns stay, but for those named kept_text, n_lines or n_dropped, which the
+results replace.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, documents
+from .common import Scratch, column_bytes, documents, lean
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _LAST = 2**63 - 1
@@ -78,15 +80,15 @@ def line_dedup(docs: DataFrame, *, min_chars: int = 10, min_docs: int = 2) -> Da
     """The columns of ``docs`` without text, then kept_text, n_lines, n_dropped."""
     scratch = Scratch(docs.sparkSession, "lines")
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc")
-    lines = scratch.keep(docs.select(doc, "text").mapInArrow(_explode(min_chars), "doc long, key binary"), "keys")
+    lines = scratch.keep(docs.select(doc, "text").mapInArrow(lean(_explode(min_chars)), "doc long, key binary"), "keys")
     counts = lines.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first"))
     common = counts.where(F.col("n") >= min_docs).select("key", "first")
     drops = lines.join(common, "key").where("doc != first").groupBy("doc").agg(F.collect_set("key").alias("drops"))
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped")]
     inner = docs.select(F.struct(*rest).alias("_rest"), "text", doc.alias("_doc"))
     joined = inner.join(drops.withColumnRenamed("doc", "_doc"), "_doc", "left").select("_rest", "text", "drops")
     kind = joined.schema["_rest"].dataType.simpleString()
-    built = joined.mapInArrow(_rebuild(min_chars, ["_rest"]), f"_rest {kind}, kept_text string, n_lines long, n_dropped long")
+    built = joined.mapInArrow(lean(_rebuild(min_chars, ["_rest"])), f"_rest {kind}, kept_text string, n_lines long, n_dropped long")
     return built.select("_rest.*", "kept_text", "n_lines", "n_dropped")
 
 
