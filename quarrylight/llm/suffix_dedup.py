@@ -14,8 +14,9 @@ Every byte covered by a string of ``length`` bytes that also starts anywhere els
    suffixes anew by one stable distribution (the column's Burrows-Wheeler transform
    is the symbols in the old order) and updates the common prefixes of neighbours by
    minima over the old ones. As equal windows have equal places, only suffixes of the
-   same column have to be compared. Columns lie in a sequential file that is written
-   once and read backwards; memory holds one column, the order and the prefixes.
+   same column have to be compared. Between steps, pieces lie in sequential messages of
+   the shuffle; a task makes some columns at a time from them, and holds those, the order
+   and the prefixes.
 3. Spans. A window is repeated if its suffix shares ``length`` bytes with a neighbour
    or its piece occurs twice. Spans return to their texts and are cut out.
 
@@ -29,7 +30,6 @@ other; what is left may split a character, and is bytes; extra columns are ignor
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, documents, pack, splits, squeeze, unpack, unsqueeze
+from .common import Scratch, column_bytes, documents, hash_buckets, lean, lean_group, pack, splits, squeeze, unpack, unsqueeze
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MESSAGE = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("rest", pa.string()), ("body", pa.binary())])
@@ -200,37 +200,37 @@ def repeated_windows(pieces: list[tuple[int, bytes]], length: int) -> np.ndarray
     width = left + right
     out = np.zeros((n, max(1, max(len(x) for _, x in pieces) - length + 1)), bool)
     shift = np.array([left - p for p, _ in pieces], np.int64)
-    rows = max(1, (1 << 22) // n)
-    with tempfile.TemporaryFile() as file:  # columns from left to right, one after the other
-        lengths = np.array([len(x) for _, x in pieces], np.int64)
-        flat = np.frombuffer(b"".join(x for _, x in pieces), np.uint8)
-        starts = np.cumsum(lengths) - lengths
-        for c in range(width):
-            own = np.zeros(n, np.uint16)  # 0 stands for the end of a text
-            inside = np.flatnonzero((c >= shift) & (c < shift + lengths))
-            own[inside] = flat[starts[inside] + c - shift[inside]].astype(np.uint16) + 1
-            file.write(own.tobytes())
-        order, common = np.arange(n), np.zeros(n, np.int16)  # common[i]: of order[i - 1] and order[i]
-        last = width
-        while last > 0:
-            begin = max(0, last - rows)
-            file.seek(2 * n * begin)
-            block = np.frombuffer(file.read(2 * n * (last - begin)), np.uint16).reshape(-1, n)
-            for c in range(last - 1, begin - 1, -1):
-                symbol = block[c - begin][order]
-                by = np.argsort(symbol, kind="stable")
-                ordered = symbol[by]
-                new = np.zeros(n, np.int16)
-                edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
-                for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    if z - a > 1 and ordered[a]:
-                        at = by[a:z]  # old places, ascending
-                        new[a + 1 : z] = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1) + 1
-                order, common = order[by], np.minimum(new, length)
-                hit = common >= length
-                hit = order[hit | np.r_[hit[1:], False]]
-                out[hit, c - shift[hit]] = True
-            last = begin
+    rows = max(1, (1 << 20) // n)
+    lengths = np.array([len(x) for _, x in pieces], np.int64)
+    flat = np.frombuffer(b"".join(x for _, x in pieces), np.uint8)
+    starts = np.cumsum(lengths) - lengths
+
+    def columns(begin: int, end: int) -> np.ndarray:
+        """Symbols of the columns [begin, end), a row for each; 0 stands for the end of a text."""
+        at = np.arange(begin, end)[:, None] - shift
+        inside = (at >= 0) & (at < lengths)
+        return np.where(inside, flat[np.where(inside, starts + at, 0)].astype(np.uint16) + 1, 0)
+
+    order, common = np.arange(n), np.zeros(n, np.int16)  # common[i]: of order[i - 1] and order[i]
+    last = width
+    while last > 0:
+        begin = max(0, last - rows)
+        block = columns(begin, last)
+        for c in range(last - 1, begin - 1, -1):
+            symbol = block[c - begin][order]
+            by = np.argsort(symbol, kind="stable")
+            ordered = symbol[by]
+            new = np.zeros(n, np.int16)
+            edges = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1], True])
+            for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if z - a > 1 and ordered[a]:
+                    at = by[a:z]  # old places, ascending
+                    new[a + 1 : z] = np.minimum.reduceat(common[: at[-1] + 1], at[:-1] + 1) + 1
+            order, common = order[by], np.minimum(new, length)
+            hit = common >= length
+            hit = order[hit | np.r_[hit[1:], False]]
+            out[hit, c - shift[hit]] = True
+        last = begin
     return out
 
 
@@ -310,13 +310,13 @@ def suffix_dedup(docs: DataFrame, *, length: int = 200, gram: int = 64, buckets:
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.to_json(F.struct(*others)) if others else F.lit(None).cast("string")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), rest.alias("rest"), "text")
-    count = buckets or min(1 << 16, max(64, 2 * splits(source)))
-    texts = scratch.keep(source.mapInArrow(_squeeze_texts(count), _DDL), "texts")
-    sent = texts.mapInArrow(_send_anchors(length, gram, count), _DDL).groupBy("bucket")
-    repeated = sent.applyInArrow(_repeated_anchors(count), _DDL)
-    pieces = texts.unionByName(repeated).groupBy("bucket").applyInArrow(_cut_pieces(length, count), _DDL)
-    spans = pieces.groupBy("bucket").applyInArrow(_columns(length, count), _DDL)
-    return texts.unionByName(spans).groupBy("bucket").applyInArrow(_cut_out, "doc_id long, rest string, n_bytes long, n_removed long, n_spans long, kept binary")
+    count = buckets or hash_buckets(splits(source), 64)
+    texts = scratch.keep(source.mapInArrow(lean(_squeeze_texts(count)), _DDL), "texts")
+    sent = texts.mapInArrow(lean(_send_anchors(length, gram, count)), _DDL).groupBy("bucket")
+    repeated = sent.applyInArrow(lean_group(_repeated_anchors(count)), _DDL)
+    pieces = texts.unionByName(repeated).groupBy("bucket").applyInArrow(lean_group(_cut_pieces(length, count)), _DDL)
+    spans = pieces.groupBy("bucket").applyInArrow(lean_group(_columns(length, count)), _DDL)
+    return texts.unionByName(spans).groupBy("bucket").applyInArrow(lean_group(_cut_out), "doc_id long, rest string, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
