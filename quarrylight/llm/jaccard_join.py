@@ -28,7 +28,9 @@ each member.
 Defined cases: null or blank texts have no shingles, link with nothing and are their
 own component; null identifiers get null components of their own; repeated
 identifiers count as copies if their sets are equal and are rows of their own; extra
-columns are ignored. Elements are 64-bit hashes of shingles.
+columns are ignored. Elements are 64-bit hashes of shingles. Sets are named by 64 bits of
+a 128-bit hash; the other 64 tell whether two sets share a name, in which case the join
+starts again with other names.
 """
 
 from __future__ import annotations
@@ -42,13 +44,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, documents, pack, splits, squeeze, unpack, unsqueeze
+from .common import Scratch, column_bytes, documents, hash_buckets, lean, lean_group, pack, splits, squeeze, unpack, unsqueeze
 from .components import components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
-#: Sets up to this size use one-deletion neighbourhoods. Buckets up to FEW nodes yield all pairs.
-SMALL, FEW = 64, 12
+#: Sets up to this size use one-deletion neighbourhoods. Buckets up to FEW nodes yield all pairs. A task takes so many members of a group against all.
+SMALL, FEW, BLOCK = 64, 12, 4096
 
 
 class Words(dict):
@@ -79,8 +81,9 @@ def shingles(text: bytes, words: Words, width: int = 5) -> np.ndarray:
     return np.unique(out)
 
 
-def set_id(elements: np.ndarray) -> tuple[int, int]:
-    h = xxhash.xxh128_intdigest(elements.tobytes())
+def set_id(elements: np.ndarray, salt: int = 0) -> tuple[int, int]:
+    """Name and check of a set."""
+    h = xxhash.xxh128_intdigest(elements.tobytes(), salt)
     return (h >> 64) - (1 << 63), (h & (2**64 - 1)) - (1 << 63)
 
 
@@ -203,7 +206,7 @@ def may_link(n: int, parity: np.ndarray, sizes: np.ndarray, parities: np.ndarray
     return apart(parity, parities) * (den + num) <= (den - num) * (sizes.astype(np.int64) + n)
 
 
-def _sign(num: int, den: int, width: int, buckets: int, limit: int = 1_000_000):
+def _sign(num: int, den: int, width: int, buckets: int, salt: int, limit: int = 1_000_000):
     """Packed signatures for each bucket, and packed rows of documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +239,7 @@ def _sign(num: int, den: int, width: int, buckets: int, limit: int = 1_000_000):
             ids, counts, sets, sketches = b.column("doc_id").to_pylist(), [], [], []
             for text in column_bytes(b, "text"):
                 s = shingles(text, words, width)
-                node, check = set_id(s) if len(s) else (0, 0)
+                node, check = set_id(s, salt) if len(s) else (0, 0)
                 counts.append(len(s))
                 sets.append((node, check))
                 sketches.append(b"")
@@ -296,8 +299,8 @@ def _meet(num: int, den: int):
         low, high = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
         sig, flag = low.astype(np.uint64) | (high >> 2).astype(np.uint64) << np.uint64(32), high & 3
         order = np.argsort(sig, kind="stable")
-        again = np.r_[False, sig[order][1:] == sig[order][:-1]]
-        order = order[again | np.r_[again[1:], False]]  # signatures that occur twice at least
+        again = np.r_[False, sig[order][1:] == sig[order][:-1]][: len(sig)]
+        order = order[again | np.r_[again[1:], False][: len(sig)]]  # signatures that occur twice at least
         sig, node, size, flag = sig[order], node[order], size[order].astype(np.int64), flag[order]
         order = np.lexsort((node, sig))
         sig, node, size, flag = sig[order], node[order], size[order], flag[order]
@@ -356,7 +359,7 @@ def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(num: int, den: int, nearest: int | None):
-    """Pairs of a group between components that sizes and sketches allow.
+    """Pairs of a group between components that sizes and sketches allow, for one block of its members against all.
 
     nearest: if given, only so many for each member, those that seem closest, and none
     for members of the group's largest component.
@@ -364,28 +367,29 @@ def _across(num: int, den: int, nearest: int | None):
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
         _, first = np.unique(table.column("node").to_numpy(), return_index=True)
-        table = table.take(pa.array(first)).sort_by("size")
+        block, of = table.column("block")[0].as_py(), table.column("blocks")[0].as_py()
+        table = table.take(pa.array(first)).sort_by([("size", "ascending"), ("node", "ascending")])
         node, size, flag, root = (table.column(c).to_numpy() for c in ("node", "size", "flag", "root"))
         sketches = table.column("sketch").to_pylist()
         lengths = np.array([len(x) for x in sketches])
-        rows, blocks = np.zeros(len(node), np.int64), {}
+        rows, stacks = np.zeros(len(node), np.int64), {}
         for n in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == n)
             rows[own] = np.arange(len(own))
-            blocks[n] = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint8).reshape(-1, n)
+            stacks[n] = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint8).reshape(-1, n)
         names, count = np.unique(root, return_counts=True)
         main = names[count.argmax()] if nearest else None
         lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(len(node)):
+        for i in range(block, len(node), of):
             if nearest and root[i] == main:
                 continue
             near = np.searchsorted(size, -(-size[i] * num // den)) if nearest else i + 1
             j = np.arange(near, np.searchsorted(size, size[i] * den // num, side="right"))
             j = j[(root[j] != root[i]) & ((flag[j] | flag[i]) == 3)]
-            mine, best = blocks[int(lengths[i])][rows[i]], np.empty(len(j), np.int64)
+            mine, best = stacks[int(lengths[i])][rows[i]], np.empty(len(j), np.int64)
             for n in np.unique(lengths[j]).tolist():
                 own = lengths[j] == n
-                best[own] = apart(mine, blocks[n][rows[j[own]]])
+                best[own] = apart(mine, stacks[n][rows[j[own]]])
             ok = best * (den + num) <= (den - num) * (size[j] + size[i])
             j, best = j[ok], best[ok]
             if nearest:
@@ -410,13 +414,13 @@ def _plausible(num: int, den: int):
     return keep
 
 
-def _squeezed(width: int):
+def _squeezed(width: int, salt: int):
     """Texts of nodes; of rows that share an identifier only those with the node's set."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            own = [(n, squeeze(x)) for n, x in zip(b.column("node").to_pylist(), column_bytes(b, "text"), strict=True) if set_id(shingles(x, words, width))[0] == n]
+            own = [(n, squeeze(x)) for n, x in zip(b.column("node").to_pylist(), column_bytes(b, "text"), strict=True) if set_id(shingles(x, words, width), salt)[0] == n]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), pa.array([x for _, x in own], pa.binary())], names=["node", "body"])
 
     return make
@@ -446,44 +450,58 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    count = buckets or min(1 << 18, max(64, 2 * splits(source)))
-    signed = source.mapInArrow(_sign(num, den, width, count), _MESSAGE_DDL)
-    found = scratch.keep(signed.groupBy("bucket").applyInArrow(_meet(num, den), _FOUND_DDL), "found")
-    packed = found.where(F.col("kind") == _ROWS).select("body")
-    rows = packed.mapInArrow(_open_rows, "doc_id long, n_shingles long, node long, check long")
-    sketches = packed.mapInArrow(_open_sketches, "node long, size long, sketch binary")
-    reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    count, salt = buckets or hash_buckets(splits(source), 64), 0
+    while True:
+        signed = source.mapInArrow(lean(_sign(num, den, width, count, salt)), _MESSAGE_DDL)
+        found = scratch.keep(signed.groupBy("bucket").applyInArrow(lean_group(_meet(num, den)), _FOUND_DDL), "found")
+        packed = found.where(F.col("kind") == _ROWS).select("body")
+        rows = packed.mapInArrow(lean(_open_rows), "doc_id long, n_shingles long, node long, check long")
+        named = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        reps = scratch.keep(named, "sets")
+        if reps.where("lo <> hi").isEmpty():
+            break
+        salt += 1  # two sets of one name, told apart by their checks: all get other names
+    reps = reps.select("node", "doc_id")
+    sketches = packed.mapInArrow(lean(_open_sketches), "node long, size long, sketch binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node")
-        owned = source.join(wanted, "doc_id").select("node", "text").mapInArrow(_squeezed(width), "node long, body binary")
+        owned = source.join(wanted, "doc_id").select("node", "text").mapInArrow(lean(_squeezed(width, salt)), "node long, body binary")
         bodies = scratch.keep(owned.dropDuplicates(["node"]), "bodies")
         left = pairs.join(bodies.withColumnRenamed("node", "a").withColumnRenamed("body", "left"), "a")
         both = left.join(bodies.withColumnRenamed("node", "b").withColumnRenamed("body", "right"), "b")
-        kept = scratch.keep(both.select("a", "b", "left", "right").mapInArrow(_verify(num, den, width), "a long, b long"), "links")
+        kept = scratch.keep(both.select("a", "b", "left", "right").mapInArrow(lean(_verify(num, den, width)), "a long, b long"), "links")
         scratch.drop(bodies)
         scratch.drop(pairs)
         return kept
 
-    pairs = found.where(F.col("kind") == _PAIRS).select("body").mapInArrow(_open_pairs, "a long, b long").distinct()
+    pairs = found.where(F.col("kind") == _PAIRS).select("body").mapInArrow(lean(_open_pairs), "a long, b long").distinct()
     for side in "ab":
         pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("sketch").alias(f"sketch_{side}")), side)
-    links = verified(scratch.keep(pairs.mapInArrow(_plausible(num, den), "a long, b long").distinct(), "pairs"))
+    links = verified(scratch.keep(pairs.mapInArrow(lean(_plausible(num, den)), "a long, b long").distinct(), "pairs"))
     roots = components(links, scratch)
     groups = found.where(F.col("kind") == _GROUP).select("group", "body")
-    nearest = None if groups.isEmpty() else 2
-    while nearest or nearest == 0:
-        members = groups.mapInArrow(_open_groups, "group long, node long, size long, flag int")
-        members = members.join(roots, "node", "left").select("group", "node", "size", "flag", F.coalesce("root", "node").alias("root"))
-        split = members.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("group")
-        sketched = members.join(split, "group", "left_semi").join(sketches.select("node", "sketch"), "node")
-        more = sketched.groupBy("group").applyInArrow(_across(num, den, nearest), "a long, b long").distinct()
+    members = groups.mapInArrow(lean(_open_groups), "group long, node long, size long, flag int")
+    nearest: int | None = 2  # closest pairs as long as they link, then all that are left
+    while True:
+        # members of groups that still lie in several components; those of others are not read again
+        rooted = members.join(roots, "node", "left").select("group", "node", "size", "flag", F.coalesce("root", "node").alias("root"))
+        spread = rooted.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        split = spread.select("group", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
+        left = scratch.keep(rooted.join(split, "group"), "members")
+        members = left.select("group", "node", "size", "flag")
+        if left.isEmpty():
+            break
+        blocked = left.join(sketches.select("node", "sketch"), "node").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        more = blocked.groupBy("group", "block").applyInArrow(lean_group(_across(num, den, nearest)), "a long, b long").distinct()
         new = verified(scratch.keep(more, "pairs"))
         fresh = not new.isEmpty()
         if fresh:
             links = links.union(new)
             roots = components(links, scratch)
-        nearest = None if nearest == 0 else nearest if fresh else 0  # closest pairs as long as they link, then all that are left
+        if nearest is None:
+            break
+        nearest = nearest if fresh else None
     owned = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = owned.join(least, "root", "left")
