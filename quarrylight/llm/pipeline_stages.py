@@ -2,7 +2,11 @@
 
 Each takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``documents``, with ``n_chars`` counted again where a text changed.
-Identifiers name documents here: rows that share one and its text are one document.
+
+Defined cases, for every stage: rows that share an identifier and a text are one
+document, those that share only the identifier are two; a null identifier is kept as it
+is; null text counts as empty, and documents without text stay; other columns than those of
+``documents`` go, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, line_dedup, packing, suffix_dedup, toxicity
+from .common import lean
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,11 +37,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest identifier stays."""
-    found = jaccard_join.jaccard_components(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
+    """Of each component of near copies the document with the smallest identifier stays, one without only if all are.
+
+    Documents are named by a hash of identifier and text, so that neither null nor repeated
+    identifiers blur which text a component holds.
+    """
+    named = docs.select(*COLUMNS, F.xxhash64("doc_id", "text").alias("_name"))
+    found = jaccard_join.jaccard_components(named.select(F.col("_name").alias("doc_id"), "text"))
+    found = found.select(F.col("doc_id").alias("_name"), F.col("component_id").alias("_component")).distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_name")
+    stay = named.select("doc_id", "_name").join(found, "_name").groupBy("_component").agg(F.min(order).alias("least")).select("least._name")
+    return named.join(stay, "_name", "left_semi").dropDuplicates(["_name"]).select(*COLUMNS)
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +59,7 @@ def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of repeated strings go, and with them parts of characters that a cut has split."""
     out = suffix_dedup.suffix_dedup(docs.select("doc_id", "text", "lang", "source")).select("doc_id", "kept", "rest")
-    texts = out.mapInArrow(_whole_characters, "doc_id long, text string, rest string")
+    texts = out.mapInArrow(lean(_whole_characters), "doc_id long, text string, rest string")
     parsed = texts.withColumn("rest", F.from_json("rest", "lang string, source string"))
     return parsed.select("doc_id", "text", "rest.lang", "rest.source", F.length("text").cast("long").alias("n_chars"))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_bytes, documents, remainder
+from .common import column_bytes, documents, lean, remainder
 
 _EDGE = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 MOD, HELD = 3, 1
@@ -128,7 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, buckets: in
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     joined = texts.join(F.broadcast(own), "doc_id").select("doc_id", "toxic", "text")  # bounded by ``sample``
-    got = joined.mapInArrow(_hashed(buckets), "doc_id long, toxic int, terms array<int>").orderBy("doc_id").limit(sample).toArrow()
+    got = joined.mapInArrow(lean(_hashed(buckets)), "doc_id long, toxic int, terms array<int>").orderBy("doc_id").limit(sample).toArrow()
     return fit(got.column("terms").to_pylist(), got.column("toxic").to_numpy().astype(float), buckets)
 
 
@@ -161,7 +161,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, samp
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *([F.struct(*rest).alias("_rest")] if rest else []), "text")
     ddl = "".join(f"{c} {t}, " for c, t in source.dtypes) + "held_out boolean, score double, predicted int"
-    return source.mapInArrow(_score(model, threshold), ddl)
+    return source.mapInArrow(lean(_score(model, threshold)), ddl)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
