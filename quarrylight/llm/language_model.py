@@ -26,16 +26,17 @@ rows are rows of their own; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapreplace, nsmallest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, column_bytes, documents, pack, remainder, splits, unpack
+from .blocks import Ragged, Words, blocks
+from .common import Scratch, documents, hash_buckets, pack, remainder, splits, unpack
 
 END = b"\n"
 MOD, HELD = 7, 2
@@ -63,52 +64,54 @@ def tail_class(word: bytes, tails: int) -> int:
     return zlib.crc32(word[:2]) % tails
 
 
-def bucket_of(word: bytes, buckets: int) -> int:
-    return zlib.crc32(word) % buckets
-
-
 def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(len, words), "<u4", len(words)), np.frombuffer(b"".join(words), np.uint8)
 
 
 def _parted(lengths: np.ndarray, raw: np.ndarray) -> list[bytes]:
-    flat, ends = raw.tobytes(), np.cumsum(lengths.astype(np.int64)).tolist()
-    return [flat[a:z] for a, z in zip([0, *ends[:-1]], ends, strict=True)]
+    flat, ends = raw.tobytes(), np.cumsum(lengths.astype(np.int64))
+    return [flat[a:z] for a, z in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
 
 
-def _by_bucket(words: list[bytes], buckets: int):
+def _by_bucket(words: list[bytes], buckets: int) -> list[tuple[int, np.ndarray]]:
     """(bucket, places of its words) for each bucket that has any."""
-    own = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+    own = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % buckets
     order = np.argsort(own, kind="stable")
-    edges = np.searchsorted(own[order], np.arange(buckets + 1))
-    return [(k, order[edges[k] : edges[k + 1]]) for k in range(buckets) if edges[k] < edges[k + 1]]
+    edges = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0, True]) if len(words) else [0]
+    return [(int(own[order[a]]), order[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _messages(buckets: list[int], blocks_of: list[int], bodies: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blocks_of, pa.int64()), pa.array(bodies, pa.binary())], schema=_MESSAGE)
 
 
 def _count(buckets: int, most: int = 700_000):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        counts: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
             words, numbers = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
             out = [(k, pack(*_joined([words[i] for i in at]), numbers[at])) for k, at in _by_bucket(words, buckets)]
             counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([0] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=_MESSAGE)
-
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), column_bytes(b, "text"), strict=True):
-                if remainder(doc, MOD) != HELD:
-                    counts.update(text.lower().split())
-                    counts[END] += 1
-                    if len(counts) > most:
-                        yield flush()
+            return _messages([k for k, _ in out], [0] * len(out), [x for _, x in out])
+
+        for b, texts in blocks(batches):
+            own = [t for d, t in zip(b.column("doc_id").to_pylist(), texts, strict=True) if remainder(d, MOD) != HELD]
+            if own:
+                words = Words(own)
+                for w, n in zip(words.values.to_pylist(), np.bincount(words.index, minlength=len(words.values)).tolist(), strict=True):
+                    counts[w] = counts.get(w, 0) + n
+                counts[END] = counts.get(END, 0) + len(own)
+                if len(counts) > most:
+                    yield flush()
         if counts:
             yield flush()
 
     return make
 
 
-_TOTALS = pa.schema([("bucket", pa.int32()), ("body", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("top", pa.binary()), ("tails", pa.binary())])
-_TOTALS_DDL = "bucket int, body binary, tokens long, types long, top binary, tails binary"
+_TOTALS = pa.schema([("bucket", pa.int32()), ("body", pa.binary()), ("tokens", pa.int64()), ("types", pa.int64()), ("top", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("tails", pa.list_(pa.float64()))])
+_TOTALS_DDL = "bucket int, body binary, tokens long, types long, top array<binary>, times array<long>, tails array<double>"
 
 
 def _total(tails: int, top: int):
@@ -119,9 +122,9 @@ def _total(tails: int, top: int):
             for w, n in zip(_parted(lengths, raw), numbers.tolist(), strict=True):
                 counts[w] = counts.get(w, 0) + n
         words, numbers = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-        best = sorted(range(len(words)), key=lambda i: (words[i] != END, -numbers[i], words[i]))[:top]  # the end is always among them
+        best = nsmallest(top, range(len(words)), key=lambda i: (words[i] != END, -numbers[i], words[i]))  # the end is always among them
         mass = np.bincount(np.fromiter((tail_class(w, tails) for w in words), np.int64, len(words)), weights=numbers + 1, minlength=tails)
-        row = [[key[0].as_py()], [pack(*_joined(words), numbers)], [int(numbers.sum())], [len(words)], [pack(*_joined([words[i] for i in best]), numbers[best])], [pack(mass)]]
+        row = [[key[0].as_py()], [pack(*_joined(words), numbers)], [int(numbers.sum())], [len(words)], [[words[i] for i in best]], [[int(numbers[i]) for i in best]], [mass.tolist()]]
         return pa.table([pa.array(c, f.type) for c, f in zip(row, _TOTALS, strict=True)], schema=_TOTALS)
 
     return total
@@ -158,17 +161,6 @@ class Vocabulary:
         return Vocabulary(shape, {w: i for i, w in enumerate(order)}, cls, np.log10(number + 1), number > 0, np.log10(np.maximum(mass, 0) + 1), tokens, types)
 
 
-class Lookup(dict):
-    """Identifier of each word; others get base + their tail class."""
-
-    def __init__(self, words: Vocabulary):
-        super().__init__(words.ids)
-        self.base, self.tails = words.base, words.shape.tails
-
-    def __missing__(self, word: bytes) -> int:
-        return self.base + zlib.crc32(word[:2]) % self.tails
-
-
 def _lower(logits: np.ndarray) -> None:
     """Shifts rows of logits so that exp neither overflows nor vanishes: all alike if they are close, else each by its largest."""
     if logits.size:
@@ -311,68 +303,84 @@ class Gated:
         return grad.flat, states[-1], -float(out.sum()) * float(scale)
 
 
-def _lanes(ids: list[np.ndarray], lanes: int, longest_first: bool = True):
-    """Deals texts to lanes. Returns targets [steps, lanes] (-1 for none), where texts begin, and (text, lane, step) of each."""
-    lanes = max(1, min(lanes, len(ids)))
-    order = sorted(range(len(ids)), key=lambda i: -len(ids[i])) if longest_first else range(len(ids))
-    import heapq
-
-    heap = [(0, k) for k in range(lanes)]
-    placed = []
-    for i in order:
-        at, k = heap[0]
-        placed.append((i, k, at))
-        heapq.heapreplace(heap, (at + len(ids[i]), k))
-    steps = max(at for at, _ in heap)
-    target = np.full((steps, lanes), -1, np.int64)
-    fresh = np.zeros((steps, lanes), bool)
-    for i, k, at in placed:
-        target[at : at + len(ids[i]), k] = ids[i]
-        fresh[at, k] = True
-    return target, fresh, placed
-
-
-def _inputs(target: np.ndarray, fresh: np.ndarray, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What each step reads (the token before; END where a text begins), and the class and place it predicts."""
-    shape = words.shape
-    cls_of = np.r_[words.cls, shape.classes + np.arange(shape.tails)]
-    place_of = np.full(len(cls_of), -1, np.int64)
-    heads = min(shape.heads, words.base)
-    place_of[:heads] = np.arange(heads) % shape.words
-    own = np.where(target < 0, 0, target)
-    cls, place = cls_of[own], place_of[own]
-    read = np.where(place >= 0, own, shape.heads + cls - shape.classes)
-    x = np.zeros_like(read)
-    x[1:] = read[:-1]
-    x[fresh] = 0
-    return x, cls, place
-
-
-def _encode(texts: list[bytes], look: Lookup) -> tuple[list[np.ndarray], list[list[bytes]]]:
-    ids, rare = [], []
-    for text in texts:
-        words = text.lower().split()
-        own = np.empty(len(words) + 1, np.int64)
-        own[:-1] = np.fromiter(map(look.__getitem__, words), np.int64, len(words))
-        own[-1] = 0
-        ids.append(own)
-        rare.append([words[i] for i in np.flatnonzero(own >= look.base).tolist()])
-    return ids, rare
-
-
-def _groups(batches: Iterator[pa.RecordBatch], size: int, wanted) -> Iterator[tuple[list, list[bytes]]]:
-    docs, texts, held = [], [], 0
-    for b in batches:
-        for doc, text in zip(b.column("doc_id").to_pylist(), column_bytes(b, "text"), strict=True):
-            if wanted(doc):
-                if held + len(text) > size and docs:
-                    yield docs, texts
-                    docs, texts, held = [], [], 0
-                docs.append(doc)
-                texts.append(text)
-                held += len(text)
-    if docs:
-        yield docs, texts
+class Lanes:
+    """Texts side by side in lanes, each lane one text after the other; memory is in proportion to the tokens.
+
+    ids: tokens of all texts; lengths: of each text. ``place`` is where a text begins in ``target``.
+    """
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, lanes: int, words: Vocabulary, longest_first: bool = True):
+        order = np.argsort(-lengths, kind="stable") if longest_first else np.arange(len(lengths))
+        heap = [(0, k) for k in range(max(1, min(lanes, len(lengths))))]
+        lane = np.empty(len(lengths), np.int64)
+        for i in order.tolist():
+            at, k = heap[0]
+            lane[i] = k
+            heapreplace(heap, (at + int(lengths[i]), k))
+        sizes = np.zeros(len(heap), np.int64)
+        for at, k in heap:
+            sizes[k] = at
+        by_size = np.argsort(-sizes, kind="stable")  # lanes that are still open are the first ones
+        rank = np.empty(len(heap), np.int64)
+        rank[by_size] = np.arange(len(heap))
+        order = order[np.argsort(rank[lane[order]], kind="stable")]
+        self.sizes = sizes[by_size]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        own = Ragged(ids, lengths).take(order)
+        self.target = own.flat
+        self.place = np.empty(len(lengths), np.int64)
+        self.place[order] = own.starts
+        shape = words.shape
+        cls_of = np.r_[words.cls, shape.classes + np.arange(shape.tails)].astype(np.int16)
+        heads = min(shape.heads, words.base)
+        place_of = np.full(len(cls_of), -1, np.int16)
+        place_of[:heads] = np.arange(heads) % shape.words
+        self.cls, self.within = cls_of[self.target], place_of[self.target]
+        read = np.where(self.within >= 0, self.target, shape.heads + self.cls - shape.classes).astype(np.int32)
+        self.fresh = np.zeros(len(read), bool)
+        self.fresh[own.starts] = True
+        self.read = np.r_[0, read[:-1]].astype(np.int32)
+        self.read[self.fresh] = 0  # the end token, where a text begins
+
+    def windows(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places [steps, open lanes], and which of them hold a token; open lanes only become fewer."""
+        for at in range(0, int(self.sizes[0]), size):
+            open_lanes = int((self.sizes > at).sum())
+            sizes, step = self.sizes[:open_lanes], np.arange(at, min(at + size, int(self.sizes[0])))[:, None]
+            use = step < sizes
+            yield np.where(use, self.starts[:open_lanes] + step, 0), use
+
+
+class Texts:
+    """Identifiers of a block's tokens, ends included, and the rare words of its texts.
+
+    pairs: word, text and how often, for words that are not frequent; the word is its number in ``rare``.
+    """
+
+    def __init__(self, texts: list[bytes], words: Vocabulary, rare: bool):
+        found = Words(texts)
+        values, tails, get = found.values.to_pylist(), words.shape.tails, words.ids.get
+        number = np.fromiter((get(w, -1) for w in values), np.int64, len(values))
+        new = np.flatnonzero(number < 0)
+        number[new] = [words.base + tail_class(values[i], tails) for i in new.tolist()]
+        self.lengths = found.counts + 1
+        self.ids = np.insert(number[found.index], np.cumsum(found.counts), 0)
+        if rare:
+            text = np.repeat(np.arange(len(texts)), found.counts)
+            own = np.flatnonzero(number[found.index] >= words.base)
+            spot = np.empty(len(values), np.int64)
+            spot[new] = np.arange(len(new))
+            self.rare = [values[i] for i in new.tolist()]
+            key, self.times = np.unique(spot[found.index[own]] * len(texts) + text[own], return_counts=True)
+            self.word, self.text = np.divmod(key, max(1, len(texts)))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
+    """(number of the block among all, rows, texts)."""
+    number = 0
+    for b, texts in blocks(batches):
+        yield b.column("part")[0].as_py() << 24 | number, b, texts
+        number += 1
 
 
 _WEIGHTS = pa.schema([("part", pa.int32()), ("body", pa.binary()), ("seen", pa.float64())])
@@ -381,38 +389,29 @@ _WEIGHTS_DDL = "part int, body binary, seen double"
 
 def _fit(words: Vocabulary, start: np.ndarray, every: int, lanes: int, rate: float, groups: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, model, look = words.shape, Gated(words.shape, start.copy()), Lookup(words)
+        shape, model = words.shape, Gated(words.shape, start.copy())
         m, v, step, seen, part = np.zeros_like(start), np.zeros_like(start), 0, 0, 0
-
-        def parts():
-            nonlocal part
-            for b in batches:
-                if b.num_rows:
-                    part = b.column("part")[0].as_py()
-                yield b
-
-        for _, texts in _groups(parts(), 24_000_000, lambda d: remainder(d, MOD) != HELD):
-            ids, _ = _encode(texts, look)
-            target, fresh, _ = _lanes(ids, lanes, longest_first=False)
-            x, cls, place = _inputs(target, fresh, words)
-            h = np.zeros((target.shape[1], shape.hidden), np.float32)
-            live = np.ones(target.shape[1], bool)
-            for k, at in enumerate(range(0, len(target), shape.window)):
-                on = target[at] >= 0  # a lane that has ended stays so
-                h, live = h[on[live]], on
-                span = (slice(at, at + shape.window), slice(None) if on.all() else np.flatnonzero(on))
+        for block, b, texts in _parts(batches):
+            part = block >> 24
+            texts = [t for d, t in zip(b.column("doc_id").to_pylist(), texts, strict=True) if remainder(d, MOD) != HELD]
+            if not texts:
+                continue
+            own = Texts(texts, words, rare=False)
+            dealt = Lanes(own.ids, own.lengths, lanes, words, longest_first=False)
+            h = np.zeros((len(dealt.sizes), shape.hidden), np.float32)
+            for k, (at, use) in enumerate(dealt.windows(shape.window)):
+                h = h[: at.shape[1]]
                 if (k + part) % every:
-                    h = model.forward(x[span], fresh[span], h)[0][-1]
+                    h = model.forward(dealt.read[at], dealt.fresh[at], h)[0][-1]
                     continue
-                use = target[span] >= 0
-                grad, h, _ = model.gradient(x[span], fresh[span], h, cls[span], place[span], use)
+                grad, h, _ = model.gradient(dealt.read[at], dealt.fresh[at], h, dealt.cls[at], dealt.within[at], use)
                 seen += int(use.sum())
                 norm = float(np.sqrt(grad @ grad))
                 step += 1
-                grad = grad * min(1.0, 1.0 / max(norm, 1e-9))
-                m = 0.9 * m + 0.1 * grad
-                v = 0.99 * v + 0.01 * grad * grad
-                model.flat -= (rate * min(1.0, step / 10) / (1 + step / 200) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                grad *= min(1.0, 1.0 / max(norm, 1e-9))
+                m += 0.1 * (grad - m)
+                v += 0.01 * (grad * grad - v)
+                model.flat -= (rate * min(1.0, step / 10) / (1 + step / 200) / (1 - 0.9**step)) * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([part % groups], pa.int32()), pa.array([pack(model.flat)]), pa.array([float(seen)])], schema=_WEIGHTS)
 
@@ -427,72 +426,55 @@ def _average(key: tuple, table: pa.Table) -> pa.Table:
 
 def _score(words: Vocabulary, weights: np.ndarray, buckets: int, lanes: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, model, look, number, part = words.shape, Gated(words.shape, weights), Lookup(words), 0, 0
+        shape, model = words.shape, Gated(words.shape, weights)
         base_log = np.log10(words.tokens + words.types + 1)
         log_of = np.r_[words.logs, np.zeros(shape.tails)]
-        known_of = np.r_[words.known, np.zeros(shape.tails, bool)]
+        known_of = np.r_[words.known, np.zeros(shape.tails, bool)].astype(np.int64)
         heads = min(shape.heads, words.base)
-        tail_of = np.r_[np.zeros(heads), words.tail_log[words.cls[heads:] - shape.classes], words.tail_log]
-
-        def parts():
-            nonlocal part
-            for b in batches:
-                if b.num_rows:
-                    part = b.column("part")[0].as_py()
-                yield b
-
-        for docs, texts in _groups(parts(), 24_000_000, lambda d: True):
-            block, number = part << 24 | number, number + 1
-            ids, rare = _encode(texts, look)
-            target, fresh, placed = _lanes(ids, lanes)
-            x, cls, place = _inputs(target, fresh, words)
-            h = np.zeros((target.shape[1], shape.hidden), np.float32)
-            got = np.zeros(target.shape, np.float64)
-            live = np.ones(target.shape[1], bool)
-            for at in range(0, len(target), shape.window):
-                on = target[at] >= 0  # a lane that has ended stays so
-                h, live = h[on[live]], on
-                span = (slice(at, at + shape.window), slice(None) if on.all() else np.flatnonzero(on))
-                states, _ = model.forward(x[span], fresh[span], h)
-                h = states[-1]
-                use = np.flatnonzero((target[span] >= 0).ravel())
-                flat = np.zeros(target[span].size)
-                flat[use] = model.log_probs(states.reshape(-1, shape.hidden)[use], cls[span].ravel()[use], place[span].ravel()[use])
-                got[span] = flat.reshape(target[span].shape)
-            score, base, n_known, lengths = (np.zeros(len(ids)) for _ in range(4))
-            for i, k, at in placed:
-                own = ids[i]
-                inner = log_of[own] * (own >= heads) - tail_of[own]
-                score[i] = got[at : at + len(own), k].sum() / np.log(10) + inner.sum()
-                base[i] = log_of[own].sum() - len(own) * base_log
-                n_known[i], lengths[i] = known_of[own].sum(), len(own)
-            null = np.array([d is None for d in docs], np.uint8)
-            out = [(int(block % buckets), pack(null, np.array([d or 0 for d in docs], np.int64), np.array([remainder(d, MOD) == HELD for d in docs], np.uint8), score, base, n_known, lengths))]
-            pairs = Counter((w, i) for i, own in enumerate(rare) for w in own)
-            named = [w for w, _ in pairs]
-            texts_of, times = np.fromiter((i for _, i in pairs), np.int64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs))
-            out += [(k, pack(*_joined([named[i] for i in at]), texts_of[at], times[at])) for k, at in _by_bucket(named, buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([block] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], schema=_MESSAGE)
+        inner_of = log_of * (np.arange(len(log_of)) >= heads) - np.r_[np.zeros(heads), words.tail_log[words.cls[heads:] - shape.classes], words.tail_log]
+        for block, b, texts in _parts(batches):
+            own = Texts(texts, words, rare=True)
+            dealt = Lanes(own.ids, own.lengths, lanes, words)
+            h, got = np.zeros((len(dealt.sizes), shape.hidden), np.float32), np.zeros(len(own.ids))
+            for at, use in dealt.windows(shape.window):
+                states, _ = model.forward(dealt.read[at], dealt.fresh[at], h[: at.shape[1]])
+                h, spots, at = states[-1], np.flatnonzero(use.ravel()), at.ravel()
+                at = at[spots]
+                got[at] = model.log_probs(states.reshape(-1, shape.hidden)[spots], dealt.cls[at], dealt.within[at])
+            begin = np.cumsum(own.lengths) - own.lengths
+            inner, base, known = (np.add.reduceat(x[own.ids], begin) for x in (inner_of, log_of, known_of))
+            by_place = np.argsort(dealt.place)
+            score = np.empty(len(texts))
+            score[by_place] = np.add.reduceat(got, dealt.place[by_place])
+            docs = b.column("doc_id").to_pylist()
+            head = pack(np.array([d is None for d in docs], np.uint8), np.array([d or 0 for d in docs], np.int64), np.array([remainder(d, MOD) == HELD for d in docs], np.uint8), score / np.log(10) + inner, base - own.lengths * base_log, known.astype(float), own.lengths.astype(float))
+            out = [(zlib.crc32(b"%d" % block) % buckets, head)]
+            order = np.argsort(own.word, kind="stable")
+            edges = np.searchsorted(own.word[order], np.arange(len(own.rare) + 1))
+            for k, at in _by_bucket(own.rare, buckets):
+                pairs = Ragged(order, np.diff(edges)).take(at)
+                out.append((k, pack(*_joined([own.rare[i] for i in at.tolist()]), pairs.lengths.astype(np.uint32), own.text[pairs.flat].astype(np.uint32), own.times[pairs.flat].astype(np.uint32))))
+            yield _messages([k for k, _ in out], [block] * len(out), [x for _, x in out])
 
     return make
 
 
 def _look_up(key: tuple, table: pa.Table) -> pa.Table:
     """The bucket's counts (block null) against the rare words of all blocks: two sums for each text."""
-    blocks, bodies = table.column("block").to_pylist(), table.column("body").to_pylist()
+    blocks_of, bodies = table.column("block").to_pylist(), table.column("body").to_pylist()
     counts: dict[bytes, int] = {}
-    for block, body in zip(blocks, bodies, strict=True):
+    for block, body in zip(blocks_of, bodies, strict=True):
         if block is None:
             lengths, raw, numbers = unpack(body)
             counts.update(zip(_parted(lengths, raw), numbers.tolist(), strict=True))
     out_blocks, out = [], []
-    for block, body in zip(blocks, bodies, strict=True):
+    for block, body in zip(blocks_of, bodies, strict=True):
         if block is None:
             continue
         parts = unpack(body)
-        if len(parts) == 4:
-            lengths, raw, texts, times = parts
-            c = np.fromiter((counts.get(w, 0) for w in _parted(lengths, raw)), np.float64, len(lengths))
+        if len(parts) == 5:
+            lengths, raw, pairs, texts, times = parts
+            c = np.repeat(np.fromiter((counts.get(w, 0) for w in _parted(lengths, raw)), np.float64, len(lengths)), pairs)
             own, at = np.unique(texts, return_inverse=True)
             body = pack(own, np.bincount(at, weights=times * np.log10(c + 1)), np.bincount(at, weights=times * (c > 0)))
         out_blocks.append(block)
@@ -525,15 +507,16 @@ def score_texts(docs: DataFrame, *, shape: Shape = Shape(), train_every: int = 1
     """
     scratch = Scratch(docs.sparkSession, "language-model")
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
-    count = buckets or min(1 << 16, max(64, 2 * splits(source)))
+    count = buckets or hash_buckets(splits(source), 64)
     sent = source.mapInArrow(_count(count), _DDL).groupBy("bucket")
-    totals = scratch.keep(sent.applyInArrow(_total(shape.tails, max(64, -(-shape.frequent // count))), _TOTALS_DDL), "counts")
-    tokens, types, top, mass = 0, 0, [], np.zeros(shape.tails)
-    for r in totals.select("tokens", "types", "top", "tails").collect():  # bounded by ``buckets``, ``frequent`` and ``tails``
-        lengths, raw, numbers = unpack(bytes(r["top"]))
-        top += zip(_parted(lengths, raw), numbers.tolist(), strict=True)
-        mass += unpack(bytes(r["tails"]))[0]
-        tokens, types = tokens + r["tokens"], types + r["types"]
+    totals = scratch.keep(sent.applyInArrow(_total(shape.tails, max(64, -(-4 * shape.frequent // count))), _TOTALS_DDL), "counts")
+    row = totals.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    tokens, types = row["tokens"] or 0, row["types"] or 0
+    each = totals.select(F.explode(F.arrays_zip("top", "times")).alias("x")).select("x.top", "x.times").orderBy((F.col("top") != END).cast("int"), F.desc("times"), "top")
+    top = [(bytes(r["top"]), r["times"]) for r in each.limit(shape.frequent).collect()]  # at most ``frequent`` rows
+    mass = np.zeros(shape.tails)
+    for r in totals.select(F.posexplode("tails").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).collect():  # ``tails`` rows
+        mass[r["k"]] = r["x"]
     words = Vocabulary.build(shape, top, mass, tokens, types)
     weights = initial(words, mass)
     for turn in range(rounds if tokens else 0):
