@@ -9,10 +9,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
-from quarrylight.llm import bpe, exact_dedup, jaccard_join, language_model, line_dedup, packing, permutation_index, suffix_dedup, token_counts, toxicity
-from quarrylight.llm.tokenizers_io import BYTE_JSON, BYTE_RANKS, json_tokenizer, rank_encoding, vocabulary
+from quarrylight.llm import blocks, bpe, exact_dedup, jaccard_join, language_model, line_dedup, packing, permutation_index, suffix_dedup, token_counts, toxicity
+from quarrylight.llm.tokenizers_io import BYTE_JSON, BYTE_RANKS, json_coder, json_tokenizer, rank_coder, rank_encoding, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, body string"
 
@@ -62,6 +64,26 @@ def test_exact(spark, docs, texts, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_runs_merge_without_sorting(spark, monkeypatch):
+    """Binomial rounds: merges of sorted runs only, and every round sends at most ``fan`` messages for a run."""
+    rng = np.random.default_rng(0)
+    keys = np.array([hashlib.sha256(bytes([i])).digest() + bytes(16) for i in rng.integers(0, 40, 300)], "S48")
+    ids, rows = rng.integers(0, 90, 300), np.arange(300)
+    parts = [exact_dedup.Run.of(keys[k::7], ids[k::7], rows[k::7], False) for k in range(7)]
+    monkeypatch.setattr(np, "argsort", None)  # merging needs no sort of keys
+    got = exact_dedup.Run.merge(parts, False)
+    monkeypatch.undo()
+    assert got.key.tolist() == sorted(set(keys.tolist()))
+    for key, keep, row, count in zip(got.key.tolist(), got.keep, got.row, got.count, strict=True):
+        own = [(ids[i], rows[i]) for i in range(300) if keys.tolist()[i] == key]
+        assert (keep, row) == min(own) and count == len(own)
+    assert got.dealt(11, 1, 4).num_rows <= 4 and all(t % 4 == 3 and t // 16 == 0 for t in got.dealt(11, 1, 4).column("run").to_pylist())
+    df = spark.createDataFrame([(i, f"t{i % 50}", i) for i in range(400)], "doc_id long, text string, keep_id int").repartition(9)
+    for fan in (2, 3, 16):
+        out = exact_dedup.exact_dedup(df, keep="smallest", fan=fan).collect()
+        assert all(r["keep_id"] == r["doc_id"] % 50 and r["group_size"] == 8 and r["kept"] == (r["doc_id"] < 50) for r in out) and len(out) == 400
+
+
 def test_lines(spark, docs, texts, none):
     keys = {i: [line_dedup.line_key(x) for x in (t or "").encode().split(b"\n")] for i, t in texts.items()}
     holders = defaultdict(set)
@@ -77,10 +99,13 @@ def test_lines(spark, docs, texts, none):
     odd = spark.createDataFrame([(None, "the same long line"), (4, "the same long line"), (4, "the same long line\nb")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["kept_text"]) for r in line_dedup.line_dedup(odd).collect()) == [(0, ""), (4, "the same long line"), (4, "the same long line\nb")]
     assert line_dedup.line_dedup(none).count() == 0
+    nulls = spark.createDataFrame([(None, "the same long line", 1, "a"), (None, "the same long line", 2, "b")], "doc_id long, text string, n_lines int, kept_text string")
+    out = line_dedup.line_dedup(nulls)  # one document together: its own copies stay
+    assert out.columns == ["doc_id", "kept_text", "n_lines", "n_dropped"] and {r["kept_text"] for r in out.collect()} == {"the same long line"}
 
 
 def test_packing(docs, texts, none):
-    tok = json_tokenizer(vocabulary(BYTE_JSON))
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = packing.pack_documents(docs).collect()
     pieces, bins = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -164,6 +189,35 @@ def test_jaccard_large_groups(spark):
     assert {i: r["component_id"] for i, r in got.items()} == components({i: shingle_set(t) for i, t in rows.items()})
 
 
+def test_jaccard_hot_segment_blocks_and_names(spark, monkeypatch):
+    """One passage in many unlike documents, in blocks of members; sets of one name get others; awkward identifiers."""
+    passage, rows = prose(np.random.default_rng(1), 30), {}
+    for i in range(160):
+        own = np.random.default_rng(i // 3)
+        rows[i] = passage + " " + prose(own, 60) + (" x" * (i % 3))
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    want = components({i: shingle_set(t) for i, t in rows.items()})
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    got = by_id(jaccard_join.jaccard_components(df, buckets=8))
+    assert {i: r["component_id"] for i, r in got.items()} == want and len(set(want.values())) == 54
+    text = " ".join(f"a{i}" for i in range(30))
+    odd = [(None, text), (7, text + " z"), (7, "of its own"), (7, text), (9, text), (None, None), (11, "")]
+    out = jaccard_join.jaccard_components(spark.createDataFrame([(*r, 1, "x") for r in odd], "doc_id long, text string, node int, bucket string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in out) == [(0, 0, 0), (0, 26, 0), (7, 1, 7), (7, 26, 7), (7, 27, 7), (9, 26, 7), (11, 0, 11)]
+    tries, plain = [], jaccard_join._open_rows
+
+    def colliding(batches):  # all sets share a name with another set
+        for b in plain(batches):
+            yield b.set_column(2, "node", pa.array([None if x is None else x % 3 for x in b.column("node").to_pylist()], pa.int64()))
+
+    def rows_of(*a):
+        tries.append(1)
+        return colliding if len(tries) == 1 else plain
+
+    monkeypatch.setattr(jaccard_join, "lean", lambda f: rows_of() if f is plain else f)
+    assert {i: r["component_id"] for i, r in by_id(jaccard_join.jaccard_components(df, buckets=8)).items()} == want and len(tries) == 2
+
+
 def test_signatures_lose_no_pair():
     schemes, rng = jaccard_join.Schemes(75, 100), np.random.default_rng(3)
     for _ in range(800):
@@ -212,7 +266,7 @@ def test_suffix_segments(monkeypatch):
 
 def test_bpe(docs, texts, none):
     enc = rank_encoding(vocabulary(BYTE_RANKS))
-    got = by_id(bpe.decode(bpe.encode(docs, block_chars=3000, buckets=5)))
+    got = by_id(bpe.decode(bpe.encode(docs, block_bytes=3000, buckets=5)))
     for i, t in texts.items():
         assert np.frombuffer(got[i]["ids"], "<u4").tolist() == enc.encode_ordinary(t or "")
         assert got[i]["decoded"] == (t or "").encode()
@@ -228,27 +282,81 @@ def test_counts(spark, docs, texts, none):
         e = e[: n // 2] + " was revised" + e[n // 2 + 12 :]
         e = e[: n + 1000] + "\n-- s" + e[n + 1000 :]
         assert (got[i]["n_tokens"], got[i]["n_tokens_edited"], got[i]["n_chars_edited"]) == (len(enc.encode_ordinary(t)), len(enc.encode_ordinary(e)), len(e))
-    assert got[17]["n_chars_encoded"] < 500 < len(texts[17])
+    assert got[17]["n_chars_encoded"] < 3000 < len(texts[17])
     assert token_counts.token_counts(none).count() == 0
+    other = spark.createDataFrame([(None, "a b", "not edits"), (1, None, "x"), (1, "a b", None)], "doc_id long, text string, edits string")
+    assert sorted((r["n_tokens"], r["n_tokens_edited"]) for r in token_counts.token_counts(other).collect()) == [(0, 0), (2, 2), (2, 2)]
 
 
-def test_segment_tree_random_edits():
-    enc, rng = rank_encoding(vocabulary(BYTE_RANKS)).encode_ordinary, np.random.default_rng(8)
-    parts, pieces = ["a", "b", " ", "  ", "\n", "é", "'s", "1", ".", "word", " the", "\t", "中"], token_counts.counted(vocabulary(BYTE_RANKS))
+ODD = ["a", "b", " ", "  ", "\n", "é", "'s", "1", ".", "word", " the", "\t", "中", "\u00a0", "\u3000", "\x1c", "\x85", "\u2003", "\x00", "\u200b", "<|endoftext|>", "🙂", "\r"]
 
-    def some(n):
-        return "".join(parts[i] for i in rng.integers(0, len(parts), n))
 
-    for _ in range(300):
-        text = some(rng.integers(0, 40))
-        pieces.learn([text])
-        tree = token_counts.SegmentTree(pieces.of(text))
-        for _ in range(4):
-            start, length, insert = int(rng.integers(0, 45)), int(rng.integers(0, 5)), some(rng.integers(0, 4))
-            at = min(start, len(text))
-            text = text[:at] + insert + text[at + length :]
-            tree.edit(start, length, insert, enc)
-            assert (tree.text(), tree.tokens, tree.chars) == (text, len(enc(text)), len(text))
+def some(rng, n):
+    return "".join(ODD[i] for i in rng.integers(0, len(ODD), n))
+
+
+def test_stored_trees_random_edits():
+    enc, rng = rank_encoding(vocabulary(BYTE_RANKS)).encode_ordinary, np.random.default_rng(8)
+    for leaf in (3, 8, 256):
+        for _ in range(25):
+            texts = [some(rng, rng.integers(0, 60)) for _ in range(12)]
+            trees, counts = token_counts.Builder(vocabulary(BYTE_RANKS), leaf).trees([t.encode() for t in texts])
+            for text, body, n in zip(texts, trees, counts, strict=True):
+                assert n == len(enc(text))
+                for _ in range(4):
+                    tree = token_counts.SegmentTree.load(body)
+                    start, length, insert = int(rng.integers(0, 90)), int(rng.integers(0, 6)), some(rng, rng.integers(0, 4))
+                    at = min(start, len(text))
+                    text = text[:at] + insert + text[at + length :]
+                    tree.edit(start, length, insert, enc)
+                    assert (tree.text(), tree.tokens, tree.chars) == (text, len(enc(text)), len(text))
+                    body = tree.store()
+
+
+def test_later_edits_encode_only_their_region(spark):
+    text = prose(np.random.default_rng(1), 20_000)
+    trees = token_counts.build_trees(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    encode = rank_encoding(vocabulary(BYTE_RANKS)).encode_ordinary
+    for place in (0, 50_000, len(text) // 3):
+        edits = f"array(struct({place}L AS start, 5L AS length, 'new' AS insert))"
+        trees = token_counts.apply_edits(trees.selectExpr("doc_id", "tree", f"{edits} AS edits"))
+        text = text[:place] + "new" + text[place + 5 :]
+        row = trees.first()
+        assert row["n_tokens_edited"] == len(encode(text)) and row["n_chars_encoded"] < 2000
+
+
+def test_pieces_and_words():
+    """Cut as the tokenizers match, whatever white space, control characters and special strings there are."""
+    rng, plain, ranks = np.random.default_rng(0), json_tokenizer(vocabulary(BYTE_JSON)), rank_encoding(vocabulary(BYTE_RANKS))
+    for _ in range(60):
+        texts = [some(rng, rng.integers(0, 14)) for _ in range(40)]
+        raw = [t.encode() for t in texts]
+        one, two = json_coder(vocabulary(BYTE_JSON)), rank_coder(vocabulary(BYTE_RANKS))
+        for _ in range(2):  # the second time, from the block before
+            a, b = one.ids(raw), two.ids(raw)
+            assert [a[i].tolist() for i in range(40)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+            assert [b[i].tolist() for i in range(40)] == [ranks.encode_ordinary(t) for t in texts]
+        words, values = blocks.Words(raw), blocks.Words(raw).values.to_pylist()
+        ends = np.r_[0, np.cumsum(words.counts)]
+        assert [[values[k] for k in words.index[x:y]] for x, y in zip(ends[:-1], ends[1:], strict=True)] == [t.lower().split() for t in raw]
+    assert len(one.ids([])) == 0 and len(blocks.Words([b"", b""]).index) == 0
+    batch = pa.RecordBatch.from_pydict({"text": ["abc", None, "d" * 50, "e"]})
+    assert [t for _, t in blocks.blocks(iter([batch]), 10)] == [[b"abc", b""], [b"d" * 50], [b"e"]]
+
+
+def test_bpe_when_the_passes_differ(spark, texts, monkeypatch):
+    """Words of another order than the positions': the block encodes them itself."""
+    enc = rank_encoding(vocabulary(BYTE_RANKS))
+    table = pa.RecordBatch.from_pydict({"doc_id": list(texts), "text": list(texts.values()), "part": pa.array([0] * len(texts), pa.int32())})
+    places = [b for b in bpe._send_places(4, 10**6)(iter([table]))]
+    words = [b for b in bpe._send_words(4, 10**6)(iter([table.take(pa.array(range(len(texts) // 2)))]))]
+    coded = []
+    for k in range(4):
+        own = pa.Table.from_batches(words).filter(pa.array([x == k for x in words[0].column("bucket").to_pylist()]))
+        coded.append(bpe._encode_words(vocabulary(BYTE_RANKS))((pa.scalar(k),), own))
+    out = bpe._reassemble(vocabulary(BYTE_RANKS), 4)((pa.scalar(0),), pa.concat_tables([*coded, pa.Table.from_batches(places)]))
+    got = dict(zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist(), strict=True))
+    assert all(np.frombuffer(got[i], "<u4").tolist() == enc.encode_ordinary(t or "") for i, t in texts.items())
 
 
 def test_toxicity(spark, none):
@@ -296,6 +404,14 @@ def test_neighbours(spark, none):
         if q == 40:
             assert own.vec_id.tolist() == list(range(700, 720))
     assert hit / (20 * 75) >= 0.9
+    near = permutation_index.orders(e, e[:64], 16)
+    block = permutation_index.Block(np.arange(1500), e, near, 64, 0.1, 10, 8)
+    got, posted = block.candidates(near[3]), np.array([len(set(near[3][:8]) & set(v)) for v in near.tolist()])
+    assert block.entries == posted.sum() < 1500 * 8 / 2 and len(got) == 150  # only the files of the query's pivots were read
+    want = [sum(16 - max(near[3].tolist().index(p), v.index(p)) for p in near[3][:8].tolist() if p in v) for v in near.tolist()]
+    assert set(got.tolist()) == set(sorted(range(1500), key=lambda i: (-want[i], i))[:150])
+    wide = spark.createDataFrame([(*r, 1, "x") for r in rows[:300]], "vec_id long, embedding array<float>, row int, kind string")
+    assert permutation_index.permutation_search(wide, pivots=300, depth=280, reads=260).count() == 15 * 20
     few = permutation_index.permutation_search(spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>")).toPandas()
     assert len(few) == 4
     assert permutation_index.permutation_search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
@@ -382,6 +498,43 @@ def test_every_training_token_gives_a_gradient(monkeypatch):
     assert seen(1, 10**6) == []  # weights that no token has changed are not averaged
 
 
+def test_lanes_are_bounded_by_tokens_and_blocks_deal_evenly(spark):
+    """A text of a million words beside short ones; memory is that of the tokens, and scores are those of the text alone."""
+    shape = language_model.Shape(hidden=4, classes=4, words=4, tails=16, frequent=40)
+    rng = np.random.default_rng(2)
+    long = np.r_[rng.integers(0, 20, 1_000_000), 0]
+    short = [np.r_[rng.integers(0, 20, n), 0] for n in rng.integers(0, 40, 300)]
+    words = language_model.Vocabulary.build(shape, [(b"\n", 301), *((b"w%d" % i, 99 - i) for i in range(20))], np.ones(16), 1000, 21)
+    own = [short[0], long, *short[1:]]
+    lanes = language_model.Lanes(np.concatenate(own), np.array(list(map(len, own))), 128, words)
+    cells = sum(a.size for a, _ in lanes.windows(32))
+    assert lanes.target.size == sum(map(len, own)) and cells < 1.2 * lanes.target.size + 128 * 32
+    for i, ids in enumerate(own):
+        assert (lanes.target[lanes.place[i] : lanes.place[i] + len(ids)] == ids).all() and lanes.fresh[lanes.place[i]]
+    heads = [language_model.zlib.crc32(b"%d" % (part << 24 | k)) % 1024 for part in range(1000) for k in range(6)]
+    assert len(set(heads)) > 900  # numbers of blocks share their low bits, their hashes do not
+
+
+def test_scores_do_not_depend_on_neighbours(spark):
+    """A long text scored among others and alone, and a table with a column of a clashing name."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"v{k}" for k in rng.integers(0, 50, n))) for i, n in enumerate([3000, 5, 80, 1, 900, 40])]
+    shape = language_model.Shape(hidden=4, classes=4, words=4, tails=16, frequent=40)
+    words = language_model.Vocabulary.build(shape, [(b"\n", 6), *((b"v%d" % i, 9) for i in range(30))], np.ones(16), 500, 31)
+    weights = language_model.initial(words, np.ones(16))
+
+    def heads(rows):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "part": pa.array([0] * len(rows), pa.int32())})
+        out = [p for b in language_model._score(words, weights, 4, 3)(iter([batch])) for p in map(language_model.unpack, b.column("body").to_pylist()) if len(p) == 7]
+        return dict(zip(out[0][1].tolist(), out[0][3].tolist(), strict=True))
+
+    together = heads(rows)
+    for row in rows:
+        assert heads([row])[row[0]] == pytest.approx(together[row[0]], rel=1e-5)
+    clash = spark.createDataFrame([(1, "a b", 5, "x")], "doc_id long, text string, part int, bucket string")
+    assert language_model.score_texts(clash, shape=shape).count() == 1
+
+
 def test_bin_completion_of_many_lengths():
     counts = Counter()
     for x in np.clip(np.random.default_rng(3).lognormal(5.2, 0.8, 3000).astype(int), 1, None).tolist():
@@ -395,6 +548,28 @@ def test_bin_completion_of_many_lengths():
         for s in bag:
             used[s] += times
     assert used == counts and len(counts) == 487
-    assert sum(n for _, n in solved) == solver.bound(counts) == sum(n for _, n in solver.best_fit(counts)) - 1
+    bins, greedy = sum(n for _, n in solved), sum(n for _, n in solver.best_fit(counts))
+    assert solver.bound(counts) <= bins < greedy and solver.better >= 1 <= solver.leaves  # the search beats best fit
     assert solver.fillings({7: 10, 3: 1}, 45) == [(*[7] * 6, 3)]  # more than five pieces, until nothing fits
     assert len(packing.BinCompletion({1: 5000, 900: 2}, 1024).solve()) > 0
+
+
+def test_best_fit_is_best_fit():
+    """Against one piece at a time into the fullest bin with room."""
+    rng = np.random.default_rng(11)
+    for _ in range(40):
+        counts = Counter(rng.integers(1, 40, rng.integers(1, 120)).tolist())
+        rooms = []
+        for s in sorted(counts.elements(), reverse=True):
+            fits = [r for r in rooms if r >= s]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - s)
+            else:
+                rooms.append(64 - s)
+        solver, used = packing.BinCompletion(counts, 64), Counter()
+        got = solver.best_fit(dict(counts))
+        for bag, times in got:
+            used.update({s: n * times for s, n in Counter(bag).items()})
+        assert used == counts and Counter({r: n for r, n in Counter(rooms).items()}) == sum((Counter({64 - sum(bag): times}) for bag, times in got), Counter())
+        assert solver.bound(dict(counts)) <= len(rooms)

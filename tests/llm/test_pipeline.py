@@ -35,6 +35,31 @@ def test_stages_in_order(spark, sf_dir):
     assert {r["doc_id"] for r in pieces} == set(before)
 
 
+def test_stages_on_awkward_rows(spark, sf_dir, tmp_path):
+    """Null and repeated identifiers, null, empty and very long texts, repeated rows, other columns; then no rows at all."""
+    words = " ".join(f"word{i} und{i % 13}" for i in range(90))
+    long = " ".join(f"l{i}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, words), (3, words), (3, "another text of the same identifier"), (4, words + " end"), (None, words + " x"), (None, "a line of its own\nhere"), (None, None), (5, long), (6, long), (7, "a line of its own\nthere")]
+    made = [(i, t, "en", "s", None if t is None else len(t), 1.5, "y") for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node double, kept_text string"
+    want = {
+        "toxicity": [t or "" for _, t in rows],
+        "line_dedup": ["", "", words, words, "another text of the same identifier", words + " end", words + " x", "here", "", long, "", "a line of its own\nthere"],
+        "ngram_jaccard_join": ["", "", "", words, "another text of the same identifier", "a line of its own\nhere", "a line of its own\nthere", long],
+    }
+    docs = spark.createDataFrame(made, schema)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, sf_dir).collect()
+        texts = sorted((r["text"] or "") for r in out) if "text" in out[0] else None
+        if name in want:
+            assert texts == sorted(want[name]), name
+        elif name == "suffix_array_dedup":
+            assert len(out) == len(rows) and sum(r["text"] == "" for r in out) >= 5  # copies remove each other
+        else:
+            assert {r["doc_id"] for r in out} == {i for i, _ in rows} and sum(r["piece"] == 0 for r in out) == len(rows)
+        assert stage(spark, spark.createDataFrame([], schema), sf_dir).count() == 0
+
+
 def test_run_is_registered(spark, sf_dir):
     import __spark_entry__
 
