@@ -76,9 +76,8 @@ def search_context(own: Index, queries: DataFrame, known: DataFrame, symbol_vect
         hits = chunks.match_all(index_terms, terms, ["id", "file_path"])
         return hits.select("query_id", F.col("file_path").alias("path"), F.lit(0.0).alias("score")).distinct()
 
-    term, text = F.lower("alias_term"), F.lower("text")
-    close = ranking.spread(known.select("alias_term", "resolved_path", "confidence"), queries).where(F.contains(term, text) | F.contains(text, term))
-    phases = [(close.groupBy("query_id", F.col("resolved_path").alias("path")).agg(F.max("confidence").alias("score")), 10), (found(own.symbol_terms), 15)]
+    close = aliases.lookup_batch(known, queries).select("query_id", F.col("resolved_path").alias("path"), F.col("confidence").alias("score"))
+    phases = [(close, 10), (found(own.symbol_terms), 15)]
 
     def near(vectors: DataFrame | None, threshold: float) -> list[tuple[DataFrame, int]]:
         if vectors is None:

@@ -9,7 +9,18 @@ from pyspark.sql import functions as F
 RESERVED = ["and", "or", "not", "near"]
 
 # Images that are badges.
-BADGES = [r"!\[.*?\]\(https://img\.shields\.io/.*?\)", r"!\[.*?\]\(https://badge.*?\)\s*"]
+BADGES = r"!\[.*?\]\(https://img\.shields\.io/.*?\)|!\[.*?\]\(https://badge.*?\)\s*"
+
+# Names of workflow stages, and what may stand for each.
+STAGES = [
+    ("Context", ["context"]),
+    ("Plan", ["plan"]),
+    ("Ask_Revise", ["ask_revise", "ask", "revise", "ask/revise"]),
+    ("Build", ["build"]),
+    ("Test_Recheck", ["test_recheck", "test", "recheck", "test/recheck"]),
+    ("Fix", ["fix"]),
+    ("Proposal", ["proposal", "document", "review", "proposal/review"]),
+]
 
 # Phrases that count as an approval.
 APPROVALS = [
@@ -60,10 +71,7 @@ def strip_markup_comments(text: Column) -> Column:
 
 def compress(text: Column) -> Column:
     """Without comments and badge images, lines trimmed at their ends, of blank lines in a row one."""
-    bare = strip_markup_comments(text)
-    for pattern in BADGES:
-        bare = F.regexp_replace(bare, pattern, "")
-    return collapse_blank_lines(bare)
+    return collapse_blank_lines(F.regexp_replace(strip_markup_comments(text), BADGES, ""))
 
 
 def slug(name: Column) -> Column:
@@ -136,8 +144,23 @@ def savings_badge(percent: Column) -> Column:
     return F.when(percent > 50, "green").when(percent > 20, "plain").otherwise("red")
 
 
-def linear_scale(value: Column, top: Column, height: float) -> Column:
-    return F.when(top > 0, height - value / top * height).otherwise(F.lit(height))
+def linear_scale(value: Column, top: Column, y0: float, y_max: float) -> Column:
+    """A value of [0, top] as a place between ``y_max`` and ``y0``; ``y_max`` if there is no range."""
+    return F.lit(y_max) - F.when(F.coalesce(top, F.lit(0)) != 0, value / top * (y_max - y0)).otherwise(0.0)
+
+
+def slot_center(place: Column, n: Column, x0: float, width: float) -> Column:
+    """The middle of slot ``place``, from 0, of ``n`` slots."""
+    return F.lit(x0) + width / n * place + width / n / 2
+
+
+def column_width(n: Column, width: float, least: float = 4.0) -> Column:
+    return F.greatest(F.lit(least), width / n * 0.5)
+
+
+def field_maximum(*fields: str) -> Column:
+    """The largest value of any field in any row, as an aggregate; nulls count as 0, as does an empty table."""
+    return F.coalesce(F.greatest(F.lit(0), *(F.max(F.coalesce(F.col(f), F.lit(0))) for f in fields)), F.lit(0))
 
 
 def is_approval(message: Column) -> Column:
@@ -159,8 +182,11 @@ def expand_query(task: Column, focus: Column, phase: Column) -> Column:
 
 
 def stage_name(raw: Column) -> Column:
-    """A stage's name: lower case, words joined by underscores."""
-    return F.regexp_replace(F.lower(F.trim(raw)), r"[\s-]+", "_")
+    """The stage that a word stands for, in any case; null if it stands for none."""
+    asked, name = F.lower(F.trim(raw)), F.lit(None).cast("string")
+    for stage, words in STAGES:
+        name = F.when(asked.isin(words), stage).otherwise(name)
+    return name
 
 
 def matches_filter(needle: str, *fields: str) -> Column:
@@ -175,15 +201,22 @@ def extension(path: Column) -> Column:
     return F.element_at(F.split(F.lower(path), r"\."), -1)
 
 
-def symbol_passage(name: Column, kind: Column, signature: Column) -> Column:
-    """The text that stands for a symbol in vector search."""
-    return F.concat_ws(" ", kind, name, signature)
+def symbol_passage(kind: Column, path: Column, signature: Column, name: Column) -> Column:
+    """The text that stands for a symbol in vector search; its name stands in for a signature that is null."""
+    return F.format_string("%s in %s — %s", kind, path, F.coalesce(signature, name))
+
+
+def chunk_passage(path: Column, start: Column, end: Column, text: Column) -> Column:
+    """The text that stands for a chunk in vector search."""
+    return F.format_string("code in %s lines %d-%d: %s", path, start, end, clip(text, 512))
 
 
-def chunk_passage(path: Column, text: Column) -> Column:
-    return F.concat(path, F.lit("\n"), clip(text, 512))
+def prefixed(text: Column, kind: str | None = None) -> Column:
+    """A text as embedding models expect it: of kind "query" or "passage", or as it is."""
+    return F.concat(F.lit(f"{kind}: "), text) if kind in ("query", "passage") else text
 
 
-def catalog_hash(rows: Column) -> Column:
-    """An order-free fingerprint of a table's rows, as an aggregate: sums of hashes do not depend on partitions."""
-    return F.hex(F.sum((F.xxhash64(rows) % 2147483647).cast("decimal(38,0)")).cast("long"))
+def catalog_hash(order: Column, *fields: Column) -> Column:
+    """A fingerprint of a catalog in order, as an aggregate: a hash over the rows' hashes, eight bytes for each row."""
+    rows = F.array_sort(F.collect_list(F.struct(order.alias("at"), F.xxhash64(*fields).alias("hash"))))
+    return F.hex(F.xxhash64(F.transform(rows, lambda r: r["hash"])))

@@ -11,6 +11,9 @@ TOOL_CALLS = "tool_name string, operation string, started_at timestamp, duration
 SKILLS = "name string, relative_path string, content string, source string, source_path string"
 SEMANTIC = (
     "name string, title string, description string, intent string, triggers array<string>, micro_rules array<string>, "
-    "keywords array<string>, headings array<string>, summary_snippet string"
+    "keywords array<string>, headings array<string>, action_triggers array<string>, file_patterns array<string>, "
+    "applicable_phases array<string>, summary_snippet string"
 )
+#: Columns of SEMANTIC that follow from the others.
+IMPLIED = ("action_triggers", "file_patterns", "applicable_phases", "summary_snippet")
 LEARNINGS = "ord long, category string, content string, is_pinned boolean"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import spread
+
 FIRST, STEP, FLOOR = 0.8, 0.05, 0.1
 
 
@@ -15,6 +17,14 @@ def lookup(aliases: DataFrame, query: str, limit: int = 10) -> DataFrame:
     return own.orderBy(F.desc("confidence"), F.desc("hit_count"), F.desc("last_used_at"), "alias_term", "resolved_path").limit(limit)
 
 
+def lookup_batch(aliases: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, resolved_path, confidence: the same for a stated set of queries (query_id, text), the best alias of each path."""
+    term, text = F.lower("alias_term"), F.lower("text")
+    own = spread(aliases.select("alias_term", "resolved_path", "confidence"), queries.where(F.trim("text") != ""))
+    close = own.where(F.contains(term, text) | F.contains(text, term))
+    return close.groupBy("query_id", "resolved_path").agg(F.max("confidence").alias("confidence"))
+
+
 def upsert(aliases: DataFrame, observed: DataFrame) -> DataFrame:
     """A new snapshot after a batch of observations of any number for a key.
 

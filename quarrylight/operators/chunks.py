@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, content_hash, lines_of, tokens_of
@@ -14,8 +14,9 @@ def chunk_windows(docs: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP,
     """doc_id, start_line, end_line, n_filled, chunk_text: windows of ``size`` lines with at least ``least`` that are not blank."""
     step = size - overlap
     lines = docs.select("doc_id", lines_of(F.col("text")).alias("lines")).where(F.size("lines") > 0)
-    at = lines.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step))).alias("at"))
-    own = at.select("doc_id", "at", F.slice("lines", F.col("at") + 1, F.lit(size)).alias("own"))
+    starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step))
+    cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice("lines", at + 1, F.lit(size)).alias("own")))
+    own = lines.select("doc_id", F.inline(cut))  # slices leave the row, not copies of all of its lines
     filled = F.size(F.filter("own", lambda x: F.trim(x) != ""))
     return own.where(filled >= least).select(
         "doc_id",
@@ -45,19 +46,27 @@ def positions(units: DataFrame, keys: list[str], text: Column) -> DataFrame:
 def match_all(index: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of query_id and unit that hold all terms of the query.
 
-    terms: query_id, term, distinct. Queries without terms match nothing. The join is on
-    the term, so its cost is that of the queries' own postings.
+    terms: query_id, term. Queries without terms match nothing. A query reads the postings
+    of its rarest term; of the others only those of units found by it.
     """
-    wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
-    hits = index.join(terms, "term").groupBy("query_id", *keys).agg(F.count("*").alias("found"))
-    return hits.join(wanted, "query_id").where("found = wanted").select("query_id", *keys)
-
-
-def query_terms(queries: DataFrame, text: Column, first: int | None = None) -> DataFrame:
-    """query_id and the distinct terms of a text, or of its first few tokens."""
-    tokens = tokens_of(text)
-    tokens = F.slice(tokens, 1, first) if first else tokens
-    return queries.select("query_id", F.explode(F.array_distinct(tokens)).alias("term"))
+    asked = terms.distinct()
+    used = index.join(asked.select("term").distinct(), "term", "left_semi")
+    sizes = used.groupBy("term").agg(F.count("*").alias("n"))
+    own = asked.join(sizes, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.partitionBy("query_id").orderBy("n", "term")
+    placed = own.withColumn("place", F.row_number().over(w)).withColumn("wanted", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rarest = used.join(placed.where("place = 1"), "term").select("query_id", "wanted", *keys)
+    single = rarest.where("wanted = 1").select("query_id", *keys)
+    # a frequent term meets only the units that hold the query's rarest one
+    others = placed.where("place > 1").select("query_id", "term")
+    several = rarest.where("wanted > 1").join(others, "query_id").join(used, ["term", *keys])
+    hits = several.groupBy("query_id", "wanted", *keys).agg(F.count("*").alias("found")).where("found = wanted - 1")
+    return single.unionByName(hits.select("query_id", *keys))
+
+
+def query_terms(queries: DataFrame, text: Column) -> DataFrame:
+    """query_id and the distinct terms of a text."""
+    return queries.select("query_id", F.explode(F.array_distinct(tokens_of(text))).alias("term"))
 
 
 def snippet(text: Column, terms: Column, around: int = 7) -> Column:

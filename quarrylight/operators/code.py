@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines_of
+from ..functions.text import compress, lines_of
 
 # How a trimmed line declares a symbol, and its kind, tried in this order.
 DECLARATIONS = [
@@ -74,9 +75,28 @@ def listing(files: DataFrame) -> DataFrame:
     return lines(files).where(hit).select("path", "line_no", F.format_string("L%04d: %s", F.col("line_no"), trimmed).alias("entry"))
 
 
-_KEPT = re.compile(r"(//|/\*|\*|#\[|@)|(use|import|from|mod|package|pub mod|type|pub type|const|pub const|static|pub static) |(pub struct|struct|pub enum|enum|pub trait|trait|interface|export interface|class|export class) |impl")
-_EXPORT = re.compile(r"export (?!.*(function|\{))")
-_FUNCTION = re.compile(r"((pub |async |pub async )?fn|def|async def|func|fun|function|export function) |(public|private|protected) .*\(")
+# How trimmed lines begin that an outline keeps as they are: comments, imports, headers of types.
+COMMENTS = ["//", "/*", "*", "#[", "@"]
+IMPORTS = ["use ", "import ", "from ", "mod ", "package ", "pub mod ", "type ", "pub type ", "const ", "pub const ", "static ", "pub static "]
+TYPES = [
+    "pub struct ", "struct ", "pub enum ", "enum ", "pub trait ", "trait ", "interface ", "export interface ", "class ", "export class ", "impl",
+]
+# How functions begin, and methods if a parenthesis follows.
+FUNCTIONS = [
+    "pub fn ", "fn ", "pub async fn ", "async fn ", "def ", "async def ", "func ", "fun ", "function ", "export function ",
+]
+METHODS = ["public ", "private ", "protected "]
+
+
+def _kept(bare: str) -> bool:
+    plain_export = bare.startswith("export ") and "function" not in bare and "{" not in bare
+    return bare.startswith((*COMMENTS, *IMPORTS, *TYPES)) or plain_export
+
+
+def _function(bare: str) -> bool:
+    return bare.startswith(tuple(FUNCTIONS)) or (bare.startswith(tuple(METHODS)) and "(" in bare)
+
+
 SHORT = 15
 
 
@@ -89,9 +109,9 @@ def skeleton(text: str | None, path: str = "") -> str:
     out, at = [f"// === Structural Skeleton of '{path}' (Total Lines: {len(rows)}) ==="], 0
     while at < len(rows):
         row, bare = rows[at], rows[at].strip()
-        if _KEPT.match(bare) or _EXPORT.match(bare):
+        if _kept(bare):
             out.append(row)
-        elif _FUNCTION.match(bare):
+        elif _function(bare):
             at, entry = _outlined(rows, at)
             out.append(entry)
         elif bare in ("}", "};") or bare.startswith("pub ") or (":" in bare and "(" not in bare):
@@ -124,16 +144,14 @@ def target_symbol(text: str | None, name: str, most: int = 100, quiet: int = 30)
     first = next((i for i, r in enumerate(rows) if name in r), None)
     if first is None:
         return None
-    depth, braces = 0, False
-    for k in range(first, len(rows)):
-        n = k - first + 1
-        depth += rows[k].count("{") - rows[k].count("}")
-        braces |= "{" in rows[k]
-        blank = not rows[k].strip()
-        closed = braces and n > 1 and depth <= 0 and ("}" in rows[k] or blank)
-        if closed or (not braces and n >= quiet and blank) or n >= most:
-            return "\n".join(rows[first : k + 1])
-    return "\n".join(rows[first:])
+    own = rows[first:]
+    opened = list(accumulate(r.count("{") for r in own))
+    balance = list(accumulate(r.count("{") - r.count("}") for r in own))
+    blank = [not r.strip() for r in own]
+    closing = (k for k in range(1, len(own)) if opened[k] and balance[k] <= 0 and (blank[k] or "}" in own[k]))
+    pausing = (k for k in range(quiet - 1, len(own)) if not opened[k] and blank[k])
+    last = min(next(closing, len(own)), next(pausing, len(own)), most - 1)
+    return "\n".join(own[: last + 1])
 
 
 def skeletons(files: DataFrame) -> DataFrame:
@@ -156,8 +174,27 @@ def target_symbols(files: DataFrame, name: str) -> DataFrame:
     return files.where(F.contains("content", F.lit(name))).select("path", make("content").alias("snippet"))
 
 
-def bounded_read(files: DataFrame, most: int = 300) -> DataFrame:
-    """path, view: an outline of files above ``most`` lines, else the whole text."""
+def bounded_read(files: DataFrame, symbol: str | None = None, *, mode: str = "auto", most: int = 300) -> DataFrame:
+    """path, n_lines, capped, view: what a reader is shown of each file, compressed.
+
+    With a symbol, the lines of its definition (the whole text if no line has it); else an
+    outline of files above ``most`` lines, or of all in mode "skeleton". Never more than
+    ``most`` lines but for outlines; in mode "full" long files are cut, not outlined.
+    """
+
+    @F.pandas_udf("string")
+    def shown(path: pd.Series, content: pd.Series, outline: pd.Series) -> pd.Series:
+        out = []
+        for p, c, whole in zip(path, content, outline, strict=True):
+            if whole:
+                out.append(skeleton(c, p))
+            else:
+                own = (target_symbol(c, symbol) if symbol else None) or c or ""
+                out.append("\n".join(own.splitlines()[:most]))
+        return pd.Series(out, dtype=object)
+
     n = F.size(lines_of(F.col("content")))
-    long = skeletons(files.where(n > most)).select("path", F.col("skeleton").alias("view"))
-    return files.where(n <= most).select("path", F.col("content").alias("view")).unionByName(long)
+    outline = F.lit(mode == "skeleton") | ((n > most) & F.lit(symbol is None and mode != "full"))
+    own = files.select("path", n.cast("long").alias("n_lines"), outline.alias("outline"), shown("path", "content", outline).alias("raw"))
+    capped = (F.col("n_lines") > most) & ~F.col("outline") & F.lit(symbol is None)
+    return own.select("path", "n_lines", capped.alias("capped"), compress(F.col("raw")).alias("view"))

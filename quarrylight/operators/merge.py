@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,8 +60,11 @@ def first_per_name(rows: DataFrame, name: str, score: str, tie: str, cap: int) -
 
 
 def line_delta(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
-    """key, added, removed: lines of one text that the other lacks, repeats counted."""
-    lines = pairs.select(key, F.split(F.coalesce(before, F.lit("")), "\n", -1).alias("b"), F.split(F.coalesce(after, F.lit("")), "\n", -1).alias("a"))
-    added = F.size(F.filter("a", lambda x: ~F.array_contains(F.col("b"), x)))
-    removed = F.size(F.filter("b", lambda x: ~F.array_contains(F.col("a"), x)))
-    return lines.select(key, added.cast("long").alias("added"), removed.cast("long").alias("removed"))
+    """key, added, removed: lines of one text that the other lacks, repeats counted; ``key`` names a pair."""
+
+    def lines(text: str, side: str) -> Column:
+        return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.struct(F.lit(side).alias("side"), x.alias("line")))
+
+    own = pairs.select(key, F.inline(F.concat(lines(before, "b"), lines(after, "a"))))
+    times = own.groupBy(key, "line").agg(*(F.count(F.when(F.col("side") == s, 1)).alias(s) for s in "ab"))
+    return times.groupBy(key).agg(F.sum(F.when(F.col("b") == 0, F.col("a")).otherwise(0)).alias("added"), F.sum(F.when(F.col("a") == 0, F.col("b")).otherwise(0)).alias("removed"))

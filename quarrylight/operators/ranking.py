@@ -93,8 +93,8 @@ def stage_one(skills: DataFrame, tasks: DataFrame, k: int, score: Column | None
 
 
 def spread(rows: DataFrame, queries: DataFrame, salts: int = 16) -> DataFrame:
-    """Every row with every query of a stated set: rows are dealt to salts, queries go to all of them."""
-    a = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns[:1]), F.lit(salts)).cast("int"))
+    """Every row with every query of a stated set, in blocks: rows are dealt to salts by all of their columns, queries go to all of them."""
+    a = rows.withColumn("_salt", F.pmod(F.xxhash64(*(c for c, kind in rows.dtypes if not kind.startswith("map"))), F.lit(salts)).cast("int"))
     b = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, "_salt").drop("_salt")
 

@@ -6,7 +6,7 @@ error_message. All times of reference are arguments; nothing reads the clock.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hour_label, saved_percent
@@ -84,13 +84,19 @@ def retain(events: DataFrame, as_of: Column, placeholder: str | None = None) ->
 def stale_sessions(events: DataFrame, key: str, seconds: int = 300) -> DataFrame:
     """Gaps of more than ``seconds`` between events that follow each other in a session."""
     ts = F.unix_micros(F.col("ts").cast("timestamp"))
-    from pyspark.sql import Window
-
     before = F.lag(ts).over(Window.partitionBy(key).orderBy("ts", "event_id"))
     gaps = events.withColumn("gap_seconds", F.floor((ts - before) / 1000000).cast("long"))
     return gaps.where(F.col("gap_seconds") > seconds)
 
 
+def sorted_rows(rows: DataFrame, column: str, tie: str, *, descending: bool = False, most: int = 1000) -> DataFrame:
+    """A table as a viewer sorts it by a column, the first ``most`` rows with their place: numbers by value, texts in any case, nulls last."""
+    numeric = dict(rows.dtypes)[column].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
+    key = F.col(column) if numeric else F.lower(F.col(column).cast("string"))
+    order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(tie)]
+    return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most ``most`` rows
+
+
 def stats_json(events: DataFrame, as_of: Column) -> DataFrame:
     """The dashboard's document: the trailing day and the breakdown, as one JSON text."""
     day = trailing_day(events, as_of).select(F.struct("*").alias("day"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,19 +29,18 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, threshold: fl
     """query_id, id, score, rank: the ``k`` best by cosine of every query, itself excepted.
 
     queries: query_id and vector, a set that a caller states. It goes to the tasks in
-    slices of at most ``most`` rows, whose size is thus bounded; a task keeps ``k`` rows
-    for a query, so what is shuffled does not depend on the number of vectors it reads.
+    slices by hash, of ``most`` rows or somewhat fewer; a task keeps the ``k`` best for a
+    query over all that it reads and sends them once.
     """
     out, parts = "query_id long, id long, score double", None
-    asked = queries.select("query_id", "vector").orderBy("query_id")
-    ids = np.array([r[0] for r in asked.select("query_id").toLocalIterator()], np.int64)
-    for at in range(0, max(1, len(ids)), most):
-        span = ids[at : at + most]
-        own = asked.where(F.col("query_id").between(int(span[0]), int(span[-1]))) if len(span) else asked.limit(0)
-        rows = own.collect()  # at most ``most`` rows
-        q = np.array([r["vector"] for r in rows], np.float64)
-        names = np.array([r["query_id"] for r in rows], np.int64)
-        found = vectors.select("id", "vector").mapInPandas(_block_search(names, q, k, threshold), out)
+    asked = queries.select("query_id", "vector")
+    slices = max(1, -(-asked.count() * 5 // (4 * most)))
+    for at in range(slices):
+        own = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == at) if slices > 1 else asked
+        rows = own.orderBy("query_id").toArrow()  # about ``most`` rows
+        names = rows.column("query_id").to_numpy().astype(np.int64)
+        q = np.array(rows.column("vector").to_pylist(), np.float64).reshape(len(names), -1)
+        found = vectors.select("id", "vector").mapInArrow(_block_search(names, q, k, threshold), out)
         parts = found if parts is None else parts.unionByName(found)
     ranked = parts.withColumn("rank", F.expr("cast(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS int)"))
     return ranked.where(F.col("rank") <= k)
@@ -48,19 +48,20 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, *, threshold: fl
 
 def _block_search(names: np.ndarray, q: np.ndarray, k: int, threshold: float):
     def search(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            if not len(pdf) or not len(names):
+        ids, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))  # the best so far, of each query
+        for b in batches:
+            if not b.num_rows or not len(names):
                 continue
-            x, mine = np.array(pdf["vector"].tolist(), np.float64), pdf["id"].to_numpy(np.int64)
+            x, mine = np.array(b.column("vector").to_pylist(), np.float64), b.column("id").to_numpy()
             scale = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
             s = np.divide(q @ x.T, scale, out=np.zeros_like(scale), where=scale > 0)
-            s[names[:, None] == mine[None, :]] = -np.inf
-            for i, name in enumerate(names):
-                best = np.lexsort((mine, -s[i]))[:k]
-                best = best[s[i][best] >= threshold]
-                yield pd.DataFrame({"query_id": name, "id": mine[best], "score": s[i][best]})
+            s[(names[:, None] == mine[None, :]) | (s < threshold)] = -np.inf
+            scores, ids = np.hstack([scores, s]), np.hstack([ids, np.broadcast_to(mine, s.shape)])
+            best = np.lexsort((ids, -scores), axis=1)[:, :k]
+            scores, ids = np.take_along_axis(scores, best, 1), np.take_along_axis(ids, best, 1)
+        kept = scores > -np.inf
+        whose = np.broadcast_to(names[:, None], scores.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(whose[kept]), pa.array(ids[kept]), pa.array(scores[kept])], names=["query_id", "id", "score"])
 
     return search
 

@@ -67,28 +67,26 @@ def chunk_windows(spark, sf_dir):
 
 
 @query(
-    rf"""WITH {_CHUNKS}, {R.terms_sql(3)},
+    rf"""WITH {_CHUNKS}, {R.TERMS},
     idx AS (SELECT DISTINCT doc_id, start_line, end_line, unnest(regexp_extract_all(lower(chunk_text), '[\p{{L}}\p{{N}}]+')) AS term FROM chunks),
-    wanted AS (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id),
-    found AS (SELECT t.query_id, i.doc_id, i.start_line, i.end_line, count(*) AS n FROM idx i JOIN terms t ON i.term = t.term GROUP BY ALL),
-    hits AS (SELECT f.query_id, doc_id, start_line, end_line FROM found f JOIN wanted w ON f.query_id = w.query_id AND f.n = w.n)
+    {R.match_sql("idx", "doc_id, start_line, end_line", "hits")}
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id, start_line) AS rank FROM hits) WHERE rank <= 10"""
 )
 def chunk_fts(spark, sf_dir):
     keys = ["doc_id", "start_line", "end_line"]
     index = chunks.postings(chunks.chunk_windows(_docs(spark, sf_dir)), keys, F.col("chunk_text"))
-    hits = chunks.match_all(index, R.queries(spark, sf_dir, 3), keys)
+    hits = chunks.match_all(index, R.queries(spark, sf_dir), keys)
     ranked = hits.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY doc_id, start_line)"))
     return ranked.where("rank <= 10")
 
 
-def _fts(spark, sf_dir, first: int) -> DataFrame:
-    return chunks.match_all(chunks.postings(_docs(spark, sf_dir), ["doc_id"], F.col("text")), R.queries(spark, sf_dir, first), ["doc_id"])
+def _fts(spark, sf_dir) -> DataFrame:
+    return chunks.match_all(chunks.postings(_docs(spark, sf_dir), ["doc_id"], F.col("text")), R.queries(spark, sf_dir), ["doc_id"])
 
 
-@query(f"WITH {R.INDEX}, {R.terms_sql(3)}, {R.match_sql('terms', 'hits')} SELECT query_id, doc_id FROM hits")
+@query(f"WITH {R.INDEX}, {R.TERMS}, {R.match_sql('idx', 'doc_id', 'hits')} SELECT query_id, doc_id FROM hits")
 def fts_batch(spark, sf_dir):
-    return _fts(spark, sf_dir, 3)
+    return _fts(spark, sf_dir)
 
 
 @query(
@@ -280,19 +278,22 @@ def risk_levels(spark, sf_dir):
     return graph.risk(R.edges(spark, sf_dir))
 
 
-_SYMBOLS = "symbols AS (SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier)"
-
-
 @query(
-    f"""WITH {R.EDGES}, {_SYMBOLS} SELECT a.name AS source_name, b.name AS target_name, 'ships' AS edge_type
+    f"""WITH {R.EDGES}, {R.SYMBOLS} SELECT a.name AS source_name, b.name AS target_name, 'ships' AS edge_type
     FROM edges e JOIN symbols a ON e.source = a.id JOIN symbols b ON e.target = b.id
     WHERE contains(lower(a.name), '1') OR contains(lower(b.name), '1') ORDER BY 1, 2, 3 LIMIT 20"""
 )
 def related_edges(spark, sf_dir):
-    own = R.edges(spark, sf_dir).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("ships").alias("edge_type"))
-    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"))
-    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"))
-    return graph.related(own, nations.unionByName(suppliers), "1")
+    return graph.related(_links(spark, sf_dir), R.symbols(spark, sf_dir), "1")
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    return R.edges(spark, sf_dir).select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), F.lit("ships").alias("edge_type"))
+
+
+@query(f"WITH {R.EDGES}, {R.SYMBOLS} SELECT DISTINCT b.file_path AS file, a.file_path AS dependent FROM edges e JOIN symbols a ON e.source = a.id JOIN symbols b ON e.target = b.id WHERE a.file_path <> b.file_path")
+def incoming_files(spark, sf_dir):
+    return graph.incoming(_links(spark, sf_dir), R.symbols(spark, sf_dir))
 
 
 # Aliases -----------------------------------------------------------------------------
@@ -437,20 +438,42 @@ def affinity_filter(spark, sf_dir):
     return own.select("page_id", suits.alias("suits"))
 
 
-def _paths(rows: DataFrame) -> DataFrame:
-    return rows.select("query_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.lit(0.0).alias("score"))
+def _paths(rows: DataFrame, path) -> DataFrame:
+    return rows.select("query_id", path.alias("path"), F.lit(0.0).alias("score"))
 
 
 def _vector_paths(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", F.concat(F.lit("vec/"), F.col("id").cast("string")).alias("path"), F.round("score", 6).alias("score"))
 
 
-_PHASES = f"""{R.INDEX}, {R.terms_sql(8, "t8")}, {R.terms_sql(5, "t5")}, {R.terms_sql(3, "t3")}, {R.match_sql("t8", "m8")}, {R.match_sql("t5", "m5")}, {R.match_sql("t3", "m3")}, {_NEAR},
+def _asked(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _phases(spark, sf_dir) -> dict[str, DataFrame]:
+    """What each phase finds for the whole benchmark texts: aliases, lines as symbols, documents as content, vectors."""
+    close = A.lookup_batch(R.learned(spark, sf_dir).withColumn("confidence", F.round("confidence", 6)), _asked(spark, sf_dir))
+    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(T.lines_of(F.col("text"))).alias("line_no", "line"))
+    symbols = chunks.match_all(chunks.postings(lines, ["doc_id", "line_no"], F.col("line")), R.queries(spark, sf_dir), ["doc_id", "line_no"])
+    doc = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    return {
+        "aliases": close.select("query_id", F.col("resolved_path").alias("path"), F.col("confidence").alias("score")),
+        "symbols": _paths(symbols, F.concat(doc, F.lit("#"), (F.col("line_no") + 1).cast("string"))),
+        "content": _paths(_fts(spark, sf_dir), doc),
+        "vectors": _vector_paths(_near(spark, sf_dir, 50, 0.2)),
+    }
+
+
+_PHASES = rf"""{R.INDEX}, {R.TERMS}, {R.LEARNED}, {R.match_sql("idx", "doc_id", "content")},
+    rows AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS line_no FROM documents),
+    lidx AS (SELECT DISTINCT doc_id, line_no, unnest(regexp_extract_all(lower(line), '[\p{{L}}\p{{N}}]+')) AS term FROM rows),
+    {R.match_sql("lidx", "doc_id, line_no", "symbols")}, {_NEAR},
     phases AS (
-        SELECT query_id, 1 AS phase, 10 AS cap, 'doc/' || doc_id AS path, 0.0 AS score FROM m8
-        UNION ALL SELECT query_id, 2, 15, 'doc/' || doc_id, 0.0 FROM m5
+        SELECT item_id AS query_id, 1 AS phase, 10 AS cap, resolved_path AS path, max(round(confidence, 6)) AS score FROM benchmark JOIN learned
+            ON contains(lower(alias_term), lower(text)) OR contains(lower(text), lower(alias_term)) GROUP BY ALL
+        UNION ALL SELECT query_id, 2, 15, 'doc/' || doc_id || '#' || line_no, 0.0 FROM symbols
         UNION ALL SELECT query_id, 3, 10, 'vec/' || id, round(score, 6) FROM near WHERE score >= 0.4
-        UNION ALL SELECT query_id, 4, 10, 'doc/' || doc_id, 0.0 FROM m3
+        UNION ALL SELECT query_id, 4, 10, 'doc/' || doc_id, 0.0 FROM content
         UNION ALL SELECT query_id, 5, 10, 'vec/' || id, round(score, 6) FROM near WHERE score >= 0.2)"""
 
 
@@ -459,16 +482,21 @@ _PHASES = f"""{R.INDEX}, {R.terms_sql(8, "t8")}, {R.terms_sql(5, "t5")}, {R.term
     WHERE phase = (SELECT min(phase) FROM phases q WHERE q.query_id = p.query_id) QUALIFY rank <= cap"""
 )
 def cascade_batch(spark, sf_dir):
-    near = _near(spark, sf_dir, 50, 0.2)
-    return search.cascade([(_paths(_fts(spark, sf_dir, 8)), 10), (_paths(_fts(spark, sf_dir, 5)), 15), (_vector_paths(near.where("score >= 0.4")), 10), (_paths(_fts(spark, sf_dir, 3)), 10), (_vector_paths(near), 10)])
+    own = _phases(spark, sf_dir)
+    return search.cascade([(own["aliases"], 10), (own["symbols"], 15), (own["vectors"].where("score >= 0.4"), 10), (own["content"], 10), (own["vectors"], 10)])
 
 
 @query(
-    f"""WITH {_PHASES} SELECT query_id, CASE phase WHEN 5 THEN 'symbols' ELSE 'content' END AS section, row_number() OVER (PARTITION BY query_id, phase ORDER BY score DESC, path) AS rank, path, score
-    FROM phases WHERE phase IN (4, 5) QUALIFY rank <= 5"""
+    f"""WITH {_PHASES}, {R.EDGES}, ends AS (
+        SELECT item_id AS query_id, 'edges' AS section, target AS path, 0.0 AS score FROM benchmark JOIN edges ON edges.source = 's' || item_id),
+    every AS (SELECT query_id, CASE phase WHEN 1 THEN 'aliases' WHEN 2 THEN 'symbols' ELSE 'content' END AS section, path, score FROM phases WHERE phase IN (1, 2, 4) UNION ALL SELECT * FROM ends)
+    SELECT query_id, section, row_number() OVER (PARTITION BY query_id, section ORDER BY score DESC, path) AS rank, path, score FROM every QUALIFY rank <= 5"""
 )
 def navigate_batch(spark, sf_dir):
-    return search.navigate({"content": _paths(_fts(spark, sf_dir, 3)), "symbols": _vector_paths(_near(spark, sf_dir, 50, 0.2))})
+    own = _phases(spark, sf_dir)
+    asked = _asked(spark, sf_dir).select("query_id", F.concat(F.lit("s"), F.col("query_id").cast("string")).alias("source"))
+    ends = R.edges(spark, sf_dir).join(asked, "source").select("query_id", F.col("target").alias("path"), F.lit(0.0).alias("score"))
+    return search.navigate({"aliases": own["aliases"], "symbols": own["symbols"], "content": own["content"], "edges": ends})
 
 
 # Documents ---------------------------------------------------------------------------
@@ -481,7 +509,7 @@ _SECTIONS = f"""rows AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subsc
 
 
 def _sections(spark, sf_dir) -> DataFrame:
-    return documents.section_split(_docs(spark, sf_dir), F.col("line_no") % 10 == 0, F.col("line"))
+    return documents.section_split(_docs(spark, sf_dir), lambda _, no: no % 10 == 0, lambda line: line)
 
 
 @query(f"WITH {_SECTIONS} SELECT doc_id, section, md5(title) AS title, md5(body) AS body, n_lines FROM sections")
@@ -529,8 +557,7 @@ def _stream(spark, sf_dir, width: str) -> DataFrame:
 
     schema = table(spark, sf_dir, "events").schema
     own = S.read_events(spark, sf_dir, schema, pattern="events.parquet").withColumn("tokens", F.floor(F.col("value") * 100).cast("long"))
-    name = f"stream_{abs(hash((sf_dir, width)))}"
-    done = S.drain(S.windowed(own, width, keys=("event_type",)), name)
+    done = S.drain(S.windowed(own, width, keys=("event_type",)), ["start", "event_type"])
     return done.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "calls", "tokens")
 
 
@@ -614,7 +641,7 @@ def learnings_rank(spark, sf_dir):
 
 
 def _metadata_sql() -> str:
-    text = "lower(lang || '-' || source || '-' || doc_id) || ' ' || lower(split_part(coalesce(text, ''), chr(10), 1)) || ' ' || lower(split_part(coalesce(text, ''), chr(10), 2))"
+    text = "lower(lang || '-' || source || '-' || doc_id) || ' ' || lower(coalesce(text, '')) || ' ' || lower(source)"
 
     def lists(rules, column):
         return " || ".join(f"CASE WHEN {' OR '.join(f'contains({column}, {w!r})' for w in words)} THEN [{', '.join(map(repr, gives))}] ELSE [] END" for words, gives in rules)
@@ -627,20 +654,19 @@ def _metadata_sql() -> str:
 
 @query(_metadata_sql())
 def metadata_inference(spark, sf_dir):
-    own = R.skills(spark, sf_dir).withColumn("doc_id", F.element_at(F.split("name", "-"), -1).cast("long"))
-    found = documents.metadata(own.select("doc_id", "name", "description", "triggers", "keywords"))
+    found = documents.metadata(R.documents_as_skills(spark, sf_dir))
     return found.select("doc_id", F.array_join("file_patterns", ",").alias("file_patterns"), F.array_join("applicable_phases", ",").alias("applicable_phases"))
 
 
 @query(
-    rf"""WITH {R.INDEX}, {R.terms_sql(3)}, {R.match_sql("terms", "hits")}, asked AS (SELECT query_id, list(term) AS terms FROM terms GROUP BY query_id),
+    rf"""WITH {R.INDEX}, {R.TERMS}, {R.match_sql("idx", "doc_id", "hits")}, asked AS (SELECT query_id, list(term) AS terms FROM terms GROUP BY query_id),
     x AS (SELECT h.query_id, h.doc_id, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+') AS toks, a.terms FROM hits h JOIN documents d ON h.doc_id = d.doc_id JOIN asked a ON h.query_id = a.query_id),
     y AS (SELECT *, list_position(list_transform(toks, lambda t: list_contains(terms, t)), true) AS p FROM x)
     SELECT query_id, doc_id, array_to_string(toks[greatest(p - 7, 1):p - 1] || ['»' || toks[p] || '«'] || toks[p + 1:p + 7], ' ') AS snippet FROM y"""
 )
 def fts_snippets(spark, sf_dir):
-    asked = R.queries(spark, sf_dir, 3).groupBy("query_id").agg(F.collect_list("term").alias("terms"))  # three terms at most
-    hits = _fts(spark, sf_dir, 3).join(asked, "query_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    asked = _asked(spark, sf_dir).select("query_id", F.array_distinct(T.tokens_of(F.col("text"))).alias("terms"))
+    hits = _fts(spark, sf_dir).join(asked, "query_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
     return hits.select("query_id", "doc_id", chunks.snippet(F.col("text"), F.col("terms")).alias("snippet"))
 
 

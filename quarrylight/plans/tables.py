@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens_of
+from ..operators.chunks import query_terms
 from ..session import table
 
 AS_OF = "2024-01-30 12:00:00"
@@ -37,25 +37,25 @@ EVENTS = r"""calls AS (
     FROM events)"""
 
 
-def queries(spark: SparkSession, sf_dir: str, first: int) -> DataFrame:
-    """query_id, term: the first distinct tokens of every benchmark text."""
-    own = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return own.select("query_id", F.explode(F.array_distinct(F.slice(tokens_of(F.col("text")), 1, first))).alias("term"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, term: the distinct tokens of every benchmark text."""
+    return query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), F.col("text"))
 
 
-def terms_sql(first: int, name: str = "terms") -> str:
-    return rf"""{name} AS (
-        SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')[1:{first}]) AS term FROM benchmark)"""
+TERMS = r"""terms AS (
+        SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark)"""
 
 
 INDEX = r"""idx AS (
     SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents)"""
 
 
-def match_sql(terms: str, name: str) -> str:
+def match_sql(index: str, keys: str, name: str) -> str:
+    """Units of an index that hold all terms of a query."""
+    own = ", ".join(f"f.{k.strip()}" for k in keys.split(","))
     return f"""{name} AS (
-        SELECT f.doc_id, f.query_id FROM (SELECT i.doc_id, t.query_id, count(*) AS n FROM idx i JOIN {terms} t ON i.term = t.term GROUP BY ALL) f
-        JOIN (SELECT query_id, count(*) AS n FROM {terms} GROUP BY query_id) w ON f.query_id = w.query_id AND f.n = w.n)"""
+        SELECT f.query_id, {own} FROM (SELECT t.query_id, {keys}, count(*) AS n FROM {index} i JOIN terms t ON i.term = t.term GROUP BY ALL) f
+        JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id) w ON f.query_id = w.query_id AND f.n = w.n)"""
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,19 +63,28 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source (nation of a customer), target (supplier): of orders shipped in January 1998."""
-    lines = table(spark, sf_dir, "lineitem").where("l_shipdate >= timestamp'1998-01-01' AND l_shipdate < timestamp'1998-02-01'").select("l_orderkey", "l_suppkey")
-    own = lines.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    own = own.join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    own = own.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    named = own.where("c_nationkey <> s_nationkey")
-    return named.select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("target")).distinct()
+    """source (supplier), target (order or part): of all lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    targets = F.array(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
+    return lines.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.explode(targets).alias("target")).distinct()
 
 
 EDGES = """edges AS (
-    SELECT DISTINCT 'n' || c_nationkey AS source, 's' || s_suppkey AS target
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '1998-02-01' AND c_nationkey <> s_nationkey)"""
+    SELECT DISTINCT 's' || l_suppkey AS source, unnest(['o' || l_orderkey, 'p' || l_partkey]) AS target FROM lineitem)"""
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, name, file_path of suppliers (in their nation), parts (in their brand) and orders (in their status)."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("nation/"), F.col("s_nationkey").cast("string")).alias("file_path"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("brand/"), "p_brand").alias("file_path"))
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("name"), F.concat(F.lit("status/"), "o_orderstatus").alias("file_path"))
+    return suppliers.unionByName(parts).unionByName(orders)
+
+
+SYMBOLS = """symbols AS (
+    SELECT 's' || s_suppkey AS id, s_name AS name, 'nation/' || s_nationkey AS file_path FROM supplier
+    UNION ALL SELECT 'p' || p_partkey, p_name, 'brand/' || p_brand FROM part
+    UNION ALL SELECT 'o' || o_orderkey, 'order ' || o_orderkey, 'status/' || o_orderstatus FROM orders)"""
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,34 +125,63 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(upsert(none, seen.where(F.col("observed_at") < F.lit(MIDDLE).cast("timestamp"))), seen.where(F.col("observed_at") >= F.lit(MIDDLE).cast("timestamp")))
 
 
-def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as skills."""
-    text = F.coalesce("text", F.lit(""))
+def learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alias table with what earlier searches taught: the whole text of every third benchmark item stands for the item."""
+    from ..operators.aliases import upsert
+
+    items = table(spark, sf_dir, "benchmark").where("item_id % 3 = 0")
+    none = F.lit(None)
+    taught = items.select(F.col("text").alias("alias_term"), F.concat(F.lit("item/"), F.col("item_id").cast("string")).alias("resolved_path"), none.cast("string").alias("resolved_symbol"), none.cast("int").alias("resolved_line"), F.lit(AS_OF).cast("timestamp").alias("observed_at"))
+    return upsert(aliases(spark, sf_dir), taught)
+
+
+LEARNED = f"""{ALIASES}, learned AS (
+    SELECT alias_term, resolved_path, confidence FROM aliases
+    UNION ALL SELECT text, 'item/' || item_id, 0.8 FROM benchmark WHERE item_id % 3 = 0)"""
+
+
+def documents_as_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as skills that their whole text describes."""
     return table(spark, sf_dir, "documents").select(
+        "doc_id",
         F.concat("lang", F.lit("-"), "source", F.lit("-"), F.col("doc_id").cast("string")).alias("name"),
-        F.concat("source", F.lit("/"), "lang").alias("relative_path"),
-        F.split_part(text, F.lit("."), F.lit(1)).alias("intent"),
-        F.split_part(text, F.lit("\n"), F.lit(1)).alias("description"),
-        F.array(F.split_part(text, F.lit("\n"), F.lit(2))).alias("triggers"),
-        F.array("lang").alias("action_triggers"),
-        F.array("source").alias("micro_rules"),
+        F.coalesce("text", F.lit("")).alias("description"),
+        F.array("source").alias("triggers"),
         F.array("lang", "source").alias("keywords"),
-        text.alias("content"),
+    )
+
+
+def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as skills."""
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), F.col("p_partkey").cast("string")).alias("name"),
+        F.concat("p_brand", F.lit("/"), "p_type").alias("relative_path"),
+        F.lit("").alias("title"),
+        F.col("p_name").alias("intent"),
+        F.concat("p_type", F.lit(" "), "p_name").alias("description"),
+        F.array("p_brand").alias("triggers"),
+        F.array("p_type").alias("action_triggers"),
+        F.split("p_name", " ").alias("micro_rules"),
+        F.array("p_brand", "p_type").alias("keywords"),
+        F.concat_ws(" ", "p_name", "p_brand", "p_type", F.col("p_size").cast("string")).alias("content"),
     )
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three words of every benchmark text."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ").alias("text"))
+    """Every name that a part has."""
+    return table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("text")).agg(F.min("p_partkey").alias("query_id"))
+
+
+def _word_sql(weights: list[tuple[str, int]], word: str = "w") -> str:
+    return " + ".join(f"CASE WHEN contains({field}, {word}) THEN {weight} ELSE 0 END" for field, weight in weights)
 
 
-SKILLS = r"""skills AS (
-    SELECT lower(lang || '-' || source || '-' || doc_id) AS name, lower(source || '/' || lang) AS path, lower(split_part(coalesce(text, ''), '.', 1)) AS intent,
-           lower(split_part(coalesce(text, ''), chr(10), 1)) AS description, lower(split_part(coalesce(text, ''), chr(10), 2)) AS triggers,
-           lower(lang) AS actions, lower(source) AS rules, lower(lang || ' ' || source) AS keywords, lower(coalesce(text, '')) AS content,
-           lang || '-' || source || '-' || doc_id AS shown
-    FROM documents),
-    tasks AS (SELECT item_id AS query_id, array_to_string(string_split_regex(text, '\s+')[1:3], ' ') AS text FROM benchmark),
+SKILLS = f"""skills AS (
+    SELECT lower(replace(p_name, ' ', '-') || '-' || p_partkey) AS name, lower(p_brand || '/' || p_type) AS path, lower(p_name) AS intent, lower(p_type || ' ' || p_name) AS description,
+           lower(p_brand) AS triggers, lower(p_type) AS actions, lower(p_name) AS rules, lower(p_brand || ' ' || p_type) AS keywords,
+           lower(p_name || ' ' || p_brand || ' ' || p_type || ' ' || p_size) AS content, replace(p_name, ' ', '-') || '-' || p_partkey AS shown
+    FROM part),
+    tasks AS (SELECT p_name AS text, min(p_partkey) AS query_id FROM part GROUP BY p_name),
     scored AS (
     SELECT query_id, text, skills.*,
            (CASE WHEN name = lower(text) THEN 100 WHEN contains(name, lower(text)) THEN 70 ELSE 0 END
@@ -151,11 +189,8 @@ SKILLS = r"""skills AS (
             + CASE WHEN description <> '' AND contains(description, lower(text)) THEN 40 ELSE 0 END
             + CASE WHEN triggers <> '' AND contains(triggers, lower(text)) THEN 50 ELSE 0 END
             + CASE WHEN actions <> '' AND contains(actions, lower(text)) THEN 60 ELSE 0 END
-            + coalesce(list_sum(list_transform(list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> ''), lambda w:
-                CASE WHEN contains(name, w) THEN 40 ELSE 0 END + CASE WHEN contains(actions, w) THEN 35 ELSE 0 END
-                + CASE WHEN contains(intent, w) THEN 25 ELSE 0 END + CASE WHEN contains(triggers, w) THEN 25 ELSE 0 END
-                + CASE WHEN contains(rules, w) THEN 20 ELSE 0 END + CASE WHEN contains(description, w) THEN 15 ELSE 0 END
-                + CASE WHEN contains(keywords, w) THEN 20 ELSE 0 END + CASE WHEN contains(content, w) THEN 5 ELSE 0 END)), 0)) / 100.0 AS score
+            + coalesce(list_sum(list_transform(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''), lambda w:
+                {_word_sql([("name", 40), ("actions", 35), ("intent", 25), ("triggers", 25), ("rules", 20), ("description", 15), ("keywords", 20), ("content", 5)])})), 0)) / 100.0 AS score
     FROM skills, tasks),
     stage1 AS (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, shown) AS rank FROM scored WHERE score > 0 OR trim(text) = ''

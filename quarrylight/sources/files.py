@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import struct
+import time
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -26,14 +28,20 @@ def _parts(path: Column) -> Column:
 
 
 def walk(spark: SparkSession, root: str, *, max_depth: int = 8, most: int = MOST_ENTRIES, ignored: list[str] | None = None) -> DataFrame:
-    """path (below root), file_type, size_bytes, modified_at, sorted by path, at most ``most``.
+    """path (below root), file_type (file or directory), size_bytes, modified_at, sorted by path, at most ``most``.
+
+    Directories are those of files, and as new as their newest file.
 
     ignored: patterns of paths to leave out, as regular expressions (from an ignore file).
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     below = F.regexp_replace(F.col("path"), "^(file:)?/*" + root.replace("file:", "").strip("/").replace(".", r"\.") + "/", "")
     own = raw.select(below.alias("path"), F.lit("file").alias("file_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    kept = own.where(visible(F.col("path"), max_depth))
+    files = own.where(visible(F.col("path"), max_depth))
+    parts = _parts(F.col("path"))
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    folders = files.where(F.size(parts) > 1).select(F.explode(above).alias("path"), "modified_at").groupBy("path").agg(F.max("modified_at").alias("modified_at"))
+    kept = files.unionByName(folders.select("path", F.lit("directory").alias("file_type"), F.lit(0).cast("long").alias("size_bytes"), "modified_at"))
     for pattern in ignored or []:
         kept = kept.where(~F.col("path").rlike(pattern))
     return kept.orderBy("path").limit(most)
@@ -110,14 +118,73 @@ def find_skill(rows: DataFrame, name: str) -> DataFrame:
     return rows.withColumn("_at", place).where(F.col("_at").isNotNull()).orderBy("_at", "relative_path").limit(1).drop("_at")
 
 
+def requested(names: DataFrame, proposals: DataFrame, embedded: DataFrame, local: DataFrame) -> DataFrame:
+    """name, origin, content of each requested name: the first of proposals, the embedded catalog and local files that has it; origin is null if none has.
+
+    proposals and embedded: name, content; local: path, content, looked up by path.
+    """
+    out, first = names.select("name").distinct(), []
+    for i, (origin, rows, key) in enumerate((("proposal", proposals, "name"), ("catalog", embedded, "name"), ("file", local, "path"))):
+        own = rows.groupBy(F.col(key).alias("name")).agg(F.min("content").alias(f"c{i}"))
+        out = out.join(own, "name", "left")
+        first.append((F.col(f"c{i}"), origin))
+    origin = F.coalesce(*(F.when(c.isNotNull(), o) for c, o in first))
+    return out.select("name", origin.alias("origin"), F.coalesce(*(c for c, _ in first)).alias("content"))
+
+
 def new_skills(local: DataFrame, embedded: DataFrame) -> DataFrame:
     return local.join(embedded.select("name"), "name", "left_anti")
 
 
 def sessions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Session documents, newest first."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(folder)
-    return raw.select("*", F.col("_metadata.file_modification_time").alias("modified_at")).orderBy(F.desc("modified_at"), "session_id")
+    """Session documents, newest first; those that are no JSON of the schema are left out."""
+    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
+    named = raw.select("*", F.col("_metadata.file_modification_time").alias("modified_at"), F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("file_id"))
+    return named.where("session_id IS NOT NULL").orderBy(F.desc("modified_at"), "session_id")
+
+
+def session_by_id(spark: SparkSession, folder: str, session_id: str, schema: str) -> DataFrame:
+    """The session whose file has that name; an error that tells corrupted from missing."""
+    own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.endswith("path", F.lit(f"/{session_id}.json")))
+    texts = own.select(F.col("content").cast("string").alias("text"), F.from_json(F.col("content").cast("string"), schema, {"mode": "PERMISSIVE"}).alias("session")).limit(1)
+    found = texts.collect()  # one row
+    if not found:
+        raise KeyError(f"no session {session_id!r} in {folder}")
+    if found[0]["session"] is None or found[0]["session"]["session_id"] is None:
+        raise ValueError(f"the file of session {session_id!r} is corrupted")
+    return texts.select("session.*")
+
+
+def newest_session(spark: SparkSession, folder: str, schema: str, legacy: str | None = None) -> DataFrame:
+    """The newest session of a folder; if there is none, that of the legacy file; else no rows."""
+    own = sessions(spark, folder, schema).drop("modified_at", "file_id").limit(1)
+    if legacy and own.isEmpty():
+        own = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(legacy).where("session_id IS NOT NULL").limit(1)
+    return own
+
+
+class Snapshot:
+    """Tables of a project, kept in memory until a directory's stamp changes or they are older than ``seconds``.
+
+    make: returns the tables by name; stamp: what their sources look like now, such as modification times.
+    """
+
+    def __init__(self, make: Callable[[], dict[str, DataFrame]], stamp: Callable[[], object], seconds: float = 2.0, clock: Callable[[], float] = time.monotonic):
+        self.make, self.stamp, self.seconds, self.clock = make, stamp, seconds, clock
+        self.held: tuple[float, object, dict[str, DataFrame]] | None = None
+
+    def tables(self) -> dict[str, DataFrame]:
+        now, stamp = self.clock(), self.stamp()
+        if self.held is None or now - self.held[0] > self.seconds or self.held[1] != stamp:
+            self.invalidate()
+            self.held = (now, stamp, {k: df.persist() for k, df in self.make().items()})
+        return self.held[2]
+
+    def invalidate(self) -> None:
+        if self.held is not None:
+            for df in self.held[2].values():
+                df.unpersist()
+            self.held = None
 
 
 def decode_vectors(content: bytes) -> np.ndarray:

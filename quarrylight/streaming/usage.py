@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import diff
+from ..session import shared_folder
 
 
 def read_events(spark: SparkSession, folder: str, schema, *, files_per_trigger: int = 1, pattern: str = "*.parquet") -> DataFrame:
@@ -36,14 +37,24 @@ def sessions(events: DataFrame, key: str, gap: str = "5 minutes", late: str = "2
     return own.agg(F.count("*").alias("calls")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "calls")
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str | None = None, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all there is now and returns its table; for tests and small results."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def drain(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+    """Runs a stream over all there is now and returns its table: the last state of every key.
+
+    Update mode: a batch writes the keys it changed, and what the watermark has passed leaves
+    the state. ``folder`` keeps batches and progress; a later call goes on from there.
+    """
+    spark = stream.sparkSession
+    root = folder or shared_folder(spark, "stream")
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/batches/epoch={epoch}")  # again after a failure, with the same rows
+
+    query = stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    every = spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{root}/batches")
+    rest = [c for c in stream.columns if c not in keys]
+    last = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last"))
+    return last.select(*keys, *(f"last.{c}" for c in rest))
 
 
 def index_loop(changes: DataFrame, stored: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):

@@ -101,10 +101,14 @@ def test_semantic(spark):
     text = "---\ndescription: Plans work. Then more.\ntags: [a, 'b']\n---\n# Planner\n## When to use\n- start\n* later\n## Rules\n- keep it short\n"
     own = documents.semantic_documents(spark.createDataFrame([("planner-x", text)], "name string, content string"))
     r = own.first()
-    assert (r["title"], r["intent"], r["triggers"], r["micro_rules"], r["keywords"]) == ("Planner", "Plans work", ["start", "later"], ["keep it short"], ["a", "b"])
-    full = documents.metadata(own)
-    assert "planner" in full.first()["action_triggers"] and full.first()["applicable_phases"] == ["plan", "review"]
-    assert full.select(documents.passage().alias("p")).first()["p"].startswith("Skill: planner-x (Planner)\nIntent: Plans work\nKey Rules: keep it short")
+    assert (r["title"], r["intent"], r["triggers"], r["micro_rules"], r["keywords"]) == ("Planner", "Plans work", ["start", "later"], ["keep it short"], ["a", "b", "planner"])
+    assert r["action_triggers"] == ["planner"] and r["applicable_phases"] == ["plan", "review"] and r["file_patterns"] == []
+    assert r["summary_snippet"] == "Skill: planner-x (Planner)\nIntent: Plans work\nKey Rules: keep it short\nTriggers: start; later\nActions: planner"
+    bare = documents.semantic_documents(spark.createDataFrame([("sql_notes-two", "## Rules\n- " + "x" * 2000 + "\n- use parameters\n"), ("empty", None)], "name string, content string"))
+    got = {r["name"]: r for r in bare.collect()}
+    assert got["sql_notes-two"]["intent"] == "sql_notes two" and got["sql_notes-two"]["micro_rules"] == ["use parameters"]
+    assert "*.sql" in got["sql_notes-two"]["file_patterns"] and "query" in got["sql_notes-two"]["keywords"] and len(got["sql_notes-two"]["summary_snippet"]) <= 1500
+    assert got["empty"]["applicable_phases"] == ["implement", "refactor"]
 
 
 def test_learnings(spark):
@@ -142,7 +146,8 @@ def test_files(spark, tmp_path):
     for name in ("src/a.rs", "target/b.rs", ".hidden/c", "src/deep/d.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x")
-    assert [r["path"] for r in files.walk(spark, str(tmp_path)).collect()] == ["src/a.rs", "src/deep/d.py"]
+    walked = files.walk(spark, str(tmp_path)).collect()
+    assert [(r["path"], r["file_type"]) for r in walked] == [("src", "directory"), ("src/a.rs", "file"), ("src/deep", "directory"), ("src/deep/d.py", "file")]
     paths = spark.createDataFrame([("src/a.rs",), ("build/x.rs",), ("a.min.js",), ("builder/x.rs",)], "path string")
     assert [r["path"] for r in paths.where(files.relevant(F.col("path"))).collect()] == ["src/a.rs", "builder/x.rs"]
     tree = [("s/one/SKILL.md", "name: First"), ("s/one/sub/SKILL.md", "inner"), ("s/cheatsheets/git_tips.md", "x"), ("s/docs/SKILL.md", "y"), ("s/cheatsheets/README.md", "z")]
@@ -152,6 +157,86 @@ def test_files(spark, tmp_path):
     assert files.find_skill(own, "s/one").count() == 1
 
 
+def test_requested_skills(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("c.md",), ("d",), ("a",)], "name string")
+    proposals, embedded = spark.createDataFrame([("a", "from a proposal")], "name string, content string"), spark.createDataFrame([("a", "x"), ("b", "embedded")], "name string, content string")
+    local = spark.createDataFrame([("c.md", "local"), ("b", "y")], "path string, content string")
+    got = {r["name"]: (r["origin"], r["content"]) for r in files.requested(names, proposals, embedded, local).collect()}
+    assert got == {"a": ("proposal", "from a proposal"), "b": ("catalog", "embedded"), "c.md": ("file", "local"), "d": (None, None)}
+
+
+def test_session_store(spark, tmp_path):
+    import os
+
+    schema = "session_id string, stage string"
+    for i, (name, text) in enumerate((("s1", '{"session_id": "s1", "stage": "Plan"}'), ("s2", '{"session_id": "s2", "stage": "Fix"}'), ("bad", "{not json"))):
+        (tmp_path / "sessions").mkdir(exist_ok=True)
+        path = tmp_path / "sessions" / f"{name}.json"
+        path.write_text(text)
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    folder = str(tmp_path / "sessions")
+    assert [r["session_id"] for r in files.sessions(spark, folder, schema).collect()] == ["s2", "s1"]
+    assert files.session_by_id(spark, folder, "s1", schema).first()["stage"] == "Plan"
+    with pytest.raises(KeyError):
+        files.session_by_id(spark, folder, "s9", schema)
+    with pytest.raises(ValueError, match="corrupted"):
+        files.session_by_id(spark, folder, "bad", schema)
+    assert files.newest_session(spark, folder, schema).first()["session_id"] == "s2"
+    (tmp_path / "none").mkdir()
+    (tmp_path / "session.json").write_text('{"session_id": "old", "stage": "Build"}')
+    assert files.newest_session(spark, str(tmp_path / "none"), schema, str(tmp_path / "session.json")).first()["session_id"] == "old"
+
+
+def test_snapshot_cache(spark):
+    made, stamp, now = [], [1], [0.0]
+    own = files.Snapshot(lambda: made.append(1) or {"files": spark.range(3)}, lambda: stamp[0], clock=lambda: now[0])
+    assert own.tables()["files"].count() == 3 and own.tables() is own.tables() and len(made) == 1
+    stamp[0] = 2
+    own.tables()
+    now[0] = 2.5
+    own.tables()
+    assert len(made) == 3
+    own.invalidate()
+    assert own.held is None
+
+
+def test_bounded_read(spark):
+    long = "fn big() {\n" + "\n".join(f"  let x{i} = {i};" for i in range(400)) + "\n}\n"
+    rows = [("a.rs", long), ("b.rs", "fn small() {\n  1\n}\n\n\n\nfn other() {}\n"), ("c.md", "![x](https://img.shields.io/y)\ntext  \n")]
+    df = spark.createDataFrame(rows, "path string, content string")
+    auto = {r["path"]: r for r in code.bounded_read(df).collect()}
+    assert "big() { /* L1-402: 402 lines */ }" in auto["a.rs"]["view"] and not auto["a.rs"]["capped"]
+    assert auto["b.rs"]["view"] == "fn small() {\n  1\n}\n\nfn other() {}" and auto["c.md"]["view"] == "\ntext"
+    full = {r["path"]: r for r in code.bounded_read(df, mode="full").collect()}
+    assert full["a.rs"]["capped"] and full["a.rs"]["n_lines"] == 402 and full["a.rs"]["view"].count("\n") == 299
+    own = {r["path"]: r for r in code.bounded_read(df, "small").collect()}
+    assert own["b.rs"]["view"] == "fn small() {\n  1\n}" and own["a.rs"]["view"].count("\n") == 299
+    assert "Structural Skeleton" in code.bounded_read(df.where("path = 'a.rs'"), mode="skeleton").first()["view"]
+    assert code.listing(df).where("path = 'b.rs'").orderBy("line_no").first()["entry"] == "L0001: fn small() {"
+
+
+def test_phase_and_language_rules(spark):
+    rules = spark.createDataFrame([("plan", "keep it simple"), ("core", "think")], "group string, rule string")
+    phases = spark.createDataFrame([(" Design ",), ("anything",), ("read",)], "phase string")
+    assert {r["phase"]: (r["group"], r["rule"]) for r in documents.phase_rules(phases, rules).collect()} == {" Design ": ("plan", "keep it simple"), "anything": ("core", "think"), "read": ("explore", None)}
+    profile = documents.language_profile(spark.createDataFrame([("a.hpp",), ("Dockerfile",)], "path string"), "")
+    assert profile.first()["primary_languages"] == ["c", "c++"] and profile.first()["secondary_tech"] == ["devops", "docker"]
+    mine = spark.createDataFrame([("docker", "pin images"), ("rust", "x")], "language string, rule string")
+    assert [r["rule"] for r in documents.language_rules(profile, mine).collect()] == ["pin images"]
+
+
+def test_sorted_rows_and_catalog_hash(spark):
+    df = spark.createDataFrame([(1, "b", 10.0), (2, "A", None), (3, "c", 9.0)], "id int, name string, n double")
+    assert [r["id"] for r in usage.sorted_rows(df, "name", "id").orderBy("place").collect()] == [2, 1, 3]
+    assert [r["id"] for r in usage.sorted_rows(df, "n", "id", descending=True).orderBy("place").collect()] == [1, 3, 2]
+    from quarrylight.functions.text import catalog_hash
+
+    def mark(rows):
+        return rows.agg(catalog_hash(F.col("id"), F.col("name")).alias("h")).first()["h"]
+
+    assert mark(df) == mark(df.repartition(3)) != mark(df.withColumn("id", 4 - F.col("id")))
+
+
 def test_vectors(spark, tmp_path):
     import numpy as np
 
@@ -167,5 +252,5 @@ def test_sessions_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = streaming.read_events(spark, sf_dir, schema, pattern="events.parquet").withColumn("tokens", F.lit(1))
     batch = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("start")).count()
-    got = streaming.drain(streaming.hourly(events), "hours_test")
+    got = streaming.drain(streaming.hourly(events), ["start"])
     assert {(r["start"], r["calls"]) for r in got.collect()} == {(r["start"], r["count"]) for r in batch.collect()}

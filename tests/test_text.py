@@ -47,6 +47,27 @@ def test_shown(spark):
     assert one(spark, "Looks GOOD", T.is_approval) is True
 
 
+@pytest.mark.parametrize(("word", "stage"), [("plan", "Plan"), (" Revise", "Ask_Revise"), ("TEST/RECHECK", "Test_Recheck"), ("review", "Proposal"), ("document", "Proposal"), ("deploy", None), (None, None)])
+def test_stage(spark, word, stage):
+    assert one(spark, word, T.stage_name) == stage
+
+
+def test_passages_and_scales(spark):
+    row = spark.createDataFrame([("function", "a.rs", None, "run", 3, 9, "x" * 600)], "k string, p string, s string, n string, a int, b int, t string").select(
+        T.symbol_passage(F.col("k"), F.col("p"), F.col("s"), F.col("n")).alias("symbol"),
+        T.chunk_passage(F.col("p"), F.col("a"), F.col("b"), F.col("t")).alias("chunk"),
+        T.prefixed(F.col("n"), "query").alias("query"),
+        T.linear_scale(F.col("a"), F.col("b"), 16, 186).alias("y"),
+        T.linear_scale(F.col("a"), F.lit(0), 16, 186).alias("flat"),
+        T.slot_center(F.col("a"), F.col("b"), 38, 90).alias("x"),
+        T.column_width(F.col("b"), 90).alias("w"),
+        T.percent_text(F.col("a")).alias("percent"),
+        T.file_uri_path(F.lit("file:///a%20b/c")).alias("path"),
+    ).first()
+    assert row["symbol"] == "function in a.rs — run" and row["chunk"] == "code in a.rs lines 3-9: " + "x" * 512 and row["query"] == "query: run"
+    assert (row["y"], row["flat"], row["x"], row["w"], row["percent"], row["path"]) == (pytest.approx(186 - 170 / 3), 186, 38 + 30 + 5, 5.0, "3.0%", "/a b/c")
+
+
 def test_expand(spark):
     row = spark.createDataFrame([("fix it", "general", "test")], "t string, f string, p string").select(T.expand_query(F.col("t"), F.col("f"), F.col("p")).alias("q")).first()
     assert row["q"] == "fix it test testing unit mock"
