@@ -58,21 +58,30 @@ def add(learnings: DataFrame, new: DataFrame, *, cap: int = 30, look_back: int =
     return every.withColumn("_n", F.row_number().over(w)).where(F.col("is_pinned") | (F.col("_n") <= cap)).drop("_n")
 
 
+def _owner(rows: DataFrame) -> list[str]:
+    return ["owner"] if "owner" in rows.columns else []
+
+
 def parse(rows: DataFrame) -> DataFrame:
-    """ord, category, content, is_pinned of Markdown lines (line_no, line): a header sets the category of the bullets below it."""
+    """ord, category, content, is_pinned of Markdown lines (line_no, line): a header sets the category of the bullets below it.
+
+    A column ``owner`` tells the lines of many lists apart, and stays; one list is one file.
+    """
+    keys = _owner(rows)
     header = F.when(F.col("line").rlike(r"^#+ "), F.trim(F.regexp_replace("line", r"^#+ ", "")))
-    w = Window.partitionBy(F.lit(0)).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys or [F.lit(0)]).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     own = rows.withColumn("head", F.last(header, True).over(w)).where(F.col("line").rlike(r"^\s*[-*] "))
     pinned = F.coalesce(F.upper("head").startswith("PINNED:"), F.lit(False))
     category = F.lower(F.coalesce(F.regexp_replace("head", "(?i)^PINNED:", ""), F.lit("general")))
-    return own.select(F.col("line_no").cast("long").alias("ord"), F.trim(category).alias("category"), F.trim(F.regexp_replace("line", r"^\s*[-*] ", "")).alias("content"), pinned.alias("is_pinned"))
+    return own.select(*keys, F.col("line_no").cast("long").alias("ord"), F.trim(category).alias("category"), F.trim(F.regexp_replace("line", r"^\s*[-*] ", "")).alias("content"), pinned.alias("is_pinned"))
 
 
 def render(learnings: DataFrame) -> DataFrame:
-    """One text: pinned entries, then the others, a header where the category changes."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("is_pinned"), "ord")
+    """One text, or one for each ``owner``: pinned entries, then the others, a header where the category changes."""
+    keys = _owner(learnings)
+    order = Window.partitionBy(*keys or [F.lit(0)]).orderBy(F.desc("is_pinned"), "ord")
     label = F.concat(F.when(F.col("is_pinned"), "PINNED:").otherwise(""), F.col("category"))
     own = learnings.withColumn("label", label).withColumn("before", F.lag("label").over(order)).withColumn("place", F.row_number().over(order))
     head = F.when(F.col("before").isNull() | (F.col("before") != F.col("label")), F.concat(F.lit("# "), "label", F.lit("\n"))).otherwise("")
     line = F.concat(head, F.lit("- "), F.col("content"))
-    return own.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    return own.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))

@@ -7,25 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import aliases as A
-from ..operators import chunks, code, documents, graph, learnings, merge, ranking, search, usage, vector_search
+from ..operators import chunks, documents, graph, learnings, merge, ranking, search, usage, vector_search
 from ..session import table
-from . import fixtures
 from . import tables as R
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function (spark, sf_dir) under its name, with its SQL."""
-
-    def keep(make):
-        QUERIES[make.__name__] = make
-        if sql:
-            SQL[make.__name__] = sql
-        return make
-
-    return keep
+from .registered import QUERIES, SQL, query
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -670,34 +655,6 @@ def fts_snippets(spark, sf_dir):
     return hits.select("query_id", "doc_id", chunks.snippet(F.col("text"), F.col("terms")).alias("snippet"))
 
 
-# Inline code fixture -----------------------------------------------------------------
-
-
-@query()
-def symbol_extract(spark, sf_dir):
-    return code.symbols(fixtures.code_files(spark))
-
-
-@query()
-def import_edges(spark, sf_dir):
-    return code.import_edges(fixtures.code_files(spark))
-
-
-@query()
-def call_edges(spark, sf_dir):
-    return code.call_edges(fixtures.code_files(spark))
-
-
-@query()
-def skeleton(spark, sf_dir):
-    return code.skeletons(fixtures.code_files(spark))
-
-
-@query()
-def target_symbol(spark, sf_dir):
-    return code.target_symbols(fixtures.code_files(spark), "Engine")
-
-
 @query("SELECT vec_id AS id, octet_length(encode('')) + 4 * len(embedding) AS n_bytes, true AS same FROM embeddings")
 def vector_codec(spark, sf_dir):
     from ..sources.files import bytes_vector, vector_bytes
@@ -707,3 +664,5 @@ def vector_codec(spark, sf_dir):
 
 
 FLAGSHIP = "cascade_batch"
+
+from . import more  # noqa: E402, F401  registers the rest

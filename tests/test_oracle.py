@@ -43,6 +43,13 @@ def test_same_as_sql(spark, sf_dir, duck, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_queries_find_something(spark, sf_dir, duck):
+    """The full-text, alias and edge phases have rows to compare."""
+    phases = {r["phase"] for r in catalog.QUERIES["cascade_batch"](spark, sf_dir).collect()}
+    sections = {r["section"] for r in catalog.QUERIES["navigate_batch"](spark, sf_dir).collect()}
+    assert {1, 5} <= phases and {"aliases", "content", "edges"} <= sections
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_others_run(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
