@@ -25,6 +25,7 @@ rows are rows of their own; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,10 +33,11 @@ from heapq import heapreplace, nsmallest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Ragged, Words, blocks
+from .blocks import BLOCK, Ragged, Words, blocks
 from .common import Scratch, documents, hash_buckets, pack, remainder, splits, unpack
 
 END = b"\n"
@@ -64,6 +66,18 @@ def tail_class(word: bytes, tails: int) -> int:
     return zlib.crc32(word[:2]) % tails
 
 
+def tail_classes(words: pa.Array, tails: int) -> np.ndarray:
+    """The same for an array of words (64-bit offsets), none of them empty."""
+    _, offsets, data = words.buffers()
+    edges = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    first = raw[edges[:-1]].astype(np.int64)
+    second = np.where(np.diff(edges) > 1, raw[np.minimum(edges[:-1] + 1, max(0, len(raw) - 1))].astype(np.int64), 256)
+    pair, at = np.unique(first * 257 + second, return_inverse=True)
+    starts = (bytes([p // 257]) if p % 257 == 256 else bytes(divmod(p, 257)) for p in pair.tolist())
+    return np.fromiter((tail_class(s, tails) for s in starts), np.int64, len(pair))[at]
+
+
 def _joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(len, words), "<u4", len(words)), np.frombuffer(b"".join(words), np.uint8)
 
@@ -95,7 +109,7 @@ def _count(buckets: int, most: int = 700_000):
             counts.clear()
             return _messages([k for k, _ in out], [0] * len(out), [x for _, x in out])
 
-        for b, texts in blocks(batches):
+        for b, texts in blocks(batches, 2 * BLOCK):
             own = [t for d, t in zip(b.column("doc_id").to_pylist(), texts, strict=True) if remainder(d, MOD) != HELD]
             if own:
                 words = Words(own)
@@ -147,6 +161,11 @@ class Vocabulary:
     def base(self) -> int:
         return len(self.logs)
 
+    @functools.cached_property
+    def values(self) -> pa.Array:
+        """Frequent words in order of their identifiers."""
+        return pa.array(list(self.ids), pa.large_binary())
+
     @staticmethod
     def build(shape: Shape, top: list[tuple[bytes, int]], mass: np.ndarray, tokens: int, types: int) -> Vocabulary:
         counts = dict(top)
@@ -359,18 +378,19 @@ class Texts:
 
     def __init__(self, texts: list[bytes], words: Vocabulary, rare: bool):
         found = Words(texts)
-        values, tails, get = found.values.to_pylist(), words.shape.tails, words.ids.get
-        number = np.fromiter((get(w, -1) for w in values), np.int64, len(values))
+        at = pc.index_in(found.values, value_set=words.values)
+        number = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(number < 0)
-        number[new] = [words.base + tail_class(values[i], tails) for i in new.tolist()]
+        rest = found.values.take(pa.array(new))
+        number[new] = words.base + tail_classes(rest, words.shape.tails)
         self.lengths = found.counts + 1
         self.ids = np.insert(number[found.index], np.cumsum(found.counts), 0)
         if rare:
             text = np.repeat(np.arange(len(texts)), found.counts)
             own = np.flatnonzero(number[found.index] >= words.base)
-            spot = np.empty(len(values), np.int64)
+            spot = np.empty(len(number), np.int64)
             spot[new] = np.arange(len(new))
-            self.rare = [values[i] for i in new.tolist()]
+            self.rare = rest.to_pylist()
             key, self.times = np.unique(spot[found.index[own]] * len(texts) + text[own], return_counts=True)
             self.word, self.text = np.divmod(key, max(1, len(texts)))
 
@@ -378,7 +398,7 @@ class Texts:
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes]]]:
     """(number of the block among all, rows, texts)."""
     number = 0
-    for b, texts in blocks(batches):
+    for b, texts in blocks(batches, 2 * BLOCK):
         yield b.column("part")[0].as_py() << 24 | number, b, texts
         number += 1
 

@@ -515,6 +515,14 @@ def test_lanes_are_bounded_by_tokens_and_blocks_deal_evenly(spark):
     assert len(set(heads)) > 900  # numbers of blocks share their low bits, their hashes do not
 
 
+def test_tail_classes_of_arrays():
+    words = [b"a", b"ab", b"abc", bytes([255, 0]), bytes([255]), b"b", b"ab"]
+    for own in (words, words[:1], []):
+        got = language_model.tail_classes(pa.array(own, pa.large_binary()), 64)
+        assert got.tolist() == [language_model.tail_class(w, 64) for w in own]
+    assert language_model.tail_classes(pa.array(words, pa.large_binary())[2:], 64).tolist() == [language_model.tail_class(w, 64) for w in words[2:]]
+
+
 def test_scores_do_not_depend_on_neighbours(spark):
     """A long text scored among others and alone, and a table with a column of a clashing name."""
     rng = np.random.default_rng(3)
