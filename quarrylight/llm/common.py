@@ -39,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder and read back, lineage cut."""
 
+    made_so_far: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        Scratch.made_so_far.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
@@ -56,10 +59,19 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of ``keep`` that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        self._delete(df.scratch_path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def sweep(self) -> None:
+        """Deletes all tables that others have made after this one, once their results are written."""
+        later = Scratch.made_so_far[Scratch.made_so_far.index(self) + 1 :]
+        for other in later:
+            other._delete(other.root)
+            Scratch.made_so_far.remove(other)
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -82,7 +82,8 @@ def line_dedup(docs: DataFrame, *, min_chars: int = 10, min_docs: int = 2) -> Da
     doc = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)).alias("doc")
     lines = scratch.keep(docs.select(doc, "text").mapInArrow(lean(_explode(min_chars)), "doc long, key binary"), "keys")
     counts = lines.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.min("doc").alias("first"))
-    common = counts.where(F.col("n") >= min_docs).select("key", "first")
+    # written, so that a key with very many lines meets it in a plain join of two exchanges, which Spark can split
+    common = scratch.keep(counts.where(F.col("n") >= min_docs).select("key", "first"), "common")
     drops = lines.join(common, "key").where("doc != first").groupBy("doc").agg(F.collect_set("key").alias("drops"))
     rest = [c for c in docs.columns if c not in ("text", "kept_text", "n_lines", "n_dropped")]
     inner = docs.select(F.struct(*rest).alias("_rest"), "text", doc.alias("_doc"))

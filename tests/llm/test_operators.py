@@ -383,6 +383,34 @@ def test_toxicity(spark, none):
     assert (one.predicted == 0).all()
 
 
+def test_toxicity_pairs_without_marginals():
+    """The label is that exactly one of two words occurs: neither alone tells anything."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append([*([7] if a else []), *([11] if b else []), *(100 + rng.integers(0, 400, 12)).tolist()])
+        labels.append(int(a != b))
+    rows = [sorted(set(r)) for r in rows]
+    model = toxicity.fit(rows[:2400], np.array(labels[:2400], float), 1024)
+    own = [[model.slots[t] for t in r if t in model.slots] for r in rows[2400:]]
+    assert {7, 11} <= set(model.slots) and len(model.slots) < 60
+    assert np.mean([(model.score(r) >= 0.5) == y for r, y in zip(own, labels[2400:], strict=True)]) > 0.95
+
+
+def test_toxicity_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(6)
+    model = toxicity.FactorizationMachine(64, {i: i for i in range(20)}, 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    for _ in range(20):
+        own = sorted(rng.choice(20, rng.integers(0, 9), replace=False).tolist())
+        plain = 0.3 + sum(model.w[i] for i in own) + sum(model.v[i] @ model.v[j] for k, i in enumerate(own) for j in own[k + 1 :])
+        assert model.score(own) == pytest.approx(1 / (1 + np.exp(-plain)))
+    texts = [b"", b"word " * 50_000 + b"fool", b"Fool! fool"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 1, None], "text": [t.decode() for t in texts]})
+    got = next(toxicity._score(model, 0.7)(iter([batch])))
+    assert [0 <= x <= 1 for x in got.column("score").to_pylist()] == [True] * 3
+
+
 def test_neighbours(spark, none):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1500, 24)).astype(np.float32)

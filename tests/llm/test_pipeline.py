@@ -64,7 +64,9 @@ def test_run_is_registered(spark, sf_dir):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is corpus_pipeline.run
+    before = len(Scratch.made_so_far)
     out = corpus_pipeline.run(spark, sf_dir)
+    assert len(Scratch.made_so_far) == before + 1  # only the stages' own results are left
     assert out.count() > 0 and "sequence_id" in out.columns
 
 
