@@ -16,4 +16,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch, docs = Scratch(spark, "pipeline"), documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.sweep()  # what the stage wrote for itself
     return docs
