@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -131,15 +132,17 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 def _trim() -> None:
     """Returns memory that was freed to the system; workers live on, and would hold it from task to task."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
 def lean(make: Callable) -> Callable:
-    """For ``mapInArrow``: gives memory back when a task ends."""
+    """For ``mapInArrow``: gives memory back when a task begins and when it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _trim()
         yield from make(batches)
         _trim()
 
@@ -147,14 +150,15 @@ def lean(make: Callable) -> Callable:
 
 
 def lean_group(make: Callable) -> Callable:
-    """For ``applyInArrow``: gives memory back after a group of some size."""
+    """For ``applyInArrow``: gives memory back when a task begins and after so many bytes of groups."""
+    held = [1 << 62]  # a task has a copy of its own
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        out = make(key, table)
-        if table.nbytes > 1 << 20:
-            del table
+        if held[0] > 1 << 23:
+            held[0] = 0
             _trim()
-        return out
+        held[0] += table.nbytes
+        return make(key, table)
 
     return run
 
