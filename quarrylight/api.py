@@ -6,15 +6,16 @@ behind a query's back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import content_hash, expand_query
+from .functions.text import content_hash, expand_query, matches_filter
 from .operators import aliases, chunks, code, documents, merge, ranking, search, vector_search
 from .operators.graph import resolve_edges
-from .sources.files import indexable
+from .sources.files import find_skill, indexable
 from .sources.providers import hashing_embedding, overlap_logit
 
 
@@ -112,8 +113,25 @@ def search_docs(skills: DataFrame, tasks: DataFrame, *, logit=overlap_logit) ->
     return search_skills(skills, tasks, logit=logit, first=5, last=3)
 
 
-def task_pipeline(skills: DataFrame, task: str, *, focus: str | None = None, phase: str = "plan", files: DataFrame | None = None, symbols: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Skills for a task, the profile of the project and files worth splitting. files: path, content."""
+PREVIEWED, REMEMBERED, CLOSE = 15, 3, 0.82
+
+
+def task_pipeline(
+    skills: DataFrame,
+    task: str,
+    *,
+    focus: str | None = None,
+    phase: str = "plan",
+    files: DataFrame | None = None,
+    symbols: DataFrame | None = None,
+    notes: DataFrame | None = None,
+    rules: DataFrame | None = None,
+    embed: Callable[[Column], Column] = hashing_embedding,
+) -> dict[str, DataFrame]:
+    """Skills for a task, the profile of the project, files worth splitting, a preview of its tree, notes close to the task and the phase's rules.
+
+    files: path, content. notes: ord, category, content, vector. rules: group, rule.
+    """
     spark = skills.sparkSession
     asked = spark.createDataFrame([(0, task, focus, phase)], "query_id long, task string, focus string, phase string")
     tasks = asked.select("query_id", expand_query(F.col("task"), F.col("focus"), F.col("phase")).alias("text"))
@@ -121,5 +139,24 @@ def task_pipeline(skills: DataFrame, task: str, *, focus: str | None = None, pha
     if files is not None:
         out["profile"] = documents.language_profile(files, task)
         out["architecture"] = documents.architecture(files)
+        out["tree"] = files.select("path").orderBy("path").limit(PREVIEWED)
         out["split"] = documents.split_candidates(files, symbols if symbols is not None else code.symbols(files), task)
+    if notes is not None:
+        query = asked.select(embed(F.col("task")).alias("v")).first()["v"]  # one vector
+        out["notes"] = ranking.rank_learnings(notes, F.array(*(F.lit(float(x)) for x in query)), REMEMBERED, CLOSE)
+    if rules is not None:
+        out["rules"] = documents.phase_rules(spark.createDataFrame([(phase,)], "phase string"), rules)
     return out
+
+
+def list_skills(skills: DataFrame, needle: str = "") -> DataFrame:
+    """name, relative_path of skills whose name or path contains the text, in any case, by name."""
+    return skills.where(matches_filter(needle, "name", "relative_path")).select("name", "relative_path").orderBy("name", "relative_path")
+
+
+def get_skill(skills: DataFrame, assets: DataFrame, name: str) -> DataFrame:
+    """name, origin, content: the skill of a name or path, else the workflow asset (path, content) of that path or file name."""
+    own = find_skill(skills, name).select("name", F.lit("skill").alias("origin"), "content", F.lit(0).alias("_at"))
+    hit = (F.col("path") == name) | F.endswith("path", F.lit("/" + name)) | F.endswith("path", F.lit("/" + name + ".md"))
+    other = assets.where(hit).select(F.col("path").alias("name"), F.lit("asset").alias("origin"), "content", F.lit(1).alias("_at"))
+    return own.unionByName(other).orderBy("_at", F.length("name"), "name").limit(1).drop("_at")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import catalog_hash
 from ..operators.learnings import render
 from ..operators.usage import daily_summary, retain
 
@@ -31,6 +32,39 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root}/{names[-1]}") if names else None
 
 
+def write_vectors(vectors: DataFrame, catalog: DataFrame, root: str, version: int) -> DataFrame:
+    """A snapshot of vectors (id, vector) with a manifest of their number, their length and the catalog (name, content) they are of."""
+    kept = write_snapshot(vectors, root, version)
+    counted = kept.agg(F.count("*").alias("count"), F.max(F.size("vector")).alias("dim"))
+    marked = catalog.agg(catalog_hash(F.col("name"), F.col("name"), F.col("content")).alias("fingerprint"))
+    counted.join(marked).write.parquet(f"{root}/manifest-{version:08d}")  # one row each
+    return kept
+
+
+def current_vectors(spark: SparkSession, catalog: DataFrame, root: str, version: int) -> DataFrame | None:
+    """The vectors of a version, if their manifest is of this catalog and of as many vectors; else None."""
+    manifest = spark.read.parquet(f"{root}/manifest-{version:08d}").first()
+    own = spark.read.parquet(f"{root}/v{version:08d}")
+    mark = catalog.agg(catalog_hash(F.col("name"), F.col("name"), F.col("content")).alias("h")).first()["h"]
+    return own if manifest["fingerprint"] == mark and manifest["count"] == own.count() else None
+
+
+def log_calls(events: DataFrame, root: str, version: int, as_of, placeholder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Appends a batch of events, then writes the rollup of all and the events that are kept; returns both."""
+    append_events(events, f"{root}/events")
+    every = events.sparkSession.read.parquet(f"{root}/events").drop("day")
+    return roll_and_retain(every, f"{root}/daily", f"{root}/recent", version, as_of, placeholder)
+
+
+def append_chunks(chunks: DataFrame, root: str, version: int) -> DataFrame:
+    """A new snapshot of chunks (id, ...): those there are, and new ones by identifier, which replace theirs."""
+    old = latest_snapshot(chunks.sparkSession, root)
+    if old is None:
+        return write_snapshot(chunks, root, version)
+    kept = old.join(chunks.select("id"), "id", "left_anti").select(chunks.columns)
+    return write_snapshot(kept.unionByName(chunks), root, version)
+
+
 def append_events(events: DataFrame, root: str) -> None:
     """Usage events, partitioned by day."""
     events.withColumn("day", F.to_date("ts")).write.mode("append").partitionBy("day").parquet(root)
@@ -47,8 +81,15 @@ def write_learnings(learnings: DataFrame, path: str) -> None:
 
 
 def write_sessions(sessions: DataFrame, path: str) -> None:
-    """One JSON document for each session."""
-    sessions.write.partitionBy("session_id").json(path)
+    """A folder for each session, with one JSON document; a session that is there is replaced, others stay."""
+    spark = sessions.sparkSession
+    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        own = sessions.withColumn("folder", F.col("session_id"))
+        own.repartition("folder").write.mode("overwrite").partitionBy("folder").json(path)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
 
 
 def cached_vectors(units: DataFrame, cache: DataFrame, text: str, embed) -> DataFrame:

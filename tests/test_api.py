@@ -44,7 +44,7 @@ def test_skills(spark):
     assert api.search_skills(own, tasks, languages=["rust"], techniques=["web"]).count() <= 2
     assert {r["name"] for r in api.search_skills(own, tasks, logit=None).collect()} >= {"code-review"}
     out = api.task_pipeline(own, "test the plan", files=fixtures.code_files(spark))
-    assert set(out) == {"skills", "profile", "architecture", "split"} and out["architecture"].count() == 1
+    assert set(out) == {"skills", "profile", "architecture", "split", "tree"} and out["architecture"].count() == 1
     assert api.search_docs(own, tasks).count() <= 3
 
 
@@ -61,3 +61,73 @@ def test_sinks(spark, tmp_path):
     notes = spark.createDataFrame([(1, "env", "x", False)], model.LEARNINGS)
     sinks.write_learnings(notes, str(tmp_path / "notes"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "notes")).collect()] == ["# env", "- x"]
+
+
+def test_task_pipeline_and_skill_lookups(spark):
+    cols = "name string, relative_path string, title string, intent string, description string, triggers array<string>, action_triggers array<string>, micro_rules array<string>, keywords array<string>, content string"
+    rows = [("test-plan", "skills/test-plan/SKILL.md", "", "plan tests", "", [], ["testing"], [], [], "plan the tests"), ("sql", "skills/sql/SKILL.md", "", "tune", "", [], ["query"], [], [], "x")]
+    skills = spark.createDataFrame(rows, cols)
+    files = fixtures.code_files(spark)
+    vector = spark.createDataFrame([("plan the cost",)], "t string").select(hashing_embedding(F.col("t")).alias("v")).first()["v"]
+    notes = spark.createDataFrame([(1, "env", "old", vector), (2, "env", "other", [-x for x in vector])], "ord long, category string, content string, vector array<float>")
+    rules = spark.createDataFrame([("plan", "keep it simple"), ("build", "small steps")], "group string, rule string")
+    got = api.task_pipeline(skills, "plan the cost", files=files, notes=notes, rules=rules)
+    assert got["skills"].count() >= 1 and got["architecture"].count() == 1
+    assert [r["path"] for r in got["tree"].collect()] == sorted(p for p, _ in fixtures.FILES)
+    assert [r["content"] for r in got["notes"].collect()] == ["old"] and [r["rule"] for r in got["rules"].collect()] == ["keep it simple"]
+    assert [r["name"] for r in api.list_skills(skills, "TEST").collect()] == ["test-plan"] and api.list_skills(skills).count() == 2
+    assets = spark.createDataFrame([("workflows/release.md", "ship it"), ("workflows/sql.md", "no")], "path string, content string")
+    assert api.get_skill(skills, assets, "sql").first()["origin"] == "skill" and api.get_skill(skills, assets, "release").first()["content"] == "ship it"
+    assert api.get_skill(skills, assets, "none").count() == 0
+
+
+def test_models_of_the_caller(spark):
+    def load():
+        def model(texts):
+            assert len(texts) <= 4 and all(t.startswith("passage: ") for t in texts)
+            return [[len(t), 1.0, 0.0] for t in texts]
+
+        return model
+
+    from quarrylight.sources.providers import model_embedding, model_logit
+
+    df = spark.createDataFrame([(i, "x" * i if i % 5 else None) for i in range(30)], "id int, text string").repartition(2)
+    got = {r["id"]: r["v"] for r in df.select("id", model_embedding(load, batch=4)(F.col("text")).alias("v")).collect()}
+    for i, v in got.items():
+        n = len("passage: ") + (i if i % 5 else 0)
+        assert abs(v[0] - n / (n * n + 1) ** 0.5) < 1e-6 and abs(sum(x * x for x in v) - 1) < 1e-5
+    pairs = spark.createDataFrame([("ab", "abc"), (None, "x")], "text string, content string")
+    scored = model_logit(lambda: lambda a, b: [len(x) - len(y) for x, y in zip(a, b, strict=True)], batch=1)(pairs)
+    assert sorted(r["logit"] for r in scored.collect()) == [-1.0, -1.0]
+
+
+def test_sinks(spark, tmp_path):
+    at = dt.datetime(2024, 5, 1, 12)
+    ddl = "event_id long, ts timestamp, tool_name string, operation string, tokens_original long, tokens_optimized long, error_message string"
+
+    def call(i, hours, tool="read"):
+        return (i, at - dt.timedelta(hours=hours), tool, None, 100, 40, None)
+
+    root = str(tmp_path / "usage")
+    daily, kept = sinks.log_calls(spark.createDataFrame([call(1, 30), call(2, 1)], ddl), root, 1, F.lit(at))
+    assert daily.count() == 2 and [r["event_id"] for r in kept.collect()] == [2]
+    daily, kept = sinks.log_calls(spark.createDataFrame([call(3, 2), call(4, 1, "noop")], ddl), root, 2, F.lit(at), "noop")
+    assert sum(r["calls"] for r in daily.collect()) == 4 and {r["event_id"] for r in kept.collect()} == {2, 3}
+    from quarrylight.operators.usage import stats_json
+
+    text = stats_json(kept, F.lit(at)).first()["stats"]
+    assert '"calls":2' in text and '"saved":120' in text and '"tool_name":"read"' in text
+    sessions = spark.createDataFrame([("a", "Plan"), ("b", "Fix")], "session_id string, stage string")
+    sinks.write_sessions(sessions, str(tmp_path / "sessions"))
+    sinks.write_sessions(spark.createDataFrame([("a", "Build")], "session_id string, stage string"), str(tmp_path / "sessions"))
+    own = spark.read.schema("session_id string, stage string").json(str(tmp_path / "sessions"))
+    assert {(r["session_id"], r["stage"]) for r in own.collect()} == {("a", "Build"), ("b", "Fix")}
+    catalog = spark.createDataFrame([("one", "x"), ("two", "y")], "name string, content string")
+    vectors = spark.createDataFrame([("one", [1.0, 0.0]), ("two", [0.0, 1.0])], "id string, vector array<float>")
+    sinks.write_vectors(vectors, catalog, str(tmp_path / "vectors"), 3)
+    assert sinks.current_vectors(spark, catalog, str(tmp_path / "vectors"), 3).count() == 2
+    assert sinks.current_vectors(spark, catalog.withColumn("content", F.lit("z")), str(tmp_path / "vectors"), 3) is None
+    chunk = spark.createDataFrame([(1, "old"), (2, "stays")], "id long, text string")
+    sinks.append_chunks(chunk, str(tmp_path / "chunks"), 1)
+    after = sinks.append_chunks(spark.createDataFrame([(1, "new"), (3, "more")], "id long, text string"), str(tmp_path / "chunks"), 2)
+    assert {(r["id"], r["text"]) for r in after.collect()} == {(1, "new"), (2, "stays"), (3, "more")}
