@@ -39,10 +39,9 @@ def token_estimate(text: Column, code: bool = False) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """Lines without their ends; a text that ends with a line feed has no empty line after it."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.regexp_replace(x, r"\r$", ""))
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, n - 1)).otherwise(parts)
+    """Lines without their ends, which are line feeds after at most one carriage return; a text that ends with one has no empty line after it."""
+    whole = F.split(F.regexp_replace(text, r"\r?\n\z", ""), r"\r?\n", -1)
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(whole)
 
 
 def tokens_of(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clip, content_hash, lines_of, tokens_of
@@ -46,22 +46,17 @@ def positions(units: DataFrame, keys: list[str], text: Column) -> DataFrame:
 def match_all(index: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of query_id and unit that hold all terms of the query.
 
-    terms: query_id, term. Queries without terms match nothing. A query reads the postings
-    of its rarest term; of the others only those of units found by it.
+    terms: query_id, term. Queries without terms match nothing. One pass over the postings
+    gathers for each unit those of its terms that any query has; a unit then meets only the
+    queries whose longest term it holds, so that a term which many queries share, mostly a
+    short one, multiplies nothing.
     """
-    asked = terms.distinct()
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    sizes = used.groupBy("term").agg(F.count("*").alias("n"))
-    own = asked.join(sizes, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    w = Window.partitionBy("query_id").orderBy("n", "term")
-    placed = own.withColumn("place", F.row_number().over(w)).withColumn("wanted", F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    rarest = used.join(placed.where("place = 1"), "term").select("query_id", "wanted", *keys)
-    single = rarest.where("wanted = 1").select("query_id", *keys)
-    # a frequent term meets only the units that hold the query's rarest one
-    others = placed.where("place > 1").select("query_id", "term")
-    several = rarest.where("wanted > 1").join(others, "query_id").join(used, ["term", *keys])
-    hits = several.groupBy("query_id", "wanted", *keys).agg(F.count("*").alias("found")).where("found = wanted - 1")
-    return single.unionByName(hits.select("query_id", *keys))
+    order = F.struct(F.length("term").alias("n"), "term")
+    asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("wanted"), F.max(order)["term"].alias("anchor"))
+    used = index.join(terms.select("term").distinct(), "term", "left_semi")
+    units = used.groupBy(*keys).agg(F.collect_set("term").alias("held"))  # as many as a unit has words
+    met = units.select(*keys, "held", F.explode("held").alias("anchor")).join(asked, "anchor")
+    return met.where(F.size(F.array_except("wanted", "held")) == 0).select("query_id", *keys)
 
 
 def query_terms(queries: DataFrame, text: Column) -> DataFrame:
