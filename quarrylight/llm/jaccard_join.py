@@ -44,6 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import Ragged
 from .common import Scratch, column_bytes, documents, hash_buckets, lean, lean_group, pack, splits, squeeze, unpack, unsqueeze
 from .components import components
 
@@ -351,11 +352,69 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
 
-def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for group, body in zip(b.column("group").to_pylist(), b.column("body").to_pylist(), strict=True):
-            node, size, flag = unpack(body)
-            yield pa.RecordBatch.from_arrays([pa.array([group] * len(node), pa.int64()), pa.array(node), pa.array(size), pa.array(flag.astype(np.int32))], names=["group", "node", "size", "flag"])
+_ASKED = pa.schema([("part", pa.int32()), ("group", pa.int64()), ("blocks", pa.int32()), ("body", pa.binary())])
+_ASKED_DDL = "part int, group long, blocks int, body binary"
+_TOLD = pa.schema([("group", pa.int64()), ("blocks", pa.int32()), ("body", pa.binary())])
+_TOLD_DDL = "group long, blocks int, body binary"
+
+
+def _dealt(node: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """Places of nodes, by the part of each."""
+    own = ((node.astype(np.uint64) * _Q) >> np.uint64(33)) % np.uint64(parts)
+    order = np.argsort(own, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0, True]) if len(own) else [0]
+    return [(int(own[order[a]]), order[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _ask(parts: int):
+    """Members of groups, packed, to the parts that know their nodes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group, body in zip(b.column("group").to_pylist(), b.column("body").to_pylist(), strict=True):
+                node, size, flag = unpack(body)
+                sent = [(k, pack(node[i], size[i], flag[i])) for k, i in _dealt(node, parts)]
+                blocks = -(-len(node) // BLOCK)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sent], pa.int32()), pa.array([group] * len(sent), pa.int64()), pa.array([blocks] * len(sent), pa.int32()), pa.array([x for _, x in sent], pa.binary())], schema=_ASKED)
+
+    return make
+
+
+def _tell(parts: int):
+    """Roots and sketches of nodes, packed, to their parts."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, root = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root"))
+            sketches = b.column("sketch").to_pylist()
+            sent = [(k, pack(node[i], root[i], *_ragged([sketches[j] for j in i.tolist()]))) for k, i in _dealt(node, parts)]
+            none = pa.nulls(len(sent), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in sent], pa.int32()), none, pa.array([0] * len(sent), pa.int32()), pa.array([x for _, x in sent], pa.binary())], schema=_ASKED)
+
+    return make
+
+
+def _ragged(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, values), np.uint32, len(values)), np.frombuffer(b"".join(values), np.uint8)
+
+
+def _answer(key: tuple, table: pa.Table) -> pa.Table:
+    """Members with their roots and sketches, on the way to their groups."""
+    groups, blocks, bodies = (table.column(c).to_pylist() for c in ("group", "blocks", "body"))
+    known = [unpack(x) for g, x in zip(groups, bodies, strict=True) if g is None]
+    asked = [(g, n, x) for g, n, x in zip(groups, blocks, bodies, strict=True) if g is not None]
+    if not known or not asked:
+        return _TOLD.empty_table()
+    node, root = (np.concatenate([k[i] for k in known]) for i in (0, 1))
+    sketches = Ragged(np.concatenate([k[3] for k in known]), np.concatenate([k[2] for k in known]))
+    order = np.argsort(node, kind="stable")
+    out = []
+    for _, _, body in asked:
+        own, size, flag = unpack(body)
+        at = order[np.searchsorted(node, own, sorter=order)]
+        mine = sketches.take(at)
+        out.append(pack(own, size, flag, root[at], mine.lengths.astype(np.uint32), mine.flat))
+    return pa.table([pa.array([g for g, _, _ in asked], pa.int64()), pa.array([n for _, n, _ in asked], pa.int32()), pa.array(out, pa.binary())], schema=_TOLD)
 
 
 def _across(num: int, den: int, nearest: int | None):
@@ -366,18 +425,20 @@ def _across(num: int, den: int, nearest: int | None):
     """
 
     def pairs(key: tuple, table: pa.Table) -> pa.Table:
-        _, first = np.unique(table.column("node").to_numpy(), return_index=True)
         block, of = table.column("block")[0].as_py(), table.column("blocks")[0].as_py()
-        table = table.take(pa.array(first)).sort_by([("size", "ascending"), ("node", "ascending")])
-        node, size, flag, root = (table.column(c).to_numpy() for c in ("node", "size", "flag", "root"))
-        sketches = table.column("sketch").to_pylist()
-        lengths = np.array([len(x) for x in sketches])
+        parts = [unpack(x) for x in table.column("body").to_pylist()]
+        node, size, flag, root, lengths = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        names, count = np.unique(root, return_counts=True)
+        if len(names) == 1:
+            return pa.table([pa.array([], pa.int64())] * 2, names=["a", "b"])
+        order = np.lexsort((node, size))
+        sketches = Ragged(np.concatenate([p[5] for p in parts]), lengths).take(order)
+        node, size, flag, root, lengths = node[order], size[order].astype(np.int64), flag[order], root[order], sketches.lengths
         rows, stacks = np.zeros(len(node), np.int64), {}
         for n in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == n)
             rows[own] = np.arange(len(own))
-            stacks[n] = np.frombuffer(b"".join(sketches[i] for i in own.tolist()), np.uint8).reshape(-1, n)
-        names, count = np.unique(root, return_counts=True)
+            stacks[n] = sketches.take(own).flat.reshape(-1, n)
         main = names[count.argmax()] if nearest else None
         lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(block, len(node), of):
@@ -481,27 +542,19 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
     links = verified(scratch.keep(pairs.mapInArrow(lean(_plausible(num, den)), "a long, b long").distinct(), "pairs"))
     roots = components(links, scratch)
     groups = found.where(F.col("kind") == _GROUP).select("group", "body")
-    members = groups.mapInArrow(lean(_open_groups), "group long, node long, size long, flag int")
-    nearest: int | None = 2  # closest pairs as long as they link, then all that are left
-    while True:
-        # members of groups that still lie in several components; those of others are not read again
-        rooted = members.join(roots, "node", "left").select("group", "node", "size", "flag", F.coalesce("root", "node").alias("root"))
-        spread = rooted.groupBy("group").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-        split = spread.select("group", F.expr(f"cast(ceil(n / {BLOCK}) as int)").alias("blocks"))
-        left = scratch.keep(rooted.join(split, "group"), "members")
-        members = left.select("group", "node", "size", "flag")
-        if left.isEmpty():
-            break
-        blocked = left.join(sketches.select("node", "sketch"), "node").withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
-        more = blocked.groupBy("group", "block").applyInArrow(lean_group(_across(num, den, nearest)), "a long, b long").distinct()
+    nearest: int | None = 8
+    left = not groups.isEmpty()
+    while left:  # closest pairs between components as long as they link, then all that are left
+        nodes = sketches.select("node", "sketch").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch")
+        asked = groups.mapInArrow(lean(_ask(count)), _ASKED_DDL).unionByName(nodes.mapInArrow(lean(_tell(count)), _ASKED_DDL))
+        told = asked.groupBy("part").applyInArrow(lean_group(_answer), _TOLD_DDL).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
+        more = told.groupBy("group", "block").applyInArrow(lean_group(_across(num, den, nearest)), "a long, b long").distinct()
         new = verified(scratch.keep(more, "pairs"))
         fresh = not new.isEmpty()
         if fresh:
             links = links.union(new)
             roots = components(links, scratch)
-        if nearest is None:
-            break
-        nearest = nearest if fresh else None
+        left, nearest = nearest is not None, nearest if fresh else None
     owned = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = owned.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     joined = owned.join(least, "root", "left")
