@@ -543,10 +543,10 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
     roots = components(links, scratch)
     groups = found.where(F.col("kind") == _GROUP).select("group", "body")
     nearest: int | None = 8
-    left = not groups.isEmpty()
+    left, parts = not groups.isEmpty(), max(8, count // 16)  # members of a group that ask the same part go in one message
     while left:  # closest pairs between components as long as they link, then all that are left
         nodes = sketches.select("node", "sketch").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch")
-        asked = groups.mapInArrow(lean(_ask(count)), _ASKED_DDL).unionByName(nodes.mapInArrow(lean(_tell(count)), _ASKED_DDL))
+        asked = groups.mapInArrow(lean(_ask(parts)), _ASKED_DDL).unionByName(nodes.mapInArrow(lean(_tell(parts)), _ASKED_DDL))
         told = asked.groupBy("part").applyInArrow(lean_group(_answer), _TOLD_DDL).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)")))
         more = told.groupBy("group", "block").applyInArrow(lean_group(_across(num, den, nearest)), "a long, b long").distinct()
         new = verified(scratch.keep(more, "pairs"))
