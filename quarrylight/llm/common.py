@@ -168,6 +168,11 @@ def hash_buckets(tasks: int, least: int = 16) -> int:
     return max(least, 2 * tasks)
 
 
+def gathered(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """In tasks of about ``each`` of ``rows`` rows, if it has more tasks; a small step then costs no more than its rows."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def splits(df: DataFrame) -> int:
     """How many tasks a scan of ``df`` has; plans, runs nothing."""
     return max(1, df.rdd.getNumPartitions())

@@ -11,27 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, gathered
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges: columns a, b (long). Returns node, root for every node with an edge; root is the smallest node reached."""
     edges = scratch.keep(edges.where("a <> b").select("a", "b").distinct(), "edges")
     levels: list[DataFrame] = []
-    while not edges.isEmpty():
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return scratch.keep(gathered(df, 2 * n, 50_000), name)
+
+    while n := edges.count():
         both = edges.union(edges.select("b", "a"))
         points = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root"))
-        points = scratch.keep(points, "points")
+        points = kept(points, "points")
         while True:
             up = points.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            jumped = scratch.keep(points.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "points")
+            jumped = kept(points.join(up, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "points")
             points = jumped.select("node", "root")
             if jumped.where("moved").isEmpty():
                 break
         levels.append(points)
         left = points.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = points.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = scratch.keep(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
+        edges = kept(edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "edges")
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = levels[0]

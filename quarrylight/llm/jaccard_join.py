@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Ragged
-from .common import Scratch, column_bytes, documents, hash_buckets, lean, lean_group, pack, splits, squeeze, unpack, unsqueeze
+from .common import Scratch, column_bytes, documents, gathered, hash_buckets, lean, lean_group, pack, splits, squeeze, unpack, unsqueeze
 from .components import components
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -526,12 +526,13 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
     sketches = packed.mapInArrow(lean(_open_sketches), "node long, size long, sketch binary")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        n = pairs.count()
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(reps, "node")
         owned = source.join(wanted, "doc_id").select("node", "text").mapInArrow(lean(_squeezed(width, salt)), "node long, body binary")
-        bodies = scratch.keep(owned.dropDuplicates(["node"]), "bodies")
+        bodies = scratch.keep(gathered(owned.dropDuplicates(["node"]), 2 * n, 8000), "bodies")
         left = pairs.join(bodies.withColumnRenamed("node", "a").withColumnRenamed("body", "left"), "a")
         both = left.join(bodies.withColumnRenamed("node", "b").withColumnRenamed("body", "right"), "b")
-        kept = scratch.keep(both.select("a", "b", "left", "right").mapInArrow(lean(_verify(num, den, width)), "a long, b long"), "links")
+        kept = scratch.keep(gathered(both.select("a", "b", "left", "right").mapInArrow(lean(_verify(num, den, width)), "a long, b long"), n, 2000), "links")
         scratch.drop(bodies)
         scratch.drop(pairs)
         return kept
