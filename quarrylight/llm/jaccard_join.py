@@ -543,7 +543,7 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
     links = verified(scratch.keep(pairs.mapInArrow(lean(_plausible(num, den)), "a long, b long").distinct(), "pairs"))
     roots = components(links, scratch)
     groups = found.where(F.col("kind") == _GROUP).select("group", "body")
-    nearest: int | None = 8
+    nearest: int | None = 4
     left, parts = not groups.isEmpty(), max(8, count // 16)  # members of a group that ask the same part go in one message
     while left:  # closest pairs between components as long as they link, then all that are left
         nodes = sketches.select("node", "sketch").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch")
