@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, jaccard_join, language_model, line_dedup, packing, permutation_index, suffix_dedup, token_counts, toxicity
+from . import bpe, exact_dedup, hard_negatives, jaccard_join, language_model, line_dedup, packing, permutation_index, quality_rules, suffix_dedup, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_language_model": language_model.op1_language_model,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_permutation_index": permutation_index.op8_permutation_index,
     "op9_suffix_array_dedup": suffix_dedup.op9_suffix_array_dedup,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_quality_rules": quality_rules.op13_quality_rules,
 }
-SQL = exact_dedup.SQL | line_dedup.SQL
+SQL = exact_dedup.SQL | line_dedup.SQL | vector_codes.SQL | hard_negatives.SQL | quality_rules.SQL

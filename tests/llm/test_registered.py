@@ -118,5 +118,5 @@ def test_op10(rows, texts):
 
 
 def test_all_are_registered(spark, sf_dir):
-    assert sorted(registry.QUERIES, key=lambda k: int(k[2:].split("_")[0])) == list(registry.QUERIES) and len(registry.QUERIES) == 10
-    assert {"op4_exact_dedup", "op5_line_dedup"} <= set(registry.SQL)
+    assert sorted(registry.QUERIES, key=lambda k: int(k[2:].split("_")[0])) == list(registry.QUERIES) and len(registry.QUERIES) == 13
+    assert {"op4_exact_dedup", "op5_line_dedup", "op11_vector_codes", "op12_hard_negatives", "op13_quality_rules"} <= set(registry.SQL)
