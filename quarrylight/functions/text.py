@@ -29,6 +29,15 @@ APPROVALS = [
 ]
 
 
+#: Every character that counts as white space.
+SPACES = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def trimmed(text: Column | str) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def bytes_of(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
@@ -163,13 +172,13 @@ def field_maximum(*fields: str) -> Column:
 
 
 def is_approval(message: Column) -> Column:
-    text = F.lower(F.trim(message))
+    text = F.lower(trimmed(message))
     return F.exists(F.array(*map(F.lit, APPROVALS)), lambda p: F.contains(text, p))
 
 
 def expand_query(task: Column, focus: Column, phase: Column) -> Column:
     """The task, its focus unless general, and the words that its phase adds."""
-    f = F.trim(focus)
+    f = trimmed(focus)
     query = F.when(f.isNotNull() & (f != "") & (f != "general"), F.concat(task, F.lit(" "), f)).otherwise(task)
     low = F.lower(query)
     return (
@@ -182,7 +191,7 @@ def expand_query(task: Column, focus: Column, phase: Column) -> Column:
 
 def stage_name(raw: Column) -> Column:
     """The stage that a word stands for, in any case; null if it stands for none."""
-    asked, name = F.lower(F.trim(raw)), F.lit(None).cast("string")
+    asked, name = F.lower(trimmed(raw)), F.lit(None).cast("string")
     for stage, words in STAGES:
         name = F.when(asked.isin(words), stage).otherwise(name)
     return name

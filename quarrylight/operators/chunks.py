@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clip, content_hash, lines_of, tokens_of
+from ..functions.text import clip, content_hash, lines_of, tokens_of, trimmed
 
 SIZE, OVERLAP, LEAST = 50, 10, 3
 
@@ -17,7 +17,7 @@ def chunk_windows(docs: DataFrame, *, size: int = SIZE, overlap: int = OVERLAP,
     starts = F.sequence(F.lit(0), F.size("lines") - 1, F.lit(step))
     cut = F.transform(starts, lambda at: F.struct(at.alias("at"), F.slice("lines", at + 1, F.lit(size)).alias("own")))
     own = lines.select("doc_id", F.inline(cut))  # slices leave the row, not copies of all of its lines
-    filled = F.size(F.filter("own", lambda x: F.trim(x) != ""))
+    filled = F.size(F.filter("own", lambda x: trimmed(x) != ""))
     return own.where(filled >= least).select(
         "doc_id",
         (F.col("at") + 1).alias("start_line"),
@@ -77,4 +77,4 @@ def line_references(docs: DataFrame, needle: str, *, limit: int = 30, width: int
     """Lines that contain ``needle`` in any case, in order, clipped to ``width`` characters."""
     lines = docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     found = lines.where(F.contains(F.lower("line"), F.lit(needle.lower())))
-    return found.select("doc_id", (F.col("at") + 1).alias("line_no"), clip(F.trim("line"), width).alias("snippet")).orderBy("doc_id", "line_no").limit(limit)
+    return found.select("doc_id", (F.col("at") + 1).alias("line_no"), clip(trimmed("line"), width).alias("snippet")).orderBy("doc_id", "line_no").limit(limit)

@@ -1,15 +1,18 @@
-"""Symbols, imports, calls, listings, skeletons of source files (path, content)."""
+"""Symbols, imports, calls, listings, outlines of source files (path, content), in column expressions.
+
+Paths are unique. What spans lines, such as the end of a block, follows from running sums of
+braces in windows over the lines of a file.
+"""
 
 from __future__ import annotations
 
 import re
-from itertools import accumulate
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compress, lines_of
+from ..functions.text import SPACES, compress, lines_of, trimmed
 
 # How a trimmed line declares a symbol, and its kind, tried in this order.
 DECLARATIONS = [
@@ -34,13 +37,13 @@ def lines(files: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame) -> DataFrame:
     """id, name, kind, file_path, parent, start_line, end_line, signature of each line that declares one."""
-    trimmed = F.trim("line")
+    bare = trimmed("line")
     name, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     for prefix, label in reversed(DECLARATIONS):
-        hit = F.startswith(trimmed, F.lit(prefix))
-        found = F.regexp_extract(F.substring(trimmed, len(prefix) + 1, 1_000_000), r"^([\p{L}\p{N}_]+)", 1)
+        hit = F.startswith(bare, F.lit(prefix))
+        found = F.regexp_extract(F.substring(bare, len(prefix) + 1, 1_000_000), r"^([\p{L}\p{N}_]+)", 1)
         name, kind = F.when(hit, found).otherwise(name), F.when(hit, F.lit(label)).otherwise(kind)
-    own = lines(files).select("path", "line_no", trimmed.alias("signature"), name.alias("name"), kind.alias("kind")).where(F.coalesce(F.col("name"), F.lit("")) != "")
+    own = lines(files).select("path", "line_no", bare.alias("signature"), name.alias("name"), kind.alias("kind")).where(F.coalesce(F.col("name"), F.lit("")) != "")
     return own.select(
         F.concat("path", F.lit("::"), "kind", F.lit("::"), "name", F.lit("::L"), F.col("line_no").cast("string")).alias("id"),
         "name",
@@ -55,24 +58,34 @@ def symbols(files: DataFrame) -> DataFrame:
 
 def import_edges(files: DataFrame) -> DataFrame:
     """file_path, line, target_name, edge_type of lines that import."""
-    trimmed = F.trim("line")
-    own = lines(files).where(trimmed.rlike(r"^(use|import|from) "))
-    target = F.regexp_replace(F.split(trimmed, r"\s+")[1], ";+$", "")
+    bare = trimmed("line")
+    own = lines(files).where(bare.rlike(r"^(use|import|from) "))
+    target = F.regexp_replace(F.split(bare, r"\s+")[1], ";+$", "")
     return own.select(F.col("path").alias("file_path"), F.col("line_no").alias("line"), target.alias("target_name"), F.lit("imports").alias("edge_type")).where("target_name <> ''")
 
 
 def call_edges(files: DataFrame) -> DataFrame:
-    """Edges of lines that contain ``name(`` for a symbol of the same file, but for the line that declares it."""
+    """Edges of lines that contain ``name(`` for a symbol of the same file, but for the line that declares it.
+
+    A line gives the runs of letters, digits and underscores that a parenthesis follows, and of
+    each the endings that are as long as some name of the file; those meet the names of the file
+    by equality, so no line is compared with symbols that it does not call.
+    """
     own = symbols(files).select(F.col("file_path").alias("path"), "name", "start_line", "id")
-    joined = lines(files).join(own, "path").where((F.col("line_no") != F.col("start_line")) & F.contains("line", F.concat("name", F.lit("("))))
+    lengths = own.groupBy("path").agg(F.collect_set(F.length("name")).alias("lengths"))
+    runs = F.array_distinct(F.regexp_extract_all("line", F.lit(r"([\p{L}\p{N}_]+)\("), 1))
+    called = lines(files).select("path", "line_no", runs.alias("runs")).where(F.size("runs") > 0).join(lengths, "path")
+    ending = F.transform(F.col("runs"), lambda r: F.transform(F.filter("lengths", lambda n: n <= F.length(r)), lambda n: F.right(r, n)))
+    named = called.select("path", "line_no", F.explode(F.array_distinct(F.flatten(ending))).alias("name"))
+    joined = named.join(own, ["path", "name"]).where(F.col("line_no") != F.col("start_line"))
     return joined.select(F.col("path").alias("file_path"), F.col("line_no").alias("line"), F.col("id").alias("target_id"), F.col("name").alias("target_name"), F.lit("calls").alias("edge_type"))
 
 
 def listing(files: DataFrame) -> DataFrame:
     """path, line_no, entry: one text for each line that declares something."""
-    trimmed = F.trim("line")
-    hit = trimmed.rlike("^(" + "|".join(re.escape(p) for p in LISTED) + ")")
-    return lines(files).where(hit).select("path", "line_no", F.format_string("L%04d: %s", F.col("line_no"), trimmed).alias("entry"))
+    bare = trimmed("line")
+    hit = bare.rlike("^(" + "|".join(re.escape(p) for p in LISTED) + ")")
+    return lines(files).where(hit).select("path", "line_no", F.format_string("L%04d: %s", F.col("line_no"), bare).alias("entry"))
 
 
 # How trimmed lines begin that an outline keeps as they are: comments, imports, headers of types.
@@ -88,90 +101,141 @@ FUNCTIONS = [
 METHODS = ["public ", "private ", "protected "]
 
 
-def _kept(bare: str) -> bool:
-    plain_export = bare.startswith("export ") and "function" not in bare and "{" not in bare
-    return bare.startswith((*COMMENTS, *IMPORTS, *TYPES)) or plain_export
+SHORT = 15
 
 
-def _function(bare: str) -> bool:
-    return bare.startswith(tuple(FUNCTIONS)) or (bare.startswith(tuple(METHODS)) and "(" in bare)
+def _begins(text: Column, prefixes: list[str]) -> Column:
+    return reduce(Column.__or__, (F.startswith(text, F.lit(p)) for p in prefixes))
 
 
-SHORT = 15
+def _has(text: Column, part: str) -> Column:
+    return F.contains(text, F.lit(part))
+
 
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, char, ""))
 
-def skeleton(text: str | None, path: str = "") -> str:
-    """An outline: comments, imports, type headers and fields stay, bodies of functions become their line ranges."""
-    rows = (text or "").split("\n")
-    rows = [r.removesuffix("\r") for r in (rows[:-1] if rows[-1] == "" else rows)]
-    if len(rows) <= SHORT:
-        return text or ""
-    out, at = [f"// === Structural Skeleton of '{path}' (Total Lines: {len(rows)}) ==="], 0
-    while at < len(rows):
-        row, bare = rows[at], rows[at].strip()
-        if _kept(bare):
-            out.append(row)
-        elif _function(bare):
-            at, entry = _outlined(rows, at)
-            out.append(entry)
-        elif bare in ("}", "};") or bare.startswith("pub ") or (":" in bare and "(" not in bare):
-            out.append(row)
-        at += 1
-    return "\n".join(out)
-
-
-def _outlined(rows: list[str], first: int) -> tuple[int, str]:
-    """The last line of the function that starts at ``first``, and its entry."""
-    head = first
-    while head + 1 < len(rows) and "{" not in rows[head] and not rows[head].strip().endswith(":"):
-        head += 1
-    signature = " ".join(rows[first : head + 1])
-    if "{" not in rows[head]:
-        return head, f"{signature.strip()} /* L{first + 1}: implementation */"
-    depth, last = 0, len(rows)
-    for k in range(head, len(rows)):
-        depth += rows[k].count("{") - rows[k].count("}")
-        if depth <= 0 and k > head:
-            last = k
-            break
-    indent = rows[first][: len(rows[first]) - len(rows[first].lstrip())]
-    return last, f"{indent}{signature.split('{')[0].strip()} {{ /* L{first + 1}-{last + 1}: {max(1, last + 1 - first)} lines */ }}"
-
-
-def target_symbol(text: str | None, name: str, most: int = 100, quiet: int = 30) -> str | None:
-    """Lines from the first that contains ``name`` to the end of its block; null if no line does."""
-    rows = (text or "").splitlines()
-    first = next((i for i, r in enumerate(rows) if name in r), None)
-    if first is None:
-        return None
-    own = rows[first:]
-    opened = list(accumulate(r.count("{") for r in own))
-    balance = list(accumulate(r.count("{") - r.count("}") for r in own))
-    blank = [not r.strip() for r in own]
-    closing = (k for k in range(1, len(own)) if opened[k] and balance[k] <= 0 and (blank[k] or "}" in own[k]))
-    pausing = (k for k in range(quiet - 1, len(own)) if not opened[k] and blank[k])
-    last = min(next(closing, len(own)), next(pausing, len(own)), most - 1)
-    return "\n".join(own[: last + 1])
+
+def classified(files: DataFrame) -> DataFrame:
+    """path, n_lines, at (from 0), line, bare, role (stay, function or null), step (braces opened less closed), opens (whether a block may begin here)."""
+    bare = F.col("bare")
+    stays = _begins(bare, [*COMMENTS, *IMPORTS, *TYPES]) | (F.startswith(bare, F.lit("export ")) & ~_has(bare, "function") & ~_has(bare, "{"))
+    function = _begins(bare, FUNCTIONS) | (_begins(bare, METHODS) & _has(bare, "("))
+    detail = bare.isin("}", "};") | F.startswith(bare, F.lit("pub ")) | (_has(bare, ":") & ~_has(bare, "("))
+    every = files.select("path", lines_of(F.col("content")).alias("_lines"))
+    rows = every.select("path", F.size("_lines").alias("n_lines"), F.posexplode("_lines").alias("at", "line")).withColumn("bare", trimmed("line"))
+    role = F.when(stays, "stay").when(function, "function").when(detail, "stay")
+    line = F.col("line")
+    return rows.select("*", role.alias("role"), (_count(line, "{") - _count(line, "}")).alias("step"), (_has(line, "{") | F.endswith(bare, F.lit(":"))).alias("opens"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """path, first, head, braced, last of every function line of classified rows.
+
+    head: the line on which its block begins, or the last of the file. last: the first line
+    after the head on which the balance of braces is what it was before the head (the number
+    of lines, if there is none); the head, if that has no brace.
+
+    That line is the one below the head, or one on which the balance falls past that level.
+    Falls are dealt by the levels they pass, so each function meets the falls of its level.
+    """
+    order = Window.partitionBy("path").orderBy("at")
+    following = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    summed = rows.select(
+        "*",
+        F.sum("step").over(order).alias("balance"),
+        F.coalesce(F.min(F.when(F.col("opens"), F.col("at"))).over(following), F.col("n_lines") - 1).alias("head"),
+    )
+    summed = summed.withColumn("next", F.lead("balance").over(order))
+    functions = summed.where("role = 'function'").select("path", F.col("at").alias("first"), "head", "n_lines")
+    heads = summed.select("path", F.col("at").alias("head"), _has(F.col("line"), "{").alias("braced"), (F.col("balance") - F.col("step")).alias("level"), "next")
+    asked = functions.join(heads, ["path", "head"])
+    falls = summed.where("step < 0").select("path", F.explode(F.sequence(F.col("balance"), F.col("balance") - F.col("step") - 1)).alias("level"), "at", F.lit(None).cast("int").alias("first"))
+    asks = asked.where("braced").select("path", "level", (F.col("head") + 1).alias("at"), "first")
+    after = Window.partitionBy("path", "level").orderBy("at").rangeBetween(1, Window.unboundedFollowing)
+    ends = falls.unionByName(asks).withColumn("fall", F.min(F.when(F.col("first").isNull(), F.col("at"))).over(after)).where("first IS NOT NULL")
+    last = F.when(~F.col("braced"), F.col("head")).when(F.col("next") <= F.col("level"), F.col("head") + 1).otherwise(F.coalesce("fall", "n_lines"))
+    return asked.join(ends.select("path", "first", "fall"), ["path", "first"], "left").select("path", "first", "head", "braced", last.alias("last"))
+
+
+def _apart(blocks: DataFrame) -> DataFrame:
+    """The blocks that begin in no other one, taken from the first on."""
+    spans = blocks.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
+    kind = "struct<upto:int,chosen:array<int>>"
+    start = F.struct(F.lit(-1).alias("upto"), F.array().cast("array<int>").alias("chosen")).cast(kind)
+    taken = F.aggregate("spans", start, lambda s, x: F.when(x["first"] > s["upto"], F.struct(x["last"].alias("upto"), F.concat(s["chosen"], F.array(x["first"])).alias("chosen")).cast(kind)).otherwise(s))
+    return spans.select("path", F.explode(taken["chosen"]).alias("first")).join(blocks, ["path", "first"])
+
+
+def _entries(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """path, at, last, entry: what stands for each block.
+
+    Lines from a function to its head are a stretch of those that share the head, so the text of
+    the stretch is made once and every signature is its end.
+    """
+    order = Window.partitionBy("path").orderBy("at").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    headed = rows.select("path", "at", "line", F.coalesce(F.min(F.when(F.col("opens"), F.col("at"))).over(order), F.col("n_lines") - 1).alias("head"))
+    used = headed.join(blocks.select("path", "head").distinct(), ["path", "head"], "left_semi")
+    before = Window.partitionBy("path", "head").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = used.withColumn("skip", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    whole = placed.groupBy("path", "head").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), " ").alias("stretch"))
+    own = blocks.join(placed.select("path", F.col("at").alias("first"), "line", "skip"), ["path", "first"]).join(whole, ["path", "head"])
+    signature = F.substring(F.col("stretch"), (F.col("skip") + 1).cast("int"), F.length("stretch"))
+    indent = F.substring(F.col("line"), F.lit(1), F.length("line") - F.length(F.ltrim("line", F.lit(SPACES))))
+    n = (F.col("first") + 1).cast("string")
+    until = (F.col("last") + 1).cast("string")
+    size = F.greatest(F.lit(1), F.col("last") + 1 - F.col("first")).cast("string")
+    folded = F.concat(indent, trimmed(F.substring_index(signature, "{", 1)), F.lit(" { /* L"), n, F.lit("-"), until, F.lit(": "), size, F.lit(" lines */ }"))
+    bare = F.concat(trimmed(signature), F.lit(" /* L"), n, F.lit(": implementation */"))
+    return own.select("path", F.col("first").alias("at"), "last", F.when(F.col("braced"), folded).otherwise(bare).alias("entry"))
 
 
 def skeletons(files: DataFrame) -> DataFrame:
-    """path, skeleton."""
+    """path, skeleton: an outline, where comments, imports, type headers and fields stay and blocks of functions become their line ranges; short files stay as they are."""
+    sized = files.select("path", F.coalesce("content", F.lit("")).alias("content")).withColumn("n", F.size(lines_of(F.col("content"))))
+    short = sized.where(F.col("n") <= SHORT).select("path", F.col("content").alias("skeleton"))
+    rows = classified(sized.where(F.col("n") > SHORT))
+    entries = _entries(rows, _apart(_blocks(rows)))
+    marked = rows.join(entries, ["path", "at"], "left")
+    covered = F.coalesce(F.max("last").over(Window.partitionBy("path").orderBy("at")), F.lit(-1))
+    shown = marked.withColumn("text", F.when(F.col("entry").isNotNull(), F.col("entry")).when((F.col("role") == "stay") & (F.col("at") > covered), F.col("line")))
+    title = F.concat(F.lit("// === Structural Skeleton of '"), "path", F.lit("' (Total Lines: "), F.col("n_lines").cast("string"), F.lit(") ==="))
+    kept = F.collect_list(F.when(F.col("text").isNotNull(), F.struct("at", "text")))
+    outlined = shown.groupBy("path", "n_lines").agg(F.sort_array(kept).alias("own"))
+    return short.unionByName(outlined.select("path", F.array_join(F.concat(F.array(title), F.transform("own", lambda x: x["text"])), "\n").alias("skeleton")))
+
+
+def _definition(content: Column, name: str, most: int = 100, quiet: int = 30) -> Column:
+    """Lines from the first that contains ``name`` to the end of its block; null if no line does.
+
+    A block ends where the braces opened since are closed, on a line with a closing brace or a
+    blank one; without braces on the first blank line after ``quiet`` lines; or after ``most``.
+    """
+    kind = "struct<k:int,opened:int,balance:int,last:int>"
 
-    @F.pandas_udf("string")
-    def make(path: pd.Series, content: pd.Series) -> pd.Series:
-        return pd.Series([skeleton(c, p) for p, c in zip(path, content, strict=True)])
+    def step(s: Column, line: Column) -> Column:
+        opened, balance = s["opened"] + _count(line, "{"), s["balance"] + _count(line, "{") - _count(line, "}")
+        blank = trimmed(line) == ""
+        closes = (s["k"] > 0) & (opened > 0) & (balance <= 0) & (blank | _has(line, "}"))
+        pauses = (s["k"] >= quiet - 1) & (opened == 0) & blank
+        last = F.when(s["last"].isNull() & (closes | pauses), s["k"]).otherwise(s["last"])
+        return F.struct((s["k"] + 1).alias("k"), opened.alias("opened"), balance.alias("balance"), last.alias("last")).cast(kind)
 
-    return files.select("path", make("path", "content").alias("skeleton"))
+    def cut(lines: Column) -> Column:
+        start = F.struct(F.lit(0).alias("k"), F.lit(0).alias("opened"), F.lit(0).alias("balance"), F.lit(None).cast("int").alias("last")).cast(kind)
+        last = F.coalesce(F.aggregate(lines, start, step)["last"], F.lit(most - 1))
+        return F.array_join(F.slice(lines, F.lit(1), last + 1), "\n")
 
+    def found(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: _has(x, name)), True).cast("int")
+        return F.when(first > 0, F.transform(F.array(F.slice(lines, F.greatest(first, F.lit(1)), F.lit(most))), cut)[0])
 
-def target_symbols(files: DataFrame, name: str) -> DataFrame:
-    """path, snippet of files that mention ``name``."""
+    return F.transform(F.array(lines_of(content)), found)[0]
 
-    @F.pandas_udf("string")
-    def make(content: pd.Series) -> pd.Series:
-        return content.map(lambda c: target_symbol(c, name))
 
-    return files.where(F.contains("content", F.lit(name))).select("path", make("content").alias("snippet"))
+def target_symbols(files: DataFrame, name: str) -> DataFrame:
+    """path, snippet of files that mention ``name``."""
+    return files.where(F.contains("content", F.lit(name))).select("path", _definition(F.col("content"), name).alias("snippet"))
 
 
 def bounded_read(files: DataFrame, symbol: str | None = None, *, mode: str = "auto", most: int = 300) -> DataFrame:
@@ -181,20 +245,13 @@ def bounded_read(files: DataFrame, symbol: str | None = None, *, mode: str = "au
     outline of files above ``most`` lines, or of all in mode "skeleton". Never more than
     ``most`` lines but for outlines; in mode "full" long files are cut, not outlined.
     """
-
-    @F.pandas_udf("string")
-    def shown(path: pd.Series, content: pd.Series, outline: pd.Series) -> pd.Series:
-        out = []
-        for p, c, whole in zip(path, content, outline, strict=True):
-            if whole:
-                out.append(skeleton(c, p))
-            else:
-                own = (target_symbol(c, symbol) if symbol else None) or c or ""
-                out.append("\n".join(own.splitlines()[:most]))
-        return pd.Series(out, dtype=object)
-
     n = F.size(lines_of(F.col("content")))
     outline = F.lit(mode == "skeleton") | ((n > most) & F.lit(symbol is None and mode != "full"))
-    own = files.select("path", n.cast("long").alias("n_lines"), outline.alias("outline"), shown("path", "content", outline).alias("raw"))
-    capped = (F.col("n_lines") > most) & ~F.col("outline") & F.lit(symbol is None)
-    return own.select("path", "n_lines", capped.alias("capped"), compress(F.col("raw")).alias("view"))
+    content = F.coalesce("content", F.lit(""))
+    own = F.coalesce(F.nullif(_definition(content, symbol), F.lit("")), content) if symbol else content
+    sized = files.select("path", "content", n.cast("long").alias("n_lines"), outline.alias("outline"))
+    capped = (F.col("n_lines") > most) & F.lit(symbol is None)
+    cut = sized.where("NOT outline").select("path", "n_lines", capped.alias("capped"), F.array_join(F.slice(lines_of(own), 1, most), "\n").alias("raw"))
+    long = sized.where("outline")
+    outlined = long.select("path", "n_lines").join(skeletons(long.select("path", "content")), "path").select("path", "n_lines", F.lit(False).alias("capped"), F.col("skeleton").alias("raw"))
+    return cut.unionByName(outlined).select("path", "n_lines", "capped", compress(F.col("raw")).alias("view"))

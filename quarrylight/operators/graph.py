@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import risk_level
@@ -45,14 +45,24 @@ def incoming(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return edges.join(a, "source_id").join(b, "target_id").where("file <> dependent").select("file", "dependent").distinct()
 
 
-def resolve_edges(raw: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges between symbols from extracted ones (file_path, line, target_name, edge_type).
+def enclosed(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Extracted edges (file_path, line, target_name, edge_type) with the symbol they occur in: the last of the file that starts at or before the line.
 
-    The source is the last symbol of the file that starts at or before the line, the
-    target every symbol of that name; this is an extension that makes extracted edges usable.
+    One pass over the starts and lines of a file in order; edges before the first symbol have none and go.
     """
-    starts = symbols.select("file_path", "start_line", F.col("id").alias("source_id"))
-    within = raw.join(starts, "file_path").where("start_line <= line")
-    source = within.groupBy("file_path", "line", "target_name", "edge_type").agg(F.max_by("source_id", F.struct("start_line", "source_id")).alias("source_id"))
+    starts = symbols.select("file_path", F.col("start_line").alias("line"), F.lit(0).alias("kind"), F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_name"), F.lit(None).cast("string").alias("edge_type"))
+    uses = raw.select("file_path", "line", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("source_id"), "target_name", "edge_type")
+    before = Window.partitionBy("file_path").orderBy("line", "kind", "source_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = starts.unionByName(uses).withColumn("source_id", F.last("source_id", True).over(before))
+    return placed.where("kind = 1 AND source_id IS NOT NULL").select("file_path", "source_id", "target_name", "edge_type").distinct()
+
+
+def named_edges(references: DataFrame, symbols: DataFrame) -> DataFrame:
+    """source_id, target_id, edge_type: references go to every symbol of their name."""
     target = symbols.select(F.col("name").alias("target_name"), F.col("id").alias("target_id"))
-    return source.join(target, "target_name").select("source_id", "target_id", "edge_type").distinct()
+    return references.join(target, "target_name").select("source_id", "target_id", "edge_type").distinct()
+
+
+def resolve_edges(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Edges between symbols from extracted ones; this is an extension that makes extracted edges usable."""
+    return named_edges(enclosed(raw, symbols), symbols)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trimmed
 from ..functions.vectors import cosine
 
 # Categories by the words of a task; the first group with a word in the task decides.
@@ -33,7 +34,7 @@ def for_category(learnings: DataFrame, task: str, limit: int) -> DataFrame:
 
 
 def _bullet_key() -> Column:
-    return F.lower(F.trim("content"))
+    return F.lower(trimmed("content"))
 
 
 def add(learnings: DataFrame, new: DataFrame, *, cap: int = 30, look_back: int = 10, threshold: float = 0.92) -> DataFrame:
@@ -68,12 +69,12 @@ def parse(rows: DataFrame) -> DataFrame:
     A column ``owner`` tells the lines of many lists apart, and stays; one list is one file.
     """
     keys = _owner(rows)
-    header = F.when(F.col("line").rlike(r"^#+ "), F.trim(F.regexp_replace("line", r"^#+ ", "")))
+    header = F.when(F.col("line").rlike(r"^#+ "), trimmed(F.regexp_replace("line", r"^#+ ", "")))
     w = Window.partitionBy(*keys or [F.lit(0)]).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     own = rows.withColumn("head", F.last(header, True).over(w)).where(F.col("line").rlike(r"^\s*[-*] "))
     pinned = F.coalesce(F.upper("head").startswith("PINNED:"), F.lit(False))
     category = F.lower(F.coalesce(F.regexp_replace("head", "(?i)^PINNED:", ""), F.lit("general")))
-    return own.select(*keys, F.col("line_no").cast("long").alias("ord"), F.trim(category).alias("category"), F.trim(F.regexp_replace("line", r"^\s*[-*] ", "")).alias("content"), pinned.alias("is_pinned"))
+    return own.select(*keys, F.col("line_no").cast("long").alias("ord"), trimmed(category).alias("category"), trimmed(F.regexp_replace("line", r"^\s*[-*] ", "")).alias("content"), pinned.alias("is_pinned"))
 
 
 def render(learnings: DataFrame) -> DataFrame:

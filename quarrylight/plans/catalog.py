@@ -23,7 +23,7 @@ def _as_of():
 
 # Text and chunks ---------------------------------------------------------------------
 
-_LINES = "list_transform(CASE WHEN right(coalesce(text, ''), 1) IN ('', chr(10)) THEN string_split(coalesce(text, ''), chr(10))[:-2] ELSE string_split(coalesce(text, ''), chr(10)) END, lambda x: rtrim(x, chr(13)))"
+_LINES = R.LINES
 
 
 @query(f"SELECT doc_id, len({_LINES}) AS n_lines FROM documents")
@@ -40,7 +40,7 @@ _CHUNKS = f"""lines AS (SELECT doc_id, {_LINES} AS lines FROM documents),
     cuts AS (SELECT doc_id, lines, unnest(range(0, len(lines), 40)) AS p FROM lines WHERE len(lines) > 0),
     chunks AS (
         SELECT doc_id, p + 1 AS start_line, p + len(lines[p + 1:p + 50]) AS end_line,
-               len(list_filter(lines[p + 1:p + 50], lambda x: trim(x) <> '')) AS n_filled,
+               len(list_filter(lines[p + 1:p + 50], lambda x: {R.trim_sql('x')} <> '')) AS n_filled,
                array_to_string(lines[p + 1:p + 50], chr(10)) AS chunk_text
         FROM cuts WHERE n_filled >= 3)"""
 
@@ -84,7 +84,7 @@ def sanitize_query(spark, sf_dir):
 
 @query(
     f"""WITH lines AS (SELECT doc_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS line_no FROM documents)
-    SELECT doc_id, line_no, substr(trim(line), 1, 100) AS snippet FROM lines WHERE contains(lower(line), 'idiot') ORDER BY doc_id, line_no LIMIT 30"""
+    SELECT doc_id, line_no, substr({R.trim_sql('line')}, 1, 100) AS snippet FROM lines WHERE contains(lower(line), 'idiot') ORDER BY doc_id, line_no LIMIT 30"""
 )
 def line_references(spark, sf_dir):
     return chunks.line_references(_docs(spark, sf_dir), "idiot")
@@ -665,4 +665,4 @@ def vector_codec(spark, sf_dir):
 
 FLAGSHIP = "cascade_batch"
 
-from . import more  # noqa: E402, F401  registers the rest
+from . import more, stored  # noqa: E402, F401  register the rest

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.text import SPACES
 from ..operators import aliases as A
 from ..operators import chunks, code, documents, learnings, merge, ranking, usage
 from ..session import table
 from ..sources import files as S
 from ..sources.providers import overlap_logit
 from . import catalog as C
-from . import fixtures
 from . import tables as R
 from .registered import query
 
@@ -194,9 +194,10 @@ def rerank_batch(spark, sf_dir):
 
 # Notes -------------------------------------------------------------------------------
 
-_NOTE_LINES = """rows AS (SELECT p_brand AS owner, p_partkey AS line_no, CASE p_size % 9 WHEN 0 THEN '## ' || p_type WHEN 1 THEN '# PINNED:' || p_type WHEN 2 THEN p_name ELSE '- ' || p_name END AS line FROM part),
-    heads AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^#+ ') THEN trim(regexp_replace(line, '^#+ ', '')) END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS head FROM rows),
-    notes AS (SELECT owner, line_no AS ord, trim(lower(coalesce(regexp_replace(head, '^PINNED:', '', 'i'), 'general'))) AS category, trim(regexp_replace(line, '^\\s*[-*] ', '')) AS content,
+_BARE = r"regexp_replace(line, '^\s*[-*] ', '')"
+_NOTE_LINES = f"""rows AS (SELECT p_brand AS owner, p_partkey AS line_no, CASE p_size % 9 WHEN 0 THEN '## ' || p_type WHEN 1 THEN '# PINNED:' || p_type WHEN 2 THEN p_name ELSE '- ' || p_name END AS line FROM part),
+    heads AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^#+ ') THEN {R.trim_sql("regexp_replace(line, '^#+ ', '')")} END IGNORE NULLS) OVER (PARTITION BY owner ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS head FROM rows),
+    notes AS (SELECT owner, line_no AS ord, {R.trim_sql("lower(coalesce(regexp_replace(head, '^PINNED:', '', 'i'), 'general'))")} AS category, {R.trim_sql(_BARE)} AS content,
         coalesce(starts_with(upper(head), 'PINNED:'), false) AS is_pinned FROM heads WHERE starts_with(line, '- '))"""
 
 
@@ -280,48 +281,90 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_FILES = "files AS (SELECT * FROM (VALUES " + ", ".join(f"({_quoted(p)}, {_quoted(c)})" for p, c in fixtures.FILES) + f") AS f(path, text)), rows AS (SELECT path, unnest({C._LINES}) AS line, generate_subscripts({C._LINES}, 1) AS line_no FROM files)"
+_T = R.trim_sql("line")
+
+
+def _starts(prefixes: list[str], text: str = "bare") -> str:
+    return "(" + " OR ".join(f"starts_with({text}, {_quoted(p)})" for p in prefixes) + ")"
 
 
 def _declared(what: str) -> str:
     if what == "kind":
-        return "CASE " + " ".join(f"WHEN starts_with(trim(line), '{p}') THEN '{k}'" for p, k in code.DECLARATIONS) + " END"
-    return "CASE " + " ".join(rf"WHEN starts_with(trim(line), '{p}') THEN regexp_extract(substr(trim(line), {len(p) + 1}), '^([\p{{L}}\p{{N}}_]+)', 1)" for p, _ in code.DECLARATIONS) + " END"
+        return "CASE " + " ".join(f"WHEN starts_with({_T}, '{p}') THEN '{k}'" for p, k in code.DECLARATIONS) + " END"
+    return "CASE " + " ".join(rf"WHEN starts_with({_T}, '{p}') THEN regexp_extract(substr({_T}, {len(p) + 1}), '^([\p{{L}}\p{{N}}_]+)', 1)" for p, _ in code.DECLARATIONS) + " END"
 
 
-_DECLARED = f"{_FILES}, declared AS (SELECT path AS file_path, line_no AS start_line, line_no + 10 AS end_line, trim(line) AS signature, {_declared('kind')} AS kind, {_declared('name')} AS name FROM rows), found AS (SELECT file_path || '::' || kind || '::' || name || '::L' || start_line AS id, * FROM declared WHERE coalesce(name, '') <> '')"
+_DECLARED = f"{R.CODE}, declared AS (SELECT path AS file_path, line_no AS start_line, line_no + 10 AS end_line, {_T} AS signature, {_declared('kind')} AS kind, {_declared('name')} AS name FROM rows), found AS (SELECT file_path || '::' || kind || '::' || name || '::L' || start_line AS id, * FROM declared WHERE coalesce(name, '') <> '')"
+_IMPORTED = rf"imported AS (SELECT * FROM (SELECT path AS file_path, line_no AS line, regexp_replace(string_split_regex({_T}, '\s+')[2], ';+$', '') AS target_name, 'imports' AS edge_type FROM rows WHERE regexp_matches({_T}, '^(use|import|from) ')) WHERE target_name <> '')"
+_CALLED = "called AS (SELECT r.path AS file_path, r.line_no AS line, f.id AS target_id, f.name AS target_name, 'calls' AS edge_type FROM rows r JOIN found f ON r.path = f.file_path AND r.line_no <> f.start_line AND contains(r.line, f.name || '('))"
 
 
 @query(f"WITH {_DECLARED} SELECT id, name, kind, file_path, CAST(NULL AS VARCHAR) AS parent, start_line, end_line, signature FROM found")
 def symbol_extract(spark, sf_dir):
-    return code.symbols(fixtures.code_files(spark))
+    return code.symbols(R.code_files(spark, sf_dir))
 
 
-@query(rf"WITH {_FILES}, x AS (SELECT path AS file_path, line_no AS line, regexp_replace(string_split_regex(trim(line), '\s+')[2], ';+$', '') AS target_name, 'imports' AS edge_type FROM rows WHERE regexp_matches(trim(line), '^(use|import|from) ')) SELECT * FROM x WHERE target_name <> ''")
+@query(f"WITH {R.CODE}, {_IMPORTED} SELECT * FROM imported")
 def import_edges(spark, sf_dir):
-    return code.import_edges(fixtures.code_files(spark))
+    return code.import_edges(R.code_files(spark, sf_dir))
 
 
-@query(f"WITH {_DECLARED} SELECT r.path AS file_path, r.line_no AS line, f.id AS target_id, f.name AS target_name, 'calls' AS edge_type FROM rows r JOIN found f ON r.path = f.file_path AND r.line_no <> f.start_line AND contains(r.line, f.name || '(')")
+@query(f"WITH {_DECLARED}, {_CALLED} SELECT * FROM called")
 def call_edges(spark, sf_dir):
-    return code.call_edges(fixtures.code_files(spark))
+    return code.call_edges(R.code_files(spark, sf_dir))
 
 
-@query(f"WITH {_FILES} SELECT path, line_no, printf('L%04d: %s', line_no, trim(line)) AS entry FROM rows WHERE " + " OR ".join(f"starts_with(trim(line), '{p}')" for p in code.LISTED))
+@query(f"WITH {R.CODE} SELECT path, line_no, printf('L%04d: %s', line_no, {_T}) AS entry FROM rows WHERE " + _starts(code.LISTED, _T))
 def file_listing(spark, sf_dir):
-    return code.listing(fixtures.code_files(spark))
-
-
-@query()
+    return code.listing(R.code_files(spark, sf_dir))
+
+
+_OUTLINED = f"""{R.CODE}, sized AS (SELECT path, text, len({R.LINES}) AS n FROM files),
+    plain AS (SELECT r.path, n, line_no - 1 AS pos, line, {_T} AS bare FROM rows r JOIN sized s ON r.path = s.path WHERE n > {code.SHORT}),
+    roles AS (SELECT *, contains(line, '{{') OR ends_with(bare, ':') AS opens, len(replace(line, '}}', '')) - len(replace(line, '{{', '')) AS step,
+        CASE WHEN {_starts(code.COMMENTS + code.IMPORTS + code.TYPES)} OR (starts_with(bare, 'export ') AND NOT contains(bare, 'function') AND NOT contains(bare, '{{')) THEN 'stay'
+             WHEN {_starts(code.FUNCTIONS)} OR ({_starts(code.METHODS)} AND contains(bare, '(')) THEN 'function'
+             WHEN bare IN ('}}', '}};') OR starts_with(bare, 'pub ') OR (contains(bare, ':') AND NOT contains(bare, '(')) THEN 'stay' END AS role FROM plain),
+    summed AS (SELECT *, sum(step) OVER (PARTITION BY path ORDER BY pos) AS bal,
+        coalesce(min(CASE WHEN opens THEN pos END) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n - 1) AS head FROM roles),
+    fns AS (SELECT f.path, f.pos AS first, f.head, f.n, f.line, contains(h.line, '{{') AS braced, h.bal - h.step AS level FROM summed f JOIN summed h ON f.path = h.path AND h.pos = f.head WHERE f.role = 'function'),
+    spans AS (SELECT f.path, f.first, f.head, f.braced, f.line, CASE WHEN f.braced THEN coalesce(min(k.pos), f.n) ELSE f.head END AS last
+        FROM fns f LEFT JOIN summed k ON k.path = f.path AND k.pos > f.head AND k.bal <= f.level GROUP BY f.path, f.first, f.head, f.braced, f.line, f.n),
+    nexts AS (SELECT a.path, a.first, min(b.first) AS nxt FROM spans a LEFT JOIN spans b ON a.path = b.path AND b.first > a.last GROUP BY ALL),
+    chosen AS (SELECT path, min(first) AS first FROM spans GROUP BY path UNION ALL SELECT x.path, x.nxt FROM chosen c JOIN nexts x ON x.path = c.path AND x.first = c.first WHERE x.nxt IS NOT NULL),
+    signed AS (SELECT s.path, s.first, s.last, s.braced, s.line, string_agg(p.line, ' ' ORDER BY p.pos) AS sig
+        FROM (SELECT * FROM spans SEMI JOIN chosen ON chosen.path = spans.path AND chosen.first = spans.first) s JOIN plain p ON p.path = s.path AND p.pos BETWEEN s.first AND s.head GROUP BY ALL),
+    entries AS (SELECT path, first, last, CASE WHEN braced THEN substr(line, 1, len(line) - len(ltrim(line, '{SPACES}'))) || {R.trim_sql("regexp_extract(sig, '^[^{]*')")} || ' {{ /* L' || (first + 1) || '-' || (last + 1) || ': ' || greatest(1, last + 1 - first) || ' lines */ }}'
+        ELSE {R.trim_sql("sig")} || ' /* L' || (first + 1) || ': implementation */' END AS entry FROM signed),
+    kept AS (SELECT r.path, r.pos, CASE WHEN e.entry IS NOT NULL THEN e.entry WHEN r.role = 'stay' THEN r.line END AS line FROM roles r LEFT JOIN entries e ON e.path = r.path AND e.first = r.pos
+        WHERE NOT EXISTS (SELECT 1 FROM entries c WHERE c.path = r.path AND r.pos > c.first AND r.pos <= c.last)),
+    outlines AS (SELECT s.path, s.n, CASE WHEN s.n <= {code.SHORT} THEN s.text ELSE concat_ws(chr(10), '// === Structural Skeleton of ' || chr(39) || s.path || chr(39) || ' (Total Lines: ' || s.n || ') ===', k.body) END AS skeleton
+        FROM sized s LEFT JOIN (SELECT path, string_agg(line, chr(10) ORDER BY pos) AS body FROM kept WHERE line IS NOT NULL GROUP BY path) k ON k.path = s.path)"""
+
+
+@query(f"WITH RECURSIVE {_OUTLINED} SELECT path, n AS n_lines, md5(skeleton) AS skeleton FROM outlines")
 def skeleton(spark, sf_dir):
-    return code.skeletons(fixtures.code_files(spark))
+    files = R.code_files(spark, sf_dir)
+    sizes = files.select("path", F.size(T.lines_of(F.col("content"))).cast("long").alias("n_lines"))
+    return code.skeletons(files).join(sizes, "path").select("path", "n_lines", F.md5(F.col("skeleton").cast("binary")).alias("skeleton"))
 
 
-@query()
+@query(
+    f"""WITH {R.CODE}, firsts AS (SELECT path, min(line_no) AS first FROM rows WHERE contains(line, 'class ') GROUP BY path),
+    own AS (SELECT r.path, line, line_no - first AS k, {_T} = '' AS blank, len(line) - len(replace(line, '{{', '')) AS o, len(line) - len(replace(line, '}}', '')) AS c FROM rows r JOIN firsts f ON f.path = r.path WHERE line_no - first BETWEEN 0 AND 99),
+    sums AS (SELECT *, sum(o) OVER w AS opened, sum(o - c) OVER w AS bal FROM own WINDOW w AS (PARTITION BY path ORDER BY k)),
+    ends AS (SELECT path, min(k) AS last FROM sums WHERE (k > 0 AND opened > 0 AND bal <= 0 AND (blank OR c > 0)) OR (k >= 29 AND opened = 0 AND blank) GROUP BY path)
+    SELECT s.path, string_agg(line, chr(10) ORDER BY k) AS snippet FROM sums s LEFT JOIN ends e ON e.path = s.path WHERE k <= coalesce(last, 99) GROUP BY s.path"""
+)
 def target_symbol(spark, sf_dir):
-    return code.target_symbols(fixtures.code_files(spark), "Engine")
+    return code.target_symbols(R.code_files(spark, sf_dir), "class ")
 
 
-@query()
+@query(
+    rf"""WITH RECURSIVE {_OUTLINED}, raw AS (SELECT o.path, o.n, CASE WHEN o.n > 20 THEN o.skeleton ELSE array_to_string(({R.LINES.replace("text", "f.text")})[1:20], chr(10)) END AS text FROM outlines o JOIN files f ON f.path = o.path),
+    cut AS (SELECT path, n, list_transform({R.LINES}, lambda x: regexp_replace(x, '\s+$', '')) AS own FROM raw)
+    SELECT path, n AS n_lines, false AS capped, md5(coalesce(array_to_string(list_filter(own, lambda x, i: NOT (x = '' AND coalesce(own[i - 1], 'x') = '')), chr(10)), '')) AS view FROM cut"""
+)
 def bounded_view(spark, sf_dir):
-    return code.bounded_read(fixtures.code_files(spark), "run")
+    own = code.bounded_read(R.code_files(spark, sf_dir), most=20)
+    return own.select("path", "n_lines", "capped", F.md5(F.col("view").cast("binary")).alias("view"))

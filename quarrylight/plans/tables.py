@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import SPACES, lines_of, tokens_of
 from ..operators.chunks import query_terms
 from ..session import table
 
@@ -58,6 +61,51 @@ def match_sql(index: str, keys: str, name: str) -> str:
         JOIN (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id) w ON f.query_id = w.query_id AND f.n = w.n)"""
 
 
+LINES = "list_transform(CASE WHEN right(coalesce(text, ''), 1) IN ('', chr(10)) THEN string_split(coalesce(text, ''), chr(10))[:-2] ELSE string_split(coalesce(text, ''), chr(10)) END, lambda x: rtrim(x, chr(13)))"
+
+
+def trim_sql(text: str) -> str:
+    """Without white space of any kind at either end."""
+    return f"trim({text}, '{SPACES}')"
+
+
+#: Lines of code that lines of prose become in turn; {a} and {b} are the first and last word of the line, x if it has none.
+CODE_FORMS = [
+    "\tuse {a}::{b};", "pub fn {a}() {", "\t{b}({a});", "}", "\tdef {b}({a}):", "\t\treturn get_{a}({b})", "class {a} {", "    {a}: {b},", "\t ", "}} // {a}", "fn {b}(", "\u00a0\tto: {a}) {",
+]
+
+
+def _parts(form: str) -> list[str]:
+    """Text and names of words in turn."""
+    return re.split(r"\{([ab])\}", form)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, content: every document as a file of code, each of its lines as the next of CODE_FORMS."""
+
+    def rewritten(line: Column, i: Column) -> Column:
+        words = tokens_of(line)
+        part = {"a": F.coalesce(F.get(words, F.lit(0)), F.lit("x")), "b": F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("x"))}
+        made = F.lit(None).cast("string")
+        for turn, form in reversed(list(enumerate(CODE_FORMS))):
+            made = F.when(i % len(CODE_FORMS) == turn, F.concat(*(part[p] if k % 2 else F.lit(p) for k, p in enumerate(_parts(form))))).otherwise(made)
+        return made
+
+    path = F.concat(F.lit("src/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".rs"))
+    return table(spark, sf_dir, "documents").select(path.alias("path"), F.array_join(F.transform(lines_of(F.col("text")), rewritten), "\n").alias("content"))
+
+
+def _form_sql(form: str) -> str:
+    word = {"a": "w[1]", "b": "w[2]"}
+    return " || ".join(word[p] if k % 2 else "'" + p + "'" for k, p in enumerate(_parts(form)) if p)
+
+
+_TURNS = " ".join(f"WHEN {k} THEN {_form_sql(f)}" for k, f in enumerate(CODE_FORMS))
+CODE = rf"""prose AS (SELECT 'src/' || coalesce(source, '') || '/' || doc_id || '.rs' AS path, list_transform({LINES}, lambda x: regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+')) AS lines FROM documents),
+    files AS (SELECT path, array_to_string(list_transform(list_transform(lines, lambda t: [coalesce(t[1], 'x'), coalesce(t[-1], 'x')]), lambda w, i: CASE (i - 1) % {len(CODE_FORMS)} {_TURNS} END), chr(10)) AS text FROM prose),
+    rows AS (SELECT path, unnest({LINES}) AS line, generate_subscripts({LINES}, 1) AS line_no FROM files)"""
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrylight import model
-from quarrylight.operators import aliases, code, documents, graph, learnings, merge, ranking, search, usage
+from quarrylight.operators import aliases, chunks, code, documents, graph, learnings, merge, ranking, search, usage
 from quarrylight.plans import fixtures
 from quarrylight.sources import files, providers
 from quarrylight.streaming import usage as streaming
@@ -80,15 +81,61 @@ def test_code(spark):
     assert {r["target_name"] for r in code.import_edges(own).collect()} >= {"std::collections::HashMap", "os", "pathlib"}
     calls = {(r["file_path"], r["target_name"]) for r in code.call_edges(own).collect()}
     assert ("src/engine.rs", "cost") in calls and ("web/view.ts", "show") in calls
-    outline = code.skeleton(fixtures.ENGINE, "src/engine.rs")
-    assert "return 0" not in outline and "fn run(&self, plan: &str) -> u64 { /* L16-21: 6 lines */ }" in outline
-    assert code.skeleton("a\nb", "x") == "a\nb"
-    assert code.target_symbol(fixtures.ENGINE, "fn run").count("\n") == 5
-    assert code.target_symbol("a", "b") is None
+    outline = {r["path"]: r["skeleton"] for r in code.skeletons(own).collect()}
+    assert "return 0" not in outline["src/engine.rs"] and "    fn run(&self, plan: &str) -> u64 { /* L16-21: 6 lines */ }" in outline["src/engine.rs"].split("\n")
+    assert outline["cmd/server.go"] == fixtures.SERVER and outline["notes/empty.txt"] == ""
+    assert code.target_symbols(own, "fn run").first()["snippet"].count("\n") == 5
+    assert code.target_symbols(own, "absent").count() == 0
     raw = code.call_edges(own).select("file_path", "line", "target_name", "edge_type")
     assert graph.resolve_edges(raw, code.symbols(own)).count() > 0
 
 
+def test_white_space(spark):
+    """Tabs and wide spaces before a declaration; line ends other than line feeds stay inside lines."""
+    text = "\tfn foo() {\n\u00a0\u2003def bar(x):\n\timport os\n\t\n \u3000\n\x0c\x0bclass A\x85\u2028B {\n\t\tfoo(bar(1))"
+    own = spark.createDataFrame([("a.py", text)], "path string, content string")
+    assert [(r["kind"], r["name"], r["start_line"]) for r in code.symbols(own).orderBy("start_line").collect()] == [("function", "foo", 1), ("function", "bar", 2), ("class", "A", 6)]
+    assert [r["target_name"] for r in code.import_edges(own).collect()] == ["os"]
+    assert [r["entry"] for r in code.listing(own).orderBy("line_no").collect()][:2] == ["L0001: fn foo() {", "L0002: def bar(x):"]
+    assert {(r["line"], r["target_name"]) for r in code.call_edges(own).collect()} == {(7, "foo"), (7, "bar")}
+    docs = spark.createDataFrame([(1, "\t\n \t\n\u3000"), (2, "a\n\tb\nc\n\t")], "doc_id long, text string")
+    assert [(r["doc_id"], r["n_filled"]) for r in chunks.chunk_windows(docs).collect()] == [(2, 3)]
+    assert [r["snippet"] for r in chunks.line_references(docs, "b").collect()] == ["b"]
+
+
+def test_calls_equal_the_nested_loop(spark):
+    rng = random.Random(3)
+    names = [f"n{i}" if i % 3 else f"get_n{i}" for i in range(500)]
+    lines = [f"fn {n}() {{" for n in names] + [" ".join(f"{rng.choice(['', 'x_', '9', 'é'])}{rng.choice(names)}{rng.choice(['(', ' (', '', '('])}1)" for _ in range(4)) for _ in range(4500)]
+    rng.shuffle(lines)
+    starts = {(k, n) for k, x in enumerate(lines, 1) for n in names if x == f"fn {n}() {{"}
+    want = {(k, n) for k, x in enumerate(lines, 1) for n in names if n + "(" in x and (k, n) not in starts}
+    own = spark.createDataFrame([("a.rs", "\n".join(lines))], "path string, content string")
+    got = code.call_edges(own).collect()
+    assert {(r["line"], r["target_name"]) for r in got} == want and len(got) == len(want) > 5000
+
+
+def test_outlines(spark):
+    filler = [f"let x{i} = {i};" for i in range(16)]
+    cases = {
+        "many lines": ["fn a(", "  x: int,", ") -> y", "{", "  if z {", "  }", "}", "pub x"],
+        "one line": ["fn a() { b }", "c", "fn d() {}", "fn e() {", "}"],
+        "never closed": ["fn a() {", "  {", "}"],
+        "no block": ["fn a", "b"],
+        "nested": ["fn a() {", "  fn b() {", "  }", "}", "fn c() {", "}"],
+        "closed at once": ["fn a() {", "}}}", "fn b() {", "}"],
+        "colon": ["def f(", "    x):", "    return 1", "def g():"],
+    }
+    df = spark.createDataFrame([(k, "\n".join(filler + v)) for k, v in cases.items()], "path string, content string")
+    got = {r["path"]: r["skeleton"].split("\n")[1:] for r in code.skeletons(df).collect()}
+    assert got["many lines"] == ["fn a(   x: int, ) -> y { /* L17-23: 7 lines */ }", "pub x"]
+    assert got["one line"] == ["fn a() { /* L17-18: 2 lines */ }", "fn d() { /* L19-21: 3 lines */ }"]
+    assert got["never closed"] == ["fn a() { /* L17-20: 4 lines */ }"] and got["no block"] == ["fn a b /* L17: implementation */"]
+    assert got["nested"] == ["fn a() { /* L17-20: 4 lines */ }", "fn c() { /* L21-22: 2 lines */ }"]
+    assert got["closed at once"] == ["fn a() { /* L17-18: 2 lines */ }", "fn b() { /* L19-20: 2 lines */ }"]
+    assert got["colon"] == ["def f(     x): /* L17: implementation */", "def g(): /* L20: implementation */"]
+
+
 def test_sections(spark):
     text = "intro\n# One\nbody a\nbody b\n## Empty\n### Two\nneedle"
     docs = spark.createDataFrame([(1, text), (2, "plain"), (3, "")], "doc_id long, text string")
