@@ -523,7 +523,8 @@ def jaccard_components(docs: DataFrame, *, num: int = 75, den: int = 100, width:
             break
         salt += 1  # two sets of one name, told apart by their checks: all get other names
     reps = reps.select("node", "doc_id")
-    sketches = packed.mapInArrow(lean(_open_sketches), "node long, size long, sketch binary")
+    # tasks that hold a set each send its sketch; one row for a set, so that joins multiply nothing
+    sketches = scratch.keep(packed.mapInArrow(lean(_open_sketches), "node long, size long, sketch binary").dropDuplicates(["node"]), "sketches")
 
     def verified(pairs: DataFrame) -> DataFrame:
         n = pairs.count()
