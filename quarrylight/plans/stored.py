@@ -19,9 +19,9 @@ def stored_fts(spark, sf_dir):
     docs, root = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_folder(spark, "fulltext")
     stale = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
     change = Store(spark, root).change()
-    FullText(change.before, "docs", ["doc_id"]).add(change, docs.join(stale.select("doc_id"), "doc_id", "left_anti").unionByName(stale.withColumn("text", F.reverse("text"))), F.col("text"))
+    FullText(change.before, "docs", ["doc_id"], 16).add(change, docs.join(stale.select("doc_id"), "doc_id", "left_anti").unionByName(stale.withColumn("text", F.reverse("text"))), F.col("text"))
     store = change.commit()
-    own, change = FullText(store, "docs", ["doc_id"]), store.change()
+    own, change = FullText(store, "docs", ["doc_id"], 16), store.change()
     own.remove(change, stale.select("doc_id"))
     own.add(change, stale, F.col("text"))
     return FullText(change.commit(), "docs", ["doc_id"]).match(R.queries(spark, sf_dir))
@@ -44,7 +44,7 @@ def stored_index(spark, sf_dir):
     stale = files.join(table(spark, sf_dir, "labels").select(labelled.alias("end")).distinct(), F.expr("concat('/', substring_index(path, '/', -1)) = end"), "left_semi")
     gone = stale.withColumn("path", F.concat(F.lit("gone/"), "path"))
     before = files.join(stale.select("path"), "path", "left_anti").unionByName(stale.withColumn("content", F.concat(F.lit("fn stale() {\n"), "content"))).unionByName(gone)
-    index, _ = CodeIndex.build(spark, root, before).refresh(files)
+    index, _ = CodeIndex.build(spark, root, before, buckets=16).refresh(files)
     count = lambda name, column: index.store.read(name).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias(column))
     out = index.files.select("path", "content_hash")
     for name, column in (("symbols", "n_symbols"), ("references", "n_references"), ("chunks", "n_chunks")):
