@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import spread
+from ..functions.text import trimmed
+from .containment import contained
 
 FIRST, STEP, FLOOR = 0.8, 0.05, 0.1
 
@@ -18,11 +19,20 @@ def lookup(aliases: DataFrame, query: str, limit: int = 10) -> DataFrame:
 
 
 def lookup_batch(aliases: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, resolved_path, confidence: the same for a stated set of queries (query_id, text), the best alias of each path."""
-    term, text = F.lower("alias_term"), F.lower("text")
-    own = spread(aliases.select("alias_term", "resolved_path", "confidence"), queries.where(F.trim("text") != ""))
-    close = own.where(F.contains(term, text) | F.contains(text, term))
-    return close.groupBy("query_id", "resolved_path").agg(F.max("confidence").alias("confidence"))
+    """query_id, resolved_path, confidence: the same for a stated set of queries (query_id, text), the best alias of each path.
+
+    Distinct terms and distinct texts meet where one contains the other; only those that do are joined with their aliases and queries.
+    """
+    known = aliases.groupBy(F.lower("alias_term").alias("term"), "resolved_path").agg(F.max("confidence").alias("confidence"))
+    asked = queries.where(trimmed("text") != "").select("query_id", F.lower("text").alias("low"))
+    terms, texts = known.select("term").where("term IS NOT NULL").distinct(), asked.select("low").distinct()
+
+    def within(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+        own = contained(parts.select(F.col(part).alias("part")), wholes.select(F.col(whole).alias("key"), F.col(whole).alias("whole")))
+        return own.select(F.col("part").alias(part), F.col("key").alias(whole))
+
+    close = within(terms, "term", texts, "low").unionByName(within(texts, "low", terms, "term")).distinct()
+    return close.join(asked, "low").join(known, "term").groupBy("query_id", "resolved_path").agg(F.max("confidence").alias("confidence"))
 
 
 def upsert(aliases: DataFrame, observed: DataFrame) -> DataFrame:

@@ -12,8 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import sigmoid
+from ..functions.text import sigmoid, trimmed
 from ..functions.vectors import cosine, dot
+from ..session import shared_folder
+from .containment import contained
 
 # Weights of a whole query and of each of its words, by the field that holds it.
 QUERY_WEIGHTS = {"intent": 0.6, "description": 0.4, "triggers": 0.5, "actions": 0.6}
@@ -82,16 +84,86 @@ def vector_score(query: Column, query_vector: Column, vector: Column) -> Column:
 def stage_one(skills: DataFrame, tasks: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     """The ``k`` best skills of each task; of lexical scores only those above 0, unless the task is blank.
 
-    The catalog is replicated to the tasks' side through an equi-join on a bounded set of salts.
+    Lexical scores are computed for candidates alone (``lexical_candidates``), which hold the
+    best ones of every text; another ``score`` is computed for all skills, in blocks.
     """
-    value = lexical_score(F.col("text")) if score is None else score
-    pairs = spread(skills, tasks).withColumn("score", value)
-    if score is None:
-        pairs = pairs.where((F.col("score") > 0) | (F.trim("text") == ""))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    if score is None:
+        keyed = skills.withColumn("_skill", _key(skills))
+        named = lexical_candidates(skills, tasks, k)
+        pairs = named.join(tasks, "text").join(keyed, "_skill").drop("_skill").withColumn("score", lexical_score(F.col("text")))
+        pairs = pairs.where((F.col("score") > 0) | (trimmed("text") == "")).select(*skills.columns, *tasks.columns, "score")
+    else:
+        pairs = spread(skills, tasks).withColumn("score", score)
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _key(rows: DataFrame) -> Column:
+    return F.md5(F.to_json(F.struct("*")).cast("binary"))
+
+
+def word_points(skills: DataFrame, tasks: DataFrame) -> DataFrame:
+    """_skill, name, word, points: what every word of the tasks adds to the score of each skill that has it, in hundredths."""
+    keyed = skills.select(_key(skills).alias("_skill"), "name", *(v.alias(f"_{f}") for f, v in fields().items() if f in WORD_WEIGHTS)).dropDuplicates(["_skill"])
+    each = F.explode(F.array(*(F.struct(F.concat("_skill", F.lit(f":{f}")).alias("key"), F.col(f"_{f}").alias("whole")) for f in WORD_WEIGHTS))).alias("f")
+    wholes = keyed.select(each).select("f.key", "f.whole").where("whole <> ''")
+    parts = tasks.select(F.explode(words(F.col("text"))).alias("part")).distinct()
+    weight = F.create_map(*(F.lit(x) for f, v in WORD_WEIGHTS.items() for x in (f, _cents(v))))
+    at = F.split("key", ":")
+    hits = contained(parts, wholes).select(at[0].alias("_skill"), F.col("part").alias("word"), weight[at[1]].alias("points"))
+    return hits.groupBy("_skill", "word").agg(F.sum("points").cast("long").alias("points")).join(keyed.select("_skill", "name"), "_skill")
+
+
+def _whole_query(skills: DataFrame, texts: DataFrame) -> DataFrame:
+    """text, _skill where the name or a weighted field contains the whole lower-cased text."""
+    own = [f for f in fields() if f == "name" or f in QUERY_WEIGHTS]
+    keyed = skills.select(_key(skills).alias("_skill"), *(fields()[f].alias(f"_{f}") for f in own)).dropDuplicates(["_skill"])
+    each = F.explode(F.array(*(F.struct(F.concat("_skill", F.lit(f":{f}")).alias("key"), F.col(f"_{f}").alias("whole")) for f in own))).alias("f")
+    hits = contained(texts.select(F.lower("text").alias("part")), keyed.select(each).select("f.key", "f.whole"))
+    lowered = texts.select("text", F.lower("text").alias("part"))
+    return hits.select(F.split("key", ":")[0].alias("_skill"), "part").distinct().join(lowered, "part").select("text", "_skill")
+
+
+def lexical_candidates(skills: DataFrame, tasks: DataFrame, k: int) -> DataFrame:
+    """text, _skill: for every distinct text of tasks a set of skills that holds its ``k`` best.
+
+    Skills that contain the whole text are candidates. The score of any other is the sum of
+    its words' points, which is bounded by the most that each word gives to any skill:
+
+    * the ``k`` skills that each word gives most to make partial scores, of which the k-th
+      best is a threshold that the k-th best score reaches;
+    * a skill is looked for by the rarest of the text's words that it has, so all its other
+      words are more common ones; of a word are looked up only skills to which it gives enough
+      to reach the threshold, if all more common words gave their most; if just enough, those
+      whose names come early enough.
+
+    Points of words are written once to the shared folder; a blank text has the skills
+    with the first ``k`` names besides.
+    """
+    spark = skills.sparkSession
+    texts = tasks.select("text").where("text IS NOT NULL").distinct()
+    path = shared_folder(spark, "points")
+    word_points(skills, texts).write.parquet(path)
+    points = spark.read.schema("_skill string, word string, points long, name string").parquet(path)
+    asked = texts.select("text", F.explode(words(F.col("text"))).alias("word")).groupBy("text", "word").agg(F.count("*").alias("m"))
+    most = points.groupBy("word").agg(F.max("points").alias("most"), F.count("*").alias("n"))
+    best = points.withColumn("_n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("points"), "name", "_skill"))).where(F.col("_n") <= k).drop("_n")
+    partial = asked.join(best, "word").groupBy("text", "_skill", "name").agg(F.sum(F.col("m") * F.col("points")).alias("sum"))
+    placed = partial.withColumn("_n", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("sum"), "name", "_skill"))).where(F.col("_n") <= k)
+    least = placed.where(F.col("_n") == k).select("text", F.col("sum").alias("least"), F.col("name").alias("last"))
+    known = asked.join(most, "word").withColumn("gives", F.col("m") * F.col("most"))
+    upto = Window.partitionBy("text").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
+    bound = known.join(least, "text", "left").withColumn("upto", F.sum("gives").over(upto))
+    looked_up = bound.where("least IS NULL OR upto >= least").select("text", "word", "m", "last", (F.col("least") - F.col("upto") + F.col("gives")).alias("need"))
+    given = F.col("m") * F.col("points")
+    enough = F.col("need").isNull() | (given > F.col("need")) | ((given == F.col("need")) & (F.col("name") <= F.col("last")))
+    found = looked_up.join(points, "word").where(enough).select("text", "_skill")
+    blank = texts.where(trimmed("text") == "")
+    first = [r["_skill"] for r in skills.select(_key(skills).alias("_skill"), "name").orderBy("name", "_skill").limit(k).collect()]  # k keys
+    named = blank.select("text", F.explode(F.array(*map(F.lit, first)).cast("array<string>")).alias("_skill"))
+    return found.unionByName(_whole_query(skills, texts)).unionByName(named).distinct()
+
+
 def spread(rows: DataFrame, queries: DataFrame, salts: int = 16) -> DataFrame:
     """Every row with every query of a stated set, in blocks: rows are dealt to salts by all of their columns, queries go to all of them."""
     a = rows.withColumn("_salt", F.pmod(F.xxhash64(*(c for c, kind in rows.dtypes if not kind.startswith("map"))), F.lit(salts)).cast("int"))
