@@ -47,15 +47,16 @@ def match_all(index: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of query_id and unit that hold all terms of the query.
 
     terms: query_id, term. Queries without terms match nothing. One pass over the postings
-    gathers for each unit those of its terms that any query has; a unit then meets only the
-    queries whose longest term it holds, so that a term which many queries share, mostly a
-    short one, multiplies nothing.
+    gathers for each unit those of its terms that any query has, and apart those that are the
+    longest of a query; a unit meets only the queries whose longest term it holds, so that a
+    term which many queries share, mostly a short one, multiplies nothing.
     """
     order = F.struct(F.length("term").alias("n"), "term")
     asked = terms.groupBy("query_id").agg(F.collect_set("term").alias("wanted"), F.max(order)["term"].alias("anchor"))
-    used = index.join(terms.select("term").distinct(), "term", "left_semi")
-    units = used.groupBy(*keys).agg(F.collect_set("term").alias("held"))  # as many as a unit has words
-    met = units.select(*keys, "held", F.explode("held").alias("anchor")).join(asked, "anchor")
+    marks = terms.select("term").distinct().join(asked.select(F.col("anchor").alias("term"), F.lit(True).alias("anchors")).distinct(), "term", "left")
+    used = index.join(marks, "term")
+    units = used.groupBy(*keys).agg(F.collect_set("term").alias("held"), F.collect_set(F.when(F.col("anchors"), F.col("term"))).alias("anchors"))  # as many as a unit has words
+    met = units.select(*keys, "held", F.explode("anchors").alias("anchor")).join(asked, "anchor")
     return met.where(F.size(F.array_except("wanted", "held")) == 0).select("query_id", *keys)
 
 

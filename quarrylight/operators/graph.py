@@ -10,7 +10,7 @@ from ..functions.text import risk_level
 
 def fan_in(edges: DataFrame) -> DataFrame:
     """target, n_dependents: distinct other sources of each target."""
-    return edges.where("source <> target").groupBy("target").agg(F.count_distinct("source").alias("n_dependents"))
+    return edges.where("source <> target").select("target", "source").distinct().groupBy("target").agg(F.count("*").alias("n_dependents"))
 
 
 def dependents(edges: DataFrame, limit: int = 10) -> DataFrame:

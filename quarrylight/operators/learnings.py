@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import trimmed
-from ..functions.vectors import cosine
+from ..functions.text import SPACES, trimmed
 
 # Categories by the words of a task; the first group with a word in the task decides.
 CATEGORIES = [
@@ -33,30 +34,65 @@ def for_category(learnings: DataFrame, task: str, limit: int) -> DataFrame:
     return own.orderBy(F.desc("ord")).limit(limit).select("ord", F.format_string("- [%s] %s", label, F.col("content")).alias("entry"))
 
 
-def _bullet_key() -> Column:
-    return F.lower(trimmed("content"))
+_ASCII = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def _key(item: dict) -> tuple[str, str]:
+    return item["category"], item["content"].translate(_ASCII)
+
+
+def _close(a, b) -> float:
+    if a is None or b is None or len(a) != len(b):
+        return 0.0
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    norm = float(np.linalg.norm(x) * np.linalg.norm(y))
+    return float(x @ y) / norm if norm else 0.0
+
+
+def _added(items: list[dict], new: dict, cap: int, look_back: int, threshold: float) -> list[dict]:
+    """The list after one entry, which sees all that came before it."""
+    new = new | {"content": (new["content"] or "").strip(SPACES), "category": (new["category"] or "").strip(SPACES) or "general", "is_pinned": bool(new["is_pinned"])}
+    if not new["content"]:
+        return items
+    same = next((x for x in items if _key(x) == _key(new)), None)
+    if same is None and "vector" in new:
+        recent = [x for x in items[: -look_back - 1 : -1] if x["category"] == new["category"]]
+        same = next((x for x in recent if _close(new["vector"], x["vector"]) >= threshold), None)
+        if same is not None:
+            same |= {k: v for k, v in new.items() if k not in ("ord", "category", "is_pinned")}
+    if same is not None:
+        same["is_pinned"] = same["is_pinned"] or new["is_pinned"]
+        return items
+    items = [*items, new | {"ord": max([new["ord"], *(x["ord"] + 1 for x in items[-1:])])}]
+    over = sum(not x["is_pinned"] for x in items) - cap
+    for _ in range(max(0, over)):
+        items.remove(next(x for x in items if not x["is_pinned"]))
+    return items
 
 
 def add(learnings: DataFrame, new: DataFrame, *, cap: int = 30, look_back: int = 10, threshold: float = 0.92) -> DataFrame:
-    """The list after new entries: none that is there in any case; one that is close to one of the last ten of all entries, same category, takes its place; transient entries beyond ``cap`` go, oldest first.
+    """The list after new entries, one after another in order of ``ord``, each seeing those before it.
+
+    An entry whose text is there in its category, in any case of A-Z, is not added. One that is
+    close to one of the last ``look_back`` of all entries, of its category, the newest such, gives
+    that its text. Either pins what it meets, if it is pinned. All others are added at the end,
+    and transient entries beyond ``cap`` go, oldest first. Blank texts are ignored.
 
-    Both: ord, category, content, is_pinned and, optionally, vector of the bare content.
+    Both: ord, category, content, is_pinned and, optionally, owner, which tells lists apart, and
+    vector. A list is one file, which is added to in one task.
     """
-    old = learnings.withColumn("_key", _bullet_key())
-    fresh = new.withColumn("_key", _bullet_key()).dropDuplicates(["_key"]).join(old.select("_key"), "_key", "left_anti")
-    if "vector" in learnings.columns:
-        last = old.orderBy(F.desc("ord")).limit(look_back)
-        pairs = fresh.alias("n").join(last.alias("o"), F.col("n.category") == F.col("o.category"))
-        close = pairs.where(cosine(F.col("n.vector"), F.col("o.vector")) >= threshold).select(F.col("n.ord").alias("new_ord"), F.col("o.ord").alias("old_ord"))
-        target = close.groupBy("new_ord").agg(F.max("old_ord").alias("old_ord"))
-        winner = target.groupBy("old_ord").agg(F.max("new_ord").alias("new_ord"))
-        moved = fresh.join(target, fresh["ord"] == target["new_ord"]).drop("new_ord").join(winner, "old_ord").where("ord = new_ord")
-        moved = moved.drop("ord", "new_ord").withColumnRenamed("old_ord", "ord").select(old.columns)
-        old = old.join(moved.select("ord"), "ord", "left_anti").select(old.columns).unionByName(moved)
-        fresh = fresh.join(target, fresh["ord"] == target["new_ord"], "left_anti")
-    every = old.unionByName(fresh.select(old.columns)).drop("_key")
-    w = Window.partitionBy("is_pinned").orderBy(F.desc("ord"))
-    return every.withColumn("_n", F.row_number().over(w)).where(F.col("is_pinned") | (F.col("_n") <= cap)).drop("_n")
+    keys, names = _owner(learnings), learnings.columns
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values(["_new", "ord"], kind="stable").to_dict("records")
+        items = [{k: r[k] for k in names} for r in rows if not r["_new"]]
+        for r in rows:
+            if r["_new"]:
+                items = _added(items, {k: r[k] for k in names}, cap, look_back, threshold)
+        return pd.DataFrame(items, columns=names)
+
+    both = learnings.withColumn("_new", F.lit(0)).unionByName(new.select(names).withColumn("_new", F.lit(1)))
+    return both.withColumn("_list", F.lit(0)).groupBy(*keys or ["_list"]).applyInPandas(fold, learnings.schema)
 
 
 def _owner(rows: DataFrame) -> list[str]:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hour_label, saved_percent
+from ..session import shared_folder
+from .places import placed
 
 
 def _sum(column: str) -> Column:
@@ -89,12 +91,12 @@ def stale_sessions(events: DataFrame, key: str, seconds: int = 300) -> DataFrame
     return gaps.where(F.col("gap_seconds") > seconds)
 
 
-def sorted_rows(rows: DataFrame, column: str, tie: str, *, descending: bool = False, most: int = 1000) -> DataFrame:
-    """A table as a viewer sorts it by a column, the first ``most`` rows with their place: numbers by value, texts in any case, nulls last."""
+def sorted_rows(rows: DataFrame, column: str, tie: str, *, descending: bool = False) -> DataFrame:
+    """A table as a viewer sorts it by a column, every row with its place: numbers by value, texts in any case, nulls last."""
     numeric = dict(rows.dtypes)[column].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"))
     key = F.col(column) if numeric else F.lower(F.col(column).cast("string"))
     order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(tie)]
-    return rows.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most ``most`` rows
+    return placed(rows, order, shared_folder(rows.sparkSession, "places"))
 
 
 def stats_json(events: DataFrame, as_of: Column) -> DataFrame:

@@ -250,17 +250,17 @@ _FAN = "fan AS (SELECT target, count(DISTINCT source) AS n_dependents FROM edges
 
 @query(f"WITH {R.EDGES}, {_FAN} SELECT * FROM fan")
 def edge_fanin(spark, sf_dir):
-    return graph.fan_in(R.edges(spark, sf_dir))
+    return graph.fan_in(R.edges(spark, sf_dir, distinct=False))
 
 
 @query(f"WITH {R.EDGES} SELECT target, source, row_number() OVER (PARTITION BY target ORDER BY source) AS rank FROM edges WHERE source <> target QUALIFY rank <= 10")
 def dependents(spark, sf_dir):
-    return graph.dependents(R.edges(spark, sf_dir))
+    return graph.dependents(R.edges(spark, sf_dir, distinct=False))
 
 
 @query(f"WITH {R.EDGES}, {_FAN} SELECT *, CASE WHEN n_dependents > 8 THEN 'High' WHEN n_dependents >= 3 THEN 'Medium' ELSE 'Low' END AS level FROM fan")
 def risk_levels(spark, sf_dir):
-    return graph.risk(R.edges(spark, sf_dir))
+    return graph.risk(R.edges(spark, sf_dir, distinct=False))
 
 
 @query(

@@ -77,10 +77,10 @@ def field_maximum(spark, sf_dir):
     return R.events(spark, sf_dir).agg(T.field_maximum("tokens_original", "tokens_optimized").alias("top"))
 
 
-@query(f"WITH {R.EVENTS}, own AS (SELECT user_id, count(*) AS calls FROM calls GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY calls DESC, user_id) AS place FROM own QUALIFY place <= 1000")
+@query(f"WITH {R.EVENTS} SELECT event_id, tool_name, tokens_original, row_number() OVER (ORDER BY tokens_original DESC NULLS LAST, event_id) AS place FROM calls")
 def sorted_table(spark, sf_dir):
-    own = usage.session_counters(R.events(spark, sf_dir), "user_id").select("user_id", "calls")
-    return usage.sorted_rows(own, "calls", "user_id", descending=True)
+    own = R.events(spark, sf_dir).select("event_id", "tool_name", "tokens_original")
+    return usage.sorted_rows(own, "tokens_original", "event_id", descending=True)
 
 
 @query(

@@ -110,11 +110,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source (supplier), target (order or part): of all lines."""
+def edges(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """source (supplier), target (order or part): of all lines; repeated ones only for callers that count distinct ends themselves."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     targets = F.array(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")), F.concat(F.lit("p"), F.col("l_partkey").cast("string")))
-    return lines.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.explode(targets).alias("target")).distinct()
+    every = lines.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.explode(targets).alias("target"))
+    return every.distinct() if distinct else every
 
 
 EDGES = """edges AS (

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import catalog_hash
 from ..operators.learnings import render
 from ..operators.usage import daily_summary, retain
+from ..store.buckets import Store
 
 
 def write_snapshot(rows: DataFrame, root: str, version: int, partition_by: list[str] | None = None) -> DataFrame:
@@ -49,20 +50,45 @@ def current_vectors(spark: SparkSession, catalog: DataFrame, root: str, version:
     return own if manifest["fingerprint"] == mark and manifest["count"] == own.count() else None
 
 
-def log_calls(events: DataFrame, root: str, version: int, as_of, placeholder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Appends a batch of events, then writes the rollup of all and the events that are kept; returns both."""
-    append_events(events, f"{root}/events")
-    every = events.sparkSession.read.parquet(f"{root}/events").drop("day")
-    return roll_and_retain(every, f"{root}/daily", f"{root}/recent", version, as_of, placeholder)
-
-
-def append_chunks(chunks: DataFrame, root: str, version: int) -> DataFrame:
-    """A new snapshot of chunks (id, ...): those there are, and new ones by identifier, which replace theirs."""
-    old = latest_snapshot(chunks.sparkSession, root)
-    if old is None:
-        return write_snapshot(chunks, root, version)
-    kept = old.join(chunks.select("id"), "id", "left_anti").select(chunks.columns)
-    return write_snapshot(kept.unionByName(chunks), root, version)
+def log_calls(events: DataFrame, root: str, batch: str, as_of, placeholder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Appends a batch of events with its name; returns the rollup of all days and the events that are kept.
+
+    A batch whose name is in the ledger changes nothing. Otherwise its events join those of
+    their days, and its sums are added to the rollup of their days: no other day is read or
+    written. Events beyond the time they are kept for leave a day when it is written and are
+    not returned before.
+    """
+    spark = events.sparkSession
+    store = Store(spark, root)
+    named = spark.createDataFrame([(batch,)], "batch string")
+    if "batches" not in store.tables or store.read("batches", store.buckets_of("batches", named)).where(F.col("batch") == batch).isEmpty():
+        change = store.change()
+        dated = events.withColumn("day", F.to_date("ts"))
+        added = daily_summary(events)
+        for name, rows, key in (("events", dated, "day"), ("daily", added, "day"), ("batches", named, "batch")):
+            if name in store.tables:
+                touched = store.buckets_of(name, rows.select(key))
+                old = store.read(name, touched)
+                if name == "daily":
+                    rows = old.unionByName(rows).groupBy("day").agg(*(F.sum(c).alias(c) for c in rows.columns if c != "day"))
+                else:
+                    rows = (retain(old, as_of, placeholder) if name == "events" else old).unionByName(rows)
+                change.write(name, rows, key, 64, touched)
+            else:
+                change.write(name, rows, key, 64)
+        store = change.commit()
+    return store.read("daily"), retain(store.read("events").drop("day"), as_of, placeholder)
+
+
+def append_chunks(chunks: DataFrame, root: str) -> DataFrame:
+    """Chunks (id, ...) after new ones joined, by identifier, or replaced theirs; only buckets of the new ones' identifiers are read and written."""
+    store = Store(chunks.sparkSession, root)
+    change, touched = store.change(), None
+    if "chunks" in store.tables:
+        touched = store.buckets_of("chunks", chunks.select("id"))
+        chunks = store.read("chunks", touched).join(chunks.select("id"), "id", "left_anti").select(chunks.columns).unionByName(chunks)
+    change.write("chunks", chunks, "id", 64, touched)
+    return change.commit().read("chunks")
 
 
 def append_events(events: DataFrame, root: str) -> None:
@@ -82,14 +108,8 @@ def write_learnings(learnings: DataFrame, path: str) -> None:
 
 def write_sessions(sessions: DataFrame, path: str) -> None:
     """A folder for each session, with one JSON document; a session that is there is replaced, others stay."""
-    spark = sessions.sparkSession
-    before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        own = sessions.withColumn("folder", F.col("session_id"))
-        own.repartition("folder").write.mode("overwrite").partitionBy("folder").json(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+    own = sessions.withColumn("folder", F.col("session_id"))
+    own.repartition("folder").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("folder").json(path)
 
 
 def cached_vectors(units: DataFrame, cache: DataFrame, text: str, embed) -> DataFrame:

@@ -161,6 +161,12 @@ class Change:
         own.at |= dict.fromkeys(made, self.mark)
         self.tables[name], self.written[name] = own, made
 
+    def read(self, name: str, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Rows of a table as this change leaves it."""
+        after = Store(self.before.spark, self.before.folder.root, self.before.version)
+        after.tables = self.tables
+        return after.read(name, buckets)
+
     def commit(self) -> Store:
         folder = self.before.folder
         if not folder.claim(f"_claims/{self.number:08d}"):

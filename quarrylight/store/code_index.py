@@ -14,6 +14,7 @@ index. Opening a store and asking it reads its tables and no text of any file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,15 @@ class CodeIndex:
     def __init__(self, store: Store, buckets: int):
         self.store, self.buckets = store, buckets
 
+    @staticmethod
+    def start(change: Change, buckets: int) -> CodeIndex:
+        """An index without files, as part of the first change of a store."""
+        spark = change.before.spark
+        change.values["buckets"] = buckets
+        for name, rows in derived(spark.createDataFrame([], "path string, content string")).items():
+            change.write(name, rows, TABLES[name], buckets)
+        return CodeIndex(change.commit(), buckets)
+
     @staticmethod
     def build(spark: SparkSession, root: str, files: DataFrame, *, buckets: int = 64) -> CodeIndex:
         """A full index of files (path, content) in an empty folder."""
@@ -89,44 +99,52 @@ class CodeIndex:
         """source_id, target_id, edge_type between symbols."""
         return graph.named_edges(self.store.read("references"), self.symbols)
 
-    def of_paths(self, name: str, paths: list[str]) -> DataFrame:
+    def of_paths(self, name: str, paths: list[str] | DataFrame) -> DataFrame:
         """Rows of a table that derive from some paths; reads their buckets alone."""
         key = TABLES[name]
-        asked = self.store.spark.createDataFrame([(p,) for p in paths], f"{key} string")
-        return self.store.read(name, self.store.buckets_of(name, asked)).where(F.col(key).isin(paths))
+        asked = self._named(paths).select(F.col("path").alias(key)).distinct()
+        return self.store.read(name, self.store.buckets_of(name, asked)).join(asked, key, "left_semi")
+
+    def _named(self, paths: list[str] | DataFrame) -> DataFrame:
+        return paths.select("path") if isinstance(paths, DataFrame) else self.store.spark.createDataFrame([(p,) for p in paths], "path string")
 
     # Changes ---------------------------------------------------------------------------
 
-    def changes(self, files: DataFrame, paths: list[str] | None = None) -> DataFrame:
-        """path, status (added, changed, deleted) of files against the index, of some paths or all."""
+    def _both(self, files: DataFrame, paths: list[str] | DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """path and content_hash of what is stored and of files that can be indexed, of some paths or all."""
         current = files.where(indexable(F.col("path"), F.col("content"))).select("path", content_hash(F.col("content")).alias("content_hash"))
-        stored = self.files.select("path", "content_hash") if paths is None else self.of_paths("files", paths).select("path", "content_hash")
-        current = current if paths is None else current.where(F.col("path").isin(paths))
-        return merge.diff(stored, current).where("status <> 'same'")
+        if paths is None:
+            return self.files.select("path", "content_hash"), current
+        return self.of_paths("files", paths).select("path", "content_hash"), current.join(self._named(paths), "path", "left_semi")
 
-    def refresh(self, files: DataFrame, paths: list[str] | None = None) -> tuple[CodeIndex, DataFrame]:
-        """The next version after changes, and the changes; without any, this version. paths: if given, only these are looked at."""
-        return self._apply(files, self.changes(files, paths))
+    def changes(self, files: DataFrame, paths: list[str] | DataFrame | None = None) -> DataFrame:
+        """path, status (added, changed, deleted) of files against the index, of some paths or all."""
+        return merge.diff(*self._both(files, paths)).where("status <> 'same'")
+
+    def refresh(self, files: DataFrame, paths: list[str] | DataFrame | None = None, also: Callable[[Change], None] | None = None) -> tuple[CodeIndex, DataFrame]:
+        """The next version after changes, and the changes; without any, this version.
+
+        paths: if given, only these are looked at. also: writes more into the same version, which then is made in any case.
+        """
+        return self._apply(files, self.changes(files, paths), also)
 
-    def reindex(self, files: DataFrame, paths: list[str] | None = None) -> tuple[CodeIndex, DataFrame]:
+    def reindex(self, files: DataFrame, paths: list[str] | DataFrame | None = None) -> tuple[CodeIndex, DataFrame]:
         """The same with files that did not change read again as well."""
-        current = files.where(indexable(F.col("path"), F.col("content"))).select("path")
-        stored = self.files.select("path") if paths is None else self.of_paths("files", paths).select("path")
-        current = current if paths is None else current.where(F.col("path").isin(paths))
-        status = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "deleted").otherwise("changed")
-        both = stored.withColumn("_old", F.lit(1)).join(current.withColumn("_new", F.lit(1)), "path", "full")
-        return self._apply(files, both.select("path", status.alias("status")))
-
-    def _apply(self, files: DataFrame, changes: DataFrame) -> tuple[CodeIndex, DataFrame]:
+        every = merge.diff(*self._both(files, paths))
+        return self._apply(files, every.select("path", F.when(F.col("status") == "same", "changed").otherwise(F.col("status")).alias("status")))
+
+    def _apply(self, files: DataFrame, changes: DataFrame, also: Callable[[Change], None] | None = None) -> tuple[CodeIndex, DataFrame]:
         change = self.store.change()
         change.write("changes", changes, "path", self.buckets)  # decided once; what follows reads it
-        if not change.written["changes"]:
-            self.store.folder.delete(f"changes/v={change.mark}")
-            return self, changes.limit(0)
-        known = Store(self.store.spark, self.store.folder.root, self.store.version)
-        known.tables = change.tables
-        changed = known.read("changes")
+        changed = change.read("changes")
         touched = change.written["changes"]  # all tables have the same buckets
+        if not touched and also is None:
+            self.store.folder.delete(f"changes/v={change.mark}")
+            return self, changed
+        if also is not None:
+            also(change)
+        if not touched:
+            return CodeIndex(change.commit(), self.buckets), changed
         fresh = derived(files.join(changed.where("status <> 'deleted'").select("path"), "path", "left_semi"))
         for name, key in TABLES.items():
             old = merge.without_paths(self.store.read(name, touched), changed.select("path"), key)
@@ -135,11 +153,9 @@ class CodeIndex:
 
     def _indexed(self, change: Change, changed: DataFrame | None) -> CodeIndex:
         """Commits after both full-text indexes followed."""
-        written = Store(self.store.spark, self.store.folder.root, self.store.version)
-        written.tables = change.tables
         for name, text in TEXTS.items():
             index = FullText(self.store, f"text_{name}", ["id", "file_path"], self.buckets)
-            rows = written.read(name, change.written[name])
+            rows = change.read(name, change.written[name])
             if changed is not None:
                 paths = changed.select(F.col("path").alias("file_path"))
                 index.remove(change, paths)

@@ -21,27 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_of
+from ..operators.places import numbered
 from .buckets import Change, Store
 
 BITS = 14
 
 
-def numbered(rows: DataFrame, first: int, scratch: str) -> DataFrame:
-    """``rows`` with dense numbers in ``unit`` from ``first``: places in partitions, moved by the counts of those before.
-
-    The rows are written below ``scratch``, so that numbers stay what they are; what is collected is one count a partition.
-    """
-    place = F.monotonically_increasing_id()
-    rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", place.bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(scratch)
-    own = rows.sparkSession.read.parquet(scratch)
-    at, offsets = first, []
-    for r in own.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():
-        offsets.append((r["_part"], at))
-        at += r["n"]
-    moved = rows.sparkSession.createDataFrame(offsets, "_part int, _first long")
-    return own.join(F.broadcast(moved), "_part").withColumn("unit", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
-
-
 def _blocks(pairs: DataFrame) -> DataFrame:
     """term, block, n, units of (term, unit): the units as distances from the block's first number, in order."""
     block = F.shiftright("unit", BITS)

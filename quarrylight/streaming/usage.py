@@ -1,13 +1,11 @@
-"""Streaming twins of the usage rollups, and the incremental index loop."""
+"""Streaming twins of the usage rollups."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ..operators.merge import diff
 from ..session import shared_folder
 
 
@@ -51,16 +49,7 @@ def drain(stream: DataFrame, keys: list[str], folder: str | None = None) -> Data
 
     query = stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    every = spark.read.schema(stream.schema.add("epoch", "long")).parquet(f"{root}/batches")
+    every = spark.read.schema(StructType([*stream.schema, StructField("epoch", LongType())])).parquet(f"{root}/batches")
     rest = [c for c in stream.columns if c not in keys]
     last = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last"))
     return last.select(*keys, *(f"last.{c}" for c in rest))
-
-
-def index_loop(changes: DataFrame, stored: Callable[[], DataFrame], apply: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
-    """Starts a stream of file snapshots (path, content_hash, ...): each batch is compared with what is stored and its differences applied."""
-
-    def step(batch: DataFrame, epoch: int) -> None:
-        apply(batch, diff(stored(), batch).where("status <> 'same'"), epoch)
-
-    return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

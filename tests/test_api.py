@@ -10,6 +10,7 @@ from quarrylight import api, model
 from quarrylight.plans import fixtures
 from quarrylight.sources import sinks
 from quarrylight.sources.providers import hashing_embedding
+from quarrylight.store.buckets import Store
 
 
 def test_search_and_learn(spark):
@@ -48,7 +49,7 @@ def test_skills(spark):
     assert api.search_docs(own, tasks).count() <= 3
 
 
-def test_sinks(spark, tmp_path):
+def test_snapshots_and_notes(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a")], "id long, v string")
     root = str(tmp_path / "t")
     assert sinks.latest_snapshot(spark, root) is None
@@ -109,10 +110,15 @@ def test_sinks(spark, tmp_path):
         return (i, at - dt.timedelta(hours=hours), tool, None, 100, 40, None)
 
     root = str(tmp_path / "usage")
-    daily, kept = sinks.log_calls(spark.createDataFrame([call(1, 30), call(2, 1)], ddl), root, 1, F.lit(at))
+    daily, kept = sinks.log_calls(spark.createDataFrame([call(1, 30), call(2, 1)], ddl), root, "first", F.lit(at))
     assert daily.count() == 2 and [r["event_id"] for r in kept.collect()] == [2]
-    daily, kept = sinks.log_calls(spark.createDataFrame([call(3, 2), call(4, 1, "noop")], ddl), root, 2, F.lit(at), "noop")
+    daily, kept = sinks.log_calls(spark.createDataFrame([call(3, 2), call(4, 1, "noop")], ddl), root, "second", F.lit(at), "noop")
     assert sum(r["calls"] for r in daily.collect()) == 4 and {r["event_id"] for r in kept.collect()} == {2, 3}
+    again, same = sinks.log_calls(spark.createDataFrame([call(3, 2), call(4, 1, "noop")], ddl), root, "second", F.lit(at), "noop")
+    assert sorted(map(str, again.collect())) == sorted(map(str, daily.collect())) and same.count() == 2  # the batch is in the ledger
+    later, _ = sinks.log_calls(spark.createDataFrame([call(5, 0)], ddl), root, "third", F.lit(at))
+    old, new = (Store(spark, root, v) for v in (2, 3))
+    assert {b for b, f in new.tables["daily"].at.items() if old.tables["daily"].at.get(b) != f} == set(new.buckets_of("daily", later.where("day = DATE'2024-05-01'").select("day")))
     from quarrylight.operators.usage import stats_json
 
     text = stats_json(kept, F.lit(at)).first()["stats"]
@@ -128,6 +134,6 @@ def test_sinks(spark, tmp_path):
     assert sinks.current_vectors(spark, catalog, str(tmp_path / "vectors"), 3).count() == 2
     assert sinks.current_vectors(spark, catalog.withColumn("content", F.lit("z")), str(tmp_path / "vectors"), 3) is None
     chunk = spark.createDataFrame([(1, "old"), (2, "stays")], "id long, text string")
-    sinks.append_chunks(chunk, str(tmp_path / "chunks"), 1)
-    after = sinks.append_chunks(spark.createDataFrame([(1, "new"), (3, "more")], "id long, text string"), str(tmp_path / "chunks"), 2)
+    sinks.append_chunks(chunk, str(tmp_path / "chunks"))
+    after = sinks.append_chunks(spark.createDataFrame([(1, "new"), (3, "more")], "id long, text string"), str(tmp_path / "chunks"))
     assert {(r["id"], r["text"]) for r in after.collect()} == {(1, "new"), (2, "stays"), (3, "more")}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -171,6 +172,48 @@ def test_learnings(spark):
     assert [(r["category"], r["is_pinned"]) for r in learnings.parse(lines).orderBy("ord").collect()] == [("general", False), ("env", True), ("env", False), ("env", False)]
 
 
+def test_learnings_see_those_before_them(spark):
+    """Random batches with repeats and close entries inside one batch, for two lists, against a plain loop."""
+    rng = random.Random(8)
+    angle = lambda a: [math.cos(a), math.sin(a)]
+    schema = "owner string, ord long, category string, content string, is_pinned boolean, vector array<double>"
+
+    def some(owner, first, n):
+        return [(owner, first + i, rng.choice(["env", "arch", " "]), rng.choice(["Note ", "note "]) + str(rng.randint(0, 25)), rng.random() < 0.1, angle(rng.random() * 6)) for i in range(n)]
+
+    old = [x for o in ("a", "b") for x in some(o, 0, 3)]
+    old = [(o, i, c.strip() or "general", t + f" old{i}", p, v) for o, i, c, t, p, v in old]
+    new = [x for o in ("a", "b", "c") for x in some(o, 10, 40)] + [("a", 99, "env", "  ", False, None)]
+
+    def plain(owner):
+        items = [list(x) for x in old if x[0] == owner]
+        for o, i, c, t, p, v in (x for x in new if x[0] == owner):
+            c, t, hit = c.strip() or "general", t.strip(), None
+            if not t:
+                continue
+            for x in items:
+                if x[2] == c and x[3].lower() == t.lower():
+                    hit = x
+                    break
+            else:
+                for x in list(reversed(items))[:5]:
+                    if x[2] == c and sum(a * b for a, b in zip(x[5], v, strict=True)) >= 0.995:
+                        hit, x[3], x[5] = x, t, v
+                        break
+            if hit:
+                hit[4] = hit[4] or p
+                continue
+            items.append([o, max(i, items[-1][1] + 1 if items else i), c, t, p, v])
+            loose = [x for x in items if not x[4]]
+            if len(loose) > 12:
+                items.remove(loose[0])
+        return items
+
+    got = learnings.add(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), cap=12, look_back=5, threshold=0.995)
+    want = sorted((x[0], x[1], x[2], x[3], x[4]) for o in "abc" for x in plain(o))
+    assert sorted(tuple(r)[:5] for r in got.collect()) == want and any(x[1] > 10 for x in want)
+
+
 def test_ranking(spark):
     cols = "name string, relative_path string, intent string, description string, triggers array<string>, action_triggers array<string>, micro_rules array<string>, keywords array<string>, content string"
     rows = [("rust-tests", "rust", "test rust", "", [], ["testing"], [], [], ""), ("sql-tuning", "db", "tune sql", "", [], ["query"], [], [], "")]
@@ -272,6 +315,15 @@ def test_phase_and_language_rules(spark):
     assert [r["rule"] for r in documents.language_rules(profile, mine).collect()] == ["pin images"]
 
 
+def test_places_of_a_whole_table(spark):
+    rng = random.Random(9)
+    values = [(i, rng.choice([None, rng.randint(0, 50)])) for i in range(3000)]
+    own = usage.sorted_rows(spark.createDataFrame(values, "id long, n long").repartition(7), "n", "id", descending=True)
+    want = sorted(values, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+    assert [(r["id"], r["n"]) for r in own.orderBy("place").collect()] == want and own.agg(F.max("place")).first()[0] == 3000
+    assert "SinglePartition" not in own._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sorted_rows_and_catalog_hash(spark):
     df = spark.createDataFrame([(1, "b", 10.0), (2, "A", None), (3, "c", 9.0)], "id int, name string, n double")
     assert [r["id"] for r in usage.sorted_rows(df, "name", "id").orderBy("place").collect()] == [2, 1, 3]
