@@ -20,33 +20,13 @@ ENDINGS = [".lock", ".min.js", ".min.css", ".map", ".png", ".jpg", ".gif", ".ico
 # Directories and files that hold no skills.
 NO_SKILLS = [".git", ".github", "node_modules", "target", "assets", "img", "images", "dist", "build", "references", "scripts", "__pycache__", "vendor", "docs"]
 NOT_SKILLS = ["readme.md", "changelog.md", "contributing.md", "license.md", "index.md", "template.md", "_template.md", "security.md", "code_of_conduct.md", "authors.md"]
-MOST_ENTRIES, MOST_BYTES = 5000, 102_400
+MOST_BYTES = 102_400
 
 
 def _parts(path: Column) -> Column:
     return F.split(path, "/")
 
 
-def walk(spark: SparkSession, root: str, *, max_depth: int = 8, most: int = MOST_ENTRIES, ignored: list[str] | None = None) -> DataFrame:
-    """path (below root), file_type (file or directory), size_bytes, modified_at, sorted by path, at most ``most``.
-
-    Directories are those of files, and as new as their newest file.
-
-    ignored: patterns of paths to leave out, as regular expressions (from an ignore file).
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    below = F.regexp_replace(F.col("path"), "^(file:)?/*" + root.replace("file:", "").strip("/").replace(".", r"\.") + "/", "")
-    own = raw.select(below.alias("path"), F.lit("file").alias("file_type"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    files = own.where(visible(F.col("path"), max_depth))
-    parts = _parts(F.col("path"))
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    folders = files.where(F.size(parts) > 1).select(F.explode(above).alias("path"), "modified_at").groupBy("path").agg(F.max("modified_at").alias("modified_at"))
-    kept = files.unionByName(folders.select("path", F.lit("directory").alias("file_type"), F.lit(0).cast("long").alias("size_bytes"), "modified_at"))
-    for pattern in ignored or []:
-        kept = kept.where(~F.col("path").rlike(pattern))
-    return kept.orderBy("path").limit(most)
-
-
 def visible(path: Column, max_depth: int = 8) -> Column:
     """Not hidden, not in a pruned directory, not too deep."""
     parts = _parts(path)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarrylight import model
 from quarrylight.operators import aliases, chunks, code, documents, graph, learnings, merge, ranking, search, usage
 from quarrylight.plans import fixtures
-from quarrylight.sources import files, providers
+from quarrylight.sources import files, providers, tree
 from quarrylight.streaming import usage as streaming
 
 NOW = dt.datetime(2024, 6, 1)
@@ -236,12 +236,12 @@ def test_files(spark, tmp_path):
     for name in ("src/a.rs", "target/b.rs", ".hidden/c", "src/deep/d.py"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x")
-    walked = files.walk(spark, str(tmp_path)).collect()
+    walked = tree.walk(spark, str(tmp_path)).collect()
     assert [(r["path"], r["file_type"]) for r in walked] == [("src", "directory"), ("src/a.rs", "file"), ("src/deep", "directory"), ("src/deep/d.py", "file")]
     paths = spark.createDataFrame([("src/a.rs",), ("build/x.rs",), ("a.min.js",), ("builder/x.rs",)], "path string")
     assert [r["path"] for r in paths.where(files.relevant(F.col("path"))).collect()] == ["src/a.rs", "builder/x.rs"]
-    tree = [("s/one/SKILL.md", "name: First"), ("s/one/sub/SKILL.md", "inner"), ("s/cheatsheets/git_tips.md", "x"), ("s/docs/SKILL.md", "y"), ("s/cheatsheets/README.md", "z")]
-    own = files.skills(spark.createDataFrame(tree, "path string, content string"))
+    listed = [("s/one/SKILL.md", "name: First"), ("s/one/sub/SKILL.md", "inner"), ("s/cheatsheets/git_tips.md", "x"), ("s/docs/SKILL.md", "y"), ("s/cheatsheets/README.md", "z")]
+    own = files.skills(spark.createDataFrame(listed, "path string, content string"))
     assert sorted(r["name"] for r in own.collect()) == ["first", "git-tips"]
     assert files.catalog([("embedded", own), ("local", own)]).where("source = 'embedded'").count() == 2
     assert files.find_skill(own, "s/one").count() == 1
