@@ -1,5 +1,8 @@
 """The library's calls: index a corpus, keep it fresh, search it, find skills for tasks.
 
+``index`` derives tables that live as long as the session; ``CodeIndex`` stores them, with the
+same search.
+
 Every call takes DataFrames and returns DataFrames; nothing is refreshed or learned
 behind a query's back.
 """
@@ -17,6 +20,7 @@ from .operators import aliases, chunks, code, documents, merge, ranking, search,
 from .operators.graph import resolve_edges
 from .sources.files import find_skill, indexable
 from .sources.providers import hashing_embedding, overlap_logit
+from .store.code_index import CodeIndex
 
 
 @dataclass
@@ -30,6 +34,10 @@ class Index:
     symbol_terms: DataFrame
     chunk_terms: DataFrame
 
+    def match(self, kind: str, terms: DataFrame) -> DataFrame:
+        """query_id, id, file_path of symbols or chunks that hold all terms of a query."""
+        return chunks.match_all(self.symbol_terms if kind == "symbols" else self.chunk_terms, terms, ["id", "file_path"])
+
 
 def index(files: DataFrame) -> Index:
     """A full index of files (path, content)."""
@@ -69,16 +77,16 @@ def report(changes: DataFrame) -> DataFrame:
     return merge.index_report(changes)
 
 
-def search_context(own: Index, queries: DataFrame, known: DataFrame, symbol_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, *, embed=hashing_embedding, at_least: tuple[float, float] = (0.65, 0.60)) -> DataFrame:
-    """The cascade over an index for queries (query_id, text): aliases, symbols, symbol vectors, content, content vectors."""
+def search_context(own: Index | CodeIndex, queries: DataFrame, known: DataFrame, symbol_vectors: DataFrame | None = None, chunk_vectors: DataFrame | None = None, *, embed=hashing_embedding, at_least: tuple[float, float] = (0.65, 0.60)) -> DataFrame:
+    """The cascade over an index, stored or not, for queries (query_id, text): aliases, symbols, symbol vectors, content, content vectors."""
     terms = chunks.query_terms(queries, F.col("text"))
 
-    def found(index_terms: DataFrame) -> DataFrame:
-        hits = chunks.match_all(index_terms, terms, ["id", "file_path"])
+    def found(kind: str) -> DataFrame:
+        hits = own.match(kind, terms)
         return hits.select("query_id", F.col("file_path").alias("path"), F.lit(0.0).alias("score")).distinct()
 
     close = aliases.lookup_batch(known, queries).select("query_id", F.col("resolved_path").alias("path"), F.col("confidence").alias("score"))
-    phases = [(close, 10), (found(own.symbol_terms), 15)]
+    phases = [(close, 10), (found("symbols"), 15)]
 
     def near(vectors: DataFrame | None, threshold: float) -> list[tuple[DataFrame, int]]:
         if vectors is None:
@@ -88,7 +96,7 @@ def search_context(own: Index, queries: DataFrame, known: DataFrame, symbol_vect
         return [(best.join(vectors.select("id", "path"), "id").select("query_id", "path", "score"), 10)]
 
     phases += near(symbol_vectors, at_least[0])
-    phases.append((found(own.chunk_terms), 10))
+    phases.append((found("chunks"), 10))
     phases += near(chunk_vectors, at_least[1])
     return search.cascade(phases)
 
@@ -149,6 +157,11 @@ def task_pipeline(
     return out
 
 
+def read_document(docs: DataFrame, task: str, k: int = 3, embed: Callable[[Column], Column] | None = hashing_embedding) -> DataFrame:
+    """doc_id, text: the sections of each document (doc_id, text) that are closest to a task."""
+    return documents.sliced(docs, task, k, embed)
+
+
 def list_skills(skills: DataFrame, needle: str = "") -> DataFrame:
     """name, relative_path of skills whose name or path contains the text, in any case, by name."""
     return skills.where(matches_filter(needle, "name", "relative_path")).select("name", "relative_path").orderBy("name", "relative_path")

@@ -97,10 +97,3 @@ def sorted_rows(rows: DataFrame, column: str, tie: str, *, descending: bool = Fa
     key = F.col(column) if numeric else F.lower(F.col(column).cast("string"))
     order = [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.col(tie)]
     return placed(rows, order, shared_folder(rows.sparkSession, "places"))
-
-
-def stats_json(events: DataFrame, as_of: Column) -> DataFrame:
-    """The dashboard's document: the trailing day and the breakdown, as one JSON text."""
-    day = trailing_day(events, as_of).select(F.struct("*").alias("day"))
-    rows = tool_breakdown(events).agg(F.sort_array(F.collect_list(F.struct(F.col("calls"), F.col("tool_name"))), asc=False).alias("tools"))  # at most 50 rows
-    return day.join(rows).select(F.to_json(F.struct("day", "tools")).alias("stats"))

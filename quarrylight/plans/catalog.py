@@ -665,4 +665,4 @@ def vector_codec(spark, sf_dir):
 
 FLAGSHIP = "cascade_batch"
 
-from . import more, stored  # noqa: E402, F401  register the rest
+from . import dashboards, more, stored  # noqa: E402, F401  register the rest

@@ -124,7 +124,9 @@ def sessions(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def session_by_id(spark: SparkSession, folder: str, session_id: str, schema: str) -> DataFrame:
-    """The session whose file has that name; an error that tells corrupted from missing."""
+    """The session whose file has that name, which must name a file below the folder; an error that tells corrupted from missing."""
+    if not session_id or session_id.startswith("/") or any(p in ("", ".", "..") for p in session_id.replace("\\", "/").split("/")):
+        raise ValueError(f"{session_id!r} names no session")
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.endswith("path", F.lit(f"/{session_id}.json")))
     texts = own.select(F.col("content").cast("string").alias("text"), F.from_json(F.col("content").cast("string"), schema, {"mode": "PERMISSIVE"}).alias("session")).limit(1)
     found = texts.collect()  # one row

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from quarrylight import api, model
+from quarrylight.operators import dashboard
 from quarrylight.plans import fixtures
 from quarrylight.sources import sinks
 from quarrylight.sources.providers import hashing_embedding
 from quarrylight.store.buckets import Store
+from quarrylight.store.code_index import CodeIndex
 
 
 def test_search_and_learn(spark):
@@ -119,10 +122,6 @@ def test_sinks(spark, tmp_path):
     later, _ = sinks.log_calls(spark.createDataFrame([call(5, 0)], ddl), root, "third", F.lit(at))
     old, new = (Store(spark, root, v) for v in (2, 3))
     assert {b for b, f in new.tables["daily"].at.items() if old.tables["daily"].at.get(b) != f} == set(new.buckets_of("daily", later.where("day = DATE'2024-05-01'").select("day")))
-    from quarrylight.operators.usage import stats_json
-
-    text = stats_json(kept, F.lit(at)).first()["stats"]
-    assert '"calls":2' in text and '"saved":120' in text and '"tool_name":"read"' in text
     sessions = spark.createDataFrame([("a", "Plan"), ("b", "Fix")], "session_id string, stage string")
     sinks.write_sessions(sessions, str(tmp_path / "sessions"))
     sinks.write_sessions(spark.createDataFrame([("a", "Build")], "session_id string, stage string"), str(tmp_path / "sessions"))
@@ -137,3 +136,50 @@ def test_sinks(spark, tmp_path):
     sinks.append_chunks(chunk, str(tmp_path / "chunks"))
     after = sinks.append_chunks(spark.createDataFrame([(1, "new"), (3, "more")], "id long, text string"), str(tmp_path / "chunks"))
     assert {(r["id"], r["text"]) for r in after.collect()} == {(1, "new"), (2, "stays"), (3, "more")}
+
+
+def test_stored_index_is_searched_alike(spark, tmp_path):
+    files = fixtures.code_files(spark)
+    queries = spark.createDataFrame([(1, "Engine struct"), (2, "estimate plan print"), (3, "zzz")], "query_id long, text string")
+    none = spark.createDataFrame([], model.ALIASES)
+    rows = lambda own: sorted(map(str, api.search_context(own, queries, none).collect()))
+    assert rows(CodeIndex.build(spark, str(tmp_path / "s"), files, buckets=4)) == rows(api.index(files)) != []
+
+
+def test_dashboard(spark):
+    at = dt.datetime(2024, 5, 10, 12, 30)
+    ago = lambda hours: at - dt.timedelta(hours=hours)
+    calls = spark.createDataFrame(
+        [(ago(1), "read", "full", 100, 40, 7, None), (ago(1), "read", "full", 50, 60, None, "bad"), (ago(2), "search", None, 10, 0, 1, None), (ago(30), "read", None, 1000, 0, 1, None), (ago(1), "mcp_tool", None, 9, 9, 9, None)],
+        "ts timestamp, tool_name string, operation string, tokens_original long, tokens_optimized long, duration_ms long, error_message string",
+    )
+    loads = spark.createDataFrame([(ago(i), f"s{i % 3}") for i in range(12)] + [(ago(900), "old")], "ts timestamp, skill_id string")
+    embeds, models = (spark.createDataFrame([(ago(i), f"q{i}") for i in span], "ts timestamp, query_text string") for span in ((1, 50), (3,)))
+    rollup = dashboard.days(calls.where("tool_name <> 'mcp_tool'"), loads, embeds, models)
+    rows = dashboard.sections(calls, loads, embeds, models, rollup, F.lit(at))
+    got = {(r["section"], r["place"]): r for r in rows.collect()}
+    day = got["past_24h", 1]
+    assert (day["tool_calls"], day["skills_loaded"], day["embed_queries"], day["model_queries"], day["saved"], day["saved_percent"]) == (3, 12, 1, 1, 60, 37.5)
+    assert [got[s, 1]["tool_calls"] for s in ("last_7d", "last_30d", "lifetime")] == [4, 4, 4] and [got[s, 1]["skills_loaded"] for s in ("last_7d", "last_30d", "lifetime")] == [12, 12, 13]
+    assert [(got["tool_breakdown", i]["label"], got["tool_breakdown", i]["tool_calls"]) for i in (1, 2)] == [("read", 2), ("search", 1)]
+    assert sum(k[0] == "recent_skill_calls" for k in got) == 10 and [got["top_skills", i]["label"] for i in (1, 2, 3)] == ["s0", "s1", "s2"]
+    assert [got["recent_actions", i]["duration_ms"] for i in (1, 2, 3)] == [0, 7, 1] and got["recent_actions", 1]["error_message"] == "bad"
+    hours = [got["hourly_savings", i] for i in range(1, 25)]
+    assert [(h["label"], h["tokens_original"], h["saved"]) for h in hours[-3:]] == [("10:00", 10, 10), ("11:00", 150, 50), ("12:00", 0, 0)] and hours[0]["label"] == "13:00"
+    assert got["embed_recent", 1]["label"] == "q1" and ("embed_recent", 2) not in got
+    text = json.loads(dashboard.document(rows).first()["stats"])
+    assert len(text) == 10 and text["hourly_savings"][22]["saved"] == 50 and text["lifetime"][0]["tokens_original"] == 1160
+    none = [x.limit(0) for x in (calls, loads, embeds, models)]
+    empty = {(r["section"], r["place"]): r for r in dashboard.sections(*none, dashboard.days(*none), F.lit(at)).collect()}
+    assert len(empty) == 28 and empty["lifetime", 1]["tool_calls"] == 0 and empty["past_24h", 1]["saved_percent"] == 0.0
+
+
+def test_read_document(spark):
+    text = "intro\n# One\nthe red fox  \n\n\nruns\n# Two\nblue sea\n# Three\nred red fox\n# Four\nnothing"
+    docs = spark.createDataFrame([(1, text), (2, "# A\nred"), (3, None)], "doc_id long, text string")
+    by = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    close = by(api.read_document(docs, "red fox", 2))
+    parts = close[1].split("\n\n---\n\n")
+    assert len(parts) == 2 and {p.split(" (")[0] for p in parts} == {"#### One", "#### Three"} and parts[0].startswith("#### Three (Relevance: ") and close[2] == "# A\nred" and close[3] == ""
+    first = by(api.read_document(docs, "RED", 1, None))
+    assert first[1] == "#### One\nthe red fox\n\nruns" and by(api.read_document(docs, "absent", 1, None))[1] == by(api.read_document(docs, "  ", 1))[1] == text.replace("  \n\n\n", "\n\n")

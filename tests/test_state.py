@@ -269,6 +269,9 @@ def test_session_store(spark, tmp_path):
     assert files.session_by_id(spark, folder, "s1", schema).first()["stage"] == "Plan"
     with pytest.raises(KeyError):
         files.session_by_id(spark, folder, "s9", schema)
+    for name in ("../sessions/s1", "/s1", "", "a//s1", "..", "x\\..\\s1"):
+        with pytest.raises(ValueError, match="names no session"):
+            files.session_by_id(spark, folder, name, schema)
     with pytest.raises(ValueError, match="corrupted"):
         files.session_by_id(spark, folder, "bad", schema)
     assert files.newest_session(spark, folder, schema).first()["session_id"] == "s2"
