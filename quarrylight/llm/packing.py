@@ -38,10 +38,10 @@ from .tokenizers_io import BYTE_JSON, json_coder, vocabulary
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
 
-def _encode(path: str, end: int, capacity: int):
+def _encode(path: str, end: int, capacity: int, block: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, task, seen = json_coder(path), partition_id(), np.zeros(capacity + 1, np.int64)
-        for b, texts in blocks(batches, 2 * BLOCK):
+        for b, texts in blocks(batches, block):
             found = coder.ids(texts)
             ends = np.cumsum(found.lengths)
             flat, lengths = np.insert(found.flat, ends, end), found.lengths + 1
@@ -246,16 +246,17 @@ def _assign(places: dict[str, np.ndarray]):
     return make
 
 
-def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 1024, end: int = 2, nodes: int = 600) -> DataFrame:
+def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = 1024, end: int = 2, nodes: int = 600, block: int = 2 * BLOCK) -> DataFrame:
     """One row for a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     nodes: descents of the search, each to a complete solution or to where the bound
-    ends it, after which the best solution known is taken.
+    ends it, after which the best solution known is taken. block: bytes of text that a task
+    handles at a time.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     path = tokenizer or vocabulary(BYTE_JSON)
     source = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    pieces = scratch.keep(source.mapInArrow(lean(_encode(path, end, capacity)), _PIECES), "pieces")
+    pieces = scratch.keep(source.mapInArrow(lean(_encode(path, end, capacity, block)), _PIECES), "pieces")
     sums = scratch.keep(pieces.groupBy("length", "task").agg(F.count("*").alias("n")), "sums")
     totals = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     places = _places(BinCompletion(totals, capacity, nodes).solve())

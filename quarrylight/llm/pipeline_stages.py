@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import jaccard_join, line_dedup, packing, suffix_dedup, toxicity
+from .blocks import BLOCK
 from .common import lean
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -66,7 +67,7 @@ def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their places in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, block=BLOCK // 2)  # workers of earlier stages still hold memory
 
 
 STAGES = [
