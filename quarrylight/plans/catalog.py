@@ -632,15 +632,17 @@ def _metadata_sql() -> str:
         return " || ".join(f"CASE WHEN {' OR '.join(f'contains({column}, {w!r})' for w in words)} THEN [{', '.join(map(repr, gives))}] ELSE [] END" for words, gives in rules)
 
     phases = lists(documents.PHASES, "c")
-    return f"""WITH x AS (SELECT doc_id, {text} AS c, lower(lang || '-' || source || '-' || doc_id) AS name FROM documents)
-        SELECT doc_id, array_to_string(list_sort(list_distinct({lists(documents.PATTERNS, "c")} || {lists(documents.NAME_PATTERNS, "name")})), ',') AS file_patterns,
+    words = f"list_transform(list_filter(string_split_regex(regexp_replace(own, '[-_]', ' ', 'g'), '\\s+'), lambda w: strlen(w) >= 3 AND w NOT IN ({', '.join(map(repr, documents.EMPTY_WORDS))})), lambda w: lower(w))"
+    actions = f"list_distinct({lists([((w,), (a, w)) for w, a in documents.ACTIONS], 'c')} || {words})"
+    return f"""WITH x AS (SELECT doc_id, lang, source, lang || '-' || source || '-' || doc_id AS own, {text} AS c, lower(lang || '-' || source || '-' || doc_id) AS name FROM documents)
+        SELECT doc_id, array_to_string(list_sort({actions}), ',') AS action_triggers, array_to_string(list_sort(list_distinct([lang, source] || {actions})), ',') AS keywords, array_to_string(list_sort(list_distinct({lists(documents.PATTERNS, "c")} || {lists(documents.NAME_PATTERNS, "name")})), ',') AS file_patterns,
                array_to_string(list_sort(list_distinct(CASE WHEN len({phases}) = 0 THEN ['implement', 'refactor'] ELSE {phases} END)), ',') AS applicable_phases FROM x"""
 
 
 @query(_metadata_sql())
 def metadata_inference(spark, sf_dir):
     found = documents.metadata(R.documents_as_skills(spark, sf_dir))
-    return found.select("doc_id", F.array_join("file_patterns", ",").alias("file_patterns"), F.array_join("applicable_phases", ",").alias("applicable_phases"))
+    return found.select("doc_id", *(F.array_join(c, ",").alias(c) for c in ("action_triggers", "keywords", "file_patterns", "applicable_phases")))
 
 
 @query(
@@ -655,12 +657,14 @@ def fts_snippets(spark, sf_dir):
     return hits.select("query_id", "doc_id", chunks.snippet(F.col("text"), F.col("terms")).alias("snippet"))
 
 
-@query("SELECT vec_id AS id, octet_length(encode('')) + 4 * len(embedding) AS n_bytes, true AS same FROM embeddings")
+@query("SELECT vec_id AS id, 4 * len(embedding) AS n_bytes, len(embedding) AS n, round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings")
 def vector_codec(spark, sf_dir):
     from ..sources.files import bytes_vector, vector_bytes
 
-    own = R.vectors(spark, sf_dir).withColumn("raw", vector_bytes(F.col("vector")))
-    return own.select("id", F.octet_length("raw").alias("n_bytes"), (bytes_vector(F.col("raw")) == F.col("vector")).alias("same"))
+    own = R.vectors(spark, sf_dir).withColumn("raw", vector_bytes(F.col("vector"))).withColumn("back", bytes_vector(F.col("raw")))
+    total = F.round(F.aggregate("back", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    end = lambda at: F.element_at("back", at).cast("double")
+    return own.select("id", F.octet_length("raw").alias("n_bytes"), F.size("back").alias("n"), total.alias("total"), end(1).alias("first"), end(-1).alias("last"))
 
 
 FLAGSHIP = "cascade_batch"

@@ -192,6 +192,45 @@ def rerank_batch(spark, sf_dir):
     return kept.select("query_id", "name", F.round("probability", 6).alias("probability"))
 
 
+# Sections at headings ----------------------------------------------------------------
+
+_HEADED = f"headed AS (SELECT doc_id, list_transform({R.LINES}, lambda x, i: CASE WHEN i % 6 = 3 THEN '## ' || x WHEN i % 11 = 1 THEN '#### ' || x WHEN i % 13 = 5 THEN '#' || x ELSE x END) AS lines FROM documents)"
+
+
+def _headed(spark, sf_dir) -> DataFrame:
+    """Documents in which every sixth line is a heading, and others look like one."""
+    turn = lambda i, n, k: i % n == k
+    lines = F.transform(T.lines_of(F.col("text")), lambda x, i: F.when(turn(i, 6, 2), F.concat(F.lit("## "), x)).when(turn(i, 11, 0), F.concat(F.lit("#### "), x)).when(turn(i, 13, 4), F.concat(F.lit("#"), x)).otherwise(x))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
+
+
+_HEADINGS = rf"""{_HEADED}, rows AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM headed),
+    marked AS (SELECT *, regexp_matches(line, '^#{{1,3}} ') AS h, sum(CAST(regexp_matches(line, '^#{{1,3}} ') AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM rows),
+    sections AS (SELECT doc_id, section, coalesce(max(regexp_replace(line, '^#{{1,3}} ', '')) FILTER (h), 'Overview') AS title, string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT h) AS body, count(*) FILTER (NOT h) AS n_lines
+        FROM marked GROUP BY ALL HAVING count(*) FILTER (NOT h) > 0)"""
+
+
+@query(f"WITH {_HEADINGS} SELECT doc_id, section, md5(title) AS title, md5(body) AS body, n_lines FROM sections")
+def markdown_sections(spark, sf_dir):
+    own = documents.section_split(_headed(spark, sf_dir))
+    return own.select("doc_id", "section", F.md5(F.col("title").cast("binary")).alias("title"), F.md5(F.col("body").cast("binary")).alias("body"), "n_lines")
+
+
+@query(
+    f"""WITH {_HEADINGS}, asked AS (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1), n AS (SELECT count(*) AS n FROM embeddings),
+    scored AS (SELECT s.*, list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM sections s CROSS JOIN n CROSS JOIN asked JOIN embeddings e ON e.vec_id = (s.doc_id * 31 + s.section) % n.n)
+    SELECT doc_id, section, md5(body) AS body, round(score, 6) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, section) <= 3"""
+)
+def vector_sections(spark, sf_dir):
+    """The three sections of each document whose vectors, dealt to them by number, are closest to the first vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    q = C._one(spark, sf_dir)
+    score = F.expr("aggregate(zip_with(embedding, q, (x, y) -> double(x) * double(y)), 0D, (s, x) -> s + x)")
+    at = (F.col("doc_id") * 31 + F.col("section")) % F.lit(vectors.count())
+    own = documents.section_split(_headed(spark, sf_dir)).withColumn("vec_id", at).join(vectors.select("vec_id", "embedding"), "vec_id").withColumn("q", F.array(*(F.lit(float(x)) for x in q)))
+    return documents.section_slice_by_vector(own, score, 3).select("doc_id", "section", F.md5(F.col("body").cast("binary")).alias("body"), F.round("score", 6).alias("score"))
+
+
 # Notes -------------------------------------------------------------------------------
 
 _BARE = r"regexp_replace(line, '^\s*[-*] ', '')"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import random
 
 import pytest
@@ -256,8 +257,6 @@ def test_requested_skills(spark):
 
 
 def test_session_store(spark, tmp_path):
-    import os
-
     schema = "session_id string, stage string"
     for i, (name, text) in enumerate((("s1", '{"session_id": "s1", "stage": "Plan"}'), ("s2", '{"session_id": "s2", "stage": "Fix"}'), ("bad", "{not json"))):
         (tmp_path / "sessions").mkdir(exist_ok=True)
@@ -350,6 +349,32 @@ def test_vectors(spark, tmp_path):
         files.decode_vectors(b"\x01\0\0\0\x02\0\0\0\0")
 
 
+def test_late_rows_and_state(spark, tmp_path):
+    """Rows within the watermark change their window again; later ones are dropped, and the state of closed windows goes."""
+    schema, folder = "ts timestamp, tokens long", tmp_path / "in"
+    at = lambda h, m=0: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h, minutes=m)
+    batches = [[(at(0, 5), 1), (at(1, 5), 1)], [(at(30), 10)], [(at(29, 30), 100), (at(0, 10), 1000)], [(at(60), 1)], [(at(61), 1)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{i}"))
+    for i in range(len(batches)):  # the stream takes files by their times
+        for f in (folder / f"b{i}").glob("part-*.parquet"):
+            os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = streaming.read_events(spark, str(folder / "*"), schema)
+    root = str(tmp_path / "state")
+    got = {r["start"]: (r["calls"], r["tokens"]) for r in streaming.drain(streaming.hourly(stream), ["start"], root).collect()}
+    assert got == {at(0): (1, 1), at(1): (1, 1), at(29): (1, 100), at(30): (1, 10), at(60): (1, 1), at(61): (1, 1)}
+    again = streaming.drain(streaming.hourly(stream), ["start"], root)  # nothing is new
+    assert {r["start"]: (r["calls"], r["tokens"]) for r in again.collect()} == got and again.columns == ["start", "calls", "tokens"]
+
+
+def test_backlog(spark):
+    units = spark.createDataFrame([(i, f"text {i}") for i in range(230)], "id long, body string")
+    done = spark.createDataFrame([(i, [0.0]) for i in range(0, 230, 2)], "id long, vector array<float>")
+    new = providers.embed_backlog(units, done, "id", F.col("body"))
+    assert {r["id"] for r in new.collect()} == set(range(1, 230, 2)) and new.where("size(vector) = 0 OR vector IS NULL").count() == 0
+    assert providers.embed_backlog(units, done.select("id").unionByName(new.select("id")), "id", F.col("body")).count() == 0
+
+
 def test_sessions_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = streaming.read_events(spark, sf_dir, schema, pattern="events.parquet").withColumn("tokens", F.lit(1))
