@@ -44,6 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks
 from .blocks import Ragged
 from .common import Scratch, column_bytes, documents, gathered, hash_buckets, lean, lean_group, pack, splits, squeeze, unpack, unsqueeze
 from .components import components
@@ -69,17 +70,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    if len(x) < 2:
+        return x
+    first = np.empty(len(x), bool)
+    first[0] = True
+    np.not_equal(x[1:], x[:-1], out=first[1:])
+    return x[first]
+
+
+def hashed_shingles(h: np.ndarray, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of shingles of words with the hashes ``h``; fewer words are one shingle."""
+    if not len(h):
+        return np.empty(0, np.uint64)
+    n, size = max(1, len(h) - width + 1), min(len(h), width)
+    out = h[:n] * _P
+    for k in range(1, size):
+        out += h[k : k + n]
+        out *= _P
+    return distinct(mix(out + np.uint64(size)))
+
+
 def shingles(text: bytes, words: Words, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of word shingles; a shorter text is one shingle."""
     found = text.lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), np.uint64, len(found))
-    n = max(1, len(h) - width + 1)
-    out = np.full(n, min(len(h), width), np.uint64)
-    for k in range(min(width, len(h))):
-        out = mix(out * _P + h[k : k + n])
-    return np.unique(out)
+    return hashed_shingles(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)), width)
+
+
+def block_shingles(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The shingles of each text, whose words are hashed once for the block."""
+    own = blocks.Words(texts)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, own.values.to_pylist()), np.uint64, len(own.values))
+    flat, ends = hashes[own.index], np.cumsum(own.counts)
+    for z, n in zip(ends.tolist(), own.counts.tolist(), strict=True):
+        yield hashed_shingles(flat[z - n : z], width)
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """A stable order of values that are not negative, by digits where they are small."""
+    return np.argsort(x.astype(np.uint16) if len(x) and x.max() < 1 << 16 else x, kind="stable")
 
 
 def set_id(elements: np.ndarray, salt: int = 0) -> tuple[int, int]:
@@ -151,7 +181,7 @@ class Schemes:
                 continue
             m, deletions = self.segments(scheme)
             seg = (where >> np.uint64(11)) % np.uint64(m)
-            order = np.argsort(seg, kind="stable")
+            order = _order(seg)
             seg, own = seg[order].astype(np.int64), element[order]
             size = np.bincount(seg, minlength=m)
             total = np.zeros(m, np.uint64)
@@ -162,7 +192,7 @@ class Schemes:
             chosen = np.zeros(m, bool)
             if smaller:
                 need = self.differences(n) + 1
-                best = np.argsort(-size, kind="stable")
+                best = _order(size.max() - size)
                 chosen[best[: -(-need // 2) if deletions else need]] = True
                 flag[chosen] |= 1
             keys.append(mix(total + salt))
@@ -211,7 +241,7 @@ def _sign(num: int, den: int, width: int, buckets: int, salt: int, limit: int =
     """Packed signatures for each bucket, and packed rows of documents."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, schemes = Words(), Schemes(num, den)
+        schemes = Schemes(num, den)
         seen: set[int] = set()
         held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         size = turn = 0
@@ -222,7 +252,7 @@ def _sign(num: int, den: int, width: int, buckets: int, salt: int, limit: int =
             owner = np.repeat(np.arange(len(held)), [len(h[2]) for h in held])
             nodes, sizes = np.array([h[0] for h in held], np.int64), np.array([h[1] for h in held], np.uint32)
             bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = _order(bucket)
             key, flag, owner, bucket = key[order], flag[order], owner[order], bucket[order]
             edges = np.searchsorted(bucket, np.arange(buckets + 1))
             at, bodies = [], []
@@ -236,10 +266,9 @@ def _sign(num: int, den: int, width: int, buckets: int, salt: int, limit: int =
             held, size = [], 0
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([_SIGNS] * len(at), pa.int32()), pa.array(bodies, pa.binary())], schema=_MESSAGE)
 
-        for b in batches:
+        for b, texts in blocks.blocks(batches, blocks.BLOCK // 2):
             ids, counts, sets, sketches = b.column("doc_id").to_pylist(), [], [], []
-            for text in column_bytes(b, "text"):
-                s = shingles(text, words, width)
+            for s in block_shingles(texts, width):
                 node, check = set_id(s, salt) if len(s) else (0, 0)
                 counts.append(len(s))
                 sets.append((node, check))
@@ -447,10 +476,16 @@ def _across(num: int, den: int, nearest: int | None):
             near = np.searchsorted(size, -(-size[i] * num // den)) if nearest else i + 1
             j = np.arange(near, np.searchsorted(size, size[i] * den // num, side="right"))
             j = j[(root[j] != root[i]) & ((flag[j] | flag[i]) == 3)]
-            mine, best = stacks[int(lengths[i])][rows[i]], np.empty(len(j), np.int64)
-            for n in np.unique(lengths[j]).tolist():
-                own = lengths[j] == n
-                best[own] = apart(mine, stacks[n][rows[j[own]]])
+            if not len(j):
+                continue
+            mine = stacks[int(lengths[i])][rows[i]]
+            if lengths[j[0]] == lengths[j[-1]]:  # lengths follow sizes, in whose order the members are
+                best = apart(mine, stacks[int(lengths[j[0]])][rows[j]])
+            else:
+                best = np.empty(len(j), np.int64)
+                for n in np.unique(lengths[j]).tolist():
+                    own = lengths[j] == n
+                    best[own] = apart(mine, stacks[n][rows[j[own]]])
             ok = best * (den + num) <= (den - num) * (size[j] + size[i])
             j, best = j[ok], best[ok]
             if nearest:

@@ -74,7 +74,8 @@ def test_oracles(spark, sf_dir):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     for name, sql in registry.SQL.items():
         ours, theirs = registry.QUERIES[name](spark, sf_dir).toPandas(), con.execute(sql).df()
         columns = sorted(theirs.columns)
