@@ -36,11 +36,12 @@ def _blocks(pairs: DataFrame) -> DataFrame:
 
 
 class FullText:
-    """The index ``name`` of a store; keys: what names a unit."""
+    """The index ``name`` of a store; keys: what names a unit; buckets: of a new index."""
 
     def __init__(self, store: Store, name: str, keys: list[str], buckets: int = 64):
-        self.store, self.name, self.keys, self.buckets = store, name, keys, buckets
-        self.state = store.values.get(f"fulltext {name}", {"next": 0, "segments": [], "dead": []})
+        self.store, self.name, self.keys = store, name, keys
+        self.state = store.values.get(f"fulltext {name}", {"next": 0, "segments": [], "dead": [], "buckets": buckets})
+        self.buckets = self.state["buckets"]  # the same in every segment
 
     def _table(self, kind: str) -> str:
         return f"{self.name}_{kind}"
@@ -95,11 +96,11 @@ class FullText:
             for s in old[kind]:
                 for table in ("units", "posts") if kind == "segments" else ("dead",):
                     change.tables.pop(f"{self._table(table)}_{s}", None)
-        change.values[f"fulltext {self.name}"] = {"next": own.count(), "segments": [f"{number:08d}"], "dead": []}
+        change.values[f"fulltext {self.name}"] = {"next": own.count(), "segments": [f"{number:08d}"], "dead": [], "buckets": self.buckets}
         self.store.folder.delete(f"_scratch/{change.mark}-{self.name}")
 
     def _state(self, change: Change) -> dict:
-        return change.values.setdefault(f"fulltext {self.name}", {"next": 0, "segments": [], "dead": []})
+        return change.values.setdefault(f"fulltext {self.name}", {"next": 0, "segments": [], "dead": [], "buckets": self.buckets})
 
     # Queries ---------------------------------------------------------------------------
 
