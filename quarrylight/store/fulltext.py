@@ -6,7 +6,8 @@ of one block of 2^BITS numbers that hold it, in order, and how many they are; so
 a bounded size however common its term is, and the buckets, which are by the hash of the
 term, spread a common term's rows over several files. A query reads the buckets of its own
 terms, and of those first the terms, blocks and counts alone: only blocks that hold every
-term of a query give their units, which are intersected beginning with the rarest term.
+term of a query give their units. The rarest term's are met with every other term's where
+those lie, so long lists are read and not sent on once for each query.
 
 Units are deleted by tombstones, which a query subtracts; an update deletes and adds.
 ``compact`` rewrites all segments as one without the dead. Postings hold no text, and no
@@ -28,10 +29,10 @@ BITS = 14
 
 
 def _blocks(pairs: DataFrame) -> DataFrame:
-    """term, block, n, units of (term, unit): the units as distances from the block's first number, in order."""
+    """term, block, n, units of distinct (term, unit): the units as distances from the block's first number, in order."""
     block = F.shiftright("unit", BITS)
     offset = (F.col("unit") - F.shiftleft(block, BITS)).cast("int")
-    made = pairs.select("term", block.alias("block"), offset.alias("offset")).groupBy("term", "block").agg(F.sort_array(F.collect_set("offset")).alias("units"))
+    made = pairs.select("term", block.alias("block"), offset.alias("offset")).groupBy("term", "block").agg(F.sort_array(F.collect_list("offset")).alias("units"))
     return made.select("term", "block", F.size("units").alias("n"), "units")
 
 
@@ -132,9 +133,13 @@ class FullText:
         wanted = terms.groupBy("query_id").agg(F.count("*").alias("wanted"))
         heads = posts.select("term", "block", "n").join(terms, "term")
         full = heads.groupBy("query_id", "block").agg(F.count("*").alias("has")).join(wanted, "query_id").where("has = wanted").select("query_id", "block")
-        asked = terms.join(full, "query_id")
-        lists = posts.join(asked, ["term", "block"]).groupBy("query_id", "block").agg(F.sort_array(F.collect_list(F.struct("n", "units"))).alias("lists"))
-        common = F.aggregate("lists", F.col("lists")[0]["units"], lambda a, b: F.array_intersect(a, b["units"]))
+        asked = heads.join(full, ["query_id", "block"])
+        rarest = asked.groupBy("query_id", "block").agg(F.min(F.struct("n", "term"))["term"].alias("term"))
+        few = posts.join(rarest, ["term", "block"]).select("query_id", "block", "term", F.col("units").alias("few"))
+        rest = asked.select("query_id", "block", "term").join(few.withColumnRenamed("term", "rarest"), ["query_id", "block"]).where("term <> rarest")
+        kept = posts.join(rest, ["term", "block"]).select("query_id", "block", F.array_intersect("few", "units").alias("own"))  # of long lists no more than that goes on
+        lists = kept.unionByName(few.select("query_id", "block", F.col("few").alias("own"))).groupBy("query_id", "block").agg(F.collect_list("own").alias("lists"))
+        common = F.aggregate("lists", F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
         hits = lists.select("query_id", "block", F.explode(common).alias("offset")).select("query_id", (F.shiftleft("block", BITS) + F.col("offset")).alias("unit"))
         dead = self._read("dead")
         hits = hits if dead is None else hits.join(dead, "unit", "left_anti")
