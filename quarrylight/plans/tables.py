@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACES, lines_of, tokens_of
+from ..functions.text import SPACES, lines_of
 from ..operators.chunks import query_terms
 from ..session import table
 
@@ -84,8 +84,8 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, content: every document as a file of code, each of its lines as the next of CODE_FORMS."""
 
     def rewritten(line: Column, i: Column) -> Column:
-        words = tokens_of(line)
-        part = {"a": F.coalesce(F.get(words, F.lit(0)), F.lit("x")), "b": F.coalesce(F.try_element_at(words, F.lit(-1)), F.lit("x"))}
+        low, word = F.lower(line), r"[\p{L}\p{N}]"
+        part = {"a": F.regexp_extract(F.concat(low, F.lit(" x")), f"({word}+)", 1), "b": F.regexp_extract(F.concat(F.lit("x "), low), rf"(?s)\A.*(?<!{word})({word}+)", 1)}  # looked for from either end
         made = F.lit(None).cast("string")
         for turn, form in reversed(list(enumerate(CODE_FORMS))):
             made = F.when(i % len(CODE_FORMS) == turn, F.concat(*(part[p] if k % 2 else F.lit(p) for k, p in enumerate(_parts(form))))).otherwise(made)

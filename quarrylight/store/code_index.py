@@ -30,13 +30,14 @@ from .fulltext import FullText
 def derived(files: DataFrame) -> dict[str, DataFrame]:
     """Rows of files (path, content) that can be indexed, by table."""
     own = files.where(indexable(F.col("path"), F.col("content")))
-    symbols = code.symbols(own)
-    raw = code.import_edges(own).unionByName(code.call_edges(own).select("file_path", "line", "target_name", "edge_type"))
+    symbols, near = code.symbols(own), own.repartition("path")  # a file's lines, names and uses meet where the file is
+    inside = code.symbols(near)
+    raw = code.import_edges(near).unionByName(code.called_names(near, inside))
     windows = chunks.chunk_windows(own.select(F.col("path").alias("doc_id"), F.col("content").alias("text")))
     return {
         "files": own.select("path", content_hash(F.col("content")).alias("content_hash"), F.octet_length("content").cast("long").alias("size")),
         "symbols": symbols,
-        "references": graph.enclosed(raw, symbols),
+        "references": graph.enclosed(raw, inside),
         "chunks": windows.select(F.xxhash64("doc_id", "start_line").alias("id"), F.col("doc_id").alias("file_path"), "start_line", "end_line", content_hash(F.col("chunk_text")).alias("content_hash"), "chunk_text"),
     }
 
@@ -69,9 +70,11 @@ class CodeIndex:
             raise ValueError(f"{root} holds version {store.version}")
         change = store.change()
         change.values["buckets"] = buckets
-        for name, rows in derived(files).items():
+        index = CodeIndex(store, buckets)
+        for name, rows in derived(index._read_once(change, files)).items():
             change.write(name, rows, TABLES[name], buckets)
-        return CodeIndex(store, buckets)._indexed(change, None)
+        index._forget(change)
+        return index._indexed(change, None)
 
     @staticmethod
     def open(spark: SparkSession, root: str, version: int | None = None) -> CodeIndex:
@@ -145,12 +148,22 @@ class CodeIndex:
             also(change)
         if not touched:
             return CodeIndex(change.commit(), self.buckets), changed
-        fresh = derived(files.join(changed.where("status <> 'deleted'").select("path"), "path", "left_semi"))
+        fresh = derived(self._read_once(change, files.join(changed.where("status <> 'deleted'").select("path"), "path", "left_semi")))
         for name, key in TABLES.items():
             old = merge.without_paths(self.store.read(name, touched), changed.select("path"), key)
             change.write(name, old.unionByName(fresh[name]), key, self.buckets, touched)
+        self._forget(change)
         return self._indexed(change, changed), changed
 
+    def _read_once(self, change: Change, files: DataFrame) -> DataFrame:
+        """Files that can be indexed as they are now, kept until ``_forget``: every table derives from the same text, which is read (or made) once."""
+        path = f"{self.store.folder.root}/_scratch/{change.mark}-files"
+        files.select("path", "content").where(indexable(F.col("path"), F.col("content"))).write.option("compression", "zstd").parquet(path)
+        return self.store.spark.read.schema("path string, content string").parquet(path)
+
+    def _forget(self, change: Change) -> None:
+        self.store.folder.delete(f"_scratch/{change.mark}-files")
+
     def _indexed(self, change: Change, changed: DataFrame | None) -> CodeIndex:
         """Commits after both full-text indexes followed."""
         for name, text in TEXTS.items():
