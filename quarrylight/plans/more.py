@@ -383,9 +383,7 @@ _OUTLINED = f"""{R.CODE}, sized AS (SELECT path, text, len({R.LINES}) AS n FROM
 
 @query(f"WITH RECURSIVE {_OUTLINED} SELECT path, n AS n_lines, md5(skeleton) AS skeleton FROM outlines")
 def skeleton(spark, sf_dir):
-    files = R.code_files(spark, sf_dir)
-    sizes = files.select("path", F.size(T.lines_of(F.col("content"))).cast("long").alias("n_lines"))
-    return code.skeletons(files).join(sizes, "path").select("path", "n_lines", F.md5(F.col("skeleton").cast("binary")).alias("skeleton"))
+    return code.skeletons(R.code_files(spark, sf_dir)).select("path", "n_lines", F.md5(F.col("skeleton").cast("binary")).alias("skeleton"))
 
 
 @query(
