@@ -18,31 +18,25 @@ from pyspark.sql import functions as F
 LENGTHS = (1, 2, 3, 8)
 
 
-def _grams(text: Column, lengths: Column | None = None) -> Column:
-    """Distinct grams of a text of every length, or of the longest one that it has; the empty gram of the empty text, and of every text if of every length."""
-
-    def of(chars: Column) -> Column:
-        size = F.size(chars)
-
-        def cut(n: int) -> Column:
-            wanted = size >= n if lengths is None else lengths == n
-            made = F.transform(F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))
-            return F.when(wanted, made).otherwise(F.array().cast("array<string>"))
-
-        empty = F.array(F.lit("")) if lengths is None else F.when(lengths == 0, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.concat(empty, *map(cut, LENGTHS)))
-
-    chars = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
-    return F.transform(F.array(F.filter(chars, lambda c: c != "")), of)[0]
+def _grams(text: Column, n: int) -> Column:
+    """All stretches of ``n`` characters; the empty gram, if it is 0."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) if n else F.array(F.lit(""))
 
 
 def candidates(parts: DataFrame, wholes: DataFrame) -> DataFrame:
-    """key, part: what ``contained`` compares."""
+    """key, part: what ``contained`` compares. Wholes are cut into grams of those lengths alone that some part is dealt by."""
     length = F.lit(0)
     for n in LENGTHS:
         length = F.when(F.length("part") >= n, n).otherwise(length)
-    needed = parts.where("part IS NOT NULL").distinct().select("part", F.explode(_grams(F.col("part"), length)).alias("gram"))
-    held = wholes.where("whole IS NOT NULL").select("key", F.explode(_grams(F.col("whole"))).alias("gram")).join(needed.select("gram").distinct(), "gram", "left_semi")
+    own = parts.where("part IS NOT NULL").distinct().select("part", length.alias("length"))
+    used = sorted(r[0] for r in own.select("length").distinct().collect())  # five at most
+    none = F.array().cast("array<string>")
+    long = none
+    for n in used:
+        long = F.when(F.col("length") == n, _grams(F.col("part"), n)).otherwise(long)
+    needed = own.select("part", F.explode(F.array_distinct(long)).alias("gram"))
+    every = F.array_distinct(F.concat(none, *(_grams(F.col("whole"), n) for n in used)))
+    held = wholes.where("whole IS NOT NULL").select("key", F.explode(every).alias("gram")).join(needed.select("gram").distinct(), "gram", "left_semi")
     common = held.groupBy("gram").agg(F.count("*").alias("n"))
     order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")
     anchors = needed.join(common, "gram", "left").groupBy("part").agg(F.min(order).alias("first")).where("first.n > 0").select("part", F.col("first.gram").alias("gram"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sigmoid, trimmed
 from ..functions.vectors import cosine, dot
 from ..session import shared_folder
-from .containment import contained
+from .containment import candidates
 
 # Weights of a whole query and of each of its words, by the field that holds it.
 QUERY_WEIGHTS = {"intent": 0.6, "description": 0.4, "triggers": 0.5, "actions": 0.6}
@@ -102,42 +102,58 @@ def _key(rows: DataFrame) -> Column:
     return F.md5(F.to_json(F.struct("*")).cast("binary"))
 
 
+def _met(skills: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:
+    """_skill, part, shown and the fields ``names`` of skills that may contain a part (part) in one of them.
+
+    The fields of a skill are looked at together, as one text, so that what they share counts
+    once; which of them contain a part is left to the row.
+    """
+    own = [fields()[f].alias(f"_{f}") for f in names]
+    keyed = skills.select(_key(skills).alias("_skill"), F.col("name").alias("shown"), *own).dropDuplicates(["_skill"])
+    together = keyed.select(F.col("_skill").alias("key"), F.concat_ws("\0", *(f"_{f}" for f in names)).alias("whole"))
+    met = candidates(parts, together).groupBy(F.col("key").alias("_skill")).agg(F.collect_set("part").alias("parts"))
+    return keyed.join(met, "_skill").withColumn("part", F.explode("parts")).drop("parts")
+
+
 def word_points(skills: DataFrame, tasks: DataFrame) -> DataFrame:
     """_skill, name, word, points: what every word of the tasks adds to the score of each skill that has it, in hundredths."""
-    keyed = skills.select(_key(skills).alias("_skill"), "name", *(v.alias(f"_{f}") for f, v in fields().items() if f in WORD_WEIGHTS)).dropDuplicates(["_skill"])
-    each = F.explode(F.array(*(F.struct(F.concat("_skill", F.lit(f":{f}")).alias("key"), F.col(f"_{f}").alias("whole")) for f in WORD_WEIGHTS))).alias("f")
-    wholes = keyed.select(each).select("f.key", "f.whole").where("whole <> ''")
     parts = tasks.select(F.explode(words(F.col("text"))).alias("part")).distinct()
-    weight = F.create_map(*(F.lit(x) for f, v in WORD_WEIGHTS.items() for x in (f, _cents(v))))
-    at = F.split("key", ":")
-    hits = contained(parts, wholes).select(at[0].alias("_skill"), F.col("part").alias("word"), weight[at[1]].alias("points"))
-    return hits.groupBy("_skill", "word").agg(F.sum("points").cast("long").alias("points")).join(keyed.select("_skill", "name"), "_skill")
+    points = F.lit(0)
+    for field, weight in WORD_WEIGHTS.items():
+        points = points + F.when(F.contains(F.col(f"_{field}"), F.col("part")), _cents(weight)).otherwise(0)
+    hits = _met(skills, parts, list(WORD_WEIGHTS)).select("_skill", F.col("part").alias("word"), points.cast("long").alias("points"), F.col("shown").alias("name"))
+    return hits.where("points > 0")
 
 
 def _whole_query(skills: DataFrame, texts: DataFrame) -> DataFrame:
-    """text, _skill where the name or a weighted field contains the whole lower-cased text."""
+    """text, _skill, name, bonus where the name or a weighted field contains the whole lower-cased text; bonus: what that adds, in hundredths."""
     own = [f for f in fields() if f == "name" or f in QUERY_WEIGHTS]
-    keyed = skills.select(_key(skills).alias("_skill"), *(fields()[f].alias(f"_{f}") for f in own)).dropDuplicates(["_skill"])
-    each = F.explode(F.array(*(F.struct(F.concat("_skill", F.lit(f":{f}")).alias("key"), F.col(f"_{f}").alias("whole")) for f in own))).alias("f")
-    hits = contained(texts.select(F.lower("text").alias("part")), keyed.select(each).select("f.key", "f.whole"))
     lowered = texts.select("text", F.lower("text").alias("part"))
-    return hits.select(F.split("key", ":")[0].alias("_skill"), "part").distinct().join(lowered, "part").select("text", "_skill")
+    name, part = F.col("_name"), F.col("part")
+    bonus, hit = F.when(name == part, 100).when(F.contains(name, part), 70).otherwise(0), F.lit(False)
+    for field in own:
+        hit = hit | F.contains(F.col(f"_{field}"), part)
+        if field in QUERY_WEIGHTS:
+            bonus = bonus + F.when(_has(F.col(f"_{field}"), part), _cents(QUERY_WEIGHTS[field])).otherwise(0)
+    found = _met(skills, lowered.select("part"), own).where(hit).select("_skill", F.col("shown").alias("name"), "part", bonus.cast("long").alias("bonus"))
+    return found.join(lowered, "part").select("text", "_skill", "name", "bonus")
 
 
 def lexical_candidates(skills: DataFrame, tasks: DataFrame, k: int) -> DataFrame:
     """text, _skill: for every distinct text of tasks a set of skills that holds its ``k`` best.
 
-    Skills that contain the whole text are candidates. The score of any other is the sum of
-    its words' points, which is bounded by the most that each word gives to any skill:
+    Of skills that contain the whole text, the ``k`` with the best scores are candidates. The
+    score of any other is the sum of its words' points, which is bounded by the most that each
+    word gives to any skill:
 
-    * the ``k`` skills that each word gives most to make partial scores, of which the k-th
-      best is a threshold that the k-th best score reaches;
+    * those ``k`` and the ``k`` skills that each word gives most to make whole and partial
+      scores, of which the k-th best is a threshold that the k-th best score reaches;
     * a skill is looked for by the rarest of the text's words that it has, so all its other
       words are more common ones; of a word are looked up only skills to which it gives enough
       to reach the threshold, if all more common words gave their most; if just enough, those
       whose names come early enough.
 
-    Points of words are written once to the shared folder; a blank text has the skills
+    Points of words and skills with the whole text are written once to the shared folder; a blank text has the skills
     with the first ``k`` names besides.
     """
     spark = skills.sparkSession
@@ -148,8 +164,16 @@ def lexical_candidates(skills: DataFrame, tasks: DataFrame, k: int) -> DataFrame
     asked = texts.select("text", F.explode(words(F.col("text"))).alias("word")).groupBy("text", "word").agg(F.count("*").alias("m"))
     most = points.groupBy("word").agg(F.max("points").alias("most"), F.count("*").alias("n"))
     best = points.withColumn("_n", F.row_number().over(Window.partitionBy("word").orderBy(F.desc("points"), "name", "_skill"))).where(F.col("_n") <= k).drop("_n")
-    partial = asked.join(best, "word").groupBy("text", "_skill", "name").agg(F.sum(F.col("m") * F.col("points")).alias("sum"))
-    placed = partial.withColumn("_n", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("sum"), "name", "_skill"))).where(F.col("_n") <= k)
+    whole = f"{path}-whole"
+    _whole_query(skills, texts).write.parquet(whole)
+    having = spark.read.schema("text string, _skill string, name string, bonus long").parquet(whole)
+    worth = having.join(asked, "text", "left").join(points.select("_skill", "word", "points"), ["_skill", "word"], "left")
+    scores = worth.groupBy("text", "_skill", "name", "bonus").agg(F.sum(F.coalesce(F.col("m") * F.col("points"), F.lit(0))).alias("sum")).select("text", "_skill", "name", (F.col("bonus") + F.col("sum")).alias("sum"))
+    first = Window.partitionBy("text").orderBy(F.desc("sum"), "name", "_skill")
+    leading = scores.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).drop("_n")
+    some = asked.join(best, "word").groupBy("text", "_skill", "name").agg(F.sum(F.col("m") * F.col("points")).alias("sum"))
+    partial = some.unionByName(leading).groupBy("text", "_skill", "name").agg(F.max("sum").alias("sum"))
+    placed = partial.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k)
     least = placed.where(F.col("_n") == k).select("text", F.col("sum").alias("least"), F.col("name").alias("last"))
     known = asked.join(most, "word").withColumn("gives", F.col("m") * F.col("most"))
     upto = Window.partitionBy("text").orderBy(F.desc("n"), "word").rowsBetween(Window.unboundedPreceding, 0)
@@ -159,9 +183,9 @@ def lexical_candidates(skills: DataFrame, tasks: DataFrame, k: int) -> DataFrame
     enough = F.col("need").isNull() | (given > F.col("need")) | ((given == F.col("need")) & (F.col("name") <= F.col("last")))
     found = looked_up.join(points, "word").where(enough).select("text", "_skill")
     blank = texts.where(trimmed("text") == "")
-    first = [r["_skill"] for r in skills.select(_key(skills).alias("_skill"), "name").orderBy("name", "_skill").limit(k).collect()]  # k keys
-    named = blank.select("text", F.explode(F.array(*map(F.lit, first)).cast("array<string>")).alias("_skill"))
-    return found.unionByName(_whole_query(skills, texts)).unionByName(named).distinct()
+    early = [r["_skill"] for r in skills.select(_key(skills).alias("_skill"), "name").orderBy("name", "_skill").limit(k).collect()]  # k keys
+    named = blank.select("text", F.explode(F.array(*map(F.lit, early)).cast("array<string>")).alias("_skill"))
+    return found.unionByName(leading.select("text", "_skill")).unionByName(named).distinct()
 
 
 def spread(rows: DataFrame, queries: DataFrame, salts: int = 16) -> DataFrame:
