@@ -6,7 +6,9 @@ import base64
 import functools
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -16,6 +18,11 @@ from .blocks import Coder, Ragged
 BYTE_JSON, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Strings that are one piece after a line feed, and hold none.
 _PLAIN = re.compile(r" ?[^\s\x00-\x1f\x7f]+\Z")
+#: A word of Latin letters, one match of the public pattern, and ASCII marks but apostrophes after it, which are another one.
+_WORD = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)\Z")
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for each byte in byte-level vocabularies.
+_BYTES = {b: b for b in _OWN} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - {*_OWN}))}
 
 
 def vocabulary(name: str) -> str:
@@ -81,9 +88,44 @@ def _by_lines(lines: Callable[[str], Iterable[int]], single: Callable[[str], lis
     return make
 
 
+def _by_words(tokenize: Callable[[str], list], rest: Callable[[list[str]], Ragged], apart: str | None = None) -> Callable[[list[str]], Ragged]:
+    """Identifiers of pieces. Words, and marks that follow them, go to the merges without being matched again, each distinct one once; other pieces to ``rest``.
+
+    tokenize: tokens of a match whose bytes are written as characters.
+    """
+
+    def make(parts: list[str]) -> Ragged:
+        number: dict[str, int] = {"": 0}
+        pairs: list[int] = []
+        is_word, others = np.ones(len(parts), bool), []
+        for i, p in enumerate(parts):
+            if (m := _WORD.match(p)) and not (apart and apart in p):
+                word, marks = m.groups()
+                pairs += number.setdefault(word, len(number)), number.setdefault(marks, len(number))
+            else:
+                is_word[i] = False
+                others.append(p)
+        flat, lengths = array("I"), array("q", [0])
+        for x in islice(number, 1, None):
+            found = tokenize(x.replace(" ", "\u0120") if x.isascii() else x.encode().decode("latin-1").translate(_BYTES))
+            flat.extend([t.id for t in found])
+            lengths.append(len(found))
+        words = Ragged(np.frombuffer(flat, np.uint32) if flat else np.zeros(0, np.uint32), np.array(lengths)).take(np.array(pairs, np.int64))
+        other = rest(others)
+        order = np.empty(len(parts), np.int64)
+        order[is_word] = np.arange(len(pairs) // 2)
+        order[~is_word] = np.arange(len(other)) + len(pairs) // 2
+        return Ragged(np.concatenate([words.flat, other.flat]), np.r_[words.lengths.reshape(-1, 2).sum(axis=1), other.lengths]).take(order)
+
+    return make
+
+
 def json_coder(path: str) -> Coder:
     """Identifiers by the tokenizer of a file, which takes its added token out of texts first."""
     tokenizer = json_tokenizer(path)
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     if len(added) > 1:
         raise ValueError("one added token at most")
@@ -92,7 +134,10 @@ def json_coder(path: str) -> Coder:
     def ids(text: str) -> list[int]:
         return tokenizer.encode(text, add_special_tokens=False).ids
 
-    return Coder(_by_lines(lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, ids, ids("\n")[0], apart), apart.encode() if apart else None)
+    make, model, before = _by_lines(lambda text: tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, ids, ids("\n")[0], apart), tokenizer.model, tokenizer.pre_tokenizer
+    if isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space and tokenizer.normalizer is None and isinstance(model, BPE):
+        make = _by_words(model.tokenize, make, apart)
+    return Coder(make, apart.encode() if apart else None)
 
 
 def rank_coder(path: str) -> Coder:
