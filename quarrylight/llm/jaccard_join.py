@@ -53,6 +53,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)
 #: Sets up to this size use one-deletion neighbourhoods. Buckets up to FEW nodes yield all pairs. A task takes so many members of a group against all.
 SMALL, FEW, BLOCK = 64, 12, 4096
+#: Groups of up to so many members are compared at once, so many bytes of sketches at a time.
+AT_ONCE, BYTES = 512, 1 << 22
 
 
 class Words(dict):
@@ -134,6 +136,7 @@ class Schemes:
         self.num, self.den = num, den
         self.starts = [1, 2]
         self.known: dict[int, tuple[int, bool]] = {}
+        self.salts: dict[int, np.ndarray] = {}
 
     def band(self, n: int) -> int:
         while self.starts[-1] <= n:
@@ -186,8 +189,10 @@ class Schemes:
             size = np.bincount(seg, minlength=m)
             total = np.zeros(m, np.uint64)
             full = np.flatnonzero(size)
-            total[full] = np.add.reduceat(own, np.r_[0, np.cumsum(size[full])[:-1]])
-            salt = (np.arange(m, dtype=np.uint64) + np.uint64(1)) * _P + np.uint64((scheme + 1) * int(_Q) % 2**64)
+            total[full] = np.add.reduceat(own, (np.cumsum(size) - size)[full])
+            if scheme not in self.salts:
+                self.salts[scheme] = (np.arange(m, dtype=np.uint64) + np.uint64(1)) * _P + np.uint64((scheme + 1) * int(_Q) % 2**64)
+            salt = self.salts[scheme]
             flag = np.full(m, 2, np.uint8)
             chosen = np.zeros(m, bool)
             if smaller:
@@ -446,6 +451,34 @@ def _answer(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table([pa.array([g for g, _, _ in asked], pa.int64()), pa.array([n for _, n, _ in asked], pa.int32()), pa.array(out, pa.binary())], schema=_TOLD)
 
 
+def _together(size: np.ndarray, flag: np.ndarray, root: np.ndarray, sketches: Ragged, main: int | None, num: int, den: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of both ends of the pairs of ``_across``, for all members of a group, which are in the order of their sizes."""
+    ok = (root[:, None] != root) & ((flag[:, None] | flag) == 3) & (num * size <= den * size[:, None])
+    if nearest:
+        ok &= (root != main) | (root[:, None] != main)
+    i, j = np.nonzero(np.triu(ok, 1))
+    least, best = np.minimum(sketches.lengths[i], sketches.lengths[j]), np.empty(len(i), np.int64)
+    for n in np.unique(least).tolist():
+        stack, own = np.zeros((len(size), n), np.uint8), np.flatnonzero(least == n)
+        for m in np.unique(sketches.lengths[sketches.lengths >= n]).tolist():
+            at = np.flatnonzero(sketches.lengths == m)
+            stack[at] = fold(sketches.take(at).flat.reshape(-1, m), n)
+        words = stack.view(np.uint64)  # sketches have 64 cells at least
+        step = max(1, BYTES // n)
+        for a in range(0, len(own), step):
+            some = own[a : a + step]
+            best[some] = np.bitwise_count(words[i[some]] ^ words[j[some]]).sum(axis=1, dtype=np.int64)
+    near = best * (den + num) <= (den - num) * (size[i] + size[j])
+    i, j, best = i[near], j[near], best[near]
+    if nearest:  # of each member outside the largest component, the closest partners
+        i, j, best = np.r_[i, j], np.r_[j, i], np.r_[best, best]
+        order = np.lexsort((j, best, i))
+        i, j = i[order], j[order]
+        keep = (np.arange(len(i)) - np.searchsorted(i, i) < nearest) & (root[i] != main)
+        i, j = i[keep], j[keep]
+    return i, j
+
+
 def _across(num: int, den: int, nearest: int | None):
     """Pairs of a group between components that sizes and sketches allow, for one block of its members against all.
 
@@ -463,12 +496,15 @@ def _across(num: int, den: int, nearest: int | None):
         order = np.lexsort((node, size))
         sketches = Ragged(np.concatenate([p[5] for p in parts]), lengths).take(order)
         node, size, flag, root, lengths = node[order], size[order].astype(np.int64), flag[order], root[order], sketches.lengths
+        main = names[count.argmax()] if nearest else None
+        if of == 1 and len(node) <= AT_ONCE:
+            i, j = _together(size, flag, root, sketches, main, num, den, nearest)
+            return pa.table([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["a", "b"])
         rows, stacks = np.zeros(len(node), np.int64), {}
         for n in np.unique(lengths).tolist():
             own = np.flatnonzero(lengths == n)
             rows[own] = np.arange(len(own))
             stacks[n] = sketches.take(own).flat.reshape(-1, n)
-        main = names[count.argmax()] if nearest else None
         lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(block, len(node), of):
             if nearest and root[i] == main:
